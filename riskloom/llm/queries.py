@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from riskloom.llm import bpe, decontaminate
+from riskloom.llm import bpe, decontaminate, suffix_dedup
 from riskloom.llm.common import table
 
 VOCAB = public_tokenizers.path("byte_bpe_50k.json")
@@ -16,6 +16,12 @@ VOCAB = public_tokenizers.path("byte_bpe_50k.json")
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = suffix_dedup.drop_repeats(table(spark, sf_dir, "documents"))
+    n_removed = F.col("n_bytes") - F.octet_length("kept")
+    return out.select("doc_id", "n_bytes", n_removed.cast("bigint").alias("n_removed"), F.size("removed_from").cast("bigint").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = bpe.encode_decode(table(spark, sf_dir, "documents"), VOCAB)
     return out.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.encode("decoded", "utf-8"), 256).alias("decoded_sha256"))
@@ -29,6 +35,7 @@ def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {
+    "op5_suffix_dedup": op5_suffix_dedup,
     "op7_bpe": op7_bpe,
     "op9_decontaminate": op9_decontaminate,
 }
