@@ -92,15 +92,15 @@ def runs(data: np.ndarray, offsets: np.ndarray, roller: Roller, span: int) -> tu
     return doc[first], h[anchor[first]], at[first], np.diff(np.append(first, len(doc)))
 
 
-def sample(docs: DataFrame, span: int, gram: int) -> DataFrame:
+def sample(docs: DataFrame, span: int, gram: int, chunk: int) -> DataFrame:
     """The runs of all documents: row, anchor, content (a hash of the span's bytes), place, n."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        roller = Roller(gram, 2 * CHUNK + span)
-        for batch in slices(batches, 4096, CHUNK):
+        roller = Roller(gram, 2 * chunk + span)
+        for batch in slices(batches, 4096, chunk):
             data, offsets = utf8(batch["text"])
             ids = batch["row"].to_numpy()
-            for doc, lo, part, cuts in cut_long(data, offsets, span):
+            for doc, lo, part, cuts in cut_long(data, offsets, span, chunk):
                 d, anchor, at, n = runs(part, cuts, roller, span)
                 raw = part.tobytes()
                 content = np.fromiter((xxhash.xxh3_64_intdigest(raw[a:b]) for a, b in zip(at.tolist(), (at + n + span - 1).tolist())), np.uint64, len(at))
@@ -110,14 +110,14 @@ def sample(docs: DataFrame, span: int, gram: int) -> DataFrame:
     return docs.select("row", "text").mapInArrow(run, "row bigint, anchor bigint, content bigint, place bigint, n int")
 
 
-def cut_long(data: np.ndarray, offsets: np.ndarray, span: int) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+def cut_long(data: np.ndarray, offsets: np.ndarray, span: int, chunk: int) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """(first document, place of the part in it, bytes, offsets): whole texts together, long ones in parts that share span - 1 bytes, so that each window is in one part."""
-    if offsets[-1] <= 2 * CHUNK:
+    if offsets[-1] <= 2 * chunk:
         yield 0, 0, data, offsets
         return
     for doc in range(len(offsets) - 1):
-        for at in range(offsets[doc], max(offsets[doc] + 1, offsets[doc + 1] - span + 1), CHUNK):
-            end = min(at + CHUNK + span - 1, offsets[doc + 1])
+        for at in range(offsets[doc], max(offsets[doc] + 1, offsets[doc + 1] - span + 1), chunk):
+            end = min(at + chunk + span - 1, offsets[doc + 1])
             yield doc, at - offsets[doc], data[at:end], np.array([0, end - at])
 
 
@@ -257,12 +257,12 @@ def remove(docs: DataFrame, span: int, id_kind: str) -> DataFrame:
     return docs.select("id", "text", "begin", "end").mapInArrow(run, f"id {id_kind}, n_bytes bigint, removed_from array<bigint>, removed_to array<bigint>, kept binary")
 
 
-def drop_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", span: int = SPAN, gram: int = GRAM, hot_spans: int = 1000) -> DataFrame:
+def drop_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", span: int = SPAN, gram: int = GRAM, hot_spans: int = 1000, chunk: int = CHUNK) -> DataFrame:
     """id column, n_bytes, removed_from and removed_to (byte places of the maximal removed runs), kept (binary)."""
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     rows = rows.select(F.xxhash64("id", "text").alias("row"), "id", "text")
-    found = materialize(sample(rows, span, gram), "runs")
+    found = materialize(sample(rows, span, gram, chunk), "runs")
     repeated = found.groupBy("anchor").agg(F.count("*").alias("c")).filter("c > 1").select("anchor")
     found = materialize(found.join(repeated, "anchor", "left_semi"), "repeated-runs")
     distinct = materialize(found.groupBy("anchor", "content").agg(F.count("*").alias("c"), F.min(F.struct("row", "place", "n")).alias("one")), "distinct-runs")

@@ -30,7 +30,7 @@ def test_query_against_brute_force(spark):
     assert sum(r[2] for r in got) > 0
 
 
-def test_edges(spark, monkeypatch):
+def test_edges(spark):
     random.seed(5)
     word = lambda: "".join(random.choices("abcdefgé", k=random.randint(1, 7)))
     prose = lambda n: " ".join(word() for _ in range(n))
@@ -39,8 +39,7 @@ def test_edges(spark, monkeypatch):
     docs += [(20 + i, prose(3) + shared[: 60 + i] + prose(3)) for i in range(25)]
     frame = spark.createDataFrame([(*d, 7, "x") for d in docs], "doc_id bigint, text string, row int, kept string")
     for hot, chunk in ((1000, 4 << 20), (3, 1500)):
-        monkeypatch.setattr(suffix_dedup, "CHUNK", chunk)
-        out = suffix_dedup.drop_repeats(frame, span=50, gram=12, hot_spans=hot).collect()
+        out = suffix_dedup.drop_repeats(frame, span=50, gram=12, hot_spans=hot, chunk=chunk).collect()
         got = [(r.doc_id, r.n_bytes, r.n_bytes - len(r.kept), len(r.removed_from), hashlib.sha256(r.kept).hexdigest()) for r in out]
         assert sorted(got, key=str) == brute(docs, 50)
     assert suffix_dedup.drop_repeats(frame.limit(0)).count() == 0
