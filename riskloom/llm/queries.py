@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from riskloom.llm import bpe, decontaminate, suffix_dedup
+from riskloom.llm import bpe, decontaminate, minhash_dedup, suffix_dedup
 from riskloom.llm.common import table
 
 VOCAB = public_tokenizers.path("byte_bpe_50k.json")
@@ -27,6 +27,10 @@ def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.encode("decoded", "utf-8"), 256).alias("decoded_sha256"))
 
 
+def op8_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash_dedup.classes(table(spark, sf_dir, "documents"))
+
+
 def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     n_hit = F.aggregate(F.zip_with("hit_from", "hit_to", lambda a, b: b - a), F.lit(0).cast("bigint"), lambda x, y: x + y)
@@ -37,6 +41,7 @@ def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Query] = {
     "op5_suffix_dedup": op5_suffix_dedup,
     "op7_bpe": op7_bpe,
+    "op8_minhash_dedup": op8_minhash_dedup,
     "op9_decontaminate": op9_decontaminate,
 }
 
