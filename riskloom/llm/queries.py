@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from riskloom.llm import bpe, decontaminate, minhash_dedup, suffix_dedup
+from riskloom.llm import bpe, decontaminate, inner_product, minhash_dedup, suffix_dedup, warc
 from riskloom.llm.common import table
 
 VOCAB = public_tokenizers.path("byte_bpe_50k.json")
@@ -16,6 +16,15 @@ VOCAB = public_tokenizers.path("byte_bpe_50k.json")
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op1_inner_product(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = inner_product.scaled(table(spark, sf_dir, "embeddings"), "vec_id", "embedding", 256)
+    return inner_product.top_k(vectors.filter("id % 50 = 0"), vectors, 5)
+
+
+def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.archive_and_read(spark, table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = suffix_dedup.drop_repeats(table(spark, sf_dir, "documents"))
     n_removed = F.col("n_bytes") - F.octet_length("kept")
@@ -39,10 +48,37 @@ def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {
+    "op1_inner_product": op1_inner_product,
+    "op2_warc": op2_warc,
     "op5_suffix_dedup": op5_suffix_dedup,
     "op7_bpe": op7_bpe,
     "op8_minhash_dedup": op8_minhash_dedup,
     "op9_decontaminate": op9_decontaminate,
 }
 
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {
+    "op1_inner_product": """
+        WITH v AS (
+            SELECT vec_id, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS v FROM embeddings
+            WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+        ), s AS (
+            SELECT q.vec_id AS query_id, c.vec_id, CAST(list_dot_product(q.v, c.v) AS BIGINT) AS score
+            FROM v q JOIN v c ON q.vec_id <> c.vec_id AND len(q.v) = len(c.v) WHERE q.vec_id % 50 = 0
+        )
+        SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score
+        FROM s QUALIFY rank <= 5
+    """,
+    "op2_warc": """
+        WITH p AS (
+            SELECT page_id, sha1(coalesce(html, '')) AS h, strlen(coalesce(html, '')) AS n,
+                min(page_id) OVER (PARTITION BY sha1(coalesce(html, ''))) AS first FROM pages
+        ), b AS (
+            SELECT *, array_to_string(list_transform(range(1, 41), lambda i: ['0000', '0001', '0010', '0011', '0100', '0101', '0110', '0111', '1000', '1001', '1010', '1011', '1100', '1101', '1110', '1111'][instr('0123456789abcdef', substr(h, i, 1))]), '') AS bits FROM p
+        )
+        SELECT page_id, CAST(n AS BIGINT) AS payload_bytes,
+            array_to_string(list_transform(range(0, 32), lambda j: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', CAST(1 + 16 * CAST(substr(bits, 5 * j + 1, 1) AS INTEGER) + 8 * CAST(substr(bits, 5 * j + 2, 1) AS INTEGER) + 4 * CAST(substr(bits, 5 * j + 3, 1) AS INTEGER) + 2 * CAST(substr(bits, 5 * j + 4, 1) AS INTEGER) + CAST(substr(bits, 5 * j + 5, 1) AS INTEGER) AS BIGINT), 1)), '') AS payload_digest,
+            CASE WHEN page_id > first THEN 'revisit' ELSE 'response' END AS record_type,
+            CASE WHEN page_id > first THEN first END AS refers_to
+        FROM b
+    """,
+}
