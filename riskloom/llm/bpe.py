@@ -2,8 +2,10 @@
 
 Each word is merged in a contiguous array of parts: the ids of its parts and, beside them, the rank of every adjacent
 pair. The lowest rank is found by a scan, the boundary between its two parts is deleted, and the two neighbouring ranks
-are looked up again. Words of more than LONG_WORD bytes, for which repeated scans would take quadratic time, are merged
-by the same rule with a heap over the same ranks.
+are looked up again. Short words go through this together, as rows of one matrix, one merge of every word at a time;
+words of more than SHORT_WORD bytes one by one, and those of more than LONG_WORD bytes, for which repeated scans would
+take quadratic time, by the same rule with a heap over the same ranks. Words and chunks between blanks recur, so their
+ids are kept in caches of bounded size.
 
 Rows: a null text counts as empty; an empty text has no ids and decodes to an empty text; repeated rows give repeated
 results; extra columns are ignored.
@@ -19,6 +21,7 @@ from struct import pack
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -27,8 +30,9 @@ from riskloom.llm.common import slices
 
 # Fixed value: the pattern by which the public byte-level vocabulary splits text into words.
 WORDS = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-LONG_WORD = 192
+SHORT_WORD, LONG_WORD = 48, 192
 NO_RANK = 1 << 62
+MISSING = object()
 SHIFT = 24
 
 
@@ -54,6 +58,17 @@ class Chunks(dict):
         self[chunk] = ids
         return ids
 
+    def peek(self, chunk: str):
+        """The ids, or MISSING; nothing is made."""
+        ids = self.get(chunk, MISSING)
+        return self.old.get(chunk, MISSING) if ids is MISSING else ids
+
+    def put(self, chunk: str, ids) -> None:
+        if len(self) >= self.half:
+            self.old = dict(self)
+            self.clear()
+        self[chunk] = ids
+
 
 class ByteBPE:
     """A tokenizer read from a public vocabulary file; ids are little-endian unsigned 32-bit integers."""
@@ -74,6 +89,8 @@ class ByteBPE:
         for rank, pair in enumerate(spec["model"]["merges"]):
             a, b = pair.split(" ") if isinstance(pair, str) else pair
             self.merges.setdefault(vocab[a] << SHIFT | vocab[b], rank << SHIFT | vocab[a + b])
+        self.pair_keys = np.array(sorted(self.merges), np.int64)
+        self.pair_ranks = np.array([*(self.merges[k] for k in self.pair_keys.tolist()), NO_RANK], np.int64)
         self.find = regex.compile(WORDS).findall
         self.blank = regex.compile(r"\s").match
         self.cut = regex.compile("|".join(regex.escape(t) for t in sorted(self.special, key=len, reverse=True))) if self.special else None
@@ -100,6 +117,112 @@ class ByteBPE:
                 ranks[i] = find(parts[i] << SHIFT | parts[i + 1], NO_RANK)
         return parts
 
+    def look_up(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Ranks of pairs; NO_RANK where a part is missing (-1) or the pair is no merge."""
+        keys = a.astype(np.int64) << SHIFT | b
+        at = np.searchsorted(self.pair_keys, keys)
+        at[at == len(self.pair_keys)] = 0
+        return np.where((self.pair_keys[at] == keys) & (b >= 0), self.pair_ranks[at], NO_RANK)
+
+    def merge_many(self, words: list[bytes]) -> list[bytes]:
+        """Packed ids of short words: row i of `parts` and `ranks` is the contiguous array of word i."""
+        n = np.array([len(w) for w in words])
+        parts = np.full((len(words), n.max() + 1), -1, np.int64)
+        inside = np.arange(parts.shape[1]) < n[:, None]
+        parts[inside] = np.array(self.single)[np.frombuffer(b"".join(words), np.uint8)]
+        ranks = np.full_like(parts, NO_RANK)
+        ranks[:, :-1] = self.look_up(parts[:, :-1], parts[:, 1:])
+        done, live, columns = parts.copy(), np.arange(len(words)), np.arange(parts.shape[1])
+        while len(live):
+            row, best = np.arange(len(live)), ranks.argmin(1)
+            low = ranks[row, best]
+            if (end := low == NO_RANK).any():
+                done[live[end]] = parts[end]
+                go = ~end
+                live, parts, ranks, best, low = live[go], parts[go], ranks[go], best[go], low[go]
+                row = row[: len(live)]
+            place = np.minimum(columns + (columns > best[:, None]), columns[-1])
+            parts = np.take_along_axis(parts, place, 1)
+            parts[:, -1] = -1
+            parts[row, best] = low & ((1 << SHIFT) - 1)
+            ranks = np.take_along_axis(ranks, np.minimum(columns + (columns >= best[:, None]), columns[-1]), 1)
+            ranks[:, -1] = NO_RANK
+            ranks[row, best] = self.look_up(parts[row, best], parts[row, np.minimum(best + 1, columns[-1])])
+            left = best > 0
+            row, best = row[left], best[left]
+            ranks[row, best - 1] = self.look_up(parts[row, best - 1], parts[row, best])
+        size = (done >= 0).sum(1) * 4
+        packed, cuts = done[done >= 0].astype("<u4").tobytes(), np.cumsum(size)
+        return [packed[a:b] for a, b in zip((cuts - size).tolist(), cuts.tolist())]
+
+    def learn(self, chunks: list[str]) -> list[bytes | None]:
+        """Ids of chunks that follow a space, for many chunks at once."""
+        get, find = self.spaced.peek, self.find
+        found = [get(c) for c in chunks]
+        new = [i for i, x in enumerate(found) if x is MISSING]
+        split = {i: find(" " + chunks[i]) for i in new if chunks[i] and not self.blank(chunks[i])}
+        known: dict[str, bytes] = {}
+        peek = self.words.peek
+        for word in {w for ws in split.values() for w in ws}:
+            if (ids := peek(word)) is not MISSING:
+                known[word] = ids
+            else:
+                known[word] = b""
+        by_width: dict[int, list[str]] = {8: [], 16: [], SHORT_WORD: []}
+        for word, ids in known.items():
+            if not ids:
+                size = len(word.encode())
+                if size > SHORT_WORD:
+                    known[word] = self.words[word]
+                else:
+                    by_width[8 if size <= 8 else 16 if size <= 16 else SHORT_WORD].append(word)
+        for group in by_width.values():
+            for at in range(0, len(group), 8192):
+                part = group[at : at + 8192]
+                for word, ids in zip(part, self.merge_many([w.encode() for w in part])):
+                    known[word] = ids
+                    self.words.put(word, ids)
+        for i in new:
+            found[i] = b"".join([known[w] for w in split[i]]) if i in split else None
+            self.spaced.put(chunks[i], found[i])
+        return found
+
+    def encode_batch(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all texts, where each text's ids begin and the last ones end)."""
+        texts = pc.fill_null(texts, "").cast(pa.large_string())
+        if not len(texts):
+            return np.zeros(0, "<u4"), np.zeros(1, np.int64)
+        lists = pc.split_pattern(texts, " ")
+        begins = lists.offsets.to_numpy()
+        begins = begins - begins[0]
+        coded = lists.flatten().dictionary_encode()
+        chunks, place = coded.dictionary.to_pylist(), coded.indices.to_numpy()
+        ids = self.learn(chunks)
+        first = pc.list_element(lists, 0).to_pylist()
+        odd = np.array([x is None for x in ids])[place]
+        odd[begins[:-1]] = False
+        slow = np.add.reduceat(odd, begins[:-1]) > 0
+        if self.cut:
+            for mark in self.special:
+                slow |= pc.match_substring(texts, mark).to_numpy(zero_copy_only=False)
+        place = place.astype(np.int64)
+        place[begins[:-1]] = np.arange(len(first)) + len(ids)
+        packed = [x or b"" for x in ids] + [b"" if s else self.first[f] for f, s in zip(first, slow.tolist())]
+        size = np.array([len(x) // 4 for x in packed])
+        count = size[place]
+        if slow.any():
+            rows = np.repeat(slow, np.diff(begins))
+            count[rows] = 0
+            for i in np.flatnonzero(slow).tolist():
+                own = self.encode(texts[i].as_py())
+                packed.append(own)
+                size = np.append(size, len(own) // 4)
+                place[begins[i]], count[begins[i]] = len(packed) - 1, len(own) // 4
+        flat, start = np.frombuffer(b"".join(packed), "<u4"), np.cumsum(size) - size
+        ends = np.cumsum(count)
+        at = np.arange(ends[-1]) + np.repeat(start[place] - (ends - count), count)
+        return flat[at], np.concatenate([[0], ends])[begins]
+
     def merge_long(self, parts: list[int]) -> list[int]:
         """The same merges with a heap of (rank, place); stale entries are recognised and skipped."""
         n, find = len(parts), self.merges.get
@@ -143,8 +266,8 @@ class ByteBPE:
             at = m.end()
         return b"".join([*out, self.plain(text[at:])])
 
-    def decode(self, ids: bytes) -> str:
-        return b"".join(map(self.tokens.__getitem__, np.frombuffer(ids, "<u4").tolist())).decode("utf-8", "replace")
+    def decode(self, ids: np.ndarray) -> str:
+        return b"".join(map(self.tokens.__getitem__, ids.tolist())).decode("utf-8", "replace")
 
 
 @lru_cache(maxsize=2)
@@ -159,9 +282,11 @@ def encode_decode(docs: DataFrame, vocab: str, id_col: str = "doc_id", text_col:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = tokenizer(vocab)
-        for batch in slices(batches, 512, 4 << 20):
-            ids = [bpe.encode(t) for t in batch["text"].to_pylist()]
-            yield pa.record_batch([batch["id"], pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array(ids, pa.binary()), pa.array([bpe.decode(x) for x in ids], pa.string())], ["id", "n_tokens", "ids", "decoded"])
+        for batch in slices(batches, 4096, 8 << 20):
+            flat, at = bpe.encode_batch(batch["text"])
+            ids = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(at) - 1, [None, pa.py_buffer(at * 4), pa.py_buffer(flat)])
+            texts = [bpe.decode(flat[a:b]) for a, b in zip(at[:-1].tolist(), at[1:].tolist())]
+            yield pa.record_batch([batch["id"], pa.array(np.diff(at), pa.int64()), ids.cast(pa.binary()), pa.array(texts, pa.string())], ["id", "n_tokens", "ids", "decoded"])
 
     kind = rows.schema["id"].dataType.simpleString()
     out = rows.mapInArrow(run, f"id {kind}, n_tokens bigint, ids binary, decoded string")

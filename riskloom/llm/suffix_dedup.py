@@ -184,7 +184,7 @@ class SuffixLevels:
 
 
 def long_matches(spans: DataFrame, span: int) -> DataFrame:
-    """The windows of spans (anchor, content, first, n, bytes) that repeat in their partition, as runs [begin, end)."""
+    """The windows of spans (anchor, content, whole, first, n, bytes) that repeat in their partition, as runs [begin, end); spans known to repeat as a whole take part and are left out of the result."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index, held = SuffixLevels(span), []
@@ -192,12 +192,12 @@ def long_matches(spans: DataFrame, span: int) -> DataFrame:
             texts, n = batch["bytes"].to_pylist(), batch["n"].to_numpy().astype(np.int64)
             base = index.insert(texts, n)
             begins = base + np.concatenate([[0], np.cumsum([len(t) for t in texts])[:-1]]).astype(np.int64)
-            held.append((begins, n, *(batch[c].to_numpy() for c in ("anchor", "content", "first"))))
-        for begins, n, anchor, content, first in held:
+            held.append((begins, n, *(batch[c].to_numpy(zero_copy_only=False) for c in ("anchor", "content", "first", "whole"))))
+        for begins, n, anchor, content, first, whole in held:
             rows: list[tuple] = []
             for i, (b, k) in enumerate(zip(begins.tolist(), n.tolist())):
                 flags = index.matched[b : b + k]
-                if flags.any():
+                if flags.any() and not whole[i]:
                     edges = np.flatnonzero(np.diff(np.concatenate([[0], flags.view(np.int8), [0]])))
                     rows += [(i, x, y) for x, y in zip(edges[::2].tolist(), edges[1::2].tolist())]
             at = np.array([r[0] for r in rows], np.int64)
@@ -207,7 +207,7 @@ def long_matches(spans: DataFrame, span: int) -> DataFrame:
 
 
 def cut_spans(docs: DataFrame, span: int) -> DataFrame:
-    """Bytes of the runs that each document lends: part, anchor, content, first, n, bytes. Runs of hot anchors go out window by window."""
+    """Bytes of the runs that each document lends: part, anchor, content, whole, first, n, bytes. Runs of hot anchors go out window by window."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, 256, 2 << 20):
@@ -219,14 +219,14 @@ def cut_spans(docs: DataFrame, span: int) -> DataFrame:
                     if x["hot"]:
                         for i in range(n):
                             w = raw[a + i : a + i + span]
-                            out.append((xxhash.xxh3_64_intdigest(w) - 2**63, x["anchor"], x["content"], i, 1, w))
+                            out.append((xxhash.xxh3_64_intdigest(w) - 2**63, x["anchor"], x["content"], x["whole"], i, 1, w))
                     else:
-                        out.append((x["anchor"], x["anchor"], x["content"], 0, n, raw[a : a + n + span - 1]))
-            columns = list(zip(*out)) or [()] * 6
-            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary())
-            yield pa.record_batch([pa.array(c, k) for c, k in zip(columns, kinds)], ["part", "anchor", "content", "first", "n", "bytes"])
+                        out.append((x["anchor"], x["anchor"], x["content"], x["whole"], 0, n, raw[a : a + n + span - 1]))
+            columns = list(zip(*out)) or [()] * 7
+            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.int32(), pa.int32(), pa.binary())
+            yield pa.record_batch([pa.array(c, k) for c, k in zip(columns, kinds)], ["part", "anchor", "content", "whole", "first", "n", "bytes"])
 
-    return docs.select("text", "lent").mapInArrow(run, "part bigint, anchor bigint, content bigint, first int, n int, bytes binary")
+    return docs.select("id", "text", "lent").mapInArrow(run, "part bigint, anchor bigint, content bigint, whole boolean, first int, n int, bytes binary")
 
 
 def covered(begins: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -257,22 +257,22 @@ def remove(docs: DataFrame, span: int, id_kind: str) -> DataFrame:
     return docs.select("id", "text", "begin", "end").mapInArrow(run, f"id {id_kind}, n_bytes bigint, removed_from array<bigint>, removed_to array<bigint>, kept binary")
 
 
-def drop_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", span: int = SPAN, gram: int = GRAM, hot_spans: int = 1000, chunk: int = CHUNK) -> DataFrame:
+def drop_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", span: int = SPAN, gram: int = GRAM, hot_spans: int = 8000, chunk: int = CHUNK) -> DataFrame:
     """id column, n_bytes, removed_from and removed_to (byte places of the maximal removed runs), kept (binary)."""
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     rows = rows.select(F.xxhash64("id", "text").alias("row"), "id", "text")
     found = materialize(sample(rows, span, gram, chunk), "runs")
-    repeated = found.groupBy("anchor").agg(F.count("*").alias("c")).filter("c > 1").select("anchor")
+    repeated = materialize(found.groupBy("anchor").agg(F.count("*").alias("c")).filter("c > 1").select("anchor"), "anchors")
     found = materialize(found.join(repeated, "anchor", "left_semi"), "repeated-runs")
     distinct = materialize(found.groupBy("anchor", "content").agg(F.count("*").alias("c"), F.min(F.struct("row", "place", "n")).alias("one")), "distinct-runs")
     shared = distinct.groupBy("anchor").agg(F.count("*").alias("spans")).filter("spans > 1")
-    lent = distinct.join(shared, "anchor").select(F.col("one.row").alias("row"), F.struct("anchor", "content", "one.place", "one.n", (F.col("spans") > hot_spans).alias("hot")).alias("x"))
+    lent = distinct.join(shared, "anchor").select(F.col("one.row").alias("row"), F.struct("anchor", "content", "one.place", "one.n", (F.col("c") > 1).alias("whole"), (F.col("spans") > hot_spans).alias("hot")).alias("x"))
     lent = lent.groupBy("row").agg(F.collect_list("x").alias("lent"))
     parts = max(shuffle_partitions(spark), 1 + distinct.count() // 4000)
     spans = cut_spans(rows.join(lent, "row"), span).repartition(parts, "part")
     whole = distinct.filter("c > 1").select("anchor", "content", F.lit(0).alias("begin"), F.col("one.n").alias("end"))
-    hits = long_matches(spans, span).join(distinct.filter("c > 1").select("anchor", "content"), ["anchor", "content"], "left_anti").unionByName(whole)
+    hits = long_matches(spans, span).unionByName(whole)
     places = found.join(hits, ["anchor", "content"]).select("row", (F.col("place") + F.col("begin")).alias("begin"), (F.col("place") + F.col("end")).alias("end"))
     by_row = places.groupBy("row").agg(F.collect_list(F.struct("begin", "end")).alias("x")).select("row", "x.begin", "x.end")
     out = remove(rows.join(by_row, "row", "left"), span, rows.schema["id"].dataType.simpleString())

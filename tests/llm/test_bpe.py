@@ -19,7 +19,18 @@ def test_same_ids_as_the_library():
     for text in texts:
         want, got = theirs.encode(text, add_special_tokens=False).ids, ours.encode(text)
         assert np.frombuffer(got, "<u4").tolist() == want, text
-        assert ours.decode(got) == theirs.decode(want, skip_special_tokens=False)
+        assert ours.decode(np.frombuffer(got, "<u4")) == theirs.decode(want, skip_special_tokens=False)
+
+
+def test_batches_agree_with_single_texts():
+    import pyarrow as pa
+
+    random.seed(9)
+    bpe = ByteBPE(VOCAB, cached=500)
+    texts = [None, "", " ", "a", "x" * 700, *("".join(random.choices([*PIECES, " word", " Wörter", "the", " " + "long" * 30], k=random.randint(0, 30))) for _ in range(1500))]
+    for part in (texts, texts[::-1], texts[:1], []):
+        flat, at = bpe.encode_batch(pa.array(part, pa.string()))
+        assert [flat[a:b].tobytes() for a, b in zip(at[:-1], at[1:])] == [ByteBPE.encode(bpe, t or "") for t in part]
 
 
 def test_query(spark):
