@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from riskloom.llm import bpe, decontaminate, inner_product, minhash_dedup, suffix_dedup, warc
+from riskloom.llm import bpe, decontaminate, inner_product, minhash_dedup, suffix_dedup, token_store, warc
 from riskloom.llm.common import table
 
 VOCAB = public_tokenizers.path("byte_bpe_50k.json")
@@ -47,7 +47,13 @@ def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", n_hit.alias("n_hit"), F.size("items").cast("bigint").alias("n_items"), F.sha2(names, 256).alias("items_sha256"), (n_hit > 0).alias("contaminated"))
 
 
+def op10_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = token_store.store_and_read(spark, table(spark, sf_dir, "documents"), VOCAB, end_id=2)
+    return out.select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+
+
 QUERIES: dict[str, Query] = {
+    "op10_token_store": op10_token_store,
     "op1_inner_product": op1_inner_product,
     "op2_warc": op2_warc,
     "op5_suffix_dedup": op5_suffix_dedup,
