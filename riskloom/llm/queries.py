@@ -8,8 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from riskloom.llm import bpe, decontaminate, inner_product, minhash_dedup, suffix_dedup, token_store, warc
-from riskloom.llm.common import table
+from riskloom.llm import bpe, decontaminate, inner_product, langid, minhash_dedup, quality, suffix_dedup, token_store, warc
+from riskloom.llm.common import is_held_out, table
 
 VOCAB = public_tokenizers.path("byte_bpe_50k.json")
 
@@ -25,12 +25,26 @@ def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.archive_and_read(spark, table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    learned = labels.filter(~is_held_out(F.col("doc_id"))).select("doc_id", F.col("quality").alias("label"))
+    model = quality.learn(docs.select("doc_id", "text").join(learned, "doc_id").withColumnRenamed("doc_id", "id"))
+    out = quality.score(docs, model)
+    return out.select("doc_id", is_held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
 def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = suffix_dedup.drop_repeats(table(spark, sf_dir, "documents"))
     n_removed = F.col("n_bytes") - F.octet_length("kept")
     return out.select("doc_id", "n_bytes", n_removed.cast("bigint").alias("n_removed"), F.size("removed_from").cast("bigint").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op6_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = langid.learn(docs.filter(~is_held_out(F.col("doc_id"))).select(F.col("doc_id").alias("id"), "text", "lang"))
+    return langid.identify(docs, model).select("doc_id", is_held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
+
+
 def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = bpe.encode_decode(table(spark, sf_dir, "documents"), VOCAB)
     return out.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.encode("decoded", "utf-8"), 256).alias("decoded_sha256"))
@@ -56,7 +70,9 @@ QUERIES: dict[str, Query] = {
     "op10_token_store": op10_token_store,
     "op1_inner_product": op1_inner_product,
     "op2_warc": op2_warc,
+    "op4_quality": op4_quality,
     "op5_suffix_dedup": op5_suffix_dedup,
+    "op6_langid": op6_langid,
     "op7_bpe": op7_bpe,
     "op8_minhash_dedup": op8_minhash_dedup,
     "op9_decontaminate": op9_decontaminate,
