@@ -11,6 +11,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -42,6 +43,21 @@ def is_held_out(doc_id: Column, folds: int = 5) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string")) % folds == 0, F.lit(True))
 
 
+def carried(docs: DataFrame, keep: list[str] | None) -> Column:
+    """The columns that an operator hands on unchanged, as one struct."""
+    return F.struct(*[docs[c] for c in keep]).alias("carried") if keep else F.lit(None).cast("string").alias("carried")
+
+
+def fields_of(rows: DataFrame, columns: list[str], rest: str) -> StructType:
+    """The schema of some columns of rows, followed by fields in DDL."""
+    return StructType([StructField(c, rows.schema[c].dataType) for c in columns] + StructType.fromDDL(rest).fields)
+
+
+def unpack(out: DataFrame, keep: list[str] | None) -> DataFrame:
+    """Puts carried columns back in place of the struct."""
+    return out.select(*(f"carried.{c}" for c in keep), *[c for c in out.columns if c != "carried" and c not in keep]) if keep else out.drop("carried")
+
+
 def slices(batches: Iterator[pa.RecordBatch], rows: int, max_bytes: int = 16 << 20) -> Iterator[pa.RecordBatch]:
     """Cuts Arrow batches so that each part has few rows and, single long rows aside, few bytes."""
     for batch in batches:

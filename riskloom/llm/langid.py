@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from riskloom.llm.common import slices
+from riskloom.llm.common import carried, fields_of, slices, unpack
 
 #: Places for the hashed n-grams of each order.
 PLACES = (1 << 10, 1 << 12, 1 << 13)
@@ -127,10 +127,10 @@ def learn(labelled: DataFrame, per_class: int = 600, least: int = 5) -> Language
     return fit(np.unpackbits(np.frombuffer(b"".join(x for _, x in pairs), np.uint8).reshape(len(pairs), -1), axis=1), [lang for lang, _ in pairs])
 
 
-def identify(docs: DataFrame, model: LanguageModel | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id column, lang_pred, score of every document."""
+def identify(docs: DataFrame, model: LanguageModel | None, id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
+    """id column, lang_pred, score of every document; with keep, those columns, lang_pred and score."""
     held = docs.sparkSession.sparkContext.broadcast(model)
-    rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), carried(docs, keep))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = held.value
@@ -142,6 +142,7 @@ def identify(docs: DataFrame, model: LanguageModel | None, id_col: str = "doc_id
                 shares = model.scores(presence([texts[i].replace("\0", " ") for i in known]))
                 for i, best, share in zip(known, shares.argmax(1).tolist(), shares.max(1).tolist()):
                     names[i], scores[i] = model.languages[best], min(1.0, share)
-            yield pa.record_batch([batch["id"], pa.array(names, pa.string()), pa.array(scores, pa.float64())], ["id", "lang_pred", "score"])
+            yield pa.record_batch([batch["id"], batch["carried"], pa.array(names, pa.string()), pa.array(scores, pa.float64())], ["id", "carried", "lang_pred", "score"])
 
-    return rows.mapInArrow(run, f"id {rows.schema['id'].dataType.simpleString()}, lang_pred string, score double").withColumnRenamed("id", id_col)
+    out = rows.mapInArrow(run, fields_of(rows, ["id", "carried"], "lang_pred string, score double"))
+    return unpack(out.drop("id"), keep) if keep else unpack(out.withColumnRenamed("id", id_col), None)

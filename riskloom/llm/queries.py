@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from riskloom.llm import bpe, decontaminate, inner_product, langid, minhash_dedup, quality, suffix_dedup, token_store, warc
+from riskloom.llm import bpe, decontaminate, inner_product, langid, licenses, minhash_dedup, quality, suffix_dedup, token_store, warc
 from riskloom.llm.common import is_held_out, table
 
 VOCAB = public_tokenizers.path("byte_bpe_50k.json")
@@ -25,6 +25,11 @@ def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.archive_and_read(spark, table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op3_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = licenses.scan(table(spark, sf_dir, "documents"))
+    return out.withColumn("notices", F.array_join("notices", ","))
+
+
 def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     learned = labels.filter(~is_held_out(F.col("doc_id"))).select("doc_id", F.col("quality").alias("label"))
@@ -70,6 +75,7 @@ QUERIES: dict[str, Query] = {
     "op10_token_store": op10_token_store,
     "op1_inner_product": op1_inner_product,
     "op2_warc": op2_warc,
+    "op3_licenses": op3_licenses,
     "op4_quality": op4_quality,
     "op5_suffix_dedup": op5_suffix_dedup,
     "op6_langid": op6_langid,
@@ -103,4 +109,5 @@ SQL: dict[str, str] = {
             CASE WHEN page_id > first THEN first END AS refers_to
         FROM b
     """,
+    "op3_licenses": licenses.scan_sql(),
 }
