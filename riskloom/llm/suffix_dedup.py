@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from riskloom.llm.common import materialize, shuffle_partitions, slices, utf8
+from riskloom.llm.common import carried, fields_of, materialize, shuffle_partitions, slices, unpack, utf8
 
 SPAN = 200
 GRAM = 40
@@ -226,7 +226,7 @@ def cut_spans(docs: DataFrame, span: int) -> DataFrame:
             kinds = (pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.int32(), pa.int32(), pa.binary())
             yield pa.record_batch([pa.array(c, k) for c, k in zip(columns, kinds)], ["part", "anchor", "content", "whole", "first", "n", "bytes"])
 
-    return docs.select("id", "text", "lent").mapInArrow(run, "part bigint, anchor bigint, content bigint, whole boolean, first int, n int, bytes binary")
+    return docs.select("id", "text", "carried", "lent").mapInArrow(run, "part bigint, anchor bigint, content bigint, whole boolean, first int, n int, bytes binary")
 
 
 def covered(begins: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -237,7 +237,7 @@ def covered(begins: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return a[new], b[np.append(np.flatnonzero(new)[1:] - 1, len(a) - 1)]
 
 
-def remove(docs: DataFrame, span: int, id_kind: str) -> DataFrame:
+def remove(docs: DataFrame, span: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, 512, 4 << 20):
             sizes, kept, firsts, ends = [], [], [], []
@@ -252,16 +252,16 @@ def remove(docs: DataFrame, span: int, id_kind: str) -> DataFrame:
                 firsts.append(a)
                 ends.append(b)
             lists = (pa.array(x, pa.list_(pa.int64())) for x in (firsts, ends))
-            yield pa.record_batch([batch["id"], pa.array(sizes, pa.int64()), *lists, pa.array(kept, pa.binary())], ["id", "n_bytes", "removed_from", "removed_to", "kept"])
+            yield pa.record_batch([batch["id"], batch["carried"], pa.array(sizes, pa.int64()), *lists, pa.array(kept, pa.binary())], ["id", "carried", "n_bytes", "removed_from", "removed_to", "kept"])
 
-    return docs.select("id", "text", "begin", "end").mapInArrow(run, f"id {id_kind}, n_bytes bigint, removed_from array<bigint>, removed_to array<bigint>, kept binary")
+    return docs.select("id", "text", "carried", "begin", "end").mapInArrow(run, fields_of(docs, ["id", "carried"], "n_bytes bigint, removed_from array<bigint>, removed_to array<bigint>, kept binary"))
 
 
-def drop_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", span: int = SPAN, gram: int = GRAM, hot_spans: int = 8000, chunk: int = CHUNK) -> DataFrame:
-    """id column, n_bytes, removed_from and removed_to (byte places of the maximal removed runs), kept (binary)."""
+def drop_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", span: int = SPAN, gram: int = GRAM, hot_spans: int = 8000, chunk: int = CHUNK, keep: list[str] | None = None) -> DataFrame:
+    """id column, n_bytes, removed_from and removed_to (byte places of the maximal removed runs), kept (binary); with keep, those columns in place of the id."""
     spark = docs.sparkSession
-    rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    rows = rows.select(F.xxhash64("id", "text").alias("row"), "id", "text")
+    rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), carried(docs, keep))
+    rows = rows.select(F.xxhash64("id", "text").alias("row"), "id", "text", "carried")
     found = materialize(sample(rows, span, gram, chunk), "runs")
     repeated = materialize(found.groupBy("anchor").agg(F.count("*").alias("c")).filter("c > 1").select("anchor"), "anchors")
     found = materialize(found.join(repeated, "anchor", "left_semi"), "repeated-runs")
@@ -275,5 +275,5 @@ def drop_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     hits = long_matches(spans, span).unionByName(whole)
     places = found.join(hits, ["anchor", "content"]).select("row", (F.col("place") + F.col("begin")).alias("begin"), (F.col("place") + F.col("end")).alias("end"))
     by_row = places.groupBy("row").agg(F.collect_list(F.struct("begin", "end")).alias("x")).select("row", "x.begin", "x.end")
-    out = remove(rows.join(by_row, "row", "left"), span, rows.schema["id"].dataType.simpleString())
-    return out.withColumnRenamed("id", id_col)
+    out = remove(rows.join(by_row, "row", "left"), span)
+    return unpack(out.drop("id"), keep) if keep else unpack(out.withColumnRenamed("id", id_col), None)
