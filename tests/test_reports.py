@@ -124,7 +124,10 @@ def test_checks(spark):
     assert report.passed and {r.name for r in report.results} == {"FullRankDesign", "ResidualNormality", "Homoscedasticity", "LowVIF"} and all(r.passed for r in report.results)
     skewed = df.withColumn("y", F.exp(F.col("y") * 2))
     bad = {r.name: r.passed for r in rl.check_assumptions(rl.solve(rl.linear("y", ["x0", "x1"]), skewed), skewed).results}
-    assert not bad["ResidualNormality"] and not bad["Homoscedasticity"]
+    assert not bad["ResidualNormality"]
+    uneven = df.withColumn("y", F.col("x1") + F.randn(7) * F.exp(F.col("x0")))
+    lm, p = assume.breusch_pagan(rl.solve(rl.linear("y", ["x0", "x1"]), uneven), uneven)
+    assert p < 0.01
     assert assume.durbin_watson(sol, df, ("t",)) == pytest.approx(2, abs=0.3)
     with pytest.warns(UserWarning, match="Scales"):
         rl.solve(rl.linear("y", ["x0", "big"], penalty=rl.l2(0.1)), df.withColumn("big", 1000 * F.col("x1")))
