@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 import riskloom as rl
 from riskloom.functions import metrics as m
 from riskloom.functions import ranking
+from riskloom.functions.quantiles import quantiles
 from riskloom.plans import assume, reports, validate
 from riskloom.sources.tables import MODEL_FRAME, TIES, model_frame, table
 
@@ -202,7 +203,8 @@ def cohens_d(spark, sf_dir):
 
 @query("distribution", f"{FRAME} SELECT round(avg(s), 6) AS mean, round(median(s), 6) AS median, min(s) AS least, max(s) AS largest FROM m")
 def distribution(spark, sf_dir):
-    return rounded(scores(spark, sf_dir).agg(F.avg("s").alias("mean"), F.median("s").alias("median"), F.min("s").alias("least"), F.max("s").alias("largest")))
+    frame = scores(spark, sf_dir)
+    return rounded(frame.agg(F.avg("s").alias("mean"), F.lit(quantiles(frame, "s", [0.5])[0]).alias("median"), F.min("s").alias("least"), F.max("s").alias("largest")))
 
 
 def mass(order: str, k: int = 10, w: str = "1::DOUBLE") -> str:

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from riskloom.functions import ranking
+from riskloom.functions.quantiles import quantiles
 from riskloom.functions.special import normal_quantile, normal_tail
 from riskloom.plans.solve import Solution
 
@@ -174,7 +175,7 @@ def psi_edges(reference: DataFrame, bins: int | list[float]) -> list[float]:
         return [float(e) for e in list(bins)[1:-1]]
     if bins < 2:
         raise ValueError("two bins at least")
-    cuts = reference.agg(F.percentile("s", F.array(*[F.lit(i / bins) for i in range(1, bins)]))).first()[0]
+    cuts = quantiles(reference, "s", [i / bins for i in range(1, bins)])
     for i in range(1, len(cuts)):
         if cuts[i] <= cuts[i - 1]:
             cuts[i] = float(np.nextafter(cuts[i - 1], np.inf))

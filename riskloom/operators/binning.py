@@ -13,6 +13,8 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from riskloom.functions.quantiles import quantiles
+
 MISSING, RARE = "(Missing)", "RARE"
 
 
@@ -141,11 +143,7 @@ class Monotonic:
     max_bins: int = 20
 
     def fit(self, df: DataFrame, name: str, target: str, weights: str | None = None) -> BinningResult:
-        x = F.col(name).cast("double")
-        present = df.filter(~missing(name))
-        shares = [i / self.max_bins for i in range(1, self.max_bins)]
-        cuts = present.agg(F.percentile(x, F.array(*map(F.lit, shares)))).first()[0] or []
-        edges = sorted(set(cuts))
+        edges = sorted(set(quantiles(df, name, [i / self.max_bins for i in range(1, self.max_bins)])))
         fine = fit_rows(df, name, target, edges, weights)
         total = sum(r["n"] for r in fine.values())
         least = math.floor(self.min_bin_size * total)
@@ -222,24 +220,22 @@ class Tree:
 
 @dataclass(frozen=True)
 class Categorical:
-    """A bin for each level by falling frequency (then by name); levels below a share of all rows share one bin."""
+    """A bin for each level by falling frequency (then by name); levels below a share of all rows share one bin, as do levels never seen, so the driver gets 1 / group_rare levels at most."""
 
     group_rare: float = 0.01
 
     def fit(self, df: DataFrame, name: str, target: str, weights: str | None = None) -> BinningResult:
-        rows = counts(df, F.col(name).cast("string"), target, weights)
-        total = sum(r["n"] for r in rows)
-        level = sorted((r for r in rows if r["k"] is not None), key=lambda r: (-r["n"], r["k"]))
-        kept, rare = [r for r in level if r["n"] >= self.group_rare * total], [r for r in level if r["n"] < self.group_rare * total]
-        none = [r for r in rows if r["k"] is None]
-        bins = [(r["k"], r["e"], r["o"]) for r in kept]
-        if rare:
-            bins.append((RARE, sum(r["e"] for r in rare), sum(r["o"] for r in rare)))
-        if none:
-            bins.append((MISSING, none[0]["e"], none[0]["o"]))
-        levels = [(r["k"], i) for i, r in enumerate(kept)] + [(r["k"], len(kept)) for r in rare]
+        total = df.count()
+        w = F.col(weights).cast("double") if weights else F.lit(1.0)
+        y = F.col(target).cast("double")
+        levels = df.groupBy(F.col(name).cast("string").alias("k")).agg(F.count("*").alias("n"), F.sum(w * y).alias("e"), F.sum(w * (1 - y)).alias("o"))
+        kind = F.when(F.col("k").isNull(), 2).when(F.col("n") < F.lit(self.group_rare * total), 1).otherwise(0)
+        rows = levels.groupBy(kind.alias("kind"), F.when(kind == 0, F.col("k")).alias("k")).agg(*[F.sum(c).alias(c) for c in ("n", "e", "o")]).collect()
+        kept = sorted((r for r in rows if r["kind"] == 0), key=lambda r: (-r["n"], r["k"]))
+        rare, none = ([r for r in rows if r["kind"] == i] for i in (1, 2))
+        bins = [(r["k"], r["e"], r["o"]) for r in kept] + [(RARE, r["e"], r["o"]) for r in rare] + [(MISSING, r["e"], r["o"]) for r in none]
         labels, events, others = zip(*bins) if bins else ((), (), ())
-        return BinningResult(tuple(labels), tuple(map(float, events)), tuple(map(float, others)), levels=tuple(levels), missing_bin=len(bins) - 1 if none else None, rare_bin=len(kept) if rare else None)
+        return BinningResult(tuple(labels), tuple(map(float, events)), tuple(map(float, others)), levels=tuple((r["k"], i) for i, r in enumerate(kept)), missing_bin=len(bins) - 1 if none else None, rare_bin=len(kept) if rare else None)
 
 
 def checked_edges(edges) -> tuple[float, ...]:

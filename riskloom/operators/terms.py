@@ -16,6 +16,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from riskloom.functions.quantiles import quantiles
 from riskloom.operators.binning import BinningResult
 
 Named = list[tuple[str, Column]]
@@ -188,8 +189,8 @@ def piecewise(x: Column, inner: list[float], pieces: list) -> Column:
 def spline_knots(df: DataFrame, name: str, given: tuple[float, ...] | None, n: int) -> tuple[float, ...]:
     x = F.col(name).cast("double")
     shares = [float(s) for s in np.linspace(0, 1, n + 2)[1:-1]] if given is None else []
-    low, high, cuts = df.agg(F.min(x), F.max(x), F.percentile(x, F.array(*map(F.lit, shares))) if shares else F.array()).first()
-    inner = list(given) if given is not None else list(cuts)
+    low, high = df.agg(F.min(x), F.max(x)).first()
+    inner = list(given) if given is not None else quantiles(df, name, shares)
     out = [low, *inner, high]
     if low is None or any(a >= b for a, b in zip(out, out[1:])):
         raise ValueError(f"{name}: knots {out} don't increase; choose fewer")

@@ -11,6 +11,7 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from riskloom.functions.quantiles import quantiles
 from riskloom.functions.special import chi2_tail
 from riskloom.operators.binning import BinningResult
 from riskloom.plans.factor import dependent, design, factors
@@ -68,8 +69,7 @@ def class_balance(sol: Solution, df: DataFrame, w):
 def link_adequacy(sol: Solution, df: DataFrame, w):
     """Hosmer-Lemeshow over the deciles (a, b] of the scores; equal edges count once."""
     rows = df.select(sol.score().alias("s"), F.col(sol.spec.target).cast("double").alias("y"))
-    cuts = rows.agg(F.percentile("s", F.array(*[F.lit(i / 10) for i in range(11)]))).first()[0]
-    edges = sorted(set(cuts))[1:-1]
+    edges = sorted(set(quantiles(rows, "s", [i / 10 for i in range(11)])))[1:-1]
     at = F.lit(0)
     for e in edges:
         at = at + (F.col("s") > F.lit(e)).cast("int")

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from riskloom.functions import metrics as m
 from riskloom.functions import ranking
+from riskloom.functions.quantiles import quantiles
 from riskloom.plans.solve import Solution
 from riskloom.plans.splits import Splitter, stamp
 
@@ -78,7 +79,7 @@ def performance_of(frame: DataFrame, reference: DataFrame | None = None, n_bins:
     frame = m.checked(frame).persist()
     try:
         w = F.col("w")
-        flat = frame.agg(F.count("*").alias("n"), F.sum((F.col("y") == 1).cast("int")).alias("e"), (F.sum(w * m.brier_column()) / F.sum(w)).alias("brier"), (F.sum(w * m.log_loss_column(eps)) / F.sum(w)).alias("ll"), (F.sum(w * F.col("s")) / F.sum(w)).alias("mean"), F.median("s").alias("median"), F.min("s").alias("lo"), F.max("s").alias("hi"), (F.min("w") == F.max("w")).alias("even")).first()
+        flat = frame.agg(F.count("*").alias("n"), F.sum((F.col("y") == 1).cast("int")).alias("e"), (F.sum(w * m.brier_column()) / F.sum(w)).alias("brier"), (F.sum(w * m.log_loss_column(eps)) / F.sum(w)).alias("ll"), (F.sum(w * F.col("s")) / F.sum(w)).alias("mean"), F.min("s").alias("lo"), F.max("s").alias("hi"), (F.min("w") == F.max("w")).alias("even")).first()
         row = ranking.discrimination(frame).first()
         m.both_classes(row)
         ci = None
@@ -91,7 +92,7 @@ def performance_of(frame: DataFrame, reference: DataFrame | None = None, n_bins:
         except ValueError:
             effect = math.nan
         shift = None if reference is None else m.psi_of(reference, frame.select("s"), psi_bins).value
-        return Performance(flat["n"], flat["e"], row["auc"], ci, row["gini"], row["ks"], row["ks_at"], effect, flat["brier"], flat["ll"], m.ece_of(frame, n_bins, ties).value, slope, intercept, shift, flat["mean"], flat["median"], flat["lo"], flat["hi"], ranking.calibration_bins(frame, n_bins, ties), ranking.lift_bins(frame, n_deciles, ties), ranking.gains(frame, ties))
+        return Performance(flat["n"], flat["e"], row["auc"], ci, row["gini"], row["ks"], row["ks_at"], effect, flat["brier"], flat["ll"], m.ece_of(frame, n_bins, ties).value, slope, intercept, shift, flat["mean"], quantiles(frame, "s", [0.5])[0], flat["lo"], flat["hi"], ranking.calibration_bins(frame, n_bins, ties), ranking.lift_bins(frame, n_deciles, ties), ranking.gains(frame, ties))
     finally:
         frame.unpersist()
 

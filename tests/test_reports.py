@@ -66,6 +66,15 @@ def test_psi_edges_and_clamping(spark):
     assert np.isfinite(rl.psi(flat, new).value)
 
 
+def test_quantiles_equal_numpy(spark):
+    from riskloom.functions.quantiles import quantiles
+
+    v = np.round(np.random.default_rng(3).normal(size=997), 1)
+    f = spark.createDataFrame(pd.DataFrame({"v": np.append(v, np.nan)}))
+    shares = [0.0, 0.1, 0.333, 0.5, 0.95, 1.0]
+    assert np.allclose(quantiles(f, "v", shares), np.quantile(v, shares), atol=1e-12) and quantiles(f.limit(0), "v", shares) == []
+
+
 def test_delong_against_definition(spark):
     rng = np.random.default_rng(1)
     y = rng.integers(0, 2, 200).astype(float)
@@ -146,7 +155,7 @@ def test_binning_strategies(spark):
     tree = rl.tree_bins(max_leaves=4).fit(df, "x", "y")
     assert tree.n_bins == 5 and tree.iv > 0.3
     cat = rl.categorical(0.12).fit(df, "c", "y")
-    assert cat.labels == ("a", "b", "RARE") and dict(cat.levels) == {"a": 0, "b": 1, "c": 2, "d": 2}
+    assert cat.labels == ("a", "b", "RARE") and dict(cat.levels) == {"a": 0, "b": 1} and cat.rare_bin == 2
     spec = rl.fit_binnings(rl.linear("y", [rl.woe("x", rl.monotonic()), rl.binned("c", rl.categorical())], loss=rl.logistic()), df)
     sol = rl.solve(spec, df, on_violation="ignore")
     assert sol.states[0] == mono and sol.coefficients["x"] > 0.5 and rl.binning_table(sol, spark).count() == mono.n_bins + 4
