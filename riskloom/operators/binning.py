@@ -13,6 +13,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from riskloom.display import html_table
 from riskloom.functions.quantiles import quantiles
 
 MISSING, RARE = "(Missing)", "RARE"
@@ -94,6 +95,9 @@ class BinningResult:
         at = F.coalesce(self.index(name), F.lit(0))
         return [(f"{name}__{label}", (at == i).cast("double")) for i, label in enumerate(self.labels) if i]
 
+    def _repr_html_(self) -> str:
+        return html_table(("bin", "n", "events", "event_rate", "woe"), zip(self.labels, (e + o for e, o in zip(self.events, self.others)), self.events, self.event_rate, self.woe))
+
     def table(self, spark) -> DataFrame:
         rows = [(i, label, float(e + o), float(e), r, w, float(self.iv)) for i, (label, e, o, r, w) in enumerate(zip(self.labels, self.events, self.others, self.event_rate, self.woe))]
         return spark.createDataFrame(rows, "bin int, label string, n double, n_events double, event_rate double, woe double, iv double")

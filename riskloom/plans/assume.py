@@ -11,6 +11,7 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from riskloom.display import html_table
 from riskloom.functions.quantiles import quantiles
 from riskloom.functions.special import chi2_tail
 from riskloom.operators.binning import BinningResult
@@ -199,10 +200,21 @@ def stable_metric(values: list[float]):
 
 
 def no_leakage(folds, gap):
+    """folds: with last_train and first_valid; meant for splitters whose train rows all come first."""
     late = [f.fold for f in folds if f.last_train is not None and f.first_valid is not None and f.last_train + gap > f.first_valid]
     return not late, f"folds whose train rows reach into validation: {late or 'none'}", len(late)
 
 
+def fold_checks(folds, gap, ordered: bool) -> tuple[CheckResult, ...]:
+    """Checks of a cross-validation: stable coefficients and metrics, and no train rows within the gap before validation."""
+    out = [Assumption("CoefficientStability", SOFT, stable_coefficients)([f.solution for f in folds])]
+    names = folds[0].metrics if folds else ()
+    out += [Assumption(f"PredictiveStability({n})", SOFT, stable_metric)([f.metrics[n] for f in folds]) for n in names]
+    if ordered:
+        out.append(Assumption("NoTemporalLeakage", HARD, no_leakage)(folds, gap))
+    return tuple(out)
+
+
 def catalogue(sol: Solution, classical: bool) -> list[tuple[Assumption, tuple]]:
     """The checks of a fit in order: loss, penalty, terms; equal ones once."""
     spec, out = sol.spec, [(Assumption("FullRankDesign", HARD, full_rank), ())]
@@ -256,10 +268,7 @@ class AssumptionReport:
         return spark.createDataFrame([(r.name, r.severity, r.passed, r.message, r.figure) for r in self.results], "name string, severity string, passed boolean, message string, figure double")
 
     def _repr_html_(self) -> str:
-        import html
-
-        rows = "".join(f"<tr><td>{html.escape(r.name)}</td><td>{r.severity}</td><td>{'passed' if r.passed else 'failed'}</td><td>{html.escape(r.message)}</td></tr>" for r in self.results)
-        return f"<table><tr><th>check</th><th>severity</th><th>result</th><th>message</th></tr>{rows}</table>"
+        return html_table(("check", "severity", "result", "message"), [(r.name, r.severity, "passed" if r.passed else "failed", r.message) for r in self.results])
 
 
 def check_assumptions(sol: Solution, df: DataFrame, *, weights: str | None = None, classical_inference: bool = True) -> AssumptionReport:

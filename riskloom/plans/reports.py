@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import html
 import math
 from dataclasses import dataclass, field
 from functools import reduce
@@ -11,6 +10,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from riskloom.display import html_table
 from riskloom.functions import metrics as m
 from riskloom.functions import ranking
 from riskloom.functions.quantiles import quantiles
@@ -59,7 +59,7 @@ class Performance:
         return "\n".join([*lines, f"{'psi':<12}{self.psi_tag:>16}"] if self.psi is not None else lines)
 
     def _repr_html_(self) -> str:
-        return "<table>" + "".join(f"<tr><td>{html.escape(k)}</td><td>{v:.6g}</td></tr>" for k, v in self.figures().items()) + "</table>"
+        return html_table(("figure", "value"), self.figures().items())
 
 
 def reference_scores(reference, sol: Solution) -> DataFrame:
@@ -146,6 +146,11 @@ class Comparison:
     def to_df(self, spark) -> DataFrame:
         return spark.createDataFrame([(n, k, float(v)) for n, r in self.reports.items() for k, v in r.figures().items()], "model string, figure string, value double")
 
+    def _repr_html_(self) -> str:
+        names = list(self.reports)
+        figures = html_table(("figure", *names), [(k, *(r.figures().get(k, math.nan) for r in self.reports.values())) for k in self.reports[names[0]].figures()])
+        return figures + html_table(("p", *names), [(n, *map(float, row)) for n, row in zip(names, self.p_values)])
+
     def p_values_df(self, spark) -> DataFrame:
         names = list(self.reports)
         return spark.createDataFrame([(a, b, float(self.p_values[i, j])) for i, a in enumerate(names) for j, b in enumerate(names) if i < j], "model_a string, model_b string, p_value double")

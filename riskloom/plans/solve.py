@@ -10,6 +10,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from riskloom.display import html_table
 from riskloom.plans.factor import Factor, dependent, design, factors
 from riskloom.spec import LinearSpec, SegmentedSpec
 from riskloom.values import Logistic, SquaredError, soft
@@ -54,6 +55,9 @@ class Solution:
     def score(self) -> Column:
         return self.spec.loss.link(self.eta())
 
+    def _repr_html_(self) -> str:
+        return html_table(("term", "estimate", "std_error"), [(k, v, (self.std_errors or {}).get(k, float("nan"))) for k, v in self.coefficients.items()])
+
     def coefficients_df(self, spark) -> DataFrame:
         se = self.std_errors or {}
         return spark.createDataFrame([(k, float(v), se.get(k)) for k, v in self.coefficients.items()], "term string, estimate double, std_error double")
@@ -67,6 +71,9 @@ class SegmentedSolution:
     def __getitem__(self, segment) -> Solution:
         return self.solutions[str(segment)]
 
+    def _repr_html_(self) -> str:
+        return html_table(("segment", "term", "estimate"), [(s, k, v) for s, sol in sorted(self.solutions.items()) for k, v in sol.coefficients.items()])
+
     def coefficients_df(self, spark) -> DataFrame:
         return spark.createDataFrame([(s, k, float(v)) for s, sol in sorted(self.solutions.items()) for k, v in sol.coefficients.items()], "segment string, term string, estimate double")
 

@@ -12,8 +12,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from riskloom.plans.factor import blocks, design, factors
-from riskloom.plans.solve import INTERCEPT, AssumptionError, Solution, coordinate, fit_groups, prepare, solve, standardised
+from riskloom.display import html_table
+from riskloom.plans.assume import fold_checks
+from riskloom.plans.factor import Factor, blocks, design, factors
+from riskloom.plans.solve import INTERCEPT, SOLVERS, AssumptionError, Solution, coordinate, fit_groups, prepare, solve, standardised
 from riskloom.plans.splits import Splitter, stamp
 from riskloom.spec import LinearSpec
 from riskloom.values import Logistic, l1, l2
@@ -53,6 +55,11 @@ class Fold:
 class CrossValidation:
     spec: LinearSpec
     folds: tuple[Fold, ...]
+    assumptions: tuple = ()
+
+    def _repr_html_(self) -> str:
+        names = list(self.folds[0].metrics) if self.folds else []
+        return html_table(("fold", "n_train", "n_valid", *names), [(f.fold, f.n_train, f.n_valid, *(f.metrics[n] for n in names)) for f in self.folds])
 
     def values(self, name: str) -> list[float]:
         return [f.metrics[name] for f in self.folds]
@@ -81,7 +88,7 @@ def cross_validate(spec: LinearSpec, df: DataFrame, splitter: Splitter, metrics,
             raise LeakageError(f"fold {i}: train rows reach {last}, validation begins {first}")
         sol = solve(spec, train.select(*used), weights=weights, on_violation="ignore")
         out.append(Fold(i, n, m, last, first, sol, {k: measured(f, sol, valid, weights) for k, f in named(metrics).items()}))
-    return CrossValidation(spec, tuple(out))
+    return CrossValidation(spec, tuple(out), fold_checks(tuple(out), splitter.gap, ahead))
 
 
 @dataclass(frozen=True)
@@ -102,6 +109,9 @@ class TuneResult:
     def params(self) -> dict:
         return self.curve[self.chosen].params
 
+    def _repr_html_(self) -> str:
+        return html_table(("params", "mean", "sd", "chosen"), [(p.params, p.mean, p.sd, i == self.chosen) for i, p in enumerate(self.curve)])
+
     def curve_df(self, spark) -> DataFrame:
         return spark.createDataFrame([(i, str(p.params), float(p.mean), float(p.sd), i == self.chosen) for i, p in enumerate(self.curve)], "point int, params string, metric_mean double, metric_sd double, chosen boolean")
 
@@ -239,6 +249,9 @@ class BootstrappedSolution:
         rows = [(i, n, float(b)) for i, row in enumerate(self.replicates) for n, b in zip(self.base.coefficients, row)]
         return spark.createDataFrame(rows, "replicate int, term string, coefficient double")
 
+    def _repr_html_(self) -> str:
+        return html_table(("term", "estimate", "low", "high"), [(k, self.base.coefficients[k], a, b) for k, (a, b) in self.coefficient_ci().items()])
+
     def coefficient_ci(self, level: float = 0.95, method: str = "percentile") -> dict[str, tuple[float, float]]:
         if method != "percentile":
             raise NotImplementedError(f"no {method} intervals")
@@ -279,10 +292,12 @@ def drawn(rng: np.random.Generator, left: np.ndarray, rows_left: int, k: int) ->
     return out
 
 
-def bootstrap(sol: Solution, df: DataFrame, n_boot: int = 500, *, stratify: str | None = None, method: str = "pairs", weights: str | None = None, random_state: int = 0, batch: int = 64) -> BootstrappedSolution:
-    """Refits to rows drawn with replacement: as many as there are, exactly, and exactly so in each stratum. All replicates share each pass over the rows: partitions get multinomial totals from the driver and draw their own rows. method="residual" keeps the rows of x and draws residuals (squared error)."""
+def bootstrap(sol: Solution, df: DataFrame, n_boot: int = 500, *, stratify: str | None = None, method: str = "pairs", weights: str | None = None, splitter: Splitter | None = None, random_state: int = 0, batch: int = 64) -> BootstrappedSolution:
+    """Refits to rows drawn with replacement: as many as there are, exactly, and exactly so in each stratum. All replicates share each pass over the rows: partitions get multinomial totals from the driver and draw their own rows. method="residual" keeps the rows of x and draws residuals (squared error); method="block" draws whole validation windows of a splitter (squared error)."""
+    if method == "block":
+        return block_bootstrap(sol, df, n_boot, splitter, weights, random_state)
     if method not in ("pairs", "residual"):
-        raise ValueError("method is pairs or residual")
+        raise ValueError("method is pairs, residual or block")
     if method == "residual" and isinstance(sol.spec.loss, Logistic):
         raise ValueError("residuals are drawn for squared error only")
     names, p = list(sol.coefficients), len(sol.columns)
@@ -316,13 +331,30 @@ def bootstrap(sol: Solution, df: DataFrame, n_boot: int = 500, *, stratify: str
     return BootstrappedSolution(sol, np.array(good)[:, : len(names)] if names[0] == INTERCEPT else np.array(good)[:, 1:], failures)
 
 
+def block_bootstrap(sol: Solution, df: DataFrame, n_boot: int, splitter: Splitter | None, weights: str | None, random_state: int) -> BootstrappedSolution:
+    """One pass gathers a factor for each window; replicates add the cross-products of windows drawn with replacement."""
+    if splitter is None or isinstance(sol.spec.loss, Logistic):
+        raise ValueError("blocks need a splitter and a squared-error fit")
+    rows = splitter.assign(df).filter("role = 'valid'")
+    own = list(factors(design(rows, sol.columns, sol.spec.target, weights, F.col("fold")), len(sol.columns)).values())
+    if len(own) < 2:
+        raise ValueError("two windows with rows at least")
+    rng, out = np.random.default_rng(random_state), []
+    for _ in range(n_boot):
+        chosen = [own[i] for i in rng.integers(0, len(own), len(own))]
+        r = np.linalg.qr(np.concatenate([f.r for f in chosen]), mode="r")
+        f = Factor(sum(c.n for c in chosen), r, sum(c.sw for c in chosen), sum(c.sy for c in chosen), 0.0, 1.0)
+        beta = SOLVERS[type(sol.spec.loss), sol.spec.penalty.kind](sol.spec, rows, f.p, {"": f})[""][0]
+        out.append(beta if sol.spec.intercept else beta[1:])
+    return BootstrappedSolution(sol, np.array(out), 0)
+
+
 def sol_eta(sol: Solution):
     return F.lit(float(sol.coefficients.get(INTERCEPT, 0.0))) + sum((F.element_at("x", i + 1) * F.lit(float(v)) for i, v in enumerate(sol.slopes.values())), F.lit(0.0))
 
 
 def refit(sol: Solution, rows: DataFrame, p: int, centre: np.ndarray, scale: np.ndarray, totals: dict, counts: dict, seed: int, method: str) -> list[np.ndarray | None]:
     """Coefficients (intercept first) of some replicates; each pass gathers one Gram matrix for each of them."""
-    from riskloom.plans.factor import Factor
     from riskloom.plans.solve import working_logistic
 
     n_rep = len(next(iter(totals.values())))

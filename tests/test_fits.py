@@ -191,6 +191,8 @@ def test_bootstrap(spark):
         assert (hi - lo) / (2 * 1.96 * sol.std_errors[name]) == pytest.approx(1, abs=0.15)
     res = rl.bootstrap(sol, df, 400, method="residual").coefficient_ci()
     assert (res["x0"][1] - res["x0"][0]) / (2 * 1.96 * sol.std_errors["x0"]) == pytest.approx(1, abs=0.15)
+    block = rl.bootstrap(sol, df, 200, method="block", splitter=rl.rolling_window("t", "20 days", "20 days")).coefficient_ci()
+    assert block["x0"][0] < sol.coefficients["x0"] < block["x0"][1] and "x0" in boot._repr_html_() and "x0" in sol._repr_html_()
     band = boot.prediction_ci(df.limit(5)).collect()
     assert all(r.eta_low < r.eta_high for r in band)
     lasso = rl.solve(rl.linear("y", NAMES, penalty=rl.l1(0.15)), df)

@@ -176,6 +176,8 @@ def test_splits_and_validation(spark):
     assert [v.count() for _, v in folds] == [140] * 5 and [t.count() for t, _ in folds] == [553, 546, 546, 546, 553]
     spec = lambda lam: rl.linear("y", ["x0", "x1"], loss=rl.logistic(), penalty=rl.l2(lam))
     cv = rl.cross_validate(spec(0.01), df, rl.expanding_window("t", 3, "100 days"), {"auc": rl.auc, "brier": rl.brier_score})
+    assert {r.name for r in cv.assumptions} == {"CoefficientStability", "PredictiveStability(auc)", "PredictiveStability(brier)", "NoTemporalLeakage"} and all(r.passed for r in cv.assumptions if r.severity == "HARD")
+    assert "<table>" in cv._repr_html_()
     assert len(cv.folds) == 3 and min(cv.values("auc")) > 0.6 and cv.summary(spark).count() == 6
     made = rl.tune(spec, {"lam": [0.001, 5.0]}, df, rl.expanding_window("t", 2, "150 days"), rl.log_loss, direction="min")
     assert made.params == {"lam": 0.001} and made.curve_df(spark).filter("chosen").count() == 1
