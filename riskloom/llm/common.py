@@ -53,9 +53,9 @@ def fields_of(rows: DataFrame, columns: list[str], rest: str) -> StructType:
     return StructType([StructField(c, rows.schema[c].dataType) for c in columns] + StructType.fromDDL(rest).fields)
 
 
-def unpack(out: DataFrame, keep: list[str] | None) -> DataFrame:
-    """Puts carried columns back in place of the struct."""
-    return out.select(*(f"carried.{c}" for c in keep), *[c for c in out.columns if c != "carried" and c not in keep]) if keep else out.drop("carried")
+def unpack(out: DataFrame, keep: list[str], own: str | None = None) -> DataFrame:
+    """Puts carried columns back in place of the struct; own is a kept column that stands beside it."""
+    return out.select(*(F.col(c) if c == own else F.col(f"carried.{c}").alias(c) for c in keep), *[c for c in out.columns if c not in ("carried", own)])
 
 
 def slices(batches: Iterator[pa.RecordBatch], rows: int, max_bytes: int = 16 << 20) -> Iterator[pa.RecordBatch]:
@@ -66,6 +66,14 @@ def slices(batches: Iterator[pa.RecordBatch], rows: int, max_bytes: int = 16 <<
             step = max(1, min(rows, int(batch.num_rows * max_bytes / max(1, batch.nbytes))))
         for at in range(0, batch.num_rows, step):
             yield batch.slice(at, step)
+    pa.default_memory_pool().release_unused()  # workers live on; what this task freed goes back
+
+
+def short_batches(spark: SparkSession, rows: int = 2000) -> None:
+    """Texts are long: Arrow batches of this session get fewer rows, unless the user has set their number."""
+    key, default = "spark.sql.execution.arrow.maxRecordsPerBatch", "10000"
+    if spark.conf.get(key, default) == default:
+        spark.conf.set(key, str(rows))
 
 
 def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:

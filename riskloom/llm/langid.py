@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from riskloom.llm.common import carried, fields_of, slices, unpack
+from riskloom.llm.common import carried, fields_of, short_batches, slices, unpack
 
 #: Places for the hashed n-grams of each order.
 PLACES = (1 << 10, 1 << 12, 1 << 13)
@@ -129,20 +129,23 @@ def learn(labelled: DataFrame, per_class: int = 600, least: int = 5) -> Language
 
 def identify(docs: DataFrame, model: LanguageModel | None, id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
     """id column, lang_pred, score of every document; with keep, those columns, lang_pred and score."""
+    short_batches(docs.sparkSession)
     held = docs.sparkSession.sparkContext.broadcast(model)
-    rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), carried(docs, keep))
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), carried(docs, [c for c in keep or [] if c != text_col]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = held.value
         for batch in slices(batches, 256, 2 << 20):
-            texts = batch["text"].to_pylist()
+            texts = [t or "" for t in batch["text"].to_pylist()]
             known = [i for i, t in enumerate(texts) if model is not None and LETTER.search(t)]
             names, scores = [UNDETERMINED] * len(texts), [0.0] * len(texts)
             if known:
                 shares = model.scores(presence([texts[i].replace("\0", " ") for i in known]))
                 for i, best, share in zip(known, shares.argmax(1).tolist(), shares.max(1).tolist()):
                     names[i], scores[i] = model.languages[best], min(1.0, share)
-            yield pa.record_batch([batch["id"], batch["carried"], pa.array(names, pa.string()), pa.array(scores, pa.float64())], ["id", "carried", "lang_pred", "score"])
+            found = [pa.array(names, pa.string()), pa.array(scores, pa.float64())]
+            yield pa.record_batch([batch["id"], batch["carried"], batch["text"], *found], ["id", "carried", "text", "lang_pred", "score"]) if keep else pa.record_batch([batch["id"], *found], ["id", "lang_pred", "score"])
 
-    out = rows.mapInArrow(run, fields_of(rows, ["id", "carried"], "lang_pred string, score double"))
-    return unpack(out.drop("id"), keep) if keep else unpack(out.withColumnRenamed("id", id_col), None)
+    handed = ["id", "carried", "text"] if keep else ["id"]
+    out = rows.mapInArrow(run, fields_of(rows, handed, "lang_pred string, score double"))
+    return unpack(out.drop("id").withColumnRenamed("text", text_col), keep, text_col) if keep else out.withColumnRenamed("id", id_col)

@@ -28,12 +28,12 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from riskloom.llm.common import carried, fields_of, materialize, shuffle_partitions, slices, unpack, utf8
+from riskloom.llm.common import carried, fields_of, materialize, short_batches, shuffle_partitions, slices, unpack, utf8
 
 SPAN = 200
 GRAM = 40
 PLACE_BITS = 24
-CHUNK = 4 << 20
+CHUNK = 1 << 20
 
 
 class Roller:
@@ -259,6 +259,7 @@ def remove(docs: DataFrame, span: int) -> DataFrame:
 
 def drop_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", span: int = SPAN, gram: int = GRAM, hot_spans: int = 8000, chunk: int = CHUNK, keep: list[str] | None = None) -> DataFrame:
     """id column, n_bytes, removed_from and removed_to (byte places of the maximal removed runs), kept (binary); with keep, those columns in place of the id."""
+    short_batches(docs.sparkSession)
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), carried(docs, keep))
     rows = rows.select(F.xxhash64("id", "text").alias("row"), "id", "text", "carried")
@@ -276,4 +277,4 @@ def drop_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     places = found.join(hits, ["anchor", "content"]).select("row", (F.col("place") + F.col("begin")).alias("begin"), (F.col("place") + F.col("end")).alias("end"))
     by_row = places.groupBy("row").agg(F.collect_list(F.struct("begin", "end")).alias("x")).select("row", "x.begin", "x.end")
     out = remove(rows.join(by_row, "row", "left"), span)
-    return unpack(out.drop("id"), keep) if keep else unpack(out.withColumnRenamed("id", id_col), None)
+    return unpack(out.drop("id"), keep) if keep else out.drop("carried").withColumnRenamed("id", id_col)

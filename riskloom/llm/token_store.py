@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from riskloom.llm.bpe import tokenizer
-from riskloom.llm.common import materialize, shared_dir, shuffle_partitions, slices
+from riskloom.llm.common import materialize, shared_dir, short_batches, shuffle_partitions, slices
 
 MAGIC = b"DACIDS01"
 CHUNK_BITS, RANK_BLOCK = 8, 512
@@ -102,8 +102,9 @@ def unpack(data: bytes) -> tuple[list[int | None], np.ndarray, Codes]:
 
 def write_tokens(docs: DataFrame, folder: str, vocab: str, end_id: int, partitions: int, id_col: str = "doc_id", text_col: str = "text", file_bytes: int = FILE_BYTES) -> DataFrame:
     """Writes the files; returns the manifest: part, nth (file of a part), path, documents, ids, bytes."""
+    short_batches(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("bigint").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    ordered = rows.repartitionByRange(partitions, F.asc_nulls_first("id"), "text").sortWithinPartitions(F.asc_nulls_first("id"), "text").withColumn("part", F.spark_partition_id())
+    ordered = rows.repartitionByRange(partitions, F.asc_nulls_first("id")).sortWithinPartitions(F.asc_nulls_first("id"), "text").withColumn("part", F.spark_partition_id())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         store, path = fs.FileSystem.from_uri(folder)
