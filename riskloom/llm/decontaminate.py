@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from riskloom.llm.common import materialize, slices
+from riskloom.llm.common import materialize, short_batches, slices
 
 WIDTH = 10
 BLOCK = 2
@@ -131,6 +131,7 @@ def parts_of(benchmark: DataFrame, item_col: str, text_col: str, part_bytes: int
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", width: int = WIDTH, part_bytes: int = 8 << 20) -> DataFrame:
     """id column, n_words, hit_from and hit_to (word numbers of the maximal hit runs), items (ids, ascending)."""
+    short_batches(docs.sparkSession)
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     parts = parts_of(benchmark, item_col, item_text, part_bytes)
     first, second = next(parts), next(parts, None)
