@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from riskloom.llm.common import slices, utf8
+from riskloom.llm.common import short_batches, slices, utf8
 
 LOWER, UPPER, DIGIT, BLANK, STOP, MARK, BAR, OTHER = range(8)
 CLASSES = 8
@@ -176,15 +176,18 @@ def line_table(batch_text: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray
     return with_neighbours(own_features(data, begins, ends), doc), np.bincount(doc, minlength=len(offsets) - 1), ends - begins
 
 
-def learn(labelled: DataFrame, fit_rows: int = 4000, fit_lines: int = 200) -> LineModel | float:
-    """Fits to rows (id, text, label); a share of label 1 where there are no two kinds."""
-    usable = labelled.filter("label in (0, 1)")
+def learn(docs: DataFrame, labels: DataFrame, fit_rows: int = 4000, fit_lines: int = 200) -> LineModel | float:
+    """Fits to the texts of docs (id, text) that labels (id, label) name; a share of label 1 where there are no two kinds. The rows are drawn from the labels, so at most 2 * fit_rows ids are broadcast to the texts."""
+    short_batches(docs.sparkSession)
+    usable = labels.filter("label in (0, 1) and id is not null")
     counts = {r["label"]: r["count"] for r in usable.groupBy("label").count().collect()}
     prior = counts.get(1, 0) / sum(counts.values()) if counts else 1.0
     if len(counts) < 2:
         return prior
     draw = F.pmod(F.xxhash64("id", F.lit(23)), F.lit(1 << 20)) / float(1 << 20)
     drawn = usable.filter(draw < F.when(F.col("label") == 1, 0.5 * fit_rows / counts[1]).otherwise(0.5 * fit_rows / counts[0]))
+    drawn = drawn.select(F.col("id").alias("_id"), draw.alias("draw"), F.col("label").cast("int").alias("label")).limit(2 * fit_rows)
+    chosen = docs.join(F.broadcast(drawn), F.col("id") == F.col("_id"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, 256, 4 << 20):
@@ -197,7 +200,7 @@ def learn(labelled: DataFrame, fit_rows: int = 4000, fit_lines: int = 200) -> Li
                 at += n
             yield pa.record_batch([batch["draw"], batch["label"], pa.array(out, pa.binary()), pa.array(size, pa.binary())], ["draw", "label", "columns", "lengths"])
 
-    rows = drawn.select(draw.alias("draw"), F.col("label").cast("int").alias("label"), F.coalesce("text", F.lit("")).alias("text"))
+    rows = chosen.select("draw", "label", F.coalesce("text", F.lit("")).alias("text"))
     held = sorted(rows.mapInArrow(run, "draw double, label int, columns binary, lengths binary").limit(2 * fit_rows).collect())
     lengths = [np.frombuffer(r.lengths, np.int64) for r in held]
     columns = np.frombuffer(b"".join(r.columns for r in held), np.int16).reshape(sum(map(len, lengths)), -1)
@@ -209,6 +212,7 @@ def learn(labelled: DataFrame, fit_rows: int = 4000, fit_lines: int = 200) -> Li
 
 def score(docs: DataFrame, model: LineModel | float, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id column and score of every document."""
+    short_batches(docs.sparkSession)
     held = docs.sparkSession.sparkContext.broadcast(model)
     rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
 

@@ -32,8 +32,8 @@ def op3_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
-    learned = labels.filter(~is_held_out(F.col("doc_id"))).select("doc_id", F.col("quality").alias("label"))
-    model = quality.learn(docs.select("doc_id", "text").join(learned, "doc_id").withColumnRenamed("doc_id", "id"))
+    learned = labels.filter(~is_held_out(F.col("doc_id"))).select(F.col("doc_id").alias("id"), F.col("quality").alias("label"))
+    model = quality.learn(docs.select(F.col("doc_id").alias("id"), "text"), learned)
     out = quality.score(docs, model)
     return out.select("doc_id", is_held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
 

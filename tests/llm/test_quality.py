@@ -39,10 +39,11 @@ def test_lines_and_edges(spark):
     assert columns.shape == (9, 33)
     rows = [(i, ("A fine line of words, with more words.\n" if i % 3 else "%%% ### |||\n") * (1 + i % 5), int(i % 3 > 0)) for i in range(90)]
     frame = spark.createDataFrame([(*r, "x") for r in [*rows, (99, None, None), (98, "?", 7)]], "id bigint, text string, label int, draw string")
-    model = quality.learn(frame)
+    parts = lambda f: (f.select("id", "text"), f.select("id", "label"))
+    model = quality.learn(*parts(frame))
     docs = spark.createDataFrame([(1, None), (2, ""), (3, "A fine line of words."), (3, "A fine line of words."), (None, "||| ###"), (5, "### |||\n" * 30_000)], "doc_id bigint, text string")
     got = {r.doc_id: r.score for r in quality.score(docs, model).collect()}
     assert got[3] > 0.7 and got[None] < 0.3 and got[5] < 0.3 and all(0 <= s <= 1 for s in got.values())
     assert quality.score(docs, model).count() == 6 and quality.score(docs.limit(0), model).count() == 0
-    assert quality.learn(frame.filter("label = 1")) == 1.0 and quality.learn(frame.limit(0)) == 1.0
+    assert quality.learn(*parts(frame.filter("label = 1"))) == 1.0 and quality.learn(*parts(frame.limit(0))) == 1.0
     assert {r.score for r in quality.score(docs, 1.0).collect()} == {1.0}
