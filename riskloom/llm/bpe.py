@@ -26,13 +26,14 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from riskloom.llm.common import slices
+from riskloom.llm.common import short_batches, slices
 
 # Fixed value: the pattern by which the public byte-level vocabulary splits text into words.
 WORDS = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 SHORT_WORD, LONG_WORD = 48, 192
 NO_RANK = 1 << 62
 MISSING = object()
+STOPS = ".,;:!?"
 SHIFT = 24
 
 
@@ -160,7 +161,15 @@ class ByteBPE:
         get, find = self.spaced.peek, self.find
         found = [get(c) for c in chunks]
         new = [i for i, x in enumerate(found) if x is MISSING]
-        split = {i: find(" " + chunks[i]) for i in new if chunks[i] and not self.blank(chunks[i])}
+        split: dict[int, list[str]] = {}
+        for i in new:
+            c = chunks[i]
+            if c.isalpha():  # what the pattern would find, without a search
+                split[i] = [" " + c]
+            elif c and c[-1] in STOPS and c[:-1].isalpha():
+                split[i] = [" " + c[:-1], c[-1]]
+            elif c and not self.blank(c):
+                split[i] = find(" " + c)
         known: dict[str, bytes] = {}
         peek = self.words.peek
         for word in {w for ws in split.values() for w in ws}:
@@ -270,18 +279,19 @@ class ByteBPE:
         return b"".join(map(self.tokens.__getitem__, ids.tolist())).decode("utf-8", "replace")
 
 
-@lru_cache(maxsize=2)
-def tokenizer(path: str) -> ByteBPE:
-    """One for each worker process and file."""
-    return ByteBPE(path)
+@lru_cache(maxsize=1)
+def tokenizer(path: str, cached: int = 600_000) -> ByteBPE:
+    """One for each worker process; it stays with the worker, so `cached` bounds what later stages leave it."""
+    return ByteBPE(path, cached)
 
 
-def encode_decode(docs: DataFrame, vocab: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def encode_decode(docs: DataFrame, vocab: str, id_col: str = "doc_id", text_col: str = "text", cached: int = 600_000) -> DataFrame:
     """Encodes every whole text and decodes the ids again: id column, n_tokens, ids (binary), decoded."""
+    short_batches(docs.sparkSession)
     rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe = tokenizer(vocab)
+        bpe = tokenizer(vocab, cached)
         for batch in slices(batches, 4096, 8 << 20):
             flat, at = bpe.encode_batch(batch["text"])
             ids = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(at) - 1, [None, pa.py_buffer(at * 4), pa.py_buffer(flat)])
