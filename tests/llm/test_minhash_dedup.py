@@ -59,6 +59,20 @@ def test_edges(spark):
     assert m.classes(frame.limit(0)).count() == 0
 
 
+def test_twins_among_documents_of_one_template(spark):
+    rng = random.Random(6)
+    base = [f"w{i}" for i in range(1200)]
+    docs = []
+    for i in range(120):
+        shared = dict.fromkeys(rng.sample(range(1200), 9), f"s{i}")
+        for j in (i, 120 + rng.randrange(10**6) * 120 + i):
+            own = shared | dict.fromkeys(rng.sample(range(1200), 8), f"o{j}")
+            docs.append((j, " ".join(own.get(at, w) for at, w in enumerate(base))))
+    want = brute(docs)
+    assert len({c for _, c in want}) == 120
+    assert sorted(map(tuple, m.classes(spark.createDataFrame(docs, "doc_id bigint, text string")).collect())) == want
+
+
 def test_signatures_estimate_weighted_similarity():
     rng = np.random.default_rng(1)
     dart = m.DartMinHash(512)
