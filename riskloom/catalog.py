@@ -79,6 +79,11 @@ def bin_tree(spark, sf_dir):
     return bins_of(spark, sf_dir, rl.tree_bins(), "q")
 
 
+@query("bin_tree_price")
+def bin_tree_price(spark, sf_dir):
+    return bins_of(spark, sf_dir, rl.tree_bins(), "price")
+
+
 @query("bin_categorical", """WITH c AS (SELECT l_shipmode_like AS k, count(*) AS n, sum(y) AS e FROM (SELECT o_orderpriority AS l_shipmode_like, CAST(o_orderstatus = 'F' AS INT) AS y FROM orders) GROUP BY 1),
 r AS (SELECT CASE WHEN n < 0.01::DOUBLE * sum(n) OVER () THEN 'RARE' ELSE k END AS label, n, e FROM c),
 g AS (SELECT label, CAST(sum(n) AS DOUBLE) AS n, CAST(sum(e) AS DOUBLE) AS e FROM r GROUP BY 1),

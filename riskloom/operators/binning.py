@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from riskloom.display import html_table
 from riskloom.functions.quantiles import quantiles
+from riskloom.functions.ranking import running
 
 MISSING, RARE = "(Missing)", "RARE"
 
@@ -178,7 +179,7 @@ def fit_rows(df: DataFrame, name: str, target: str, edges: list[float], weights:
 
 @dataclass(frozen=True)
 class Tree:
-    """Greedy best-first splits by Gini decrease. Columns of more than `fine_values` distinct values are first cut at that many quantiles, so what the driver gets is bounded."""
+    """Greedy best-first splits by Gini decrease between adjacent values. Columns of more than `fine_values` distinct values keep their running counts in Spark, where each node's best split is an aggregate, so what the driver gets is bounded."""
 
     max_leaves: int = 10
     min_samples_leaf: float = 0.05
@@ -188,13 +189,10 @@ class Tree:
         present = df.filter(~missing(name))
         x = F.col(name).cast("double")
         distinct = present.agg(F.approx_count_distinct(x)).first()[0]
-        if distinct > self.fine_values:
-            cuts = present.agg(F.percentile_approx(x, [i / self.fine_values for i in range(1, self.fine_values)], 10 * self.fine_values)).first()[0]
-            table = present.groupBy(F.array_size(F.filter(F.array(*map(F.lit, sorted(set(cuts)))), lambda c: c < x)).alias("g"))
-            w = F.col(weights).cast("double") if weights else F.lit(1.0)
-            rows = table.agg(F.max(x).alias("k"), F.count("*").alias("n"), F.sum(w * F.col(target)).alias("e"), F.sum(w * (1 - F.col(target))).alias("o")).orderBy("k").collect()
-        else:
-            rows = counts(present, x, target, weights)
+        cuts = self.far_cuts(present, x, target, weights) if distinct > self.fine_values else self.near_cuts(counts(present, x, target, weights))
+        return fit_edges(df, name, target, tuple(sorted(cuts)), weights)
+
+    def near_cuts(self, rows: list) -> list[float]:
         value, n, e, o = (np.array([float(r[c]) for r in rows]) for c in ("k", "n", "e", "o"))
         least = math.floor(self.min_samples_leaf * n.sum())
         n, e, w = (np.concatenate([[0.0], np.cumsum(c)]) for c in (n, e, e + o))
@@ -207,7 +205,38 @@ class Tree:
             (_, cut), a, b = leaves.pop(at)
             cuts.append((value[cut - 1] + value[cut]) / 2)
             leaves[at:at] = [(self.best(i, j, n, e, w, least), i, j) for i, j in ((a, cut), (cut, b))]
-        return fit_edges(df, name, target, tuple(sorted(cuts)), weights)
+        return cuts
+
+    def far_cuts(self, present: DataFrame, x: Column, target: str, weights: str | None) -> list[float]:
+        """The same splits over a table that stays in Spark: a node is the values above one row of it up to another."""
+        w, y = F.col(weights).cast("double") if weights else F.lit(1.0), F.col(target).cast("double")
+        steps = present.groupBy(x.alias("k")).agg(F.count("*").alias("c"), F.sum(w * y).alias("ec"), F.sum(w).alias("wc"))
+        table = running(steps, "k", {"n": F.col("c"), "e": F.col("ec"), "w": F.col("wc")}).select("k", "n", "e", "w").persist()
+        impurity = lambda ev, wt: F.when(wt > 0, 2 * ev * (wt - ev) / wt).otherwise(0.0)
+        try:
+            last = tuple(table.agg(F.max(F.struct("k", "n", "e", "w"))).first()[0])
+            least = math.floor(self.min_samples_leaf * last[1])
+
+            def best(a: tuple, b: tuple) -> tuple[float, tuple]:
+                (_, n0, e0, w0), (_, n1, e1, w1) = a, b
+                inside = table.filter((F.col("k") > F.lit(a[0]) if a is not first else F.lit(True)) & (F.col("k") < F.lit(b[0])) & (F.col("n") - n0 >= least) & (n1 - F.col("n") >= least))
+                gain = impurity(F.lit(e1 - e0), F.lit(w1 - w0)) - impurity(F.col("e") - e0, F.col("w") - w0) - impurity(e1 - F.col("e"), w1 - F.col("w"))
+                found = inside.agg(F.max(F.struct(gain.alias("gain"), (-F.col("k")).alias("minus"), "k", "n", "e", "w"))).first()[0]
+                return (found.gain, (found.k, found.n, found.e, found.w)) if found else (-math.inf, ())
+
+            first = (-math.inf, 0, 0.0, 0.0)
+            leaves, cuts = [(best(first, last), first, last)], []
+            while len(leaves) < self.max_leaves:
+                gains = [leaf[0][0] for leaf in leaves]
+                at = int(np.argmax(gains))
+                if not math.isfinite(gains[at]):
+                    break
+                (_, cut), a, b = leaves.pop(at)
+                cuts.append((cut[0] + table.filter(F.col("k") > F.lit(cut[0])).agg(F.min("k")).first()[0]) / 2)
+                leaves[at:at] = [(best(i, j), i, j) for i, j in ((a, cut), (cut, b))]
+            return cuts
+        finally:
+            table.unpersist()
 
     @staticmethod
     def best(a: int, b: int, n: np.ndarray, e: np.ndarray, w: np.ndarray, least: float) -> tuple[float, int]:

@@ -164,6 +164,18 @@ def test_binning_strategies(spark):
     assert edge.events == (1, 0, 1) and edge.labels == ("(-inf, 1]", "(1, 2]", "(2, inf)")
 
 
+def test_tree_of_many_values_splits_as_one_of_few(spark):
+    from riskloom.operators.binning import Tree
+
+    rng = np.random.default_rng(8)
+    x = np.round(np.exp(rng.normal(0, 2, 4000)), 2)
+    y = (rng.uniform(size=4000) < np.where((x > 0.7) & (x < 3.1) | (x > 40), 0.7, 0.2)).astype(int)
+    df = spark.createDataFrame(pd.DataFrame({"x": x, "y": y, "w": rng.integers(1, 4, 4000)}))
+    for weights in (None, "w"):
+        near = Tree(6, 0.05).fit(df, "x", "y", weights)
+        assert Tree(6, 0.05, fine_values=40).fit(df, "x", "y", weights) == near and near.n_bins == 6
+
+
 def test_splits_and_validation(spark):
     _, df = frame(spark, 700, binary=True)
     for splitter in (rl.expanding_window("t", 3, "100 days", "10 days"), rl.rolling_window("t", "200 days", "100 days", gap="5 days")):
