@@ -12,7 +12,9 @@ empty catalogue matches nothing.
 
 from __future__ import annotations
 
+import json
 from functools import reduce
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -50,6 +52,16 @@ NOTICES = [
     ("MIT", "Licensed under the MIT License."),
     ("MIT", "SPDX-License-Identifier: MIT"),
 ]
+# Longer texts, from a data file, and notices by SPDX identifiers and by name; the SQL twin has TEXTS and NOTICES only.
+LONG_TEXTS = [tuple(x) for x in json.loads(Path(__file__).with_name("license_texts.json").read_text("utf-8"))]
+GNU = [("GPL-1.0", "General", "1"), ("GPL-2.0", "General", "2"), ("GPL-3.0", "General", "3"), ("LGPL-2.0", "Library General", "2"), ("LGPL-2.1", "Lesser General", "2.1"), ("LGPL-3.0", "Lesser General", "3")]
+SPDX = ["0BSD", "Artistic-1.0-Perl", "BSD-2-Clause", "CC-BY-4.0", "CC-BY-NC-4.0", "CC-BY-SA-4.0", "CC0-1.0", "ISC", "MIT-0", "MPL-1.1", "MPL-2.0", "Unlicense"]
+MORE_NOTICES = [
+    *((x, f"SPDX-License-Identifier: {x}") for x in SPDX),
+    *((x, f"SPDX-License-Identifier: {x}{end}") for x in (*(g[0] for g in GNU), "GFDL-1.2", "GFDL-1.3") for end in ("", "+", "-only", "-or-later") if (x, end) != ("GPL-3.0", "-only")),
+    *((x, f"This work is licensed under the GNU {kind} Public License, version {v}{later}.") for x, kind, v in GNU for later in ("", ", or any later version", " or later") if later or x not in ("GPL-2.0", "GPL-3.0")),
+    *((f"MPL-{v}", f"{how} under the Mozilla Public License, {word} {v}.") for v in ("1.1", "2.0") for how in ("Licensed", "Released") for word in ("version", "v.")),
+]
 CAPITALS, SMALL = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -73,7 +85,7 @@ def digests(spark: SparkSession, rows: list[tuple[str, str]], name: str) -> Data
     return known.groupBy(F.sha2(canonical(F.col("text")), 256).alias("digest")).agg(F.min("license").alias(name))
 
 
-def scan(docs: DataFrame, texts: list[tuple[str, str]] = TEXTS, notices: list[tuple[str, str]] = NOTICES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def scan(docs: DataFrame, texts: list[tuple[str, str]] = TEXTS + LONG_TEXTS, notices: list[tuple[str, str]] = NOTICES + MORE_NOTICES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id column, digest, license (of the whole text, or null), notices (licences of whole lines, sorted), notice_lines."""
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))

@@ -23,3 +23,12 @@ def test_whole_texts_and_edges(spark):
 def test_no_python_in_the_plan(spark):
     plan = QUERIES["op3_licenses"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
     assert not any(x in plan for x in ("Python", "Arrow", "Pandas"))
+
+
+def test_long_licences_and_their_notices(spark):
+    texts = dict(licenses.LONG_TEXTS)
+    docs = [(i, texts[name]) for i, name in enumerate(sorted(texts))] + [(100, "// SPDX-License-Identifier: GPL-3.0-or-later\ncode"), (101, "# SPDX-License-Identifier: MPL-2.0"), (102, "This work is licensed under the GNU Lesser General Public Licence, version 2.1.")]
+    out = licenses.scan(spark.createDataFrame(docs, "doc_id bigint, text string")).collect()
+    got = {r.doc_id: (r.license, r.notices) for r in out}
+    assert [got[i][0] for i in range(len(texts))] == sorted(texts) and {"Apache-2.0", "GPL-2.0", "GPL-3.0", "LGPL-2.1", "LGPL-3.0", "MPL-2.0", "CC0-1.0"} <= set(texts)
+    assert [got[i][1] for i in (100, 101, 102)] == [["GPL-3.0"], ["MPL-2.0"], ["LGPL-2.1"]]
