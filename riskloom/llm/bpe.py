@@ -2,19 +2,24 @@
 
 Each word is merged in a contiguous array of parts: the ids of its parts and, beside them, the rank of every adjacent
 pair. The lowest rank is found by a scan, the boundary between its two parts is deleted, and the two neighbouring ranks
-are looked up again. Short words go through this together, as rows of one matrix, one merge of every word at a time;
-words of more than SHORT_WORD bytes one by one, and those of more than LONG_WORD bytes, for which repeated scans would
-take quadratic time, by the same rule with a heap over the same ranks. Words and chunks between blanks recur, so their
-ids are kept in caches of bounded size.
+are looked up again. Short words of one length go through this together, as rows of one matrix that loses a column with
+each merge; words of more than SHORT_WORD bytes one by one, and those of more than LONG_WORD bytes, for which repeated
+scans would take quadratic time, by the same rule with a heap over the same ranks. Words recur, so the ids of words are
+kept in a table of bounded size, which is emptied when it is full.
 
-Rows: a null text counts as empty; an empty text has no ids and decodes to an empty text; repeated rows give repeated
-results; extra columns are ignored.
+Words are found for whole batches: every byte gets the class of its character, runs of one class are words, and the few
+rules of WORDS about blanks and apostrophes move their ends.
+
+Rows: a null text counts as empty; an empty text has no ids and decodes to an empty text; a very long text is cut
+between two words into pieces of about PIECE bytes, which changes no id; repeated rows give repeated results; extra
+columns are ignored; an empty table gives an empty table.
 """
 
 from __future__ import annotations
 
 import heapq
 import json
+import re
 from collections.abc import Iterator
 from functools import lru_cache
 from struct import pack
@@ -26,15 +31,19 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from riskloom.llm.common import short_batches, slices
+from riskloom.llm.common import short_batches, slices, utf8
 
 # Fixed value: the pattern by which the public byte-level vocabulary splits text into words.
 WORDS = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-SHORT_WORD, LONG_WORD = 48, 192
+SHORT_WORD, LONG_WORD = 15, 192
+PIECE = 2 << 20
 NO_RANK = 1 << 62
-MISSING = object()
-STOPS = ".,;:!?"
+NONE = np.iinfo(np.int32).max
 SHIFT = 24
+OTHER, LETTER, NUMBER, BLANK = range(4)
+GOLDEN = np.uint64(0x9E3779B97F4A7C15)
+#: A place between two words whatever stands around it.
+BETWEEN = re.compile(rb"[A-Za-z](?= [A-Za-z])")
 
 
 def byte_alphabet() -> dict[str, int]:
@@ -44,63 +53,181 @@ def byte_alphabet() -> dict[str, int]:
     return {chr(b): b for b in printable} | {chr(256 + i): b for i, b in enumerate(rest)}
 
 
-class Chunks(dict):
-    """Ids of text chunks, made on demand. Half of `most` entries fill a generation, and the last but one is dropped, so memory is bounded and what recurs stays."""
-
-    def __init__(self, make, most: int):
-        super().__init__()
-        self.make, self.half, self.old = make, max(1, most // 2), {}
-
-    def __missing__(self, chunk: str):
-        if len(self) >= self.half:
-            self.old = dict(self)
-            self.clear()
-        ids = self.old[chunk] if chunk in self.old else self.make(chunk)
-        self[chunk] = ids
-        return ids
-
-    def peek(self, chunk: str):
-        """The ids, or MISSING; nothing is made."""
-        ids = self.get(chunk, MISSING)
-        return self.old.get(chunk, MISSING) if ids is MISSING else ids
-
-    def put(self, chunk: str, ids) -> None:
-        if len(self) >= self.half:
-            self.old = dict(self)
-            self.clear()
-        self[chunk] = ids
+@lru_cache(maxsize=1)
+def character_classes() -> np.ndarray:
+    """The class of every code point in the sense of WORDS."""
+    every = "".join(map(chr, range(0x110000)))
+    out = np.zeros(0x110000, np.uint8)
+    for kind, pattern in ((LETTER, r"\p{L}+"), (NUMBER, r"\p{N}+"), (BLANK, r"\s+")):
+        for m in regex.finditer(pattern, every):
+            out[m.start() : m.end()] = kind
+    return out
+
+
+def byte_kinds(data: np.ndarray) -> np.ndarray:
+    """The class of the character to which each byte of UTF-8 belongs."""
+    table = character_classes()
+    kinds = table[:256][data]
+    lead = np.flatnonzero(data >= 0xC0)
+    if len(lead):
+        points = np.frombuffer(data[data >= 0x80].tobytes().decode("utf-8").encode("utf-32-le"), np.uint32)
+        kinds[lead] = kinds[lead + 1] = table[points]
+        for least, step in ((0xE0, 2), (0xF0, 3)):
+            long = lead[data[lead] >= least]
+            kinds[long + step] = kinds[long]
+    return kinds
+
+
+def word_starts(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """Where the words of several texts begin; equal to searches for WORDS in each text."""
+    n = len(data)
+    if not n:
+        return np.zeros(0, np.int64)
+    kinds, edge = byte_kinds(data), np.ones(n, bool)
+    edge[1:] = kinds[1:] != kinds[:-1]
+    text_end = np.zeros(n + 1, bool)
+    text_end[offsets] = True
+    edge |= text_end[:n]
+    begins = np.flatnonzero(edge)
+    ends = np.append(begins[1:], n)
+    kind = kinds[begins]
+    blank = (kind == BLANK) & ~text_end[ends]  # blanks before something: the last one parts from the others
+    stop = ends[blank]
+    last = stop - 1
+    for _ in range(3):
+        last = last - ((data[last] & 0xC0) == 0x80)
+    edge[last] = True
+    edge[stop[data[last] == 32]] = False
+    mark = (kind == OTHER) & (ends - begins == 1) & (data[begins] == 39) & edge[begins] & ~text_end[ends]
+    at = begins[mark]
+    if len(at):
+        padded = np.concatenate([data, np.zeros(2, np.uint8)])
+        one, two = padded[at + 1], padded[at + 2]
+        two = np.where(text_end[np.minimum(at + 2, n)], 0, two)
+        single = np.isin(one, np.frombuffer(b"stmd", np.uint8))
+        double = ((one == ord("r")) | (one == ord("v"))) & (two == ord("e")) | (one == ord("l")) & (two == ord("l"))
+        edge[at[single | double] + 1] = False
+        cut = np.concatenate([at[single] + 2, at[double] + 3])
+        edge[cut[cut < n]] = True
+    return np.flatnonzero(edge)
+
+
+class WordTable:
+    """Ids of words of at most SHORT_WORD bytes, found by their bytes: an open-addressed table over two integers."""
+
+    def __init__(self, most: int):
+        self.bits = max(12, int(2 * most - 1).bit_length())
+        self.slots = 1 << self.bits
+        self.low, self.high = np.zeros(self.slots, np.uint64), np.zeros(self.slots, np.uint64)
+        self.begin, self.count = np.zeros(self.slots, np.int32), np.zeros(self.slots, np.uint8)
+        self.claim = np.zeros(self.slots, np.int32)
+        self.clear()
+
+    def clear(self) -> None:
+        self.high[:] = 0  # a word's length is in its high part, so 0 is free
+        self.used, self.pool, self.filled = 0, np.zeros(1 << 16, np.uint32), 0
+
+    def place(self, low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(slot of every word, slots of words that are new)."""
+        mixed = (low ^ (high * GOLDEN) ^ (low >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+        slot = (mixed >> np.uint64(64 - self.bits)).astype(np.int64)
+        new, left = [], np.flatnonzero((self.low[slot] != low) | (self.high[slot] != high))
+        while len(left):
+            at = slot[left]
+            free = self.high[at] == 0
+            takers = left[free]
+            self.claim[at[free]] = takers
+            takers = takers[self.claim[slot[takers]] == takers]  # one of those that want the slot
+            self.low[slot[takers]], self.high[slot[takers]] = low[takers], high[takers]
+            new.append(slot[takers])
+            wrong = (self.low[at] != low[left]) | (self.high[at] != high[left])
+            left = left[wrong]
+            slot[left] = (slot[left] + 1) & (self.slots - 1)
+            right = (self.low[slot[left]] == low[left]) & (self.high[slot[left]] == high[left])
+            left = left[~right]
+        fresh = np.concatenate(new) if new else np.zeros(0, np.int64)
+        self.used += len(fresh)
+        return slot, fresh
+
+    def put(self, slots: np.ndarray, ids: np.ndarray) -> None:
+        """ids: a row for each slot."""
+        n, width = ids.shape
+        if self.filled + ids.size > len(self.pool):
+            self.pool = np.concatenate([self.pool, np.zeros(max(len(self.pool), ids.size), np.uint32)])
+        self.pool[self.filled : self.filled + ids.size] = ids.ravel()
+        self.begin[slots], self.count[slots] = self.filled + width * np.arange(n), width
+        self.filled += ids.size
+
+
+def gather(pool: np.ndarray, begin: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """Pieces of a pool, one after the other."""
+    ends = np.cumsum(count, dtype=np.int64)
+    return pool[np.arange(ends[-1] if len(ends) else 0) + np.repeat(begin - (ends - count), count)]
 
 
 class ByteBPE:
     """A tokenizer read from a public vocabulary file; ids are little-endian unsigned 32-bit integers."""
 
-    def __init__(self, path: str, cached: int = 600_000):
+    def __init__(self, path: str, cached: int = 1 << 20):
         with open(path, encoding="utf-8") as file:
             spec = json.load(file)
         alphabet, vocab = byte_alphabet(), spec["model"]["vocab"]
         as_bytes = lambda s: bytes(alphabet[c] for c in s)
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
-        self.tokens = [b""] * (1 + max([*vocab.values(), *self.special.values()]))
+        tokens = [b""] * (1 + max([*vocab.values(), *self.special.values()]))
         for text, i in vocab.items():
-            self.tokens[i] = text.encode() if text in self.special else as_bytes(text)
+            tokens[i] = text.encode() if text in self.special else as_bytes(text)
         for text, i in self.special.items():
-            self.tokens[i] = text.encode()
-        self.single = [vocab[c] for c, _ in sorted(alphabet.items(), key=lambda x: x[1])]
-        self.merges = {}
+            tokens[i] = text.encode()
+        self.token_size = np.array([len(t) for t in tokens])
+        self.token_begin = np.cumsum(self.token_size) - self.token_size
+        self.token_bytes = np.frombuffer(b"".join(tokens), np.uint8)
+        self.single = np.array([vocab[c] for c, _ in sorted(alphabet.items(), key=lambda x: x[1])], np.int32)
+        self.merges, self.made = {}, np.zeros(len(spec["model"]["merges"]), np.int32)
         for rank, pair in enumerate(spec["model"]["merges"]):
             a, b = pair.split(" ") if isinstance(pair, str) else pair
             self.merges.setdefault(vocab[a] << SHIFT | vocab[b], rank << SHIFT | vocab[a + b])
-        self.pair_keys = np.array(sorted(self.merges), np.int64)
-        self.pair_ranks = np.array([*(self.merges[k] for k in self.pair_keys.tolist()), NO_RANK], np.int64)
+            self.made[rank] = vocab[a + b]
+        self.index_pairs()
+        one = np.repeat(self.single, 256), np.tile(self.single, 256)
+        self.byte_ranks = self.look_up(*one).reshape(256, 256)
         self.find = regex.compile(WORDS).findall
-        self.blank = regex.compile(r"\s").match
         self.cut = regex.compile("|".join(regex.escape(t) for t in sorted(self.special, key=len, reverse=True))) if self.special else None
-        self.words = Chunks(self.word, cached // 2)
-        self.first = Chunks(self.plain, cached // 8)
-        self.spaced = Chunks(self.after_space, cached)
+        self.table = WordTable(cached)
+        self.long = lru_cache(maxsize=max(1, cached // 16))(self.merge)
+
+    def index_pairs(self) -> None:
+        """Ranks of pairs by multiplicative hashing, nine of ten slots free."""
+        keys = np.array(list(self.merges), np.int64)
+        ranks = np.array(list(self.merges.values()), np.int64) >> SHIFT
+        self.pair_bits = max(4, int(8 * max(1, len(keys))).bit_length())
+        self.pair_keys, self.pair_ranks = np.full(1 << self.pair_bits, -1, np.int64), np.full(1 << self.pair_bits, NONE, np.int32)
+        slot = self.pair_slot(keys).tolist()
+        for key, rank, at in zip(keys.tolist(), ranks.tolist(), slot):
+            while self.pair_keys[at] >= 0:
+                at = (at + 1) & ((1 << self.pair_bits) - 1)
+            self.pair_keys[at], self.pair_ranks[at] = key, rank
+
+    def pair_slot(self, keys: np.ndarray) -> np.ndarray:
+        return ((keys.astype(np.uint64) * GOLDEN) >> np.uint64(64 - self.pair_bits)).astype(np.int64)
+
+    def look_up(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Ranks of pairs; NONE where a pair is no merge."""
+        keys = a.astype(np.int64) << SHIFT | b
+        slot = self.pair_slot(keys)
+        held = self.pair_keys[slot]
+        out = np.where(held == keys, self.pair_ranks[slot], NONE)
+        left = np.flatnonzero((held != keys) & (held >= 0))
+        while len(left):
+            slot[left] = (slot[left] + 1) & ((1 << self.pair_bits) - 1)
+            held = self.pair_keys[slot[left]]
+            hit = held == keys[left]
+            out[left[hit]] = self.pair_ranks[slot[left[hit]]]
+            left = left[~hit & (held >= 0)]
+        return out
 
     def merge(self, word: bytes) -> list[int]:
-        parts = [self.single[b] for b in word]
+        parts = [int(self.single[b]) for b in word]
         if len(parts) > LONG_WORD:
             return self.merge_long(parts)
         find = self.merges.get
@@ -118,119 +245,119 @@ class ByteBPE:
                 ranks[i] = find(parts[i] << SHIFT | parts[i + 1], NO_RANK)
         return parts
 
-    def look_up(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        """Ranks of pairs; NO_RANK where a part is missing (-1) or the pair is no merge."""
-        keys = a.astype(np.int64) << SHIFT | b
-        at = np.searchsorted(self.pair_keys, keys)
-        at[at == len(self.pair_keys)] = 0
-        return np.where((self.pair_keys[at] == keys) & (b >= 0), self.pair_ranks[at], NO_RANK)
-
-    def merge_many(self, words: list[bytes]) -> list[bytes]:
-        """Packed ids of short words: row i of `parts` and `ranks` is the contiguous array of word i."""
-        n = np.array([len(w) for w in words])
-        parts = np.full((len(words), n.max() + 1), -1, np.int64)
-        inside = np.arange(parts.shape[1]) < n[:, None]
-        parts[inside] = np.array(self.single)[np.frombuffer(b"".join(words), np.uint8)]
-        ranks = np.full_like(parts, NO_RANK)
-        ranks[:, :-1] = self.look_up(parts[:, :-1], parts[:, 1:])
-        done, live, columns = parts.copy(), np.arange(len(words)), np.arange(parts.shape[1])
+    def merge_many(self, words: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """(rows, ids) of words of one length: row i of `parts` and `ranks` is the contiguous array of word i. Every word that isn't done merges once in each round, so all have the same number of parts."""
+        parts, ranks = self.single[words], self.byte_ranks[words[:, :-1], words[:, 1:]]
+        live = np.arange(len(words))
         while len(live):
-            row, best = np.arange(len(live)), ranks.argmin(1)
+            if not ranks.shape[1]:
+                yield live, parts
+                return
+            best = ranks.argmin(1)
+            row = np.arange(len(live))
             low = ranks[row, best]
-            if (end := low == NO_RANK).any():
-                done[live[end]] = parts[end]
+            if (end := low == NONE).any():
+                yield live[end], parts[end]
                 go = ~end
                 live, parts, ranks, best, low = live[go], parts[go], ranks[go], best[go], low[go]
                 row = row[: len(live)]
-            place = np.minimum(columns + (columns > best[:, None]), columns[-1])
-            parts = np.take_along_axis(parts, place, 1)
-            parts[:, -1] = -1
-            parts[row, best] = low & ((1 << SHIFT) - 1)
-            ranks = np.take_along_axis(ranks, np.minimum(columns + (columns >= best[:, None]), columns[-1]), 1)
-            ranks[:, -1] = NO_RANK
-            ranks[row, best] = self.look_up(parts[row, best], parts[row, np.minimum(best + 1, columns[-1])])
-            left = best > 0
-            row, best = row[left], best[left]
-            ranks[row, best - 1] = self.look_up(parts[row, best - 1], parts[row, best])
-        size = (done >= 0).sum(1) * 4
-        packed, cuts = done[done >= 0].astype("<u4").tobytes(), np.cumsum(size)
-        return [packed[a:b] for a, b in zip((cuts - size).tolist(), cuts.tolist())]
-
-    def learn(self, chunks: list[str]) -> list[bytes | None]:
-        """Ids of chunks that follow a space, for many chunks at once."""
-        get, find = self.spaced.peek, self.find
-        found = [get(c) for c in chunks]
-        new = [i for i, x in enumerate(found) if x is MISSING]
-        split: dict[int, list[str]] = {}
-        for i in new:
-            c = chunks[i]
-            if c.isalpha():  # what the pattern would find, without a search
-                split[i] = [" " + c]
-            elif c and c[-1] in STOPS and c[:-1].isalpha():
-                split[i] = [" " + c[:-1], c[-1]]
-            elif c and not self.blank(c):
-                split[i] = find(" " + c)
-        known: dict[str, bytes] = {}
-        peek = self.words.peek
-        for word in {w for ws in split.values() for w in ws}:
-            if (ids := peek(word)) is not MISSING:
-                known[word] = ids
-            else:
-                known[word] = b""
-        by_width: dict[int, list[str]] = {8: [], 16: [], SHORT_WORD: []}
-        for word, ids in known.items():
-            if not ids:
-                size = len(word.encode())
-                if size > SHORT_WORD:
-                    known[word] = self.words[word]
-                else:
-                    by_width[8 if size <= 8 else 16 if size <= 16 else SHORT_WORD].append(word)
-        for group in by_width.values():
-            for at in range(0, len(group), 8192):
-                part = group[at : at + 8192]
-                for word, ids in zip(part, self.merge_many([w.encode() for w in part])):
-                    known[word] = ids
-                    self.words.put(word, ids)
-        for i in new:
-            found[i] = b"".join([known[w] for w in split[i]]) if i in split else None
-            self.spaced.put(chunks[i], found[i])
-        return found
+            width = ranks.shape[1]
+            columns = np.arange(width + 1)
+            parts[row, best] = self.made[low]
+            parts = parts[columns != (best + 1)[:, None]].reshape(len(row), width)
+            ranks = ranks[columns[:-1] != best[:, None]].reshape(len(row), width - 1)
+            left = np.flatnonzero(best > 0)
+            at = best[left]
+            ranks[left, at - 1] = self.look_up(parts[left, at - 1], parts[left, at])
+            right = np.flatnonzero(best < width - 1)
+            at = best[right]
+            ranks[right, at] = self.look_up(parts[right, at], parts[right, at + 1])
+
+    def learn(self, slots: np.ndarray) -> None:
+        """Fills new slots of the table with the ids of their words."""
+        table = self.table
+        size = (table.high[slots] >> np.uint64(56)).astype(np.int64)
+        raw = np.stack([table.low[slots], table.high[slots]], 1).astype("<u8").view(np.uint8)
+        for n in range(1, SHORT_WORD + 1):
+            own = np.flatnonzero(size == n)
+            for at in range(0, len(own), 1 << 14):
+                part = own[at : at + (1 << 14)]
+                for rows, ids in self.merge_many(raw[part, :n]):
+                    table.put(slots[part[rows]], ids)
+
+    def words(self, data: np.ndarray, begins: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of words that follow each other, how many each word has)."""
+        table, size = self.table, ends - begins
+        if table.used + len(begins) > table.slots * 3 // 4:
+            table.clear()
+        padded = np.concatenate([data, np.zeros(16, np.uint8)])
+        at = np.ndarray(len(data) + 9, "<u8", padded, strides=(1,))
+        masks = np.array([(1 << 8 * i) - 1 for i in range(9)], np.uint64)
+        short = size <= SHORT_WORD
+        low = at[begins] & masks[np.minimum(size, 8)]
+        high = at[np.minimum(begins + 8, len(data) + 8)] & masks[np.clip(size - 8, 0, 7)] | np.minimum(size, SHORT_WORD).astype(np.uint64) << np.uint64(56)
+        long = np.flatnonzero(~short)
+        if len(long):
+            low[long], high[long] = 32, 1 << 56  # a blank stands in; its ids are replaced below
+        slot, new = table.place(low, high)
+        self.learn(new)
+        begin, count = table.begin[slot].astype(np.int64), table.count[slot].astype(np.int64)
+        if not len(long):
+            return gather(table.pool, begin, count), count
+        raw = data.tobytes()
+        own = [self.long(raw[a:b]) for a, b in zip(begins[long].tolist(), ends[long].tolist())]
+        count[long] = [len(x) for x in own]
+        begin[long] = table.filled + np.cumsum(count[long]) - count[long]
+        pool = np.concatenate([table.pool[: table.filled], np.array([i for x in own for i in x], np.uint32)])
+        return gather(pool, begin, count), count
+
+    def encode_plain(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of texts without special tokens and where each text's ids begin and the last ones end."""
+        begins = word_starts(data, offsets)
+        ends, block = np.append(begins[1:], len(data)), self.table.slots // 4
+        done = [self.words(data, begins[i : i + block], ends[i : i + block]) for i in range(0, len(begins), block)]
+        flat = np.concatenate([ids for ids, _ in done]) if done else np.zeros(0, np.uint32)
+        upto = np.concatenate([[0], *(count for _, count in done)]).cumsum()
+        return flat, upto[np.searchsorted(begins, offsets)]
 
     def encode_batch(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts, where each text's ids begin and the last ones end)."""
         texts = pc.fill_null(texts, "").cast(pa.large_string())
-        if not len(texts):
-            return np.zeros(0, "<u4"), np.zeros(1, np.int64)
-        lists = pc.split_pattern(texts, " ")
-        begins = lists.offsets.to_numpy()
-        begins = begins - begins[0]
-        coded = lists.flatten().dictionary_encode()
-        chunks, place = coded.dictionary.to_pylist(), coded.indices.to_numpy()
-        ids = self.learn(chunks)
-        first = pc.list_element(lists, 0).to_pylist()
-        odd = np.array([x is None for x in ids])[place]
-        odd[begins[:-1]] = False
-        slow = np.add.reduceat(odd, begins[:-1]) > 0
-        if self.cut:
-            for mark in self.special:
-                slow |= pc.match_substring(texts, mark).to_numpy(zero_copy_only=False)
-        place = place.astype(np.int64)
-        place[begins[:-1]] = np.arange(len(first)) + len(ids)
-        packed = [x or b"" for x in ids] + [b"" if s else self.first[f] for f, s in zip(first, slow.tolist())]
-        size = np.array([len(x) // 4 for x in packed])
-        count = size[place]
-        if slow.any():
-            rows = np.repeat(slow, np.diff(begins))
-            count[rows] = 0
-            for i in np.flatnonzero(slow).tolist():
-                own = self.encode(texts[i].as_py())
-                packed.append(own)
-                size = np.append(size, len(own) // 4)
-                place[begins[i]], count[begins[i]] = len(packed) - 1, len(own) // 4
-        flat, start = np.frombuffer(b"".join(packed), "<u4"), np.cumsum(size) - size
-        ends = np.cumsum(count)
-        at = np.arange(ends[-1]) + np.repeat(start[place] - (ends - count), count)
-        return flat[at], np.concatenate([[0], ends])[begins]
+        odd = np.zeros(len(texts), bool)
+        for mark in self.special:
+            odd |= pc.match_substring(texts, mark).to_numpy(zero_copy_only=False)
+        if odd.any():
+            own = {i: np.frombuffer(self.encode(texts[i].as_py()), "<u4") for i in np.flatnonzero(odd).tolist()}
+            flat, at = self.encode_batch(pc.if_else(pa.array(odd), "", texts))
+            pieces = [own[i] if i in own else flat[a:b] for i, (a, b) in enumerate(zip(at[:-1].tolist(), at[1:].tolist()))]
+            return np.concatenate(pieces), np.concatenate([[0], np.cumsum([len(x) for x in pieces])])
+        data, offsets = utf8(texts)
+        cuts = self.pieces(data, offsets)
+        if len(cuts) == 2:
+            return self.encode_plain(data, offsets)
+        flats, at, before = [], [np.zeros(1, np.int64)], 0
+        for a, b in zip(cuts[:-1], cuts[1:]):
+            inner = offsets[(offsets > a) & (offsets <= b)]
+            flat, upto = self.encode_plain(data[a:b], np.concatenate([[0], inner - a, [b - a]]))
+            at.append(upto[1:-1] + before)
+            flats.append(flat)
+            before += len(flat)
+        empty = np.zeros((offsets[1:] == 0).sum(), np.int64)  # texts before the first byte
+        return np.concatenate(flats), np.concatenate([at[0], empty, *at[1:]])
+
+    @staticmethod
+    def pieces(data: np.ndarray, offsets: np.ndarray) -> list[int]:
+        """Ends of pieces of about PIECE bytes: ends of texts or, in long texts, places between two words."""
+        cuts, raw = [0], None
+        while len(data) - cuts[-1] > 2 * PIECE:
+            i = np.searchsorted(offsets, cuts[-1] + PIECE)
+            end = int(offsets[i])
+            if end - cuts[-1] > 2 * PIECE:
+                raw = raw or data.tobytes()
+                found = BETWEEN.search(raw, cuts[-1] + PIECE, end)
+                end = found.end() if found else end
+            cuts.append(end)
+        return [*cuts, len(data)] if cuts[-1] < len(data) or len(cuts) == 1 else cuts
 
     def merge_long(self, parts: list[int]) -> list[int]:
         """The same merges with a heap of (rank, place); stale entries are recognised and skipped."""
@@ -251,52 +378,52 @@ class ByteBPE:
                     heapq.heappush(heap, (r, a))
         return [p for p in parts if p >= 0]
 
-    def word(self, word: str) -> bytes:
-        return pack(f"<{len(ids := self.merge(word.encode()))}I", *ids)
-
-    def plain(self, text: str) -> bytes:
-        return b"".join(map(self.words.__getitem__, self.find(text)))
-
-    def after_space(self, chunk: str) -> bytes | None:
-        """Ids of a space and what follows it; None where white space meets, as such a run may be one word."""
-        return None if not chunk or self.blank(chunk) else self.plain(" " + chunk)
+    def plain(self, text: str) -> np.ndarray:
+        raw = text.encode()
+        return self.encode_plain(np.frombuffer(raw, np.uint8), np.array([0, len(raw)]))[0]
 
     def encode(self, text: str) -> bytes:
-        if self.cut and self.cut.search(text):
-            return self.encode_special(text)
-        first, *rest = text.split(" ")
-        ids = list(map(self.spaced.__getitem__, rest))
-        return self.plain(text) if None in ids else self.first[first] + b"".join(ids)
-
-    def encode_special(self, text: str) -> bytes:
         out, at = [], 0
-        for m in self.cut.finditer(text):
-            out += [self.plain(text[at : m.start()]), np.array([self.special[m[0]]], "<u4").tobytes()]
+        for m in self.cut.finditer(text) if self.cut else ():
+            out += [self.plain(text[at : m.start()]), [self.special[m[0]]]]
             at = m.end()
-        return b"".join([*out, self.plain(text[at:])])
+        return np.concatenate([*out, self.plain(text[at:])]).astype("<u4").tobytes()
 
     def decode(self, ids: np.ndarray) -> str:
-        return b"".join(map(self.tokens.__getitem__, ids.tolist())).decode("utf-8", "replace")
+        return gather(self.token_bytes, self.token_begin[ids], self.token_size[ids]).tobytes().decode("utf-8", "replace")
+
+    def decode_batch(self, flat: np.ndarray, at: np.ndarray) -> pa.Array:
+        """The texts of several sequences of ids."""
+        size = self.token_size[flat]
+        data = gather(self.token_bytes, self.token_begin[flat], size)
+        ends = np.concatenate([[0], np.cumsum(size)])[at]
+        out = pa.LargeStringArray.from_buffers(len(at) - 1, pa.py_buffer(ends), pa.py_buffer(data))
+        try:
+            out.validate(full=True)
+        except pa.ArrowInvalid:  # ids that cut characters
+            raw = data.tobytes()
+            out = pa.array([raw[a:b].decode("utf-8", "replace") for a, b in zip(ends[:-1].tolist(), ends[1:].tolist())], pa.large_string())
+        return out
 
 
 @lru_cache(maxsize=1)
-def tokenizer(path: str, cached: int = 600_000) -> ByteBPE:
+def tokenizer(path: str, cached: int = 1 << 20) -> ByteBPE:
     """One for each worker process; it stays with the worker, so `cached` bounds what later stages leave it."""
     return ByteBPE(path, cached)
 
 
-def encode_decode(docs: DataFrame, vocab: str, id_col: str = "doc_id", text_col: str = "text", cached: int = 600_000) -> DataFrame:
+def encode_decode(docs: DataFrame, vocab: str, id_col: str = "doc_id", text_col: str = "text", cached: int = 1 << 20) -> DataFrame:
     """Encodes every whole text and decodes the ids again: id column, n_tokens, ids (binary), decoded."""
     short_batches(docs.sparkSession)
     rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = tokenizer(vocab, cached)
-        for batch in slices(batches, 4096, 8 << 20):
+        for batch in slices(batches, 4096, PIECE):
             flat, at = bpe.encode_batch(batch["text"])
             ids = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(at) - 1, [None, pa.py_buffer(at * 4), pa.py_buffer(flat)])
-            texts = [bpe.decode(flat[a:b]) for a, b in zip(at[:-1].tolist(), at[1:].tolist())]
-            yield pa.record_batch([batch["id"], pa.array(np.diff(at), pa.int64()), ids.cast(pa.binary()), pa.array(texts, pa.string())], ["id", "n_tokens", "ids", "decoded"])
+            texts = bpe.decode_batch(flat, at).cast(pa.string())
+            yield pa.record_batch([batch["id"], pa.array(np.diff(at), pa.int64()), ids.cast(pa.binary()), texts], ["id", "n_tokens", "ids", "decoded"])
 
     kind = rows.schema["id"].dataType.simpleString()
     out = rows.mapInArrow(run, f"id {kind}, n_tokens bigint, ids binary, decoded string")

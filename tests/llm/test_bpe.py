@@ -9,7 +9,7 @@ from riskloom.llm.bpe import LONG_WORD, ByteBPE, encode_decode
 from riskloom.llm.queries import VOCAB, op7_bpe
 
 os.environ["TOKENIZERS_PARALLELISM"] = "false"
-PIECES = [" ", "  ", "\n", " \n", "\t", "a", "bc", "'s", "'re", "é", "ß", "1", "²", "%%", "<|endoftext|>", "\x1c", "\x85", "\xa0", "日本", "😀", "½", "Ⅷ", "x" * 300, "\r\n", "\x00"]
+PIECES = [" ", "  ", "\n", " \n", "\t", "a", "bc", "'s", "'re", "é", "ß", "1", "²", "%%", "<|endoftext|>", "\x1c", "\x85", "\xa0", "日本", "😀", "½", "Ⅷ", "x" * 300, "\r\n", "\x00", "'", "'ll", "ve", "s", "\u2003", "\u3000"]
 
 
 def test_same_ids_as_the_library():
@@ -33,6 +33,21 @@ def test_batches_agree_with_single_texts():
         assert [flat[a:b].tobytes() for a, b in zip(at[:-1], at[1:])] == [ByteBPE.encode(bpe, t or "") for t in part]
 
 
+def test_pieces_of_long_texts(monkeypatch):
+    import pyarrow as pa
+
+    from riskloom.llm import bpe as module
+
+    random.seed(4)
+    bpe = ByteBPE(VOCAB, cached=5000)
+    texts = ["", "".join(random.choices([" word", "'s", "é", "  ", "\n", "12", " Wörter"], k=3000)), "", "x" * 900, "", *["a b c"] * 40, ""]
+    want = bpe.encode_batch(pa.array(texts))
+    for piece in (10, 64, 1000):
+        monkeypatch.setattr(module, "PIECE", piece)
+        got = bpe.encode_batch(pa.array(texts))
+        assert (got[0] == want[0]).all() and (got[1] == want[1]).all()
+
+
 def test_query(spark):
     import hashlib
 
