@@ -13,6 +13,7 @@ from riskloom.functions import ranking
 from riskloom.functions.quantiles import quantiles
 from riskloom.functions.special import normal_quantile, normal_tail
 from riskloom.plans.solve import Solution
+from riskloom.sources.store import discard, stored
 
 
 @dataclass(frozen=True)
@@ -138,12 +139,13 @@ def calibration_fit(frame: DataFrame, eps: float = 1e-12, tol: float = 1e-10) ->
     """(slope, intercept) of a logistic regression of y on the log odds of s: Newton steps, each one aggregate."""
     p = F.least(F.greatest(F.col("s"), F.lit(eps)), F.lit(1 - eps))
     rows = checked(frame).select("y", "w", F.log(p / (1 - p)).alias("x"))
+    rows = stored(rows.groupBy("x").agg(F.sum("w").alias("w"), F.sum(F.col("w") * F.col("y")).alias("e")), "log-odds")  # the steps read distinct scores only
     a, b, move, least = 0.0, 0.0, np.zeros(2), math.inf
     for _ in range(60):
         eta = F.lit(a) + F.lit(b) * F.col("x")
         m = 1 / (1 + F.exp(-eta))
-        v, r = F.col("w") * m * (1 - m), F.col("w") * (F.col("y") - m)
-        x, loss = F.col("x"), F.col("w") * (F.greatest(eta, F.lit(0.0)) + F.log1p(F.exp(-F.abs(eta))) - F.col("y") * eta)
+        v, r = F.col("w") * m * (1 - m), F.col("e") - F.col("w") * m
+        x, loss = F.col("x"), F.col("w") * (F.greatest(eta, F.lit(0.0)) + F.log1p(F.exp(-F.abs(eta)))) - F.col("e") * eta
         h = rows.agg(F.sum(v), F.sum(v * x), F.sum(v * x * x), F.sum(r), F.sum(r * x), F.sum(loss)).first()
         if not h[5] <= least + 1e-12 * abs(least):  # the step was too long
             move = move / 2
@@ -154,6 +156,7 @@ def calibration_fit(frame: DataFrame, eps: float = 1e-12, tol: float = 1e-10) ->
         if np.abs(move).max() < tol:
             break
         a, b = a + float(move[0]), b + float(move[1])
+    discard(rows)
     return b, a
 
 
@@ -182,13 +185,23 @@ def psi_edges(reference: DataFrame, bins: int | list[float]) -> list[float]:
     return cuts
 
 
-def psi_of(reference: DataFrame, current: DataFrame, bins: int | list[float] = 10) -> Metric:
-    """Population stability index of the column s of two frames."""
-    return Metric("psi", ranking.stability(reference, current, psi_edges(reference, bins)).agg(F.sum("part")).first()[0])
+def psi_of(reference: DataFrame, current: DataFrame, bins: int | list[float] = 10, eps: float = 1e-6) -> Metric:
+    """Population stability index of the column s of two frames, whose rows weigh w, or 1 where they have no w. Edges don't depend on weights."""
+    if not 0 < eps < 1:
+        raise ValueError("eps lies between 0 and 1")
+    reference, current = (f if "w" in f.columns else f.withColumn("w", F.lit(1.0)) for f in (reference, current))
+    return Metric("psi", ranking.stability(reference, current, psi_edges(reference, bins), eps).agg(F.sum("part")).first()[0])
 
 
-def psi(reference: DataFrame, current: DataFrame, column: str = "prediction", *, bins: int | list[float] = 10) -> Metric:
-    return psi_of(*(d.select(F.col(column).cast("double").alias("s")) for d in (reference, current)), bins)
+def psi(reference: DataFrame, current: DataFrame, column: str = "prediction", *, bins: int | list[float] = 10, weights_reference: str | None = None, weights_current: str | None = None, eps: float = 1e-6) -> Metric:
+    """bins: a number of equal-frequency bins of the reference, or edges; weights: names of columns; eps: the least share of a bin."""
+    frames = []
+    for rows, weights in ((reference, weights_reference), (current, weights_current)):
+        frame = rows.select(F.col(column).cast("double").alias("s"), (F.col(weights).cast("double") if weights else F.lit(1.0)).alias("w"))
+        if weights and not frame.filter(F.col("w").isNull() | F.isnan("w") | (F.col("w") < 0) | (F.col("w") == math.inf)).isEmpty():
+            raise ValueError(f"{weights} holds weights that are missing, infinite or negative")
+        frames.append(frame)
+    return psi_of(*frames, bins, eps)
 
 
 def weighted_quantile(df: DataFrame, column: str, weights: str, q: float) -> float:
@@ -204,30 +217,34 @@ def weighted_quantile(df: DataFrame, column: str, weights: str, q: float) -> flo
     return low["s"] if high["at"] == low["at"] else low["s"] + (high["s"] - low["s"]) * (q - low["at"]) / (high["at"] - low["at"])
 
 
-def placements(frame: DataFrame, score: str) -> DataFrame:
-    """Adds v: for an event the share of others below its score (ties half), for another row the share of events above it. The scores' running counts are joined, not all pairs."""
-    curve = ranking.rank_curve(frame.withColumn("s", F.col(score)).withColumn("w", F.lit(1.0)))
-    totals = frame.agg(F.sum("y").alias("tp"), F.sum(1 - F.col("y")).alias("tn"))
-    below = (F.col("cn") - F.col("n") / 2) / F.col("tn")
-    above = (F.col("tp") - F.col("cp") + F.col("p") / 2) / F.col("tp")
-    at = curve.crossJoin(F.broadcast(totals)).select(F.col("s").alias(score), below.alias(f"{score}_below"), above.alias(f"{score}_above"))
-    return frame.join(at, score).withColumn(f"v_{score}", F.when(F.col("y") == 1, F.col(f"{score}_below")).otherwise(F.col(f"{score}_above"))).drop(f"{score}_below", f"{score}_above")
+def placements(counts: DataFrame, score: str) -> DataFrame:
+    """For each value of a score: below, the share of other rows under it (ties half), and above, the share of events over it. counts: y, scores, c."""
+    curve = ranking.rank_curve(counts.select("y", F.col(score).alias("s"), F.col("c").cast("double").alias("w")))
+    below = (F.col("cn") - F.col("n") / 2) / F.col("all_cn")
+    above = (F.col("all_cp") - F.col("cp") + F.col("p") / 2) / F.col("all_cp")
+    return curve.select(F.col("s").alias(score), below.alias("below"), above.alias("above"))
 
 
 def delong_of(frame: DataFrame, scores: tuple[str, ...]) -> tuple[np.ndarray, np.ndarray]:
-    """AUCs of several score columns of one frame (y and the scores) and their covariance matrix."""
-    for s in scores:
-        frame = placements(frame, s)
-    v = [F.col(f"v_{s}") for s in scores]
-    pairs = [(i, j) for i in range(len(v)) for j in range(i, len(v))]
-    rows = {r["y"]: r for r in frame.groupBy("y").agg(F.count("*").alias("n"), *[F.avg(c).alias(f"m{i}") for i, c in enumerate(v)], *[F.covar_samp(v[i], v[j]).alias(f"c{i}_{j}") for i, j in pairs]).collect()}
-    if set(rows) != {0.0, 1.0}:
+    """AUCs of several score columns of one frame (y and the scores) and their covariance matrix. The frame is read once: rows are counted by y and scores, and each score's placements join these counts."""
+    counts = stored(frame.groupBy("y", *scores).agg(F.count("*").alias("c")), "score-counts")
+    rows = counts
+    for i, s in enumerate(scores):
+        v = F.when(F.col("y") == 1, F.col("below")).otherwise(F.col("above")) - 0.5
+        rows = rows.join(placements(counts, s), s).withColumn(f"v{i}", v).drop("below", "above")
+    c = F.col("c")
+    pairs = [(i, j) for i in range(len(scores)) for j in range(i, len(scores))]
+    sums = [F.sum(c * F.col(f"v{i}")).alias(f"m{i}") for i in range(len(scores))] + [F.sum(c * F.col(f"v{i}") * F.col(f"v{j}")).alias(f"c{i}_{j}") for i, j in pairs]
+    found = {r["y"]: r for r in rows.groupBy("y").agg(F.sum("c").alias("n"), *sums).collect()}
+    if set(found) != {0.0, 1.0}:
         raise ValueError("both classes must be present")
-    area = np.array([rows[1.0][f"m{i}"] for i in range(len(v))])
-    cov = np.zeros((len(v), len(v)))
+    area = np.array([0.5 + found[1.0][f"m{i}"] / found[1.0]["n"] for i in range(len(scores))])
+    cov = np.zeros((len(scores), len(scores)))
     for i, j in pairs:
-        parts = [(rows[y][f"c{i}_{j}"] if rows[y]["n"] > 1 else 0.0) / rows[y]["n"] for y in (0.0, 1.0)]
-        cov[i, j] = cov[j, i] = sum(parts)
+        for r in found.values():
+            n = r["n"]
+            cov[i, j] += (r[f"c{i}_{j}"] - r[f"m{i}"] * r[f"m{j}"] / n) / (n - 1) / n if n > 1 else 0.0
+        cov[j, i] = cov[i, j]
     return area, cov
 
 

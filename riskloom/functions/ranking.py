@@ -1,8 +1,9 @@
 """Prefix sums over an ordered column, and what is read off them: rank curve, equal-mass bins, lift and gains.
 
-A window over all rows in one order would end in one task. Here rows are dealt into buckets by approximate quantiles of
-the order column, totals before each bucket come from one small aggregate, and windows run inside buckets. The bucket
-is a function of the value alone, so no frame has to be stored for ids to agree.
+A window over all rows in one order would end in one task. Here rows are range-partitioned by the order, its ties
+included, and written once with the number of their partition; totals of earlier partitions come from one small
+aggregate, and windows run inside partitions. Spark samples the ranges, so their number follows the session's shuffle
+partitions and a value that many rows share is split.
 """
 
 from __future__ import annotations
@@ -10,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-BUCKETS = 64
+from riskloom.sources.store import stored
 
 
 def scored(df: DataFrame, y: Column, s: Column, w: Column | None = None, keep: tuple[str, ...] = ()) -> DataFrame:
@@ -18,51 +19,46 @@ def scored(df: DataFrame, y: Column, s: Column, w: Column | None = None, keep: t
     return df.select(y.cast("double").alias("y"), s.cast("double").alias("s"), (F.lit(1.0) if w is None else w.cast("double")).alias("w"), *keep)
 
 
-def running(df: DataFrame, order: str, sums: dict[str, Column], by: tuple[str, ...] = (), ties: tuple[str, ...] = (), descending: bool = False, buckets: int = BUCKETS) -> DataFrame:
-    """Adds inclusive running sums in the order of a numeric column (then of ties) within each group `by`."""
-    cuts = df.agg(F.percentile_approx(order, [i / buckets for i in range(1, buckets)], 100 * buckets)).first()[0] or []
-    bucket = F.lit(0)
-    for c in sorted(set(cuts)):
-        bucket = bucket + (F.col(order) > F.lit(c)).cast("int")
-    if len(set(cuts)) > 12:
-        bucket = F.size(F.filter(F.array(*[F.lit(c) for c in sorted(set(cuts))]), lambda c: c < F.col(order)))
-    way = F.col("_bucket").desc() if descending else F.col("_bucket").asc()
-    dealt = df.withColumn("_bucket", bucket)
-    totals = dealt.groupBy(*by, "_bucket").agg(*[F.sum(c).alias(f"_{n}") for n, c in sums.items()])
-    before = Window.partitionBy(*by).orderBy(way).rowsBetween(Window.unboundedPreceding, -1)  # a row for each bucket
-    totals = totals.select(*by, "_bucket", *[F.coalesce(F.sum(f"_{n}").over(before), F.lit(0)).alias(f"_{n}") for n in sums])
+def running(df: DataFrame, order: str, sums: dict[str, Column], by: tuple[str, ...] = (), ties: tuple[str, ...] = (), descending: bool = False, whole: bool = False) -> DataFrame:
+    """Adds inclusive running sums in the order of a column (then of ties) within each group `by`; with whole, also each sum over the group, as all_<name>."""
     first = F.col(order).desc() if descending else F.col(order).asc()
-    inside = Window.partitionBy(*by, "_bucket").orderBy(first, *ties).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    out = dealt.join(totals, [*by, "_bucket"])
-    return out.select(*df.columns, *[(F.col(f"_{n}") + F.sum(c).over(inside)).alias(n) for n, c in sums.items()])
+    keys = [*by, first, *ties, "_nth"]
+    dealt = df.select("*", F.monotonically_increasing_id().alias("_nth")).repartitionByRange(*keys)
+    dealt = stored(dealt.withColumn("_part", F.spark_partition_id()), "ranges")
+    totals = dealt.groupBy(*by, "_part").agg(*[F.sum(c).alias(f"_{n}") for n, c in sums.items()])
+    group = Window.partitionBy(*by)  # a row for each partition and group
+    before = group.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    ends = [F.sum(f"_{n}").over(group).alias(f"all_{n}") for n in sums] if whole else []
+    totals = totals.select(*[F.col(c).alias(f"_of_{c}") for c in by], F.col("_part").alias("_of"), *[F.coalesce(F.sum(f"_{n}").over(before), F.lit(0)).alias(f"_{n}") for n in sums], *ends)
+    inside = Window.partitionBy(*by, "_part").orderBy(first, *ties, "_nth").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    same = F.col("_part") == F.col("_of")
+    for c in by:
+        same = same & F.col(c).eqNullSafe(F.col(f"_of_{c}"))
+    out = dealt.join(totals, same)
+    return out.select(*df.columns, *[(F.col(f"_{n}") + F.sum(c).over(inside)).alias(n) for n, c in sums.items()], *([f"all_{n}" for n in sums] if whole else []))
 
 
 def rank_curve(frame: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
-    """A row for each distinct score: masses p and n of events and others, and their running sums cp and cn."""
+    """A row for each distinct score: masses p and n of events and others, their running sums cp and cn, and totals all_cp and all_cn."""
     masses = frame.groupBy(*by, "s").agg(F.sum(F.col("w") * F.col("y")).alias("p"), F.sum(F.col("w") * (1 - F.col("y"))).alias("n"))
-    return running(masses, "s", {"cp": F.col("p"), "cn": F.col("n")}, by)
+    return running(masses, "s", {"cp": F.col("p"), "cn": F.col("n")}, by, whole=True)
 
 
 def discrimination(frame: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
     """auc, gini, ks and the smallest score that attains ks, for each group; null where a class is missing."""
-    curve = rank_curve(frame, by)
-    totals = curve.groupBy(*by).agg(F.sum("p").alias("tp"), F.sum("n").alias("tn"))
-    joined = curve.join(totals, list(by)) if by else curve.crossJoin(F.broadcast(totals))  # one row
-    gap = F.abs(F.col("cp") / F.col("tp") - F.col("cn") / F.col("tn"))
-    both = (F.first("tp") > 0) & (F.first("tn") > 0)
-    area = F.sum(F.col("p") * (F.col("cn") - F.col("n") / 2)) / (F.first("tp") * F.first("tn"))
+    curve = rank_curve(frame, by).filter("all_cp > 0 and all_cn > 0")
+    gap = F.abs(F.col("cp") / F.col("all_cp") - F.col("cn") / F.col("all_cn"))
+    area = F.sum(F.col("p") * (F.col("cn") - F.col("n") / 2)) / (F.first("all_cp") * F.first("all_cn"))
     top = F.max(F.struct(gap.alias("gap"), (-F.col("s")).alias("minus")))
-    out = joined.filter("tp > 0 and tn > 0").groupBy(*by).agg(F.when(both, area).alias("auc"), top["gap"].alias("ks"), (-top["minus"]).alias("ks_at"))
+    out = curve.groupBy(*by).agg(area.alias("auc"), top["gap"].alias("ks"), (-top["minus"]).alias("ks_at"))
     return out.select(*by, "auc", (2 * F.col("auc") - 1).alias("gini"), "ks", "ks_at")
 
 
 def mass_bins(frame: DataFrame, n_bins: int, ties: tuple[str, ...] = (), descending: bool = False, by: tuple[str, ...] = ()) -> DataFrame:
     """Adds bin: floor(weight before the row * n_bins / all weight + 1e-12), so bins hold equal mass."""
-    totals = frame.groupBy(*by).agg(F.sum("w").alias("_all"))
-    ranked = running(frame, "s", {"cw": F.col("w")}, by, ties, descending)
-    joined = ranked.join(totals, list(by)) if by else ranked.crossJoin(F.broadcast(totals))  # one row
-    share = (F.col("cw") - F.col("w")) * F.lit(float(n_bins)) / F.col("_all") + F.lit(1e-12)
-    return joined.withColumn("bin", F.least(F.floor(share).cast("int"), F.lit(n_bins - 1))).drop("_all")
+    ranked = running(frame, "s", {"cw": F.col("w")}, by, ties, descending, whole=True)
+    share = (F.col("cw") - F.col("w")) * F.lit(float(n_bins)) / F.col("all_cw") + F.lit(1e-12)
+    return ranked.withColumn("bin", F.least(F.floor(share).cast("int"), F.lit(n_bins - 1))).drop("all_cw")
 
 
 def calibration_bins(frame: DataFrame, n_bins: int = 10, ties: tuple[str, ...] = (), by: tuple[str, ...] = ()) -> DataFrame:
@@ -82,22 +78,22 @@ def lift_bins(frame: DataFrame, n_deciles: int = 10, ties: tuple[str, ...] = ())
 
 def gains(frame: DataFrame, ties: tuple[str, ...] = ()) -> DataFrame:
     """A point for each row and the origin: share of rows taken and share of events captured, from the highest score."""
-    totals = frame.agg(F.sum("w").alias("tw"), F.sum(F.col("w") * F.col("y")).alias("te"))
-    ranked = running(frame, "s", {"cw": F.col("w"), "ce": F.col("w") * F.col("y")}, (), ties, True)
-    points = ranked.crossJoin(F.broadcast(totals)).select((F.col("cw") / F.col("tw")).alias("share"), F.when(F.col("te") > 0, F.col("ce") / F.col("te")).otherwise(float("nan")).alias("captured"))
-    return points.unionByName(totals.select(F.lit(0.0).alias("share"), F.lit(0.0).alias("captured")))
+    ranked = running(frame, "s", {"cw": F.col("w"), "ce": F.col("w") * F.col("y")}, (), ties, True, whole=True)
+    points = ranked.select((F.col("cw") / F.col("all_cw")).alias("share"), F.when(F.col("all_ce") > 0, F.col("ce") / F.col("all_ce")).otherwise(float("nan")).alias("captured"))
+    origin = frame.sparkSession.range(1).select(F.lit(0.0).alias("share"), F.lit(0.0).alias("captured"))
+    return points.unionByName(origin)
 
 
-def stability(reference: DataFrame, current: DataFrame, edges: list[float]) -> DataFrame:
-    """bin, shares of both frames in [a, b) and the bin's part of the population stability index."""
+def stability(reference: DataFrame, current: DataFrame, edges: list[float], eps: float = 1e-6) -> DataFrame:
+    """bin, shares of both frames (of s and w) in [a, b), eps at least, and the bin's part of the population stability index."""
     at = F.lit(0)
     for e in edges:
         at = at + (F.col("s") >= F.lit(float(e))).cast("int")
-    both = reference.select("s", F.lit(1).alias("old")).unionByName(current.select("s", F.lit(0).alias("old")))
-    rows = both.groupBy(at.alias("bin")).agg(F.sum("old").alias("o"), F.sum(1 - F.col("old")).alias("c"))
+    both = reference.select("s", F.col("w").alias("o"), F.lit(0.0).alias("c")).unionByName(current.select("s", F.lit(0.0).alias("o"), F.col("w").alias("c")))
+    rows = both.groupBy(at.alias("bin")).agg(F.sum("o").alias("o"), F.sum("c").alias("c"))
     bins = reference.sparkSession.range(len(edges) + 1).select(F.col("id").cast("int").alias("bin"))
     rows = bins.join(rows, "bin", "left").fillna(0)
     every = Window.partitionBy(F.lit(1))  # a row for each bin
-    share = lambda c: F.greatest(F.col(c) / F.sum(c).over(every), F.lit(1e-6))
+    share = lambda c: F.greatest(F.col(c) / F.sum(c).over(every), F.lit(eps))
     rows = rows.select("bin", share("o").alias("reference"), share("c").alias("current"))
     return rows.withColumn("part", (F.col("current") - F.col("reference")) * F.log(F.col("current") / F.col("reference")))

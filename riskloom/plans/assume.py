@@ -17,6 +17,7 @@ from riskloom.functions.special import chi2_tail
 from riskloom.operators.binning import BinningResult
 from riskloom.plans.factor import dependent, design, factors
 from riskloom.plans.solve import INTERCEPT, AssumptionError, Solution
+from riskloom.sources.store import discard, stored
 from riskloom.values import Logistic, SquaredError
 
 HARD, SOFT, INFO = "HARD", "SOFT", "INFO"
@@ -117,17 +118,15 @@ def homoscedastic(sol: Solution, df: DataFrame, w):
     return p >= 0.05, f"Breusch-Pagan {lm:.4g}, p = {p:.4g}", lm
 
 
-def durbin_watson(sol: Solution, df: DataFrame, order_by: tuple[str, ...], buckets: int = 64) -> float:
-    """Sum of squared first differences of the residuals in an order, over their sum of squares. Rows are dealt by ranges of the first order column; each range adds its own differences and the step from the range before it."""
-    first = order_by[0]
-    key = F.col(first).cast("timestamp").cast("double") if dict(df.dtypes)[first].startswith(("date", "timestamp")) else F.col(first).cast("double")
-    rows = df.select(*order_by, (F.col(sol.spec.target).cast("double") - sol.eta()).alias("_e"), key.alias("_k"))
-    cuts = sorted(set(rows.agg(F.percentile_approx("_k", [i / buckets for i in range(1, buckets)], 100 * buckets)).first()[0] or []))
-    rows = rows.withColumn("_b", F.size(F.filter(F.array(*[F.lit(c) for c in cuts]), lambda c: c < F.col("_k"))) if cuts else F.lit(0))
-    inside = Window.partitionBy("_b").orderBy(*order_by)
-    step = F.col("_e") - F.lag("_e").over(inside)
-    at = F.struct(*order_by)
-    parts = rows.withColumn("_d", step * step).groupBy("_b").agg(F.sum("_d").alias("d"), F.sum(F.col("_e") * F.col("_e")).alias("s"), F.min_by("_e", at).alias("first"), F.max_by("_e", at).alias("last")).orderBy("_b").collect()
+def durbin_watson(sol: Solution, df: DataFrame, order_by: tuple[str, ...]) -> float:
+    """Sum of squared first differences of the residuals in an order, over their sum of squares. Rows are range-partitioned by the order and written once; each range adds its own differences and the step from the range before it."""
+    rows = df.select(*order_by, (F.col(sol.spec.target).cast("double") - sol.eta()).alias("_e"), F.monotonically_increasing_id().alias("_nth"))
+    keys = [*order_by, "_nth"]
+    rows = stored(rows.repartitionByRange(*keys).withColumn("_part", F.spark_partition_id()), "residuals")
+    step = F.col("_e") - F.lag("_e").over(Window.partitionBy("_part").orderBy(*keys))
+    at = F.struct(*keys)
+    parts = rows.withColumn("_d", step * step).groupBy("_part").agg(F.sum("_d").alias("d"), F.sum(F.col("_e") * F.col("_e")).alias("s"), F.min_by("_e", at).alias("first"), F.max_by("_e", at).alias("last")).orderBy("_part").collect()  # a row for each partition
+    discard(rows)
     total = sum(r.d or 0.0 for r in parts) + sum((b["first"] - a["last"]) ** 2 for a, b in zip(parts, parts[1:]))
     return total / sum(r.s for r in parts)
 
