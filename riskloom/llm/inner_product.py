@@ -1,32 +1,40 @@
 """Exact top-k search by inner product over norm-sorted vectors with SVD-rotated partial sums.
 
-Queries are cut into blocks and candidates dealt into parts; each block meets each part in one group. There candidates
-go by descending length: a query is done when its length times the next candidate's can't reach its k-th score. For the
-rest the first rotated components give a partial sum, and the lengths of what remains bound the other components
-(Cauchy-Schwarz); only candidates whose bound reaches the k-th score get an exact integer product. The rotation comes
+Candidates are dealt once, by falling length, into bands. Every query first meets the band of the longest candidates;
+its k-th score there and its own length bound the length that a better candidate must have (Cauchy-Schwarz), so it goes
+on only to bands whose longest vector reaches that. A task holds the vectors of one band, and the queries stream past.
+Within a band candidates go by descending length: a query is done when its length times the next candidate's can't reach
+its k-th score. For the rest the first rotated components give a partial sum, and the lengths of what remains bound the
+other components; only candidates whose bound reaches the k-th score get an exact integer product. The rotation comes
 from the singular vectors of at most `fit_rows` candidates; it moves work, never results.
 
 Rows: vectors that are null or hold null, NaN or infinite components take no part; vectors meet only those of their own
-dimension; empty vectors score 0; equal scores go to the smaller id; repeated equal rows count once; a null id takes no
-part; a query whose candidates are fewer than k returns them all; extra columns are ignored. Components are expected
+dimension; empty vectors score 0; equal scores go to the smaller id; repeated rows are candidates each, but one
+query; different query rows that share an id share its k results; a null id takes no part; a query whose candidates are
+fewer than k returns them all; an empty table gives an empty table; extra columns are ignored. Components are expected
 below 2**31 after scaling, so that products fit 64 bits.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-QUERY_BLOCK, PART_ROWS = 1024, 8192
+from riskloom.llm.common import materialize, shuffle_partitions
+
+#: Vectors of a band, and the number of bands above which bands hold more instead.
+PART_ROWS, MOST_BANDS = 8192, 20_000
 
 
 def scaled(vectors: DataFrame, id_col: str, vector_col: str, scale: int) -> DataFrame:
     """id and vec: floor(scale * x) of every component; only vectors that are whole and finite."""
     sound = F.forall(vector_col, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
     whole = F.transform(vector_col, lambda x: F.floor(F.lit(float(scale)) * x.cast("double")).cast("bigint"))
-    return vectors.filter(F.col(id_col).isNotNull() & F.col(vector_col).isNotNull() & sound).select(F.col(id_col).cast("bigint").alias("id"), whole.alias("vec")).dropDuplicates()
+    return vectors.filter(F.col(id_col).isNotNull() & F.col(vector_col).isNotNull() & sound).select(F.col(id_col).cast("bigint").alias("id"), whole.alias("vec"))
 
 
 def rotations(vectors: DataFrame, fit_rows: int) -> dict[int, np.ndarray]:
@@ -38,13 +46,12 @@ def rotations(vectors: DataFrame, fit_rows: int) -> dict[int, np.ndarray]:
     return {d: np.linalg.svd(np.array(v, float), full_matrices=True)[2].T for d, v in by_dim.items() if d}
 
 
-def matrix(column: pa.ChunkedArray, n: int) -> np.ndarray:
-    flat = pa.concat_arrays([c.flatten() for c in column.chunks]).to_numpy() if column.num_chunks else np.zeros(0, np.int64)
-    return flat.reshape(n, -1) if n else np.zeros((0, 0), np.int64)
+def matrix(column: pa.Array, dim: int) -> np.ndarray:
+    return column.flatten().to_numpy().reshape(len(column), dim)
 
 
-def search(q_ids: np.ndarray, q: np.ndarray, c_ids: np.ndarray, c: np.ndarray, rotation: np.ndarray | None, k: int, exclude_own: bool, block: int = 512) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(query's place, candidate id, score) of the k best candidates of each query."""
+def search(q_ids: np.ndarray, q: np.ndarray, c_ids: np.ndarray, c: np.ndarray, rotation: np.ndarray | None, k: int, exclude_own: bool, start: np.ndarray | None = None, block: int = 512) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(query's place, candidate id, score) of the k best candidates of each query. start: scores that each query needs at least."""
     dim = q.shape[1]
     head = max(1, dim // 4)
     turn = (lambda x: x.astype(float) @ rotation) if rotation is not None else lambda x: x.astype(float)
@@ -54,7 +61,7 @@ def search(q_ids: np.ndarray, q: np.ndarray, c_ids: np.ndarray, c: np.ndarray, r
     c, c_ids, rc, norm_c = c[order], c_ids[order], rc[order], norm_c[order]
     rest_c, rest_q = np.sqrt((rc[:, head:] ** 2).sum(1)), np.sqrt((rq[:, head:] ** 2).sum(1))
     small = max(np.abs(q).max(initial=0), 1) * max(np.abs(c).max(initial=0), 1) * max(dim, 1) < 2**53
-    kth = np.full(len(q), -np.inf)
+    kth = np.full(len(q), -np.inf) if start is None else start.copy()
     best = (np.zeros(0, np.int64),) * 3
     for at in range(0, len(c), block):
         slack = 1e-9 * norm_q * norm_c[at] + 1e-6
@@ -80,33 +87,57 @@ def search(q_ids: np.ndarray, q: np.ndarray, c_ids: np.ndarray, c: np.ndarray, r
         top = nth < k
         best = who[top], found[top], score[top]
         last = nth == k - 1
-        kth[who[last]] = score[last]
+        kth[who[last]] = np.maximum(kth[who[last]], score[last])
     return best
 
 
-def top_k(queries: DataFrame, candidates: DataFrame, k: int, exclude_own: bool = True, fit_rows: int = 4096, query_block: int = QUERY_BLOCK, part_rows: int = PART_ROWS) -> DataFrame:
+def meet(asked: DataFrame, bands: DataFrame, turns, k: int, exclude_own: bool) -> DataFrame:
+    """query, query_id, vec_id, score: the k best of each query in each band that it goes to. asked: query, id, vec, dim, band, kth."""
+    columns = ["dim", "band", "query", "id", "vec", "kth"]
+    held = bands.select("dim", "band", F.lit(None).cast("bigint").alias("query"), "id", "vec", F.lit(None).cast("double").alias("kth"))
+    rows = held.unionByName(asked.select(*columns)).repartition(max(1, shuffle_partitions(asked.sparkSession)), "dim", "band")
+    rows = rows.sortWithinPartitions("dim", "band", F.asc_nulls_first("query"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, ids, vectors = None, [], []
+        for batch in batches:
+            place = np.stack([batch["dim"].to_numpy(), batch["band"].to_numpy(), np.asarray(batch["query"].is_null())], 1)
+            cuts = [0, *(np.flatnonzero((place[1:] != place[:-1]).any(1)) + 1).tolist(), len(place)] if len(place) else [0]
+            for a, b in zip(cuts[:-1], cuts[1:]):
+                dim, band, is_candidate = place[a].tolist()
+                part = batch.slice(a, b - a)
+                own, x = part["id"].to_numpy(), matrix(part["vec"], dim)
+                if (dim, band) != at:
+                    at, ids, vectors = (dim, band), [], []
+                if is_candidate:
+                    ids.append(own)
+                    vectors.append(x)
+                elif ids:
+                    ids, vectors = [np.concatenate(ids)], [np.concatenate(vectors)]
+                    start = np.nan_to_num(part["kth"].to_numpy(zero_copy_only=False).astype(float), nan=-np.inf)
+                    who, found, score = search(own, x, ids[0], vectors[0], turns.value.get(dim), k, exclude_own, start)
+                    yield pa.record_batch([part["query"].take(pa.array(who)), pa.array(own[who], pa.int64()), pa.array(found, pa.int64()), pa.array(score, pa.int64())], ["query", "query_id", "vec_id", "score"])
+
+    return rows.mapInArrow(run, "query bigint, query_id bigint, vec_id bigint, score bigint")
+
+
+def top_k(queries: DataFrame, candidates: DataFrame, k: int, exclude_own: bool = True, fit_rows: int = 4096, part_rows: int = PART_ROWS) -> DataFrame:
     """query_id, rank (from 1), vec_id, score. Both inputs: id and vec, as scaled() makes them."""
-    turns = candidates.sparkSession.sparkContext.broadcast(rotations(candidates, fit_rows))
-    blocks = max(1, -(-queries.count() // query_block))
-    parts = max(1, -(-candidates.count() // part_rows))
-    deal = lambda n: F.pmod(F.xxhash64("id"), F.lit(n)).cast("int")
-    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    sides = [side.withColumn("dim", F.size("vec")).withColumn("asks", F.lit(asks)) for side, asks in ((queries, True), (candidates, False))]
-    both = sides[0].withColumn("block", deal(blocks)).withColumn("part", every(parts)).unionByName(sides[1].withColumn("part", deal(parts)).withColumn("block", every(blocks)))
-
-    def meet(rows: pa.Table) -> pa.Table:
-        asks = rows["asks"].to_numpy()
-        q_rows, c_rows = rows.filter(pa.array(asks)), rows.filter(pa.array(~asks))
-        q_ids, c_ids = q_rows["id"].to_numpy(), c_rows["id"].to_numpy()
-        dim = rows["dim"][0].as_py()
-        if len(q_ids) and len(c_ids):
-            q, c = (matrix(x["vec"], len(x)) for x in (q_rows, c_rows))
-            who, found, score = search(q_ids, q, c_ids, c, turns.value.get(dim), k, exclude_own)
-        else:
-            who = found = score = np.zeros(0, np.int64)
-        return pa.table({"query_id": q_ids[who], "vec_id": found, "score": score})
-
-    found = both.groupBy("block", "part", "dim").applyInArrow(meet, "query_id bigint, vec_id bigint, score bigint")
+    length = F.sqrt(F.aggregate("vec", F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double")))
+    sized = lambda rows: rows.select("id", "vec", F.size("vec").alias("dim"), length.alias("norm"))
+    plain = materialize(sized(candidates), "vectors")
+    n = max(1, min(MOST_BANDS, -(-plain.count() // part_rows)))
+    bands = materialize(plain.repartitionByRange(n, "dim", F.desc("norm"), "id").withColumn("band", F.spark_partition_id()), "bands")
+    turns = bands.sparkSession.sparkContext.broadcast(rotations(plain, fit_rows))
+    tops = bands.groupBy("dim", "band").agg(F.max("norm").alias("top"))
+    first = tops.groupBy("dim").agg(F.min("band").alias("band"))
+    asked = materialize(sized(queries).distinct().withColumn("query", F.monotonically_increasing_id()), "queries")
+    begun = asked.join(F.broadcast(first), "dim").withColumn("kth", F.lit(None).cast("double"))  # at most MOST_BANDS rows and one for each dimension
+    near = materialize(meet(begun, bands.join(F.broadcast(first), ["dim", "band"], "left_semi"), turns, k, exclude_own), "first-band")
+    kth = near.groupBy("query").agg(F.when(F.count("*") >= k, F.min("score")).cast("double").alias("kth"))
+    others = tops.join(first, ["dim", "band"], "left_anti")
+    reach = F.col("kth").isNull() | (F.col("norm") * F.col("top") * (1 + 1e-9) + 1e-6 >= F.col("kth"))
+    going = asked.join(kth, "query", "left").join(F.broadcast(others), "dim").filter(reach)
+    far = meet(going, bands.join(F.broadcast(first), ["dim", "band"], "left_anti"), turns, k, exclude_own)
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return found.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
-
+    return near.unionByName(far).withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

@@ -26,7 +26,7 @@ def test_blocks_ties_and_odd_vectors(spark):
     odd = [(7000, None), (7010, [1.0, None]), (7020, [float("nan")] * 6), (7030, [float("inf")] * 6), (None, [1.0] * 6), (0, rows[0][1])]
     frame = spark.createDataFrame([(i, v and [x if x is None else float(x) for x in v], "x") for i, v in [*rows[:-1], (6000, []), *odd]], "vec_id bigint, embedding array<float>, vec string")
     v = ip.scaled(frame, "vec_id", "embedding", 1)
-    got = ip.top_k(v.filter("id % 10 = 0"), v, 5, query_block=7, part_rows=50).collect()
+    got = ip.top_k(v.filter("id % 10 = 0"), v, 5, part_rows=50).collect()
     assert sorted(map(tuple, got)) == brute(rows, 5, 10)
     assert ip.top_k(v.limit(0), v.limit(0), 5).count() == 0
 
@@ -42,3 +42,23 @@ def test_pruning_keeps_results():
     for q in range(50):
         best = sorted((-s, j) for j, s in enumerate(exact[q].tolist()))[:5]
         assert [(-s, j) for j, s in zip(found[who == q].tolist(), score[who == q].tolist())] == best
+
+
+def test_bands_that_cannot_reach_are_not_visited(spark, monkeypatch):
+    """Lengths that fall from band to band: a query goes on to few bands, and every candidate is in one band."""
+    rng = np.random.default_rng(1)
+    x = rng.normal(size=(3000, 8)) * np.geomspace(1000, 1, 3000)[:, None]
+    rows = [(i, [float(v) for v in np.floor(r)]) for i, r in enumerate(x)]
+    frame = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>")
+    v, asked = ip.scaled(frame, "vec_id", "embedding", 1), []
+    plain = ip.meet
+    monkeypatch.setattr(ip, "meet", lambda a, *rest: asked.append(a.count()) or plain(a, *rest))
+    got = ip.top_k(v.filter("id % 100 = 0"), v, 5, part_rows=100).collect()
+    assert sorted(map(tuple, got)) == brute([(i, [int(a) for a in r]) for i, r in rows], 5, 100)
+    assert asked[0] == 30 and asked[1] < 0.4 * 30 * 29
+
+
+def test_repeated_rows_are_candidates_each(spark):
+    frame = spark.createDataFrame([(0, [1.0, 2.0]), (1, [3.0, 1.0]), (1, [3.0, 1.0]), (3, [0.0, 1.0])], "vec_id bigint, embedding array<double>")
+    v = ip.scaled(frame, "vec_id", "embedding", 1)
+    assert sorted(map(tuple, ip.top_k(v.filter("id = 0"), v, 5).collect())) == [(0, 1, 1, 5), (0, 2, 1, 5), (0, 3, 3, 2)]
