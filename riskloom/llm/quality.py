@@ -5,12 +5,15 @@ Every line is good or bad. The potential of a line's label comes from features o
 from a transition matrix. Forward-backward gives each line's marginal; their mean, weighted by line length, is the
 document's value, which a logistic curve fitted on the same labelled rows maps to a score.
 
-Training maximises the likelihood of labelled documents all of whose lines bear the document's label. It uses at most
-`fit_rows` labelled rows, drawn by hash of the id, balanced by label; the driver gets their line features only, for at
-most `fit_lines` lines of a training document (evenly spread). Scores always read whole texts and all lines.
-
-Rows: null and empty texts are one empty line; labels that are null are never learned from; repeated rows get repeated
-results; extra columns are ignored; without labels of both kinds every score is the share of label 1 (1 without any).
+Training maximises the likelihood of labelled documents all of whose lines bear the document's label. It uses a bounded
+sample of labelled rows: about `fit_rows`, drawn by hash of the id, balanced by label, and of these, in the order of the
+draw, as many as have `fit_lines` lines together. Every line of a drawn row is learned from; the driver gets line
+features only. Scores always read whole texts and all lines.
+
+Rows: null and empty texts are one empty line; very long texts are chains that are swept in blocks; labels that are null
+are never learned from; repeated rows get repeated results and are learned from once; rows that share an id are scored
+each by its own text; an empty table gives an empty table; extra columns are ignored; without labels of both kinds every
+score is the share of label 1 (1 without any).
 """
 
 from __future__ import annotations
@@ -93,32 +96,61 @@ def with_neighbours(own: np.ndarray, doc: np.ndarray) -> np.ndarray:
     return np.concatenate([own, before, after], 1)
 
 
-def forward_backward(unary: np.ndarray, sizes: np.ndarray, transition: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(P(good) of each line, summed pair marginals of each document, log normaliser of each document) of chains laid end to end. unary: score of `good` against `bad`, whose score is 0."""
-    n, longest = len(sizes), int(sizes.max())
+def sweep(emit: np.ndarray, starts: np.ndarray, sizes: np.ndarray, transition: np.ndarray, before: np.ndarray | None, out: np.ndarray) -> None:
+    """Forward messages of pieces of chains into out; before: the message ahead of every piece, None where pieces begin chains."""
     order = np.argsort(-sizes, kind="stable")
-    start = (np.cumsum(sizes) - sizes)[order]
-    live = np.searchsorted(-sizes[order], -np.arange(longest), "left")  # chains longer than t
-    emit = np.stack([np.zeros_like(unary), unary], 1)
-    forward, backward, log_z = np.zeros((len(unary), 2)), np.zeros((len(unary), 2)), np.zeros(n)
-    state = None
+    start, longest = starts[order], int(sizes.max(initial=0))
+    live = np.searchsorted(-sizes[order], -np.arange(longest), "left")  # pieces longer than t
+    state = None if before is None else np.broadcast_to(before, (len(sizes), 2))
     for t in range(longest):
         k = live[t]
         at = start[:k] + t
-        state = emit[at] if t == 0 else emit[at] + np.logaddexp(state[:k, :1] + transition[0], state[:k, 1:] + transition[1])
-        forward[at] = state
-    tail = start + sizes[order] - 1
-    log_z[order] = np.logaddexp(forward[tail, 0], forward[tail, 1])
-    pairs = np.zeros((n, 2, 2))
-    for t in range(longest - 2, -1, -1):
-        k = live[t + 1]
-        at = start[:k] + t
-        ahead = backward[at + 1] + emit[at + 1]
-        backward[at] = np.logaddexp(transition[:, 0] + ahead[:, :1], transition[:, 1] + ahead[:, 1:])
-        joint = forward[at][:, :, None] + transition + ahead[:, None, :] - log_z[order[:k], None, None]
-        pairs[order[:k]] += np.exp(joint)
+        state = emit[at] if state is None else emit[at] + np.logaddexp(state[:k, :1] + transition[0], state[:k, 1:] + transition[1])
+        out[at] = state
+
+
+def forward(emit: np.ndarray, sizes: np.ndarray, transition: np.ndarray, block: int = 1024) -> np.ndarray:
+    """Forward messages of chains laid end to end. Chains are cut into blocks that are swept side by side, from both labels, and then joined one after another, so a long chain takes few steps."""
+    cuts = -(-sizes // block)
+    chain = np.repeat(np.arange(len(sizes)), cuts)
+    nth = np.arange(len(chain)) - np.repeat(np.cumsum(cuts) - cuts, cuts)
+    starts = (np.cumsum(sizes) - sizes)[chain] + nth * block
+    lengths = np.minimum(block, sizes[chain] - nth * block)
+    out = np.empty_like(emit)
+    lead = nth == 0
+    sweep(emit, starts[lead], lengths[lead], transition, None, out)
+    if lead.all():
+        return out
+    sides = []
+    for one in ([0.0, -np.inf], [-np.inf, 0.0]):
+        sides.append(np.empty_like(emit))
+        sweep(emit, starts[~lead], lengths[~lead], transition, np.array([one]), sides[-1])
+    by_nth = np.argsort(nth, kind="stable")
+    ends = np.searchsorted(nth[by_nth], np.arange(nth.max() + 2))
+    for i in range(1, nth.max() + 1):
+        own = by_nth[ends[i] : ends[i + 1]]
+        n = lengths[own]
+        at = np.arange(n.sum()) + np.repeat(starts[own] - (np.cumsum(n) - n), n)
+        last = np.repeat(out[starts[own] - 1], n, 0)
+        out[at] = np.logaddexp(last[:, :1] + sides[0][at], last[:, 1:] + sides[1][at])
+    return out
+
+
+def forward_backward(unary: np.ndarray, sizes: np.ndarray, transition: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(P(good) of each line, summed pair marginals of each document, log normaliser of each document) of chains laid end to end. unary: score of `good` against `bad`, whose score is 0."""
+    emit = np.stack([np.zeros_like(unary), unary], 1)
+    ahead = forward(emit, sizes, transition)
+    back = forward(emit[::-1], sizes[::-1], transition.T)[::-1]  # with the line's own score
+    tail = np.cumsum(sizes) - 1
+    log_z = np.logaddexp(ahead[tail, 0], ahead[tail, 1])
     z = np.repeat(log_z, sizes)
-    return np.exp(forward[:, 1] + backward[:, 1] - z), pairs, log_z
+    inner = np.ones(len(unary), bool)
+    inner[tail] = False
+    at = np.flatnonzero(inner)
+    joint = np.exp(ahead[at][:, :, None] + transition + back[at + 1][:, None, :] - z[at, None, None])
+    doc = np.repeat(np.arange(len(sizes)), sizes)[at]
+    pairs = np.stack([np.bincount(doc, joint[:, i, j], len(sizes)) for i in (0, 1) for j in (0, 1)], 1).reshape(-1, 2, 2)
+    return np.exp(ahead[:, 1] + back[:, 1] - unary - z), pairs, log_z
 
 
 @dataclass(frozen=True)
@@ -176,7 +208,7 @@ def line_table(batch_text: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray
     return with_neighbours(own_features(data, begins, ends), doc), np.bincount(doc, minlength=len(offsets) - 1), ends - begins
 
 
-def learn(docs: DataFrame, labels: DataFrame, fit_rows: int = 4000, fit_lines: int = 200) -> LineModel | float:
+def learn(docs: DataFrame, labels: DataFrame, fit_rows: int = 4000, fit_lines: int = 400_000) -> LineModel | float:
     """Fits to the texts of docs (id, text) that labels (id, label) name; a share of label 1 where there are no two kinds. The rows are drawn from the labels, so at most 2 * fit_rows ids are broadcast to the texts."""
     short_batches(docs.sparkSession)
     usable = labels.filter("label in (0, 1) and id is not null")
@@ -186,27 +218,33 @@ def learn(docs: DataFrame, labels: DataFrame, fit_rows: int = 4000, fit_lines: i
         return prior
     draw = F.pmod(F.xxhash64("id", F.lit(23)), F.lit(1 << 20)) / float(1 << 20)
     drawn = usable.filter(draw < F.when(F.col("label") == 1, 0.5 * fit_rows / counts[1]).otherwise(0.5 * fit_rows / counts[0]))
-    drawn = drawn.select(F.col("id").alias("_id"), draw.alias("draw"), F.col("label").cast("int").alias("label")).limit(2 * fit_rows)
-    chosen = docs.join(F.broadcast(drawn), F.col("id") == F.col("_id"))
+    drawn = drawn.select(F.col("id").alias("_id"), draw.alias("draw"), F.col("label").cast("int").alias("label")).orderBy("draw", "_id", "label").limit(2 * fit_rows)
+    texts = docs.select("id", F.coalesce("text", F.lit("")).alias("text"))
+    texts = texts.select("id", "text", F.xxhash64("text").alias("hash"))
+    chosen = texts.join(F.broadcast(drawn), F.col("id") == F.col("_id"))
+    sizes = chosen.select("draw", "id", "hash", "label", (F.length("text") - F.length(F.replace("text", F.lit("\n"), F.lit(""))) + 1).alias("n"))
+    picked, lines = {}, 0
+    for r in sizes.orderBy("draw", "id", "hash", "label").limit(2 * fit_rows).collect():
+        if (r.id, r.hash) not in picked and lines + r.n <= fit_lines:
+            picked[r.id, r.hash] = (r.draw, r.label)
+            lines += r.n
+    if len({label for _, label in picked.values()}) < 2:
+        return prior
+    known = docs.sparkSession.createDataFrame([(i, h, d, x) for (i, h), (d, x) in picked.items()], "_id bigint, _hash bigint, draw double, label int")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, 256, 4 << 20):
             columns, sizes, lengths = line_table(batch["text"])
-            out, size, at = [], [], 0
-            for n in sizes.tolist():
-                keep = at + (np.arange(n) if n <= fit_lines else np.linspace(0, n - 1, fit_lines).astype(int))
-                out.append(columns[keep].astype(np.int16).tobytes())
-                size.append(lengths[keep].astype(np.int64).tobytes())
-                at += n
-            yield pa.record_batch([batch["draw"], batch["label"], pa.array(out, pa.binary()), pa.array(size, pa.binary())], ["draw", "label", "columns", "lengths"])
-
-    rows = chosen.select("draw", "label", F.coalesce("text", F.lit("")).alias("text"))
-    held = sorted(rows.mapInArrow(run, "draw double, label int, columns binary, lengths binary").limit(2 * fit_rows).collect())
+            ends = np.cumsum(sizes).tolist()
+            parts = [slice(a, b) for a, b in zip([0, *ends], ends)]
+            features = [pa.array([x[p].astype(kind).tobytes() for p in parts], pa.binary()) for x, kind in ((columns, np.int16), (lengths, np.int64))]
+            yield pa.record_batch([batch["draw"], batch["id"], batch["label"], *features], ["draw", "id", "label", "columns", "lengths"])
+
+    rows = texts.join(F.broadcast(known), (F.col("id") == F.col("_id")) & (F.col("hash") == F.col("_hash"))).select("draw", "id", "hash", "label", "text").dropDuplicates(["id", "hash"])
+    held = sorted(rows.select("draw", "id", "label", "text").mapInArrow(run, "draw double, id bigint, label int, columns binary, lengths binary").collect())
     lengths = [np.frombuffer(r.lengths, np.int64) for r in held]
     columns = np.frombuffer(b"".join(r.columns for r in held), np.int16).reshape(sum(map(len, lengths)), -1)
     labels = np.array([r.label for r in held])
-    if len(set(labels.tolist())) < 2:
-        return prior
     return fit(columns.astype(np.int64), np.array([len(x) for x in lengths]), np.concatenate(lengths), labels, prior)
 
 
