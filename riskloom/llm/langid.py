@@ -7,10 +7,12 @@ landmark texts, and one kernel ridge regression for each language against the re
 texts is scored by matrix products: presence matrix, landmarks, regression weights (the last two are multiplied once).
 
 The model learns from at most `per_class` labelled rows of each language, drawn by hash of the id; that bound is the
-only one, and texts are always read whole. Languages with fewer than `least` labelled rows aren't learned.
+only one, and texts are always read whole. Every language with a labelled row is learned.
 
-Rows: a text that is null or has no letter gets `und` with score 0; a language that is null is never learned from;
-repeated rows get repeated results; extra columns are ignored; without any labelled row every text gets `und`.
+Rows: a text that is null or has no letter gets `und` with score 0; a language that is null is never learned from; of
+equal shares the language that sorts first is taken; very long texts are a presence vector like others, in a batch of
+their own; repeated rows get repeated results; an empty table gives an empty table; extra columns are ignored; without
+any labelled row every text gets `und`.
 """
 
 from __future__ import annotations
@@ -18,7 +20,6 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -104,22 +105,23 @@ def fit(present: np.ndarray, labels: list[str], landmarks: int = 192, ridge: flo
     return LanguageModel(languages, (marks.T @ (to_map @ solved)).astype(np.float32), (middle - centre @ solved).astype(np.float32))
 
 
-def learn(labelled: DataFrame, per_class: int = 600, least: int = 5) -> LanguageModel | None:
+def learn(labelled: DataFrame, per_class: int = 600) -> LanguageModel | None:
     """Fits to rows (id, text, lang) by at most per_class rows of each language; the driver gets their presence bits."""
     usable = labelled.filter("lang is not null and text is not null")
-    counts = {r["lang"]: r["count"] for r in usable.groupBy("lang").count().filter(F.col("count") >= least).collect()}
+    counts = usable.groupBy("lang").agg(F.count("*").alias("n")).collect()  # a row for each language
     if not counts:
         return None
+    sizes = F.broadcast(labelled.sparkSession.createDataFrame(counts, "lang string, n bigint"))
     draw = F.pmod(F.xxhash64("id", F.lit(17)), F.lit(1 << 20)) / float(1 << 20)
-    rule = reduce(lambda c, x: c | ((F.col("lang") == x[0]) & (draw < 1.5 * per_class / x[1])), counts.items(), F.lit(False))
+    chosen = usable.join(sizes, "lang").filter(draw < 1.5 * per_class / F.col("n"))
 
     def bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, 256, 4 << 20):
             rows = np.packbits(presence(batch["text"].to_pylist()), axis=1)
             yield pa.record_batch([batch["draw"], batch["lang"], pa.array([r.tobytes() for r in rows], pa.binary())], ["draw", "lang", "bits"])
 
-    drawn = usable.filter(rule).select(draw.alias("draw"), "lang", "text").mapInArrow(bits, "draw double, lang string, bits binary")
-    rows = sorted(drawn.limit(2 * per_class * len(counts)).collect())
+    drawn = chosen.select(draw.alias("draw"), "lang", "text").mapInArrow(bits, "draw double, lang string, bits binary")
+    rows = drawn.orderBy("draw", "lang", "bits").limit(2 * per_class * len(counts)).collect()
     held: dict[str, list[bytes]] = {}
     for _, lang, packed in rows:
         held.setdefault(lang, []).append(packed)
