@@ -6,8 +6,9 @@ match is a match of entire texts: the whole document against whole licenses, and
 All of it is DataFrame operations; nothing leaves the JVM.
 
 Rows: a null text counts as empty, which matches nothing; equal canonical texts in the catalogue go to the licence that
-sorts first; repeated rows get repeated results, and so do rows that share id and text; extra columns are ignored; an
-empty catalogue matches nothing.
+sorts first; repeated rows get repeated results; rows that share an id are judged each by its own text; very long texts
+are judged whole; extra columns are ignored, also one named like a result; an empty table gives an empty table; an empty
+catalogue matches nothing. Lines are matched within their row, so nothing is shuffled.
 """
 
 from __future__ import annotations
@@ -62,6 +63,8 @@ MORE_NOTICES = [
     *((x, f"This work is licensed under the GNU {kind} Public License, version {v}{later}.") for x, kind, v in GNU for later in ("", ", or any later version", " or later") if later or x not in ("GPL-2.0", "GPL-3.0")),
     *((f"MPL-{v}", f"{how} under the Mozilla Public License, {word} {v}.") for v in ("1.1", "2.0") for how in ("Licensed", "Released") for word in ("version", "v.")),
 ]
+#: Entries of a catalogue, which is broadcast.
+MOST = 50_000
 CAPITALS, SMALL = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -86,18 +89,20 @@ def digests(spark: SparkSession, rows: list[tuple[str, str]], name: str) -> Data
 
 
 def scan(docs: DataFrame, texts: list[tuple[str, str]] = TEXTS + LONG_TEXTS, notices: list[tuple[str, str]] = NOTICES + MORE_NOTICES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id column, digest, license (of the whole text, or null), notices (licences of whole lines, sorted), notice_lines."""
+    """id column, digest, license (of the whole text, or null), notices (licences of whole lines, sorted), notice_lines. The catalogue is checked to have at most MOST entries and broadcast."""
+    if len(texts) + len(notices) > MOST:
+        raise ValueError(f"the catalogue has over {MOST} entries")
     spark = docs.sparkSession
+    named = {r.digest: r.notice for r in digests(spark, notices, "notice").collect()} if notices else {}
+    digest = lambda text: F.sha2(canonical(text), 256)
     rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    keyed = rows.select(F.xxhash64("id", "text").alias("row"), "id", "text")
-    lines = keyed.select("row", "id", F.explode(F.split("text", "\n")).alias("line")).filter(F.length("line") > 0)
-    hits = lines.select("row", F.sha2(canonical(F.col("line")), 256).alias("digest")).join(digests(spark, notices, "notice"), "digest")
-    per_row = hits.groupBy("row", "notice").agg(F.count("*").alias("n")).groupBy("row").agg(F.array_sort(F.collect_list("notice")).alias("notices"), F.sum("n").alias("n"))
-    copies = keyed.groupBy("row").agg(F.count("*").alias("copies"))
-    per_row = per_row.join(copies, "row").select("row", "notices", (F.col("n") / F.col("copies")).cast("bigint").alias("notice_lines"))
-    whole = keyed.select("row", "id", F.sha2(canonical(F.col("text")), 256).alias("digest"))
-    out = whole.join(digests(spark, texts, "license"), "digest", "left").join(per_row, "row", "left")
-    return out.select(F.col("id").alias(id_col), "digest", "license", F.coalesce("notices", F.array().cast("array<string>")).alias("notices"), F.coalesce("notice_lines", F.lit(0).cast("bigint")).alias("notice_lines"))
+    lines = F.transform(F.filter(F.split("text", "\n"), lambda x: F.length(x) > 0), digest)
+    hits = F.filter(lines, lambda d: d.isin(list(named)))  # a set of digests, looked up by hash
+    whole = rows.select("id", digest(F.col("text")).alias("digest"), hits.alias("hits"))
+    names = F.create_map(*[F.lit(x) for pair in named.items() for x in pair]) if named else F.create_map().cast("map<string,string>")
+    out = whole.join(F.broadcast(digests(spark, texts, "license")), "digest", "left")
+    found = F.array_sort(F.array_distinct(F.transform("hits", lambda d: F.try_element_at(names, d))))
+    return out.select(F.col("id").alias(id_col), "digest", "license", found.alias("notices"), F.size("hits").cast("bigint").alias("notice_lines"))
 
 
 def scan_sql() -> str:
