@@ -13,9 +13,12 @@ about one for each 60 bytes, are shuffled, by the hash of their anchor:
    An anchor with more than `hot_spans` distinct spans is dealt out window by window, by the content of the window;
 4. the repeated windows go back to their documents, which lose every byte that such a window covers.
 
+Rows are told apart by 128 bits of hashes of id and text, runs by 64 bits each of their anchor and their content.
+
 Rows: a null text counts as empty; texts of fewer than SPAN bytes keep every byte; the same row given twice counts as
-two documents, whose windows repeat each other; a null id is kept; extra columns are ignored; bytes, not characters, are
-removed, so `kept` is binary.
+two documents, whose windows repeat each other; rows that share an id are documents each; a null id is kept; very long
+texts are sampled in parts of `chunk` bytes that share SPAN - 1; an empty table gives an empty table; extra columns are
+ignored; bytes, not characters, are removed, so `kept` is binary.
 """
 
 from __future__ import annotations
@@ -99,15 +102,15 @@ def sample(docs: DataFrame, span: int, gram: int, chunk: int) -> DataFrame:
         roller = Roller(gram, 2 * chunk + span)
         for batch in slices(batches, 4096, chunk):
             data, offsets = utf8(batch["text"])
-            ids = batch["row"].to_numpy()
+            ids = batch["row"]
             for doc, lo, part, cuts in cut_long(data, offsets, span, chunk):
                 d, anchor, at, n = runs(part, cuts, roller, span)
                 raw = part.tobytes()
                 content = np.fromiter((xxhash.xxh3_64_intdigest(raw[a:b]) for a, b in zip(at.tolist(), (at + n + span - 1).tolist())), np.uint64, len(at))
                 place = at - cuts[d] + lo
-                yield pa.record_batch([pa.array(ids[doc + d]), pa.array(anchor.view(np.int64)), pa.array(content.view(np.int64)), pa.array(place), pa.array(n.astype(np.int32))], ["row", "anchor", "content", "place", "n"])
+                yield pa.record_batch([ids.take(pa.array(doc + d)), pa.array(anchor.view(np.int64)), pa.array(content.view(np.int64)), pa.array(place), pa.array(n.astype(np.int32))], ["row", "anchor", "content", "place", "n"])
 
-    return docs.select("row", "text").mapInArrow(run, "row bigint, anchor bigint, content bigint, place bigint, n int")
+    return docs.select("row", "text").mapInArrow(run, "row struct<a: bigint, b: bigint>, anchor bigint, content bigint, place bigint, n int")
 
 
 def cut_long(data: np.ndarray, offsets: np.ndarray, span: int, chunk: int) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
@@ -262,7 +265,8 @@ def drop_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     short_batches(docs.sparkSession)
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), carried(docs, keep))
-    rows = rows.select(F.xxhash64("id", "text").alias("row"), "id", "text", "carried")
+    key = F.struct(F.xxhash64("id", "text").alias("a"), F.xxhash64(F.lit(1), "text", "id").alias("b"))  # 128 bits
+    rows = rows.select(key.alias("row"), "id", "text", "carried")
     found = materialize(sample(rows, span, gram, chunk), "runs")
     repeated = materialize(found.groupBy("anchor").agg(F.count("*").alias("c")).filter("c > 1").select("anchor"), "anchors")
     found = materialize(found.join(repeated, "anchor", "left_semi"), "repeated-runs")
