@@ -73,6 +73,26 @@ def test_twins_among_documents_of_one_template(spark):
     assert sorted(map(tuple, m.classes(spark.createDataFrame(docs, "doc_id bigint, text string")).collect())) == want
 
 
+def test_share_of_twins_found_in_large_buckets(spark):
+    """300 pairs of twins (0.9) among documents of one template (0.74), whose buckets are split before all in them are compared."""
+    rng = random.Random(8)
+    base, docs = [f"w{i}" for i in range(1200)], []
+    for i in range(300):
+        shared = dict.fromkeys(rng.sample(range(1200), 12), f"s{i}")
+        docs += [(j, " ".join((shared | dict.fromkeys(rng.sample(range(1200), 6), f"o{j}")).get(at, w) for at, w in enumerate(base))) for j in (i, 1000 + i)]
+    got = dict(map(tuple, m.classes(spark.createDataFrame(docs, "doc_id bigint, text string")).collect()))
+    assert sum(got[i] == got[1000 + i] for i in range(300)) >= 0.95 * 300
+    assert len(set(got.values())) >= 290  # and unlike ones stay apart
+
+
+def test_a_large_cluster_of_near_copies(spark):
+    """20,000 near copies of one text, each with its own words, meet in tasks of bounded size."""
+    base = " ".join(f"w{i}" for i in range(60))
+    docs = spark.range(20_000).selectExpr("id AS doc_id", f"concat('{base}', ' own', id) AS text")
+    rows = m.classes(docs).groupBy("class_id").count().collect()
+    assert [(r["class_id"], r["count"]) for r in rows] == [(0, 20_000)]
+
+
 def test_signatures_estimate_weighted_similarity():
     rng = np.random.default_rng(1)
     dart = m.DartMinHash(512)
