@@ -372,6 +372,13 @@ def lambda_path(spark, sf_dir):
     return rounded(rl.lambda_path(rl.linear("price", ["q", "d", "x"], penalty=rl.l1(1)), model_frame(spark, sf_dir), 20).to_df(spark))
 
 
+@query("lambda_path_1d", f"""{FRAME}, c AS (SELECT stddev_pop(q) AS sd, covar_pop(q, price) / stddev_pop(q) AS r, avg(q) AS mx, avg(price) AS my FROM m),
+l AS (SELECT abs(r) * pow(0.001::DOUBLE, CAST(k AS DOUBLE) / 9) AS lam, c.* FROM c, range(10) x(k)), b AS (SELECT lam, sign(r) * greatest(abs(r) - lam, 0) / sd AS b, mx, my FROM l)
+SELECT round(lam, 6) AS lambda, '(Intercept)' AS term, round(my - b * mx, 6) AS coefficient FROM b UNION ALL SELECT round(lam, 6), 'q', round(b, 6) FROM b""")
+def lambda_path_1d(spark, sf_dir):
+    return rounded(rl.lambda_path(rl.linear("price", "q", penalty=rl.l1(1)), model_frame(spark, sf_dir), 10).to_df(spark))
+
+
 @query("bootstrap_ci")
 def bootstrap_ci(spark, sf_dir):
     df = model_frame(spark, sf_dir)
@@ -430,6 +437,23 @@ def cross_validation(spark, sf_dir):
     return rounded(made.summary(spark))
 
 
+FOLDS = f"""WITH m AS ({MODEL_FRAME}), z AS (SELECT min(t) AS t0 FROM m), f AS (SELECT CAST(k AS INT) AS fold, t0 + 365 * (1 + k) * INTERVAL 1 DAY AS e FROM z, range(2) r(k)),
+a AS (SELECT fold, any_value(e) AS e, count(*) AS n_train, regr_slope(price, q) AS b, regr_intercept(price, q) AS c, stddev_pop(q) AS sd, covar_pop(q, price) / stddev_pop(q) AS r, avg(q) AS mx, avg(price) AS my FROM m, f WHERE t <= e GROUP BY fold)"""
+
+
+@query("cross_validation_1d", FOLDS + " SELECT fold, any_value(n_train) AS n_train, count(*) AS n_valid, 'mean_squared' AS metric, round(avg((price - c - b * q) ** 2), 6) AS value FROM m, a WHERE t > e AND t <= e + INTERVAL 365 DAY GROUP BY fold")
+def cross_validation_1d(spark, sf_dir):
+    return rounded(rl.cross_validate(rl.linear("price", "q"), model_frame(spark, sf_dir), rl.expanding_window("t", 2, "365 days", min_train="365 days"), {"mean_squared": mean_squared}).summary(spark))
+
+
+@query("tune_curve_1d", FOLDS + """, p AS (SELECT a.*, lam, sign(r) * greatest(abs(r) - lam, 0) / sd AS slope FROM a, (VALUES (0.001::DOUBLE), (0.004::DOUBLE), (5.0::DOUBLE)) l(lam)),
+v AS (SELECT lam, fold, avg((price - my - slope * (q - mx)) ** 2) AS mse FROM m, p WHERE t > e AND t <= e + INTERVAL 365 DAY GROUP BY lam, fold), g AS (SELECT lam, avg(mse) AS mean, stddev_samp(mse) AS sd FROM v GROUP BY lam)
+SELECT CAST(row_number() OVER (ORDER BY lam) - 1 AS INT) AS point, round(mean, 6) AS metric_mean, round(sd, 6) AS metric_sd, mean = min(mean) OVER () AS chosen FROM g""")
+def tune_curve_1d(spark, sf_dir):
+    made = rl.tune(lambda lam: rl.linear("price", "q", penalty=rl.l1(lam)), {"lam": [0.001, 0.004, 5.0]}, model_frame(spark, sf_dir), rl.expanding_window("t", 2, "365 days", min_train="365 days"), mean_squared, direction="min")
+    return rounded(made.curve_df(spark).drop("params"))
+
+
 # Reports
 
 GROUP_SQL = " SELECT {by}, count(*) AS n_obs, CAST(sum(y) AS BIGINT) AS n_events, round(any_value(auc), 6) AS auc, round(any_value(ks), 6) AS ks, round(avg((y - s) ** 2), 6) AS brier, round(avg(s), 6) AS mean_p FROM m JOIN (SELECT {by}, sum(p * (cn - n / 2)) / any_value(tp * tn) AS auc, max(abs(cp / tp - cn / tn)) AS ks FROM r GROUP BY {by}) USING ({by}) GROUP BY {by}"
@@ -453,6 +477,16 @@ def perf_report(spark, sf_dir):
     return rounded(reports.performance(sol, df, reference=df, ties=TIES).to_df(spark))
 
 
+@query("perf_figures", FRAME + FLAT + mass(UP) + """, x AS (SELECT sum(p * (cn - n / 2)) / any_value(tp * tn) AS auc, max(abs(cp / tp - cn / tn)) AS ks FROM r), e AS (SELECT sum(k * abs(ob - pr)) / sum(k) AS ece FROM (SELECT avg(s) AS pr, avg(y) AS ob, count(*) AS k FROM b GROUP BY bin)),
+d AS (SELECT count(*)::DOUBLE AS n_obs, sum(y)::DOUBLE AS n_events, avg((y - s) ** 2) AS brier, avg(-(y * ln(least(greatest(s, 1e-12::DOUBLE), 1 - 1e-12::DOUBLE)) + (1 - y) * ln(1 - least(greatest(s, 1e-12::DOUBLE), 1 - 1e-12::DOUBLE)))) AS log_loss, avg(s) AS mean, median(s) AS median, min(s) AS least, max(s) AS largest FROM m),
+w AS (SELECT * FROM d, x, e)
+SELECT figure, round(value, 6) AS value FROM (SELECT 'n_obs' AS figure, n_obs AS value FROM w UNION ALL SELECT 'n_events', n_events FROM w UNION ALL SELECT 'auc', auc FROM w UNION ALL SELECT 'gini', 2 * auc - 1 FROM w UNION ALL SELECT 'ks', ks FROM w UNION ALL SELECT 'brier', brier FROM w UNION ALL SELECT 'log_loss', log_loss FROM w UNION ALL SELECT 'ece', ece FROM w UNION ALL SELECT 'mean', mean FROM w UNION ALL SELECT 'median', median FROM w UNION ALL SELECT 'least', least FROM w UNION ALL SELECT 'largest', largest FROM w)""")
+def perf_figures(spark, sf_dir):
+    """The figures of a report on a score column that have a closed form in SQL."""
+    out = reports.performance_of(scores(spark, sf_dir, False, "s", *TIES), ties=TIES).to_df(spark)
+    return rounded(out.filter(~F.col("figure").isin("ks_at", "cohens_d", "slope", "intercept")))
+
+
 @query("compare_models")
 def compare_models(spark, sf_dir):
     df = model_frame(spark, sf_dir)

@@ -164,6 +164,20 @@ def supported(sol: Solution, df: DataFrame, train: DataFrame):
     return worst <= 0.05, f"share outside the training range {worst:.4f}", worst
 
 
+def independence(order_by: tuple[str, ...]) -> Callable:
+    """Durbin-Watson figures from 1.5 to 2.5 pass."""
+
+    def check(sol: Solution, df: DataFrame, w):
+        d = durbin_watson(sol, df, order_by)
+        return 1.5 <= d <= 2.5, f"Durbin-Watson {d:.4g} in the order of {', '.join(order_by)}", d
+
+    return check
+
+
+def support(train: DataFrame) -> Callable:
+    return lambda sol, df, w: supported(sol, df, train)
+
+
 def events_in_bins(result: BinningResult):
     low = min(min(result.events), min(result.others))
     return low >= 1, f"fewest events or non-events in a bin: {low:g}", low
@@ -270,6 +284,12 @@ class AssumptionReport:
         return html_table(("check", "severity", "result", "message"), [(r.name, r.severity, "passed" if r.passed else "failed", r.message) for r in self.results])
 
 
-def check_assumptions(sol: Solution, df: DataFrame, *, weights: str | None = None, classical_inference: bool = True) -> AssumptionReport:
-    return AssumptionReport(run_assumptions(sol, df, weights, "ignore", (), classical_inference))
+def check_assumptions(sol: Solution, df: DataFrame, *, weights: str | None = None, classical_inference: bool = True, order_by: tuple[str, ...] = (), train: DataFrame | None = None) -> AssumptionReport:
+    """All checks of a fit. order_by: columns of a row order, in which squared-error fits are also checked for Independence; train: the rows that the model learned from, whose ranges are compared with those of df."""
+    results = run_assumptions(sol, df, weights, "ignore", (), classical_inference)
+    if order_by and classical_inference and isinstance(sol.spec.loss, SquaredError):
+        results += (Assumption("Independence", INFO, independence(order_by))(sol, df, weights),)
+    if train is not None:
+        results += (Assumption("SupportContainsPredictData", SOFT, support(train))(sol, df, weights),)
+    return AssumptionReport(results)
 

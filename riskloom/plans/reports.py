@@ -101,18 +101,52 @@ def grouped(frame: DataFrame, by: str) -> DataFrame:
     """n_obs, n_events, auc, ks, brier, log_loss, mean_p of each value of a column of a frame of y, s, w; all groups in the same jobs."""
     w = F.col("w")
     flat = frame.groupBy(by).agg(F.count("*").alias("n_obs"), F.sum((F.col("y") == 1).cast("bigint")).alias("n_events"), (F.sum(w * m.brier_column()) / F.sum(w)).alias("brier"), (F.sum(w * m.log_loss_column()) / F.sum(w)).alias("log_loss"), (F.sum(w * F.col("s")) / F.sum(w)).alias("mean_p"))
-    ranks = ranking.discrimination(frame, (by,)).select(by, "auc", "ks")
-    return flat.join(ranks, by, "left").select(by, "n_obs", "n_events", "auc", "ks", "brier", "log_loss", "mean_p")
+    ranks = ranking.discrimination(frame, (by,)).select(F.col(by).alias("_by"), "auc", "ks")
+    return flat.join(ranks, F.col(by).eqNullSafe(F.col("_by")), "left").select(by, "n_obs", "n_events", "auc", "ks", "brier", "log_loss", "mean_p")
 
 
-def performance_by_segment(sol: Solution, df: DataFrame, by: str, *, weights: str | None = None, strict: bool = True) -> DataFrame:
-    """A row for each segment. A segment with one class raises if strict, else has null auc and ks."""
-    out = grouped(m.frame_of(sol, df, weights, (by,)), by)
+def shift_from(reference, sol: Solution, frame: DataFrame, by: str, psi_bins: int) -> DataFrame:
+    """by and psi: the population stability index of each group's scores against the reference."""
+    old = reference_scores(reference, sol)
+    edges = m.psi_edges(old, psi_bins)
+    at = reduce(lambda c, e: c + (F.col("s") >= F.lit(float(e))).cast("int"), edges, F.lit(0)).alias("bin")
+    shares = {r.bin: r.n for r in old.groupBy(at).agg(F.count("*").alias("n")).collect()}
+    total = sum(shares.values())
+    bins = [max(shares.get(i, 0) / total, 1e-6) for i in range(len(edges) + 1)]
+    counts = frame.withColumn("bin", at).groupBy(by).agg(F.count("*").alias("n"), *[F.sum((F.col("bin") == i).cast("int")).alias(f"b{i}") for i in range(len(bins))])
+    part = lambda i: (F.greatest(F.col(f"b{i}") / F.col("n"), F.lit(1e-6)) - F.lit(bins[i])) * F.log(F.greatest(F.col(f"b{i}") / F.col("n"), F.lit(1e-6)) / F.lit(bins[i]))
+    return counts.select(by, reduce(lambda a, b: a + b, [part(i) for i in range(len(bins))]).alias("psi"))
+
+
+def performance_by_segment(sol: Solution, df: DataFrame, by: str, *, weights: str | None = None, strict: bool = True, reference=None, psi_bins: int = 10, aggregate: bool = False) -> DataFrame:
+    """A row for each segment, with psi if there is a reference. A segment with one class raises if strict, else has null auc and ks. aggregate: a row over all segments, whose segment is null, comes with them."""
+    frame = m.frame_of(sol, df, weights, (by,))
+    if aggregate:
+        kind = frame.schema[by].dataType
+        frame = frame.unionByName(frame.withColumn(by, F.lit(None).cast(kind)))
+    out = grouped(frame, by)
+    if reference is not None:
+        out = out.join(shift_from(reference, sol, frame, by, psi_bins).withColumnRenamed(by, "_by"), F.col(by).eqNullSafe(F.col("_by"))).drop("_by")
     if strict and (bad := [str(r[0]) for r in out.filter("auc is null").select(by).limit(5).collect()]):
         raise ValueError(f"one class only in {', '.join(bad)}")
     return out
 
 
+def report_by_segment(sol: Solution, df: DataFrame, by: str, **options) -> dict[object, Performance]:
+    """A full report of each segment, for few segments: at most 100."""
+    keys = [r[0] for r in df.select(by).distinct().limit(101).collect()]
+    if len(keys) > 100:
+        raise ValueError("over 100 segments; performance_by_segment has no such limit")
+    return {k: performance(sol, df.filter(F.col(by).eqNullSafe(F.lit(k))), **options) for k in sorted(keys, key=str)}
+
+
+def report_over_time(sol: Solution, df: DataFrame, splitter: Splitter, **options) -> dict[int, Performance]:
+    """A full report of each validation window that has rows."""
+    rows = windows(df, splitter)
+    found = [r[0] for r in rows.select("window").distinct().orderBy("window").collect()]  # a row for each window
+    return {k: performance(sol, rows.filter(F.col("window") == k).drop("window"), **options) for k in found}
+
+
 def windows(df: DataFrame, splitter: Splitter) -> DataFrame:
     """The validation rows of a splitter with their window's number."""
     return splitter.assign(df).filter("role = 'valid'").drop("role").withColumnRenamed("fold", "window")
@@ -127,15 +161,7 @@ def performance_over_time(sol: Solution, df: DataFrame, splitter: Splitter, *, r
     out = span.select("window", middle.alias("middle")).join(grouped(frame, "window"), "window")
     if reference is None:
         return out
-    old = reference_scores(reference, sol)
-    edges = m.psi_edges(old, psi_bins)
-    at = reduce(lambda c, e: c + (F.col("s") >= F.lit(float(e))).cast("int"), edges, F.lit(0)).alias("bin")
-    shares = {r.bin: r.n for r in old.groupBy(at).agg(F.count("*").alias("n")).collect()}
-    total = sum(shares.values())
-    bins = [max(shares.get(i, 0) / total, 1e-6) for i in range(len(edges) + 1)]
-    counts = frame.withColumn("bin", at).groupBy("window").agg(F.count("*").alias("n"), *[F.sum((F.col("bin") == i).cast("int")).alias(f"b{i}") for i in range(len(bins))])
-    part = lambda i: (F.greatest(F.col(f"b{i}") / F.col("n"), F.lit(1e-6)) - F.lit(bins[i])) * F.log(F.greatest(F.col(f"b{i}") / F.col("n"), F.lit(1e-6)) / F.lit(bins[i]))
-    return out.join(counts.select("window", reduce(lambda a, b: a + b, [part(i) for i in range(len(bins))]).alias("psi")), "window")
+    return out.join(shift_from(reference, sol, frame, "window", psi_bins), "window")
 
 
 @dataclass(frozen=True)
@@ -146,6 +172,14 @@ class Comparison:
     def to_df(self, spark) -> DataFrame:
         return spark.createDataFrame([(n, k, float(v)) for n, r in self.reports.items() for k, v in r.figures().items()], "model string, figure string, value double")
 
+    def __str__(self) -> str:
+        names = list(self.reports)
+        width = max(12, *map(len, names)) + 4
+        lines = ["".join([f"{'':<12}", *(f"{n:>{width}}" for n in names)])]
+        lines += ["".join([f"{k:<12}", *(f"{r.figures().get(k, math.nan):>{width}.6g}" for r in self.reports.values())]) for k in self.reports[names[0]].figures()]
+        lines += ["".join([f"{'p ' + a:<12}", *(f"{p:>{width}.4g}" for p in row)]) for a, row in zip(names, self.p_values)]
+        return "\n".join(lines)
+
     def _repr_html_(self) -> str:
         names = list(self.reports)
         figures = html_table(("figure", *names), [(k, *(r.figures().get(k, math.nan) for r in self.reports.values())) for k in self.reports[names[0]].figures()])

@@ -200,3 +200,50 @@ def test_splits_and_validation(spark):
     with pytest.raises(LeakageError):
         rl.cross_validate(rl.linear("y", "x0", loss=rl.logistic(timedelta(days=90))), df, rl.expanding_window("t", 2, "100 days"), rl.auc)
     assert len(rl.over_time(rl.auc, made.solution, df, rl.expanding_window("t", 2, "150 days"))) == 2
+
+
+def test_psi_weights_and_least_share(spark):
+    old = spark.createDataFrame([(0.1, 1.0), (0.1, 1.0), (0.6, 2.0)], "prediction double, w double")
+    new = spark.createDataFrame([(0.1, 3.0), (0.6, 1.0)], "prediction double, w double")
+    weighted = rl.psi(old, new, bins=[0, 0.5, 1], weights_reference="w", weights_current="w")
+    assert abs(weighted.value - (0.25 * np.log(0.75 / 0.5) + (-0.25) * np.log(0.25 / 0.5))) < 1e-12
+    only = new.filter("prediction < 0.5")
+    for eps in (1e-6, 1e-3):
+        assert abs(rl.psi(old, only, bins=[0, 0.5, 1], eps=eps).value - ((1 - 2 / 3) * np.log(1.5) + (eps - 1 / 3) * np.log(eps * 3))) < 1e-9
+    with pytest.raises(ValueError):
+        rl.psi(old, new.withColumn("w", -F.col("w")), bins=[0, 0.5, 1], weights_current="w")
+
+
+def test_segments_with_reference_and_aggregate(spark):
+    rng = np.random.default_rng(2)
+    pdf = pd.DataFrame({"x": rng.normal(size=400), "seg": ["a", "b"] * 200})
+    pdf["y"] = (rng.random(400) < 1 / (1 + np.exp(-pdf.x))).astype(float)
+    df = spark.createDataFrame(pdf)
+    sol = rl.solve(rl.linear("y", "x", loss=rl.logistic()), df, on_violation="ignore")
+    rows = {r.seg: r for r in rl.performance_by_segment(sol, df, "seg", reference=df, aggregate=True).collect()}
+    assert set(rows) == {None, "a", "b"} and rows[None].n_obs == 400 and abs(rows[None].psi) < 1e-12
+    assert abs(rows[None].auc - rl.auc(sol, df).value) < 1e-12 and rows["a"].psi > 0
+    reports = rl.report_by_segment(sol, df, "seg")
+    assert abs(reports["b"].auc - rows["b"].auc) < 1e-12 and reports["a"].n_obs == 200
+
+
+def test_checks_of_order_and_support(spark):
+    pdf = pd.DataFrame({"t": range(200), "x": np.linspace(0, 1, 200), "z": np.cos(np.arange(200.0))})
+    pdf["y"] = pdf.x + np.sin(np.arange(200) / 20)
+    df = spark.createDataFrame(pdf)
+    sol = rl.solve(rl.linear("y", ["x", "z"]), df, on_violation="ignore")
+    found = {r.name: r.passed for r in rl.check_assumptions(sol, df, order_by=("t",), train=df.filter("x < 0.5")).results}
+    assert not found["Independence"] and not found["SupportContainsPredictData"]
+    assert {r.name: r.passed for r in rl.check_assumptions(sol, df, train=df).results}["SupportContainsPredictData"]
+
+
+def test_readers(spark, tmp_path):
+    from riskloom.sources import tables
+
+    (tmp_path / "a.csv").write_text("n,name\n1,x\n2,y\n")
+    assert sorted(map(tuple, tables.read_csv(spark, str(tmp_path / "a.csv")).collect())) == [(1, "x"), (2, "y")]
+    (tmp_path / "b.txt").write_text("A11  6\nA12 48\nA13 7\n")
+    rows = tables.read_blank_separated(spark, str(tmp_path / "b.txt"), ["status", "months"], {"status": {"A11": "low", "A12": "high"}}).collect()
+    assert [tuple(r) for r in rows] == [("low", "6"), ("high", "48"), ("A13", "7")]
+    days = tables.with_random_dates(spark.range(500), "day", "2020-01-01", "2020-01-10").selectExpr("min(day) AS a", "max(day) AS b", "count(*) AS n").first()
+    assert (str(days.a), str(days.b), days.n) == ("2020-01-01", "2020-01-10", 500)
