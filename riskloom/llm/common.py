@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -14,6 +15,10 @@ from pyspark.sql.types import StructField, StructType
 from riskloom.sources.store import discard, shared_dir, stored  # noqa: F401
 
 
+#: Gives freed memory of numpy arrays back, where the C library can.
+TRIM = getattr(ctypes.CDLL(None), "malloc_trim", None)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -54,6 +59,8 @@ def slices(batches: Iterator[pa.RecordBatch], rows: int, max_bytes: int = 16 <<
         for at in range(0, batch.num_rows, step):
             yield batch.slice(at, step)
     pa.default_memory_pool().release_unused()  # workers live on; what this task freed goes back
+    if TRIM is not None:
+        TRIM(0)
 
 
 def short_batches(spark: SparkSession, rows: int = 2000) -> None:
