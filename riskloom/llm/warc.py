@@ -8,6 +8,7 @@ its range, bisects its lines, and reads the record by its range in the archive.
 
 Rows: null html is an empty payload; a null url has an empty key; a null page id is stored and is a response only where
 no page with an id has its payload; rows that repeat an id and an equal payload are stored each with the same kind;
+rows that repeat an id under urls of one key are found once each; a very long page is one record, held whole by its task;
 empty tables give empty archives; extra columns are ignored. Files that a lost or repeated task attempt leaves are in no
 index and are never read. Files go through pyarrow's file systems to the shared folder.
 """
@@ -212,19 +213,22 @@ def look_up(wanted: DataFrame, files: list[tuple[list, str]], folder: str) -> Da
     schema = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("record_type", pa.string()), ("refers_to", pa.int64()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("payload", pa.binary())])
     held = wanted.sparkSession.sparkContext.broadcast(files)
 
+    def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.record_batch([pa.array([url_key(u) for u in batch["url"].to_pylist()], pa.string()), batch["page_id"]], ["key", "page_id"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index = CaptureIndex(held.value, folder)
         for batch in slices(batches, 128):
             rows = []
-            for url, page_id in zip(batch["url"].to_pylist(), batch["page_id"].to_pylist()):
-                at = [url_key(url), NO_ID if page_id is None else page_id]
+            for key, page_id in zip(batch["key"].to_pylist(), batch["page_id"].to_pylist()):
+                at = [key, NO_ID if page_id is None else page_id]
                 rows += [index.read(line) for line in index.captures(at, at)]
             yield pa.RecordBatch.from_pylist(rows, schema)
 
     n = shuffle_partitions(wanted.sparkSession)
-    host = F.reverse(F.split(F.regexp_extract(F.coalesce("url", F.lit("")), r"://([^/?#]*)", 1), r"\."))
-    asked = wanted.select("url", F.col("page_id").cast("bigint").alias("page_id")).distinct().withColumn("near", host)
-    return asked.repartitionByRange(n, "near", "url", "page_id").sortWithinPartitions("near", "url").drop("near").mapInArrow(run, fields)
+    asked = wanted.select("url", F.col("page_id").cast("bigint").alias("page_id")).mapInArrow(keys, "key string, page_id bigint").distinct()  # urls of one key are asked for once
+    return asked.repartitionByRange(n, "key", "page_id").sortWithinPartitions("key", "page_id").mapInArrow(run, fields)
 
 
 def archive_and_read(spark: SparkSession, pages: DataFrame, min_bytes: int = 0) -> DataFrame:

@@ -47,3 +47,9 @@ def test_index_over_many_blocks_and_files(spark):
     assert list(index.captures(["zz", 0], ["zz", 5])) == [] and list(index.captures(["", 0], ["", 5])) == []
     got = warc.look_up(frame.select("url", "page_id"), files, folder)
     assert got.count() == 3000 and got.filter("decode(payload, 'utf-8') != concat('p', page_id)").count() == 0
+
+
+def test_a_page_id_under_two_urls_of_one_key(spark):
+    frame = spark.createDataFrame([(1, "http://a.org/x", "one"), (1, "https://a.org/x#part", "two"), (2, "http://a.org/x", "one")], "page_id bigint, url string, html string")
+    out = warc.archive_and_read(spark, frame).collect()
+    assert sorted((r.page_id, r.url, r.record_type, r.payload_bytes) for r in out) == [(1, "http://a.org/x", "response", 3), (1, "https://a.org/x#part", "response", 3), (2, "http://a.org/x", "revisit", 3)]
