@@ -374,9 +374,10 @@ def lambda_path(spark, sf_dir):
 
 @query("lambda_path_1d", f"""{FRAME}, c AS (SELECT stddev_pop(q) AS sd, covar_pop(q, price) / stddev_pop(q) AS r, avg(q) AS mx, avg(price) AS my FROM m),
 l AS (SELECT abs(r) * pow(0.001::DOUBLE, CAST(k AS DOUBLE) / 9) AS lam, c.* FROM c, range(10) x(k)), b AS (SELECT lam, sign(r) * greatest(abs(r) - lam, 0) / sd AS b, mx, my FROM l)
-SELECT round(lam, 6) AS lambda, '(Intercept)' AS term, round(my - b * mx, 6) AS coefficient FROM b UNION ALL SELECT round(lam, 6), 'q', round(b, 6) FROM b""")
+SELECT round(lam, 6) AS lambda, '(Intercept)' AS term, round(my - b * mx, 6) AS coefficient FROM b UNION ALL SELECT round(lam, 6), 'q', round(b, 6) + 0::DOUBLE FROM b""")
 def lambda_path_1d(spark, sf_dir):
-    return rounded(rl.lambda_path(rl.linear("price", "q", penalty=rl.l1(1)), model_frame(spark, sf_dir), 10).to_df(spark))
+    out = rounded(rl.lambda_path(rl.linear("price", "q", penalty=rl.l1(1)), model_frame(spark, sf_dir), 10).to_df(spark))
+    return out.withColumn("coefficient", F.col("coefficient") + 0.0)  # no negative zeros
 
 
 @query("bootstrap_ci")
