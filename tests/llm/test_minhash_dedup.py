@@ -82,7 +82,7 @@ def test_share_of_twins_found_in_large_buckets(spark):
         docs += [(j, " ".join((shared | dict.fromkeys(rng.sample(range(1200), 6), f"o{j}")).get(at, w) for at, w in enumerate(base))) for j in (i, 1000 + i)]
     got = dict(map(tuple, m.classes(spark.createDataFrame(docs, "doc_id bigint, text string")).collect()))
     assert sum(got[i] == got[1000 + i] for i in range(300)) >= 0.95 * 300
-    assert len(set(got.values())) > 60  # brute force finds 102 classes
+    assert len(set(got.values())) <= 102 + 10  # brute force finds 102 classes
 
 
 def test_a_large_cluster_of_near_copies(spark):
