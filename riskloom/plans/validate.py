@@ -293,14 +293,14 @@ def drawn(rng: np.random.Generator, left: np.ndarray, rows_left: int, k: int) ->
 
 
 def bootstrap(sol: Solution, df: DataFrame, n_boot: int = 500, *, stratify: str | None = None, method: str = "pairs", weights: str | None = None, splitter: Splitter | None = None, random_state: int = 0, batch: int = 64) -> BootstrappedSolution:
-    """Refits to rows drawn with replacement: as many as there are, exactly, and exactly so in each stratum. All replicates share each pass over the rows: partitions get multinomial totals from the driver and draw their own rows. method="residual" keeps the rows of x and draws residuals (squared error); method="block" draws whole validation windows of a splitter (squared error)."""
+    """Refits to rows drawn with replacement: as many as there are, exactly, and exactly so in each stratum. All replicates share each pass over the rows: partitions get multinomial totals from the driver and draw their own rows. method="residual" keeps the rows of x and draws residuals (squared error); method="block" draws whole validation windows of a splitter."""
     if method == "block":
         return block_bootstrap(sol, df, n_boot, splitter, weights, random_state)
     if method not in ("pairs", "residual"):
         raise ValueError("method is pairs, residual or block")
     if method == "residual" and isinstance(sol.spec.loss, Logistic):
         raise ValueError("residuals are drawn for squared error only")
-    names, p = list(sol.coefficients), len(sol.columns)
+    p = len(sol.columns)
     rows = design(df, sol.columns, sol.spec.target, weights, F.col(stratify) if stratify else None)
     if method == "residual":
         rows = rows.withColumn("e", F.col("y") - sol_eta(sol))
@@ -322,8 +322,13 @@ def bootstrap(sol: Solution, df: DataFrame, n_boot: int = 500, *, stratify: str
             found += refit(sol, rows, p, centre, scale, {k: v[at : at + batch] for k, v in totals.items()}, counts, random_state + at, method)
     finally:
         rows.unpersist()
+    return gathered(sol, found)
+
+
+def gathered(sol: Solution, found: list) -> BootstrappedSolution:
+    names, n_boot = list(sol.coefficients), len(found)
     good = [b for b in found if b is not None and np.isfinite(b).all()]
-    failures = len(found) - len(good)
+    failures = n_boot - len(good)
     if not good:
         raise RuntimeError("no replicate could be fitted")
     if failures > max(1, 0.05 * n_boot):
@@ -332,13 +337,19 @@ def bootstrap(sol: Solution, df: DataFrame, n_boot: int = 500, *, stratify: str
 
 
 def block_bootstrap(sol: Solution, df: DataFrame, n_boot: int, splitter: Splitter | None, weights: str | None, random_state: int) -> BootstrappedSolution:
-    """One pass gathers a factor for each window; replicates add the cross-products of windows drawn with replacement."""
-    if splitter is None or isinstance(sol.spec.loss, Logistic):
-        raise ValueError("blocks need a splitter and a squared-error fit")
-    rows = splitter.assign(df).filter("role = 'valid'")
-    own = list(factors(design(rows, sol.columns, sol.spec.target, weights, F.col("fold")), len(sol.columns)).values())
-    if len(own) < 2:
-        raise ValueError("two windows with rows at least")
+    """One pass gathers a factor for each window; replicates add the cross-products of windows drawn with replacement. Logistic replicates share passes in which the rows of a window count as often as it is drawn."""
+    if splitter is None:
+        raise ValueError("blocks need a splitter")
+    rows = design(splitter.assign(df).filter("role = 'valid'"), sol.columns, sol.spec.target, weights, F.col("fold")).persist()
+    try:
+        windows = factors(rows, len(sol.columns))
+        if len(windows) < 2:
+            raise ValueError("two windows with rows at least")
+        if isinstance(sol.spec.loss, Logistic):
+            return logistic_blocks(sol, rows, windows, n_boot, random_state)
+    finally:
+        rows.unpersist()
+    own = list(windows.values())
     rng, out = np.random.default_rng(random_state), []
     for _ in range(n_boot):
         chosen = [own[i] for i in rng.integers(0, len(own), len(own))]
@@ -349,6 +360,28 @@ def block_bootstrap(sol: Solution, df: DataFrame, n_boot: int, splitter: Splitte
     return BootstrappedSolution(sol, np.array(out), 0)
 
 
+def logistic_blocks(sol: Solution, rows: DataFrame, windows: dict[str, Factor], n_boot: int, random_state: int, batch: int = 64) -> BootstrappedSolution:
+    rng = np.random.default_rng(random_state)
+    times = rng.multinomial(len(windows), [1 / len(windows)] * len(windows), n_boot)
+    pooled = factors(rows.withColumn("grp", F.lit("")), len(sol.columns))[""]
+    centre, scale = pooled.centred()[2], standardised(pooled)[2]
+    found: list = []
+    for at in range(0, n_boot, batch):
+        totals = {name: times[at : at + batch, i] for i, name in enumerate(sorted(windows))}
+        found += refit(sol, rows, len(sol.columns), centre, scale, totals, {}, random_state + at, "block")
+    return gathered(sol, found)
+
+
+def products(u: np.ndarray, z: np.ndarray) -> np.ndarray:
+    """For each row of u, the sum of the outer products of the rows of z with its weights; in parts of bounded memory."""
+    q = z.shape[1]
+    out = np.zeros((len(u), q * q))
+    for at in range(0, len(z), step := max(1, (1 << 22) // (q * q))):
+        part = z[at : at + step]
+        out += u[:, at : at + step] @ (part[:, :, None] * part[:, None, :]).reshape(len(part), -1)
+    return out
+
+
 def sol_eta(sol: Solution):
     return F.lit(float(sol.coefficients.get(INTERCEPT, 0.0))) + sum((F.element_at("x", i + 1) * F.lit(float(v)) for i, v in enumerate(sol.slopes.values())), F.lit(0.0))
 
@@ -376,23 +409,23 @@ def refit(sol: Solution, rows: DataFrame, p: int, centre: np.ndarray, scale: np.
             out, left, rows_left = np.zeros((n_rep, q * q + 1)), {}, {}
             for b in batches:
                 for name, x, y, w in blocks(b, p):
-                    key = (part, name or "")
-                    left.setdefault(key, totals[key].copy())
-                    k = len(x)
-                    rows_left.setdefault(key, counts[key])
-                    c = drawn(rng, left[key], rows_left[key], k)
-                    rows_left[key] -= k
+                    key, k = (part, name or ""), len(x)
+                    if method == "block":
+                        c = np.repeat(totals[name][:, None], k, 1)
+                    else:
+                        left.setdefault(key, totals[key].copy())
+                        rows_left.setdefault(key, counts[key])
+                        c = drawn(rng, left[key], rows_left[key], k)
+                        rows_left[key] -= k
                     z = np.concatenate([np.ones((k, 1)), (x - centre) / scale], 1)
                     out[:, -1] += c.sum(1)
                     if betas is None:
-                        block = np.concatenate([z, y[:, None]], 1)
-                        out[:, :-1] += (c * w) @ (block[:, :, None] * block[:, None, :]).reshape(k, q * q)
+                        out[:, :-1] += products(c * w, np.concatenate([z, y[:, None]], 1))
                     else:
                         v, t = working_logistic(z @ betas.T, y[:, None])
                         v, t = v.T * c * w, t.T
-                        zz = (z[:, :, None] * z[:, None, :]).reshape(k, -1)
                         gram = np.zeros((n_rep, q, q))
-                        gram[:, :-1, :-1] = (v @ zz).reshape(n_rep, q - 1, q - 1)
+                        gram[:, :-1, :-1] = products(v, z).reshape(n_rep, q - 1, q - 1)
                         gram[:, :-1, -1] = gram[:, -1, :-1] = (v * t) @ z
                         gram[:, -1, -1] = (v * t * t).sum(1)
                         out[:, :-1] += gram.reshape(n_rep, -1)
@@ -427,7 +460,7 @@ def refit(sol: Solution, rows: DataFrame, p: int, centre: np.ndarray, scale: np.
         return np.linalg.solve(f.r[:-1, :-1], f.r[:-1, -1])
 
     if method == "residual":
-        return residual_refit(rows, p, n_rep, seed, one, factor_of, centre, scale)
+        return residual_refit(rows, p, n_rep, seed, one, factor_of, centre, scale, counts)
     live, out = np.ones(n_rep, bool), [None] * n_rep
     for _ in range(60 if is_logistic else 1):
         found = grams(betas if is_logistic else None)
@@ -445,11 +478,33 @@ def refit(sol: Solution, rows: DataFrame, p: int, centre: np.ndarray, scale: np.
     return [None if b is None else np.concatenate([[b[0] - (b[1:] / scale) @ centre], b[1:] / scale]) for b in out]
 
 
-def residual_refit(rows: DataFrame, p: int, n_rep: int, seed: int, one: Callable, factor_of: Callable, centre: np.ndarray, scale: np.ndarray) -> list[np.ndarray | None]:
-    """Fixed rows of x with residuals drawn for each row and replicate from quantiles of all residuals."""
-    mean = rows.agg(F.avg("e")).first()[0]
-    grid = np.array(rows.agg(F.percentile_approx("e", [i / 2000 for i in range(1, 2000)], 20000)).first()[0]) - mean
-    q = p + 2
+#: So many residuals are broadcast; more are joined by their drawn ranks.
+HELD_RESIDUALS = 1_000_000
+
+
+def residual_refit(rows: DataFrame, p: int, n_rep: int, seed: int, one: Callable, factor_of: Callable, centre: np.ndarray, scale: np.ndarray, counts: dict) -> list[np.ndarray | None]:
+    """Fixed rows of x; every row of every replicate draws one of all residuals, less their mean. Up to HELD_RESIDUALS residuals are broadcast; beyond, rows are joined to them by drawn ranks, a shuffle of rows times replicates."""
+    mean, n = rows.agg(F.avg("e"), F.count("*")).first()
+    q, held, source = p + 2, None, rows
+    if n <= HELD_RESIDUALS:
+        held = rows.sparkSession.sparkContext.broadcast(rows.select("e").toArrow()["e"].to_numpy())
+    else:
+        sizes = np.zeros(max(part for part, _ in counts) + 1, np.int64)
+        for (part, _), k in counts.items():
+            sizes[part] += k
+        before = F.array(*[F.lit(int(v)).cast("bigint") for v in np.cumsum(sizes) - sizes])
+        rank = F.element_at(before, F.spark_partition_id() + 1) + F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
+        ranked = rows.withColumn("rank", rank)
+        source = ranked.withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(n_rep - 1)))).withColumn("pick", F.pmod(F.xxhash64("rank", "rep", F.lit(seed)), F.lit(n)))
+        source = source.drop("rank").join(ranked.select(F.col("rank").alias("pick"), F.col("e").alias("drawn")), "pick")
+
+    def add(out: np.ndarray, z: np.ndarray, t: np.ndarray, w: np.ndarray) -> None:
+        gram = np.zeros((len(t), q, q))
+        gram[:, :-1, :-1] = (z * w[:, None]).T @ z
+        gram[:, :-1, -1] = gram[:, -1, :-1] = (t * w) @ z
+        gram[:, -1, -1] = (t * t * w).sum(1)
+        out[:, :-1] += gram.reshape(len(t), -1)
+        out[:, -1] += len(z)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -459,21 +514,19 @@ def residual_refit(rows: DataFrame, p: int, n_rep: int, seed: int, one: Callable
         for b in batches:
             e = b["e"].to_numpy(zero_copy_only=False)
             for _, x, y, w in blocks(b.drop_columns(["grp"]).append_column("grp", pa.array([""] * b.num_rows)), p):
-                z = np.concatenate([np.ones((len(x), 1)), (x - centre) / scale], 1)
-                fitted = y - e
-                t = fitted + grid[rng.integers(0, len(grid), (n_rep, len(x)))]
-                gram = np.zeros((n_rep, q, q))
-                gram[:, :-1, :-1] = (z * w[:, None]).T @ z
-                gram[:, :-1, -1] = gram[:, -1, :-1] = (t * w) @ z
-                gram[:, -1, -1] = (t * t * w).sum(1)
-                out[:, :-1] += gram.reshape(n_rep, -1)
-                out[:, -1] += len(x)
+                z, base = np.concatenate([np.ones((len(x), 1)), (x - centre) / scale], 1), y - e - mean
+                if held is not None:
+                    add(out, z, base + held.value[rng.integers(0, n, (n_rep, len(x)))], w)
+                    continue
+                own, t = b["rep"].to_numpy(zero_copy_only=False), base + b["drawn"].to_numpy(zero_copy_only=False)
+                for r in np.unique(own):
+                    add(out[r : r + 1], z[own == r], t[None, own == r], w[own == r])
         yield pa.record_batch([pa.array(np.arange(n_rep), pa.int32()), pa.array([r.tobytes() for r in out], pa.binary())], ["rep", "g"])
 
     def total(t: pa.Table) -> pa.Table:
         return pa.table({"rep": t["rep"][:1], "g": pa.array([sum(np.frombuffer(x) for x in t["g"].to_pylist()).tobytes()], pa.binary())})
 
-    parts = rows.mapInArrow(run, "rep int, g binary").groupBy("rep").applyInArrow(total, "rep int, g binary").collect()
+    parts = source.mapInArrow(run, "rep int, g binary").groupBy("rep").applyInArrow(total, "rep int, g binary").collect()
     out = []
     for r in sorted(parts, key=lambda r: r.rep):
         f = factor_of(np.frombuffer(r.g))

@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import riskloom as rl
+from riskloom.plans import validate
 from riskloom.plans.factor import dependent
 from riskloom.plans.validate import lambda_max
 
@@ -181,7 +182,7 @@ def test_dependent_columns():
     assert dependent(np.linalg.qr(x, mode="r"), 50) == []
 
 
-def test_bootstrap(spark):
+def test_bootstrap(spark, monkeypatch):
     _, df = frame(spark, 500)
     sol = rl.solve(rl.linear("y", ["x0", "x1"]), df)
     boot = rl.bootstrap(sol, df, 400, random_state=3)
@@ -191,6 +192,9 @@ def test_bootstrap(spark):
         assert (hi - lo) / (2 * 1.96 * sol.std_errors[name]) == pytest.approx(1, abs=0.15)
     res = rl.bootstrap(sol, df, 400, method="residual").coefficient_ci()
     assert (res["x0"][1] - res["x0"][0]) / (2 * 1.96 * sol.std_errors["x0"]) == pytest.approx(1, abs=0.15)
+    monkeypatch.setattr(validate, "HELD_RESIDUALS", 100)  # drawn by a join on ranks
+    res = rl.bootstrap(sol, df, 400, method="residual").coefficient_ci()
+    assert (res["x0"][1] - res["x0"][0]) / (2 * 1.96 * sol.std_errors["x0"]) == pytest.approx(1, abs=0.15)
     block = rl.bootstrap(sol, df, 200, method="block", splitter=rl.rolling_window("t", "20 days", "20 days")).coefficient_ci()
     assert block["x0"][0] < sol.coefficients["x0"] < block["x0"][1] and "x0" in boot._repr_html_() and "x0" in sol._repr_html_()
     band = boot.prediction_ci(df.limit(5)).collect()
@@ -209,3 +213,12 @@ def test_logistic_bootstrap_by_strata(spark):
     for name, (lo, hi) in boot.coefficient_ci().items():
         assert lo < sol.coefficients[name] < hi
         assert (hi - lo) / (2 * 1.96 * sol.std_errors[name]) == pytest.approx(1, abs=0.25)
+    block = rl.bootstrap(sol, df, 60, method="block", splitter=rl.rolling_window("t", "20 days", "20 days"))
+    for name, (lo, hi) in block.coefficient_ci().items():
+        assert lo < sol.coefficients[name] < hi
+
+
+def test_products_in_parts():
+    rng = np.random.default_rng(2)
+    u, z = rng.normal(size=(3, 70)), rng.normal(size=(70, 500))
+    assert np.allclose(validate.products(u, z), np.stack([((z * v[:, None]).T @ z).ravel() for v in u]))
