@@ -106,3 +106,21 @@ def test_signatures_estimate_weighted_similarity():
 def test_shingles_of_long_texts_do_not_depend_on_parts():
     text = np.frombuffer((" ".join(f"w{i % 977}, é{i}" for i in range(3000))).encode(), np.uint8)
     assert (m.Shingler(part=100).hashes(text) == m.Shingler().hashes(text)).all()
+
+
+def test_links_within_small_buckets(spark):
+    """Buckets that run over Arrow batches, sets counted in several blocks, a class that must not link to itself."""
+    rng = np.random.default_rng(4)
+    base = rng.integers(0, 2**62, 300, dtype=np.int64)
+    sets = [np.unique(np.concatenate([base[: 300 - 15 * (i % 4)], rng.integers(0, 2**62, 10 * (i % 5), dtype=np.int64)])) for i in range(24)]
+    share = lambda x, y: len(np.intersect1d(x, y)) / len(np.union1d(x, y))
+    brute = np.array([[share(x, y) >= 0.8 for y in sets] for x in sets])
+    assert 24 < brute.sum() < brute.size
+    views = [s.view(np.uint64) for s in sets]
+    assert (m.alike(views, 0.8, block=7) == brute).all() and (m.alike(views, 0.8) == brute).all()
+    rows = [(i, len(sets[i]), i % 6, i % 2, 5) for i in range(24)]  # id, n, label, band, value
+    small = spark.createDataFrame(rows, "id bigint, n int, label bigint, band int, value bigint")
+    known = spark.createDataFrame([(i, s.tolist()) for i, s in enumerate(sets)], "id bigint, shingles array<bigint>")
+    found = {tuple(sorted(r)) for r in m.within(small, known, 0.8).collect()}
+    assert found == {(i, j) for i in range(24) for j in range(i + 1, 24) if i % 2 == j % 2 and i % 6 != j % 6 and brute[i, j]}
+    assert m.within(small.limit(0), known, 0.8).count() == 0
