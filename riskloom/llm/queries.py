@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from riskloom.llm import bpe, decontaminate, inner_product, langid, licenses, minhash_dedup, quality, suffix_dedup, token_store, warc
+from riskloom.llm import bpe, decontaminate, inner_product, langid, licenses, merkle, minhash_dedup, quality, suffix_dedup, token_store, warc
 from riskloom.llm.common import is_held_out, table
 
 VOCAB = public_tokenizers.path("byte_bpe_50k.json")
@@ -71,8 +71,20 @@ def op10_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
+def op11_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    fields = {c: docs[c] for c in ("doc_id", "source", "lang", "n_chars", "text")}
+    tampered = F.crc32(docs["doc_id"].cast("string")) % 7 == 0
+    more = docs["n_chars"].cast("decimal(20,0)")
+    changed = {"n_chars": F.when(tampered, more + 1).otherwise(more).cast("decimal(20,0)")}
+    out = merkle.manifest(docs, "lang", "doc_id", fields, changed)
+    text = lambda c: F.lower(F.hex(c)).alias(c)
+    return out.select("doc_id", text("leaf"), text("subroot"), text("root"), merkle.proof_digest(F.col("path")).alias("proof_sha256"), text("folded_root"), (F.col("folded_root") == F.col("root")).alias("verified"))
+
+
 QUERIES: dict[str, Query] = {
     "op10_token_store": op10_token_store,
+    "op11_merkle": op11_merkle,
     "op1_inner_product": op1_inner_product,
     "op2_warc": op2_warc,
     "op3_licenses": op3_licenses,
@@ -110,4 +122,45 @@ SQL: dict[str, str] = {
         FROM b
     """,
     "op3_licenses": licenses.scan_sql(),
+    "op11_merkle": """
+        WITH RECURSIVE f AS (
+            SELECT doc_id, lang, n_chars, CASE WHEN crc % 7 = 0 THEN CAST(n_chars AS HUGEINT) + 1 ELSE n_chars END AS changed,
+                concat(coalesce(strlen(CAST(doc_id AS VARCHAR)) || ':' || doc_id, '-'), coalesce(strlen(source) || ':' || source, '-'), coalesce(strlen(lang) || ':' || lang, '-')) AS head,
+                coalesce(strlen(text) || ':' || text, '-') AS tail
+            FROM (SELECT *, xor(4294967295, list_reduce(list_transform(range(1, strlen(CAST(doc_id AS VARCHAR)) + 1), lambda i: CAST(ascii(substr(CAST(doc_id AS VARCHAR), i, 1)) AS BIGINT)),
+                lambda c, b: list_reduce(range(8), lambda d, i: xor(d >> 1, 3988292384 * (d & 1)), xor(c, b)), 4294967295)) AS crc FROM documents)
+        ), l AS (
+            SELECT doc_id, lang, sha256(head || coalesce(strlen(CAST(n_chars AS VARCHAR)) || ':' || n_chars, '-') || tail) AS leaf,
+                sha256(head || coalesce(strlen(CAST(changed AS VARCHAR)) || ':' || changed, '-') || tail) AS other FROM f
+        ), d AS (
+            SELECT *, row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, leaf) - 1 AS idx, count(*) OVER (PARTITION BY lang) AS n, row_number() OVER () AS id FROM l
+        ), nodes(level, lang, idx, n, h) AS (
+            SELECT 0, lang, idx, n, leaf FROM d
+            UNION ALL
+            SELECT level + 1, lang, idx // 2, (min(n) + 1) // 2, sha256(string_agg(h, '' ORDER BY idx)) FROM nodes WHERE n > 1 GROUP BY level, lang, idx // 2
+        ), tops AS (
+            SELECT lang, level AS height, h AS subroot, row_number() OVER (ORDER BY lang NULLS FIRST) - 1 AS g, count(*) OVER () AS m FROM nodes WHERE n = 1
+        ), above(level, idx, n, h) AS (
+            SELECT 0, g, m, subroot FROM tops
+            UNION ALL
+            SELECT level + 1, idx // 2, (min(n) + 1) // 2, sha256(string_agg(h, '' ORDER BY idx)) FROM above WHERE n > 1 GROUP BY level, idx // 2
+        ), last AS (SELECT level AS height, h AS root FROM above WHERE n = 1
+        ), steps AS (
+            SELECT d.id, s.level, s.h, s.idx < (d.idx >> s.level) AS before FROM d JOIN tops t ON t.lang IS NOT DISTINCT FROM d.lang
+            JOIN nodes s ON s.lang IS NOT DISTINCT FROM d.lang AND s.idx = xor(d.idx >> s.level, 1) AND s.level < t.height
+            UNION ALL
+            SELECT d.id, t.height + s.level, s.h, s.idx < (t.g >> s.level) FROM d JOIN tops t ON t.lang IS NOT DISTINCT FROM d.lang
+            JOIN above s ON s.idx = xor(t.g >> s.level, 1), last WHERE s.level < last.height
+        ), every AS (
+            SELECT d.id, t.subroot, last.root, r.level FROM d JOIN tops t ON t.lang IS NOT DISTINCT FROM d.lang, last, range(t.height + last.height) r(level)
+        ), paths AS (
+            SELECT e.id, string_agg(coalesce(s.h, ''), '' ORDER BY e.level) AS proof, list(CASE WHEN s.h IS NULL THEN '-' WHEN s.before THEN '<' || s.h ELSE '>' || s.h END ORDER BY e.level) AS path
+            FROM every e LEFT JOIN steps s ON s.id = e.id AND s.level = e.level GROUP BY e.id
+        ), out AS (
+            SELECT d.doc_id, d.leaf, t.subroot, last.root, sha256(coalesce(p.proof, '')) AS proof_sha256,
+                list_reduce(coalesce(p.path, []), lambda a, x: sha256(CASE x[1] WHEN '-' THEN a WHEN '<' THEN x[2:] || a ELSE a || x[2:] END), d.other) AS folded_root
+            FROM d JOIN tops t ON t.lang IS NOT DISTINCT FROM d.lang LEFT JOIN paths p ON p.id = d.id, last
+        )
+        SELECT *, folded_root = root AS verified FROM out
+    """,
 }
