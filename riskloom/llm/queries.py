@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from riskloom.llm import bpe, decontaminate, inner_product, langid, licenses, merkle, minhash_dedup, quality, suffix_dedup, token_store, warc
+from riskloom.llm import bpe, decontaminate, inner_product, langid, licenses, merkle, minhash_dedup, quality, simhash_dedup, suffix_dedup, token_store, warc
 from riskloom.llm.common import is_held_out, table
 
 VOCAB = public_tokenizers.path("byte_bpe_50k.json")
@@ -82,9 +82,15 @@ def op11_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", text("leaf"), text("subroot"), text("root"), merkle.proof_digest(F.col("path")).alias("proof_sha256"), text("folded_root"), (F.col("folded_root") == F.col("root")).alias("verified"))
 
 
+def op12_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = simhash_dedup.fuzzy_classes(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.col("component").alias("component_id"))
+
+
 QUERIES: dict[str, Query] = {
     "op10_token_store": op10_token_store,
     "op11_merkle": op11_merkle,
+    "op12_simhash_dedup": op12_simhash_dedup,
     "op1_inner_product": op1_inner_product,
     "op2_warc": op2_warc,
     "op3_licenses": op3_licenses,
