@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from riskloom.llm import bpe, decontaminate, inner_product, langid, licenses, merkle, minhash_dedup, quality, simhash_dedup, suffix_dedup, token_store, warc
+from riskloom.llm import bpe, decontaminate, inner_product, langid, licenses, merkle, minhash_dedup, quality, simhash_dedup, suffix_dedup, token_store, turns, warc
 from riskloom.llm.common import is_held_out, table
 
 VOCAB = public_tokenizers.path("byte_bpe_50k.json")
@@ -87,10 +87,15 @@ def op12_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.col("component").alias("component_id"))
 
 
+def op13_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return turns.repair(turns.damaged(table(spark, sf_dir, "conversations")))
+
+
 QUERIES: dict[str, Query] = {
     "op10_token_store": op10_token_store,
     "op11_merkle": op11_merkle,
     "op12_simhash_dedup": op12_simhash_dedup,
+    "op13_conversations": op13_conversations,
     "op1_inner_product": op1_inner_product,
     "op2_warc": op2_warc,
     "op3_licenses": op3_licenses,
@@ -169,4 +174,54 @@ SQL: dict[str, str] = {
         )
         SELECT *, folded_root = root AS verified FROM out
     """,
+    "op13_conversations": r"""
+        WITH RECURSIVE given AS (
+            SELECT *, xor(4294967295, list_reduce(list_transform(range(1, strlen(k) + 1), lambda i: CAST(ascii(substr(k, i, 1)) AS BIGINT)),
+                lambda c, b: list_reduce(range(8), lambda d, i: xor(d >> 1, 3988292384 * (d & 1)), xor(c, b)), 4294967295)) % 20 AS kind
+            FROM (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, concat(coalesce(CAST(conv_id AS VARCHAR), ' '), ':', coalesce(CAST(turn AS VARCHAR), ' ')) AS k FROM conversations)
+        ), convs AS (
+            SELECT conv_id, row_number() OVER () AS c FROM (SELECT DISTINCT conv_id FROM conversations)
+        ), hurt AS (
+            SELECT c, turn, CASE WHEN kind = 4 THEN 'user' ELSE role END AS role, CASE kind WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text
+            FROM given JOIN convs ON given.conv_id IS NOT DISTINCT FROM convs.conv_id, range(CASE WHEN kind = 3 THEN 2 ELSE 1 END) WHERE kind <> 0
+        ), placed AS (
+            SELECT *, row_number() OVER (PARTITION BY c ORDER BY turn NULLS FIRST, role, text) AS i, count(*) OVER (PARTITION BY c) AS n FROM hurt
+        ), told AS (
+            SELECT *, role[1] AS r, lag(role[1]) OVER (PARTITION BY c ORDER BY i) AS before,
+                CASE WHEN NOT regexp_matches(text, '[^\x20\x09-\x0D]') THEN 'blank' WHEN row_number() OVER (PARTITION BY c, role, text ORDER BY i) > 1 THEN 'duplicate'
+                    WHEN NOT regexp_matches(text, '[.!?][\x20\x09-\x0D]*$') THEN 'truncated' ELSE '' END AS fault FROM placed
+        ), steps AS (
+            SELECT *, fault IN ('blank', 'duplicate') AS goes, CASE WHEN fault = 'truncated' THEN 3 ELSE 0 END AS extra FROM told
+        ), best(c, i, v) AS (
+            SELECT c, max(n) + 1, [0, 6, 3, 0] FROM steps GROUP BY c
+            UNION ALL
+            SELECT c, i, [least(w[1], 3 + u), least(w[2], 3 + u), u, least(w[4], 3 + w[3])] FROM (
+                SELECT *, least(w[3], 3 + w[4]) AS u FROM (
+                    SELECT s.c, s.i, CASE WHEN goes THEN list_transform(v, lambda x: 4 + x) ELSE [
+                        least(4 + v[1], extra + 3 + v[3], CASE r WHEN 's' THEN extra + v[2] WHEN 'u' THEN extra + v[3] ELSE 99 + v[1] END),
+                        least(4 + v[2], extra + 3 + v[3], CASE r WHEN 'u' THEN extra + v[3] ELSE 99 + v[2] END),
+                        least(4 + v[3], extra + 3 + v[4], CASE r WHEN 'a' THEN extra + v[4] ELSE 99 + v[3] END),
+                        least(4 + v[4], extra + 3 + v[3], CASE r WHEN 'u' THEN extra + v[3] ELSE 99 + v[4] END)] END AS w
+                    FROM best b JOIN steps s ON s.c = b.c AND s.i = b.i - 1))
+        ), walked(c, i, q, audit, said) AS (
+            SELECT c, CAST(1 AS BIGINT), 1, '', CAST([] AS VARCHAR[]) FROM convs
+            UNION ALL
+            SELECT c, CASE WHEN e = 'I' THEN i ELSE i + 1 END, CASE e WHEN 'D' THEN q WHEN 'K' THEN kept ELSE forced END, audit || e,
+                CASE e WHEN 'D' THEN said WHEN 'K' THEN list_append(said, role || ':' || text)
+                    WHEN 'I' THEN list_append(said, CASE forced WHEN 3 THEN 'user:' ELSE 'assistant:' END) ELSE list_append(said, CASE forced WHEN 3 THEN 'user:' ELSE 'assistant:' END || text) END
+            FROM (SELECT *, CASE WHEN 4 + a[q] = h[q] THEN 'D' WHEN 3 + h[forced] = h[q] THEN 'I' WHEN extra + a[kept] = h[q] THEN 'K' ELSE 'R' END AS e FROM (
+                SELECT w.*, s.role, s.text, s.extra, b.v AS h, x.v AS a, CASE q WHEN 3 THEN 4 ELSE 3 END AS forced,
+                    CASE WHEN q = 1 AND r = 's' THEN 2 WHEN q <> 3 AND r = 'u' THEN 3 WHEN q = 3 AND r = 'a' THEN 4 END AS kept
+                FROM walked w JOIN best b ON b.c = w.c AND b.i = w.i LEFT JOIN best x ON x.c = w.c AND x.i = w.i + 1 LEFT JOIN steps s ON s.c = w.c AND s.i = w.i
+                WHERE x.i IS NOT NULL OR q IN (2, 3)))
+        ), done AS (
+            SELECT w.* FROM walked w LEFT JOIN (SELECT c, max(n) AS n FROM steps GROUP BY c) l ON l.c = w.c WHERE w.i = coalesce(l.n, 0) + 1 AND q IN (1, 4)
+        ), counted AS (
+            SELECT c, max(turn) - min(turn) + 1 - count(DISTINCT turn) AS gaps, count(*) FILTER (fault = 'blank') AS blank, count(*) FILTER (fault = 'duplicate') AS duplicate, count(*) FILTER (fault = 'truncated') AS truncated,
+                count(*) FILTER (i > 1 AND before || r NOT IN ('su', 'ua', 'au')) AS illegal FROM steps GROUP BY c
+        )
+        SELECT conv_id, CAST(coalesce(gaps, 0) AS BIGINT) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal,
+            CAST(coalesce(b.v[1], 0) AS BIGINT) AS cost, d.audit, sha256(array_to_string(d.said, chr(10))) AS repaired_sha256
+        FROM convs LEFT JOIN counted n ON n.c = convs.c LEFT JOIN best b ON b.c = convs.c AND b.i = 1 JOIN done d ON d.c = convs.c
+    """,
 }
