@@ -49,6 +49,8 @@ CUTS = (0, 22, 43, 64)
 #: Groups of so many members are compared pair by pair; of more than BIG, by the words between them.
 SMALL, BIG = 32, 1 << 15
 SPACE = re.compile(rb"[\x09-\x0D\x20]")
+#: So many links (16 bytes each) are followed in one task.
+LOCAL_LINKS = 1_000_000
 #: Fixed value: the generator polynomial of the code, x^11 + x^9 + x^7 + x^6 + x^5 + x + 1.
 GENERATOR, LENGTH, CHECKS = 0xAE3, 23, 11
 
@@ -248,6 +250,37 @@ def between(nodes: DataFrame) -> DataFrame:
     return around.join(hubs, "word").filter("fp != hub").select(F.col("fp").alias("a"), F.col("hub").alias("b"))
 
 
+def spread(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(ids, the smallest id that links lead to) of the ends of some links."""
+    ids, place = np.unique(np.concatenate([a, b]), return_inverse=True)
+    a, b = place[: len(a)], place[len(a) :]
+    label = np.arange(len(ids))
+    while True:
+        least = np.minimum(label[a], label[b])
+        new = label.copy()
+        np.minimum.at(new, label[a], least)
+        np.minimum.at(new, label[b], least)
+        new = np.minimum(new, new[label])
+        new = new[new]
+        if (new == label).all():
+            return ids, ids[label]
+        label = new
+
+
+def connected(links: DataFrame, most: int = LOCAL_LINKS) -> DataFrame:
+    """(id, label): the smallest id that links lead to. Up to `most` links meet in one task, where a few array operations do it; more are followed in rounds of joins."""
+    if links.count() > most:
+        return components(links)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts = [(x["a"].to_numpy(), x["b"].to_numpy()) for x in batches]
+        none = np.zeros(0, np.int64)
+        ids, label = spread(*(np.concatenate([none, *[p[i] for p in parts]]) for i in (0, 1)))
+        yield pa.record_batch([pa.array(ids), pa.array(label)], ["id", "label"])
+
+    return materialize(links.select("a", "b").repartition(1).mapInArrow(run, "id bigint, label bigint"), "labels")
+
+
 def fuzzy_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", small: int = SMALL, big: int = BIG, part: int = PART) -> DataFrame:
     """A row for each row: the id column, fp (the fingerprint as a bigint) and component (the smallest id reached)."""
     short_batches(docs.sparkSession)
@@ -258,8 +291,8 @@ def fuzzy_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     links = found.filter("b is not null").select("a", "b")
     handed = found.filter("b is null").select(F.col("a").alias("fp")).distinct()
     if not handed.isEmpty():
-        links = links.unionByName(between(materialize(handed, "handed-on")))
-    labels = components(links)
+        links = materialize(links.unionByName(between(materialize(handed, "handed-on"))), "links")
+    labels = connected(links)
     discard(found)
     named = nodes.join(labels.withColumnRenamed("id", "fp"), "fp", "left").select("fp", "least", F.coalesce("label", "fp").alias("label"))
     smallest = named.groupBy("label").agg(F.min("least").alias("component"))

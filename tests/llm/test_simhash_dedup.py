@@ -133,3 +133,13 @@ def test_groups_over_batches_and_forests():
     links = m.forest(values)
     a, b = (np.concatenate([p[i] for p in links]) for i in (0, 1))
     assert len(a) == len(values) - len(set(reached(list(range(len(values))), values.tolist())))
+
+
+def test_links_followed_in_one_task_and_in_rounds(spark):
+    rng = random.Random(9)
+    pairs = [(i, i + 1) for i in range(300)] + [(rng.randrange(400, 900), rng.randrange(400, 900)) for _ in range(250)] + [(1000 + i, 1000) for i in range(1, 200)]
+    rng.shuffle(pairs)
+    links = spark.createDataFrame([(b, a) if i % 2 else (a, b) for i, (a, b) in enumerate(pairs) if a != b], "a bigint, b bigint")
+    one, many = (sorted(map(tuple, m.connected(links, most).collect())) for most in (10**6, 10))
+    assert one == many and dict(one)[300] == 0 and dict(one)[1100] == 1000
+    assert m.connected(links.limit(0)).count() == 0
