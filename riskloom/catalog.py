@@ -11,6 +11,8 @@ import riskloom as rl
 from riskloom.functions import metrics as m
 from riskloom.functions import ranking
 from riskloom.functions.quantiles import quantiles
+from riskloom.operators.binning import PACKED, index_of
+from riskloom.operators.shared import learn
 from riskloom.plans import assume, reports, validate
 from riskloom.sources.tables import MODEL_FRAME, TIES, model_frame, table
 
@@ -362,6 +364,66 @@ def predict_segment(spark, sf_dir):
     return rounded(rl.predict(sol, df).groupBy("seg").agg(F.sum("prediction").alias("total"), F.count("*").alias("n")), 4)
 
 
+MANY = "WITH m AS (SELECT l_suppkey AS supp, CAST(l_returnflag = 'R' AS INT) AS y, CAST(l_quantity AS DOUBLE) AS q, CAST(l_extendedprice AS DOUBLE) / CAST(1000 AS DOUBLE) AS price FROM lineitem)"
+
+
+def many_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.sql(MANY.replace("FROM lineitem", "FROM {lineitem}") + " SELECT * FROM m", lineitem=table(spark, sf_dir, "lineitem"))
+
+
+@query("predict_segment_many", f"{MANY}, k AS (SELECT supp, regr_intercept(price, q) AS a, regr_slope(price, q) AS b FROM m GROUP BY supp) SELECT supp, round(sum(a + b * q), 2) AS total, round(sum((a + b * q) * (a + b * q)), 1) AS squares, count(*) AS n FROM m JOIN k USING (supp) GROUP BY supp")
+def predict_segment_many(spark, sf_dir):
+    df = many_segments(spark, sf_dir)
+    scored = rl.predict(rl.solve(rl.segmented("supp", rl.linear("price", "q")), df), df)
+    out = scored.groupBy("supp").agg(F.round(F.sum("prediction"), 2).alias("total"), F.round(F.sum(F.col("prediction") * F.col("prediction")), 1).alias("squares"), F.count("*").alias("n"))
+    return out
+
+
+SEGMENT_WOE = f"""{MANY}, b AS (SELECT *, CASE WHEN q <= 15 THEN 0 WHEN q <= 35 THEN 1 ELSE 2 END AS k FROM m),
+c AS (SELECT supp, k, sum(y) + 0.5::DOUBLE AS e, count(*) - sum(y) + 0.5::DOUBLE AS o FROM (SELECT supp, k, y FROM b) GROUP BY supp, k),
+v AS (SELECT supp, k, ln((e / sum(e) OVER (PARTITION BY supp)) / (o / sum(o) OVER (PARTITION BY supp))) AS woe FROM c),
+g AS (SELECT supp, min(q) AS lo, max(q) AS hi, quantile_cont(q, 0.5) AS mid FROM m GROUP BY supp)
+SELECT supp, round(regr_slope(price, woe), 5) AS slope, round(regr_intercept(price, woe), 5) AS intercept, any_value(round(lo, 5)) AS lo, any_value(round(mid, 5)) AS mid, any_value(round(hi, 5)) AS hi FROM b JOIN v USING (supp, k) JOIN g USING (supp) GROUP BY supp"""
+
+
+@query("segment_terms", SEGMENT_WOE)
+def segment_terms(spark, sf_dir):
+    """Fits by segment whose terms learn: a slope on the weight of evidence (no segment lacks a bin), and the knots of a spline."""
+    df = many_segments(spark, sf_dir).withColumn("default", F.col("y"))
+    target = "default"
+    states = learn([rl.woe("q", rl.manual([15, 35])), rl.ns("q", 2)], df, target, None, F.col("supp"))
+    rows = [(int(seg), *(float(k) for k in knots)) for seg, (_, knots) in states.items()]
+    knots = spark.createDataFrame(rows, "supp bigint, lo double, mid double, hi double")
+    table_of = spark.createDataFrame([(int(seg), own.packed()) for seg, (own, _) in states.items()], f"of bigint, bins {PACKED}")
+    own = df.join(table_of, F.col("supp") == F.col("of")).withColumn("evidence", F.get(F.col("bins.woe"), index_of("q", F.col("bins"), 2)))
+    fits = rl.solve(rl.segmented("supp", rl.linear("price", "evidence")), own).coefficients_df(spark)
+    slopes = fits.groupBy(F.col("segment").cast("bigint").alias("supp")).agg(F.max(F.when(F.col("term") == "evidence", F.col("estimate"))).alias("slope"), F.max(F.when(F.col("term") != "evidence", F.col("estimate"))).alias("intercept"))
+    return rounded(slopes.join(knots, "supp"), 5)
+
+
+def share_sql(i: int, column: str, key: str) -> str:
+    return f"SELECT {i} AS term, '{column}' AS feature, {key} AS k, count(*) AS n, sum(y) AS e FROM m GROUP BY 3"
+
+
+BINNINGS = [("q", "manual"), ("x", "manual"), ("d", "manual"), ("price", "halves"), ("q", "halves"), ("seg", "levels")]
+HALVES = "(SELECT quantile_cont({c}, 0.5) FROM m)"
+BINNINGS_SQL = f"""{FRAME}, c AS ({' UNION ALL '.join(share_sql(i, c, k) for i, (c, k) in enumerate([
+    ('q', 'CASE WHEN q <= 10 THEN 0 WHEN q <= 25 THEN 1 ELSE 2 END'), ('x', 'CASE WHEN x <= 0.02::DOUBLE THEN 0 WHEN x <= 0.05::DOUBLE THEN 1 ELSE 2 END'), ('d', 'CASE WHEN d <= 0.03::DOUBLE THEN 0 WHEN d <= 0.06::DOUBLE THEN 1 ELSE 2 END'),
+    ('price', f"CASE WHEN price <= {HALVES.format(c='price')} THEN 0 ELSE 1 END"), ('q', f"CASE WHEN q <= {HALVES.format(c='q')} THEN 0 ELSE 1 END"), ('seg', "CASE WHEN seg = (SELECT seg FROM m GROUP BY seg ORDER BY count(*) DESC, seg LIMIT 1) THEN 0 ELSE 1 END")]))}),
+p AS (SELECT *, (e + 0.5::DOUBLE) / sum(e + 0.5::DOUBLE) OVER (PARTITION BY term) AS pe, (n - e + 0.5::DOUBLE) / sum(n - e + 0.5::DOUBLE) OVER (PARTITION BY term) AS po FROM c)
+SELECT term, feature, k AS bin, CAST(n AS DOUBLE) AS n, CAST(e AS DOUBLE) AS n_events, round(ln(pe / po), 6) AS woe FROM p"""
+
+
+@query("fit_binnings", BINNINGS_SQL)
+def fit_binnings_query(spark, sf_dir):
+    """Six columns, three strategies, the same passes."""
+    made = {"halves": rl.monotonic(max_bins=2), "levels": rl.categorical()}
+    edges = {"q": [10, 25], "x": [0.02, 0.05], "d": [0.03, 0.06]}
+    spec = rl.fit_binnings(rl.linear("y", [rl.woe(c, rl.manual(edges[c]) if how == "manual" else made[how]) for c, how in BINNINGS]), model_frame(spark, sf_dir))
+    rows = [(i, t.col, k, float(e + o), float(e), w) for i, t in enumerate(spec.features) for k, (e, o, w) in enumerate(zip(t.fitted.events, t.fitted.others, t.fitted.woe))]
+    return rounded(spark.createDataFrame(rows, "term int, feature string, bin int, n double, n_events double, woe double"))
+
+
 @query("lambda_max", f"{FRAME} SELECT round(greatest(abs(covar_pop(q, price) / stddev_pop(q)), abs(covar_pop(d, price) / stddev_pop(d))), 6) AS lambda_max FROM m")
 def lambda_max(spark, sf_dir):
     return one_row(spark, lambda_max=validate.lambda_max(rl.linear("price", ["q", "d"], penalty=rl.l1(1)), model_frame(spark, sf_dir)))
@@ -462,13 +524,23 @@ GROUP_SQL = " SELECT {by}, count(*) AS n_obs, CAST(sum(y) AS BIGINT) AS n_events
 
 @query("perf_by_segment", FRAME + RANK_SQL.format(by="seg,", w="1::DOUBLE", part="seg") + GROUP_SQL.format(by="seg"))
 def perf_by_segment(spark, sf_dir):
-    return rounded(reports.grouped(scores(spark, sf_dir, False, "s", "seg"), "seg").drop("log_loss"))
+    return rounded(reports.grouped(scores(spark, sf_dir, False, "s", "seg"), "seg").drop("log_loss", reports.TOTAL))
+
+
+TOTAL_SQL = FRAME.replace("WITH m", "WITH a") + ", m AS (SELECT concat('0', NULLIF(seg, 'O')) AS g, y, s, w FROM a UNION ALL SELECT '1', y, s, w FROM a)" + RANK_SQL.format(by="g,", w="1::DOUBLE", part="g") + GROUP_SQL.format(by="g")
+
+
+@query("perf_by_segment_total", f"SELECT NULLIF(g[2:], '') AS seg, g[1] = '1' AS is_total, n_obs, n_events, auc, ks, brier, mean_p FROM ({TOTAL_SQL})")
+def perf_by_segment_total(spark, sf_dir):
+    """Segments, one of which is null, and the row over all of them."""
+    frame = scores(spark, sf_dir, False, "s", "seg").withColumn("seg", F.expr("nullif(seg, 'O')"))
+    return rounded(reports.grouped(frame, "seg", True).withColumn("is_total", F.col(reports.TOTAL) == 1).drop("log_loss", reports.TOTAL))
 
 
 @query("perf_over_time", f"WITH a AS ({MODEL_FRAME}), z AS (SELECT min(t) AS t0 FROM a), m AS (SELECT a.*, CAST(k AS INT) AS \"window\" FROM a, z, range(5) r(k) WHERE t > t0 + (365 + 365 * k) * INTERVAL 1 DAY AND t <= t0 + (730 + 365 * k) * INTERVAL 1 DAY)" + RANK_SQL.format(by='"window",', w="1::DOUBLE", part='"window"') + GROUP_SQL.format(by='"window"'))
 def perf_over_time(spark, sf_dir):
     rows = reports.windows(model_frame(spark, sf_dir), rl.expanding_window("t", 5, "365 days"))
-    return rounded(reports.grouped(ranking.scored(rows, F.col("y"), F.col("s"), None, ("window",)), "window").drop("log_loss"))
+    return rounded(reports.grouped(ranking.scored(rows, F.col("y"), F.col("s"), None, ("window",)), "window").drop("log_loss", reports.TOTAL))
 
 
 @query("perf_report")

@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from riskloom.sources.store import stored
+from riskloom.sources.store import discard, stored
 
 
 def scored(df: DataFrame, y: Column, s: Column, w: Column | None = None, keep: tuple[str, ...] = ()) -> DataFrame:
@@ -35,18 +35,36 @@ def running(df: DataFrame, order: str, sums: dict[str, Column], by: tuple[str, .
     for c in by:
         same = same & F.col(c).eqNullSafe(F.col(f"_of_{c}"))
     out = dealt.join(totals, same)
-    return out.select(*df.columns, *[(F.col(f"_{n}") + F.sum(c).over(inside)).alias(n) for n, c in sums.items()], *([f"all_{n}" for n in sums] if whole else []))
+    out = out.select(*df.columns, *[(F.col(f"_{n}") + F.sum(c).over(inside)).alias(n) for n, c in sums.items()], *([f"all_{n}" for n in sums] if whole else []))
+    out._ranges = dealt  # for release()
+    return out
+
+
+def release(ranked: DataFrame) -> None:
+    """Deletes the ranges that running() has stored for a frame; nothing may read it any more."""
+    discard(ranked._ranges)
 
 
 def rank_curve(frame: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
     """A row for each distinct score: masses p and n of events and others, their running sums cp and cn, and totals all_cp and all_cn."""
-    masses = frame.groupBy(*by, "s").agg(F.sum(F.col("w") * F.col("y")).alias("p"), F.sum(F.col("w") * (1 - F.col("y"))).alias("n"))
+    return curve_of(frame.groupBy(*by, "s").agg(*class_masses()), by)
+
+
+def class_masses() -> list[Column]:
+    return [F.sum(F.col("w") * F.col("y")).alias("p"), F.sum(F.col("w") * (1 - F.col("y"))).alias("n")]
+
+
+def curve_of(masses: DataFrame, by: tuple[str, ...]) -> DataFrame:
     return running(masses, "s", {"cp": F.col("p"), "cn": F.col("n")}, by, whole=True)
 
 
 def discrimination(frame: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
     """auc, gini, ks and the smallest score that attains ks, for each group; null where a class is missing."""
-    curve = rank_curve(frame, by).filter("all_cp > 0 and all_cn > 0")
+    return discrimination_of(rank_curve(frame, by), by)
+
+
+def discrimination_of(curve: DataFrame, by: tuple[str, ...]) -> DataFrame:
+    curve = curve.filter("all_cp > 0 and all_cn > 0")
     gap = F.abs(F.col("cp") / F.col("all_cp") - F.col("cn") / F.col("all_cn"))
     area = F.sum(F.col("p") * (F.col("cn") - F.col("n") / 2)) / (F.first("all_cp") * F.first("all_cn"))
     top = F.max(F.struct(gap.alias("gap"), (-F.col("s")).alias("minus")))

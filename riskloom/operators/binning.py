@@ -91,10 +91,17 @@ class BinningResult:
         return out
 
     def indicators(self, name: str) -> list[tuple[str, Column]]:
+        at = F.coalesce(self.index(name), F.lit(0))
+        return [(n, (at == i + 1).cast("double")) for i, n in enumerate(self.indicator_names(name))]
+
+    def indicator_names(self, name: str) -> list[str]:
         if self.n_bins <= 1:
             raise ValueError(f"{name} has one bin only, which is the reference; no indicator is left")
-        at = F.coalesce(self.index(name), F.lit(0))
-        return [(f"{name}__{label}", (at == i).cast("double")) for i, label in enumerate(self.labels) if i]
+        return [f"{name}__{label}" for label in self.labels[1:]]
+
+    def packed(self) -> tuple:
+        """The bins as a value of PACKED, for tables with a row for each segment."""
+        return list(self.edges) if self.edges is not None else None, list(self.woe), dict(self.levels or ()), self.missing_bin, self.rare_bin
 
     def _repr_html_(self) -> str:
         return html_table(("bin", "n", "events", "event_rate", "woe"), zip(self.labels, (e + o for e, o in zip(self.events, self.others)), self.events, self.event_rate, self.woe))
@@ -104,6 +111,21 @@ class BinningResult:
         return spark.createDataFrame(rows, "bin int, label string, n double, n_events double, event_rate double, woe double, iv double")
 
 
+#: Bins in a column.
+PACKED = "struct<edges: array<double>, woe: array<double>, levels: map<string, int>, missing: int, rare: int>"
+
+
+def index_of(name: str, packed: Column, most: int | None) -> Column:
+    """BinningResult.index() of bins that are in a column: by levels if most is None, else by `most` edges at most."""
+    if most is None:
+        level = F.coalesce(F.try_element_at(packed["levels"], F.col(name).cast("string")), packed["rare"])
+        return F.when(F.col(name).isNull(), packed["missing"]).otherwise(level)
+    at = F.lit(0)
+    for i in range(most):
+        at = at + F.coalesce((F.col(name).cast("double") > F.get(packed["edges"], F.lit(i))).cast("int"), F.lit(0))
+    return F.when(missing(name), F.coalesce(packed["missing"], F.lit(0))).otherwise(at)
+
+
 def counts(df: DataFrame, key: Column, target: str, weights: str | None) -> list:
     """(key, rows, weighted events, weighted others), one for each key, in order."""
     w = F.col(weights).cast("double") if weights else F.lit(1.0)
@@ -136,6 +158,9 @@ def merged(edges: list[float], e: list[float], o: list[float], n: list[float], a
 class Manual:
     edges: tuple[float, ...]
 
+    def most_edges(self) -> int:
+        return len(self.edges)
+
     def fit(self, df: DataFrame, name: str, target: str, weights: str | None = None) -> BinningResult:
         return fit_edges(df, name, target, self.edges, weights)
 
@@ -148,8 +173,18 @@ class Monotonic:
     max_bins: int = 20
 
     def fit(self, df: DataFrame, name: str, target: str, weights: str | None = None) -> BinningResult:
-        edges = sorted(set(quantiles(df, name, [i / self.max_bins for i in range(1, self.max_bins)])))
-        fine = fit_rows(df, name, target, edges, weights)
+        edges = sorted(set(quantiles(df, name, self.shares())))
+        return self.settle(edges, fit_rows(df, name, target, edges, weights))
+
+    def most_edges(self) -> int:
+        return self.max_bins - 1
+
+    def shares(self) -> list[float]:
+        return [i / self.max_bins for i in range(1, self.max_bins)]
+
+    def settle(self, edges: list[float], fine: dict) -> BinningResult:
+        """The bins that fine ones merge into. fine: n, e, o by fine bin, -1 for missing values."""
+        edges = list(edges)
         total = sum(r["n"] for r in fine.values())
         least = math.floor(self.min_bin_size * total)
         e, o, n = ([float(fine[i][c]) if i in fine else 0.0 for i in range(len(edges) + 1)] for c in ("e", "o", "n"))
@@ -159,7 +194,8 @@ class Monotonic:
             merged(edges, e, o, n, small - 1 if left else small)
         ways = [self.straighten(list(edges), list(e), list(o), list(n), sign) for sign in (1, -1)]
         best = ways[1] if evidence(*ways[1][1:])[1] > evidence(*ways[0][1:])[1] else ways[0]
-        return fit_edges(df, name, target, tuple(best[0]), weights)
+        rows = [{"k": i, "e": a, "o": b} for i, (a, b) in enumerate(zip(*best[1:]))]
+        return result_of(tuple(best[0]), rows + [{"k": -1, "e": r["e"], "o": r["o"]} for k, r in fine.items() if k == -1])
 
     @staticmethod
     def straighten(edges: list[float], e: list[float], o: list[float], n: list[float], sign: int) -> tuple[list[float], np.ndarray, np.ndarray]:
@@ -185,6 +221,9 @@ class Tree:
     min_samples_leaf: float = 0.05
     fine_values: int = 100_000
 
+    def most_edges(self) -> int:
+        return self.max_leaves - 1
+
     def fit(self, df: DataFrame, name: str, target: str, weights: str | None = None) -> BinningResult:
         present = df.filter(~missing(name))
         x = F.col(name).cast("double")
@@ -257,13 +296,24 @@ class Categorical:
 
     group_rare: float = 0.01
 
+    def most_edges(self) -> None:
+        return None
+
     def fit(self, df: DataFrame, name: str, target: str, weights: str | None = None) -> BinningResult:
         total = df.count()
         w = F.col(weights).cast("double") if weights else F.lit(1.0)
         y = F.col(target).cast("double")
         levels = df.groupBy(F.col(name).cast("string").alias("k")).agg(F.count("*").alias("n"), F.sum(w * y).alias("e"), F.sum(w * (1 - y)).alias("o"))
-        kind = F.when(F.col("k").isNull(), 2).when(F.col("n") < F.lit(self.group_rare * total), 1).otherwise(0)
+        kind = self.kind(F.lit(total))
         rows = levels.groupBy(kind.alias("kind"), F.when(kind == 0, F.col("k")).alias("k")).agg(*[F.sum(c).alias(c) for c in ("n", "e", "o")]).collect()
+        return self.settle(rows)
+
+    def kind(self, total: Column) -> Column:
+        """0 for a level (of columns k, n) that has a bin of its own, 1 for a rare one, 2 for missing values."""
+        return F.when(F.col("k").isNull(), 2).when(F.col("n") < F.lit(self.group_rare) * total, 1).otherwise(0)
+
+    @staticmethod
+    def settle(rows: list) -> BinningResult:
         kept = sorted((r for r in rows if r["kind"] == 0), key=lambda r: (-r["n"], r["k"]))
         rare, none = ([r for r in rows if r["kind"] == i] for i in (1, 2))
         bins = [(r["k"], r["e"], r["o"]) for r in kept] + [(RARE, r["e"], r["o"]) for r in rare] + [(MISSING, r["e"], r["o"]) for r in none]

@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterable
-from dataclasses import dataclass, replace
+from dataclasses import dataclass
 from itertools import combinations
 
 import numpy as np
@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from riskloom.functions.quantiles import quantiles
-from riskloom.operators.binning import BinningResult
+from riskloom.operators.binning import PACKED, BinningResult, index_of
 
 Named = list[tuple[str, Column]]
 
@@ -34,6 +34,23 @@ class Term:
     def columns(self, state) -> Named:
         raise NotImplementedError
 
+    def names(self, state) -> list[str]:
+        return [n for n, _ in self.columns(state)]
+
+    def width(self) -> int | None:
+        """How many columns there are; None where that depends on the rows."""
+        return len(self.names(None))
+
+    #: DDL of what pack() makes of a state for a table with a row for each segment; None if columns() takes no state.
+    packed: str | None = None
+
+    def pack(self, state):
+        return None
+
+    def columns_of(self, packed: Column | None, width: int) -> list[Column]:
+        """columns() of a state that is packed in a column; width: the number of columns."""
+        return [c for _, c in self.columns(None)]
+
     def __add__(self, other):
         return TermSum(flat((self, other)))
 
@@ -69,6 +86,9 @@ class Raw(Term):
     def columns(self, state) -> Named:
         return [(self.col, F.col(self.col).cast("double"))]
 
+    def names(self, state) -> list[str]:
+        return [self.col]
+
 
 @dataclass(frozen=True)
 class Step(Term):
@@ -79,7 +99,10 @@ class Step(Term):
 
     def columns(self, state) -> Named:
         x, tops = F.col(self.col).cast("double"), [*self.breakpoints[1:], math.inf]
-        return [(f"step({self.col})_bin{i + 1}", ((x > b) & (x <= top)).cast("double")) for i, (b, top) in enumerate(zip(self.breakpoints, tops))]
+        return [(n, ((x > b) & (x <= top)).cast("double")) for n, b, top in zip(self.names(state), self.breakpoints, tops)]
+
+    def names(self, state) -> list[str]:
+        return [f"step({self.col})_bin{i + 1}" for i in range(len(self.breakpoints))]
 
 
 @dataclass(frozen=True)
@@ -90,7 +113,10 @@ class Hinge(Term):
 
     def columns(self, state) -> Named:
         x, t = F.col(self.col).cast("double"), F.lit(self.knot)
-        return [(f"hinge({self.col}@{self.knot:g}:{self.direction})", F.greatest(F.lit(0.0), x - t if self.direction == "right" else t - x))]
+        return [(self.names(state)[0], F.greatest(F.lit(0.0), x - t if self.direction == "right" else t - x))]
+
+    def names(self, state) -> list[str]:
+        return [f"hinge({self.col}@{self.knot:g}:{self.direction})"]
 
 
 @dataclass(frozen=True)
@@ -102,12 +128,17 @@ class Poly(Term):
 
     def fit(self, df: DataFrame, target=None, weights=None) -> tuple[float, float, tuple[tuple[float, ...], ...]]:
         x = F.col(self.col).cast("double")
-        n, mean, sd = df.agg(F.count(x), F.avg(x), F.stddev_pop(x)).first()
+        mean, sd = df.agg(F.avg(x), F.stddev_pop(x)).first()
         finite(df, self.col)
+        return self.settle(mean, sd, df.agg(*self.moments(F.lit(mean), F.lit(sd))).first() if sd else ())
+
+    def moments(self, mean: Column, sd: Column) -> list[Column]:
+        z = (F.col(self.col).cast("double") - mean) / sd
+        return [F.sum(F.pow(z, F.lit(k))) for k in range(2 * self.degree + 1)]
+
+    def settle(self, mean: float, sd: float, sums) -> tuple[float, float, tuple[tuple[float, ...], ...]]:
         if not sd:
             raise ValueError(f"poly({self.col}): the column is constant")
-        z = (x - F.lit(mean)) / F.lit(sd)
-        sums = df.agg(*[F.sum(F.pow(z, F.lit(k))) for k in range(2 * self.degree + 1)]).first()
         moments = np.array([[sums[i + j] for j in range(self.degree + 1)] for i in range(self.degree + 1)])
         upper = np.linalg.cholesky(moments).T
         return float(mean), float(sd), tuple(map(tuple, np.linalg.inv(upper).T[1:].tolist()))
@@ -117,15 +148,32 @@ class Poly(Term):
         z = (F.col(self.col).cast("double") - F.lit(mean)) / F.lit(sd)
         return [(f"poly({self.col})_{k + 1}", horner(z, row)) for k, row in enumerate(rows)]
 
+    def names(self, state) -> list[str]:
+        return [f"poly({self.col})_{k + 1}" for k in range(self.degree)]
+
+    packed = "array<double>"
+
+    def pack(self, state) -> list[float]:
+        return [state[0], state[1], *(c for row in state[2] for c in row)]
+
+    def columns_of(self, packed: Column, width: int) -> list[Column]:
+        n = self.degree + 1
+        rows = [[packed[2 + n * k + i] for i in range(n)] for k in range(self.degree)]
+        return [c for _, c in self.columns((packed[0], packed[1], rows))]
+
 
 def horner(z: Column, coefficients) -> Column:
     """A polynomial with the lowest power first."""
-    out = F.lit(float(coefficients[-1]))
+    out = number(coefficients[-1])
     for c in reversed(coefficients[:-1]):
-        out = out * z + F.lit(float(c))
+        out = out * z + number(c)
     return out
 
 
+def number(x) -> Column:
+    return x if isinstance(x, Column) else F.lit(float(x))
+
+
 def finite(df: DataFrame, name: str) -> None:
     x = F.col(name).cast("double")
     if not df.filter(x.isNull() | F.isnan(x) | (F.abs(x) == math.inf)).isEmpty():
@@ -161,10 +209,10 @@ class BSpline(Term):
         finite(df, self.col)
         return spline_knots(df, self.col, self.knots, self.df - self.degree)
 
-    def columns(self, state) -> Named:
+    def pieces(self, state) -> list[list]:
+        """For each spline and knot interval the polynomial there, the lowest power first; None where it is 0."""
         inner, d = list(state), self.degree
         knots = np.array([inner[0]] * d + inner + [inner[-1]] * d)
-        x = F.col(self.col).cast("double")
         n = len(inner) - 1 + d
         pieces = [[None] * (len(inner) - 1) for _ in range(n)]
         for i in range(len(inner) - 1):
@@ -172,8 +220,33 @@ class BSpline(Term):
             values = basis_at(knots, d, inner[i] + at * (inner[i + 1] - inner[i]), d + i)
             powers = np.linalg.solve(np.vander(at, increasing=True), values)
             for j in range(d + 1):
-                pieces[i + j][i] = powers[:, j]
-        return [(f"bs({self.col})_{k}", piecewise(x, inner, pieces[k + 1])) for k in range(n - 1)]
+                pieces[i + j][i] = powers[:, j].tolist()
+        return pieces[1:]
+
+    def columns(self, state) -> Named:
+        x = F.col(self.col).cast("double")
+        return [(f"bs({self.col})_{k}", piecewise(x, list(state), own)) for k, own in enumerate(self.pieces(state))]
+
+    def names(self, state) -> list[str]:
+        return [f"bs({self.col})_{k}" for k in range(self.df)]
+
+    packed = "array<double>"
+
+    def pack(self, state) -> list[float]:
+        return [*state, *(c for own in self.pieces(state) for p in own if p is not None for c in p)]
+
+    def columns_of(self, packed: Column, width: int) -> list[Column]:
+        d = self.degree
+        n = width - d + 2  # knots with both ends
+        inner, at, pieces = [packed[i] for i in range(n)], n, []
+        for k in range(1, width + 1):
+            own = [None] * (n - 1)
+            for i in range(max(0, k - d), min(n - 1, k + 1)):
+                own[i] = [packed[at + j] for j in range(d + 1)]
+                at += d + 1
+            pieces.append(own)
+        x = F.col(self.col).cast("double")
+        return [piecewise(x, inner, own) for own in pieces]
 
 
 def piecewise(x: Column, inner: list[float], pieces: list) -> Column:
@@ -181,16 +254,22 @@ def piecewise(x: Column, inner: list[float], pieces: list) -> Column:
     out = None
     for i in range(len(pieces) - 1, -1, -1):
         z = (x - F.lit(inner[i])) / F.lit(inner[i + 1] - inner[i])
-        value = F.lit(0.0) if pieces[i] is None else horner(z, pieces[i].tolist())
+        value = F.lit(0.0) if pieces[i] is None else horner(z, pieces[i])
         out = value if out is None else F.when(x < F.lit(inner[i + 1]), value).otherwise(out)
     return F.when(x.isNull(), F.lit(None).cast("double")).otherwise(out)
 
 
 def spline_knots(df: DataFrame, name: str, given: tuple[float, ...] | None, n: int) -> tuple[float, ...]:
     x = F.col(name).cast("double")
-    shares = [float(s) for s in np.linspace(0, 1, n + 2)[1:-1]] if given is None else []
     low, high = df.agg(F.min(x), F.max(x)).first()
-    inner = list(given) if given is not None else quantiles(df, name, shares)
+    return increasing(name, low, list(given) if given is not None else quantiles(df, name, inner_shares(n)), high)
+
+
+def inner_shares(n: int) -> list[float]:
+    return [float(s) for s in np.linspace(0, 1, n + 2)[1:-1]]
+
+
+def increasing(name: str, low: float, inner: list[float], high: float) -> tuple[float, ...]:
     out = [low, *inner, high]
     if low is None or any(a >= b for a, b in zip(out, out[1:])):
         raise ValueError(f"{name}: knots {out} don't increase; choose fewer")
@@ -217,6 +296,17 @@ class NaturalSpline(Term):
         slope = lambda k: (cube(k) - cube(t[-1])) / F.lit(t[-1] - k)
         return [(f"ns({self.col})_0", z)] + [(f"ns({self.col})_{i + 1}", slope(k) - slope(t[-2])) for i, k in enumerate(t[:-2])]
 
+    def names(self, state) -> list[str]:
+        return [f"ns({self.col})_{k}" for k in range(self.df)]
+
+    packed = "array<double>"
+
+    def pack(self, state) -> list[float]:
+        return list(state)
+
+    def columns_of(self, packed: Column, width: int) -> list[Column]:
+        return [c for _, c in self.columns([packed[i] for i in range(width + 1)])]
+
 
 @dataclass(frozen=True)
 class Product(Term):
@@ -232,16 +322,52 @@ class Product(Term):
         return tuple(t.fit(df, target, weights) for t in self.terms)
 
     def columns(self, state) -> Named:
-        parts = [t.columns(s) for t, s in zip(self.terms, state)]
-        out: Named = []
+        return self.multiplied([t.columns(s) for t, s in zip(self.terms, state)], lambda x, y: x * y)
+
+    def multiplied(self, parts: list[list[tuple]], times) -> list[tuple]:
+        out: list[tuple] = []
         for order in range(1 if self.lower else len(parts), len(parts) + 1):
             for chosen in combinations(parts, order):
                 made = chosen[0]
                 for more in chosen[1:]:
-                    made = [(f"{a}*{b}", x * y) for a, x in made for b, y in more]
+                    made = [(f"{a}*{b}", times(x, y)) for a, x in made for b, y in more]
                 out += made
         return out
 
+    def names(self, state) -> list[str]:
+        return [n for n, _ in self.multiplied([[(n, 0) for n in t.names(s)] for t, s in zip(self.terms, state)], lambda x, y: 0)]
+
+    @property
+    def packed(self) -> str | None:
+        own = [f"p{i}: {t.packed}" for i, t in enumerate(self.terms) if t.packed]
+        return f"struct<{', '.join(own)}>" if own else None
+
+    def pack(self, state) -> tuple:
+        return tuple(t.pack(s) for t, s in zip(self.terms, state) if t.packed)
+
+    def columns_of(self, packed: Column | None, width: int) -> list[Column]:
+        if packed is None:
+            return [c for _, c in self.columns((None,) * len(self.terms))]
+        sizes = self.widths(width)
+        parts = [[("", c) for c in t.columns_of(packed[f"p{i}"] if t.packed else None, w)] for i, (t, w) in enumerate(zip(self.terms, sizes))]
+        return [c for _, c in self.multiplied(parts, lambda x, y: x * y)]
+
+    def widths(self, width: int) -> list[int]:
+        """The operands' numbers of columns, of which one may differ between segments."""
+        own = [t.width() for t in self.terms]
+        if own.count(None) > 1:
+            raise NotImplementedError("a product of several binned terms, each with bins of its own in every segment")
+        if None in own:
+            at, w = own.index(None), 1
+            while len(self.multiplied([[("", 0)] * (w if i == at else n) for i, n in enumerate(own)], lambda x, y: 0)) < width:
+                w += 1
+            own[at] = w
+        return own
+
+    def width(self) -> int | None:
+        own = [t.width() for t in self.terms]
+        return None if None in own else len(self.multiplied([[("", 0)] * n for n in own], lambda x, y: 0))
+
 
 @dataclass(frozen=True)
 class Woe(Term):
@@ -257,6 +383,23 @@ class Woe(Term):
     def columns(self, state: BinningResult) -> Named:
         return [(self.col, state.woe_column(self.col))]
 
+    def names(self, state) -> list[str]:
+        return [self.col]
+
+    packed = PACKED
+
+    def pack(self, state: BinningResult) -> tuple:
+        return state.packed()
+
+    def columns_of(self, packed: Column, width: int) -> list[Column]:
+        return [F.coalesce(F.get(packed["woe"], index_of(self.col, packed, self.most())), F.lit(0.0))]
+
+    def most(self) -> int | None:
+        """A bound on the number of edges; None for levels."""
+        if self.fitted is None:
+            return self.bins.most_edges()
+        return None if self.fitted.edges is None else len(self.fitted.edges)
+
 
 @dataclass(frozen=True)
 class Binned(Woe):
@@ -265,6 +408,16 @@ class Binned(Woe):
     def columns(self, state: BinningResult) -> Named:
         return state.indicators(self.col)
 
+    def names(self, state: BinningResult) -> list[str]:
+        return state.indicator_names(self.col)
+
+    def width(self) -> int | None:
+        return self.fitted.n_bins - 1 if self.fitted else None
+
+    def columns_of(self, packed: Column, width: int) -> list[Column]:
+        at = F.coalesce(index_of(self.col, packed, self.most()), F.lit(0))
+        return [(at == i + 1).cast("double") for i in range(width)]
+
 
 def step(col: str, breakpoints) -> Step:
     b = tuple(map(float, breakpoints))
@@ -325,7 +478,3 @@ def woe(col: str, bins) -> Woe:
 
 def binned(col: str, bins) -> Binned:
     return Binned(col, bins)
-
-
-def with_bins(term: Term, df: DataFrame, target: str, weights: str | None) -> Term:
-    return replace(term, fitted=term.bins.fit(df, term.col, target, weights)) if isinstance(term, Woe) and term.fitted is None else term

@@ -1,7 +1,7 @@
 """Distributed least-squares factors.
 
 Every fit reduces to the triangular factor R of sqrt(w) * [1, x, z]: tasks factor their rows block by block, factors
-are stacked and factored again, first for groups of tasks, then on the driver, which gets a few small matrices for each
+are stacked and factored again, first for 64 neighbouring tasks at a time, then on the driver, which gets a few small matrices for each
 group (a fold, a segment or the whole). R has the accuracy of a QR of all rows, gives the centred cross-products
 (the part right of and below the constant), residual sums, and the rank. Iterative fits pass their coefficients in; a
 task turns them into working weights and responses for its rows.
@@ -14,6 +14,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -74,14 +75,33 @@ class NonFinite(ValueError):
     pass
 
 
-def factors(rows: DataFrame, p: int, betas: dict[str, np.ndarray] | None = None, working: Working | None = None, lots: int = 16) -> dict[str, Factor]:
-    """The factor of every group. betas: coefficients (intercept first) by group, for iterative fits."""
+class Held:
+    """What a task has of a group: rows wait until they are worth factoring, then join the triangular factor."""
+
+    def __init__(self):
+        self.n, self.r, self.waiting, self.rows = 0, None, [], 0
+        self.sums, self.least, self.largest = np.zeros(2), np.inf, -np.inf
+
+    def add(self, block: np.ndarray, y: np.ndarray, w: np.ndarray) -> None:
+        self.waiting.append(block)
+        self.rows, self.n = self.rows + len(block), self.n + len(block)
+        self.sums = self.sums + [w.sum(), (w * y).sum()]
+        self.least, self.largest = min(self.least, y.min()), max(self.largest, y.max())
+        if self.rows >= 2 * block.shape[1]:
+            self.settle()
+
+    def settle(self) -> None:
+        if self.waiting:
+            self.r = stack(self.r, np.concatenate(self.waiting))
+            self.waiting, self.rows = [], 0
+
+
+def factors(rows: DataFrame, p: int, betas: dict[str, np.ndarray] | None = None, working: Working | None = None, most: int = 64) -> dict[str, Factor]:
+    """The factor of every group. betas: coefficients (intercept first) by group, for iterative fits. Factors of `most` neighbouring tasks are merged in a task; the driver merges what is left."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[str, list] = {}
-        seen = 0
+        held: dict[str, Held] = {}
         for batch in batches:
-            seen += batch.num_rows
             for name, x, y, w in blocks(batch, p):
                 bad = ~np.isfinite(x).all(0)
                 if bad.any() or not np.isfinite(y).all() or not np.isfinite(w).all():
@@ -95,32 +115,49 @@ def factors(rows: DataFrame, p: int, betas: dict[str, np.ndarray] | None = None,
                     scale, z = working(beta[0] + x @ beta[1:], y)
                     v = w * scale
                 root = np.sqrt(v)[:, None]
-                block = np.concatenate([np.ones((len(x), 1)), x, z[:, None]], 1) * root
-                old = held.get(name, [0, None, np.zeros(2), np.inf, -np.inf])
-                held[name] = [old[0] + len(x), stack(old[1], block), old[2] + [w.sum(), (w * y).sum()], min(old[3], y.min()), max(old[4], y.max())]
-        lot = seen % lots
+                if name not in held:
+                    held[name] = Held()
+                held[name].add(np.concatenate([np.ones((len(x), 1)), x, z[:, None]], 1) * root, y, w)
+        for own in held.values():
+            own.settle()
+        lot = TaskContext.get().partitionId() // most
         names = list(held)
-        yield pa.record_batch([pa.array(names, pa.string()), pa.array([lot] * len(names), pa.int32()), pa.array([held[k][0] for k in names], pa.int64()), pa.array([np.array([*held[k][2], held[k][3], held[k][4]]).tobytes() for k in names], pa.binary()), pa.array([held[k][1].tobytes() for k in names], pa.binary())], ["grp", "lot", "n", "extra", "r"])
+        yield pa.record_batch([pa.array(names, pa.string()), pa.array([lot] * len(names), pa.int32()), pa.array([held[k].n for k in names], pa.int64()), pa.array([np.array([*held[k].sums, held[k].least, held[k].largest]).tobytes() for k in names], pa.binary()), pa.array([held[k].r.tobytes() for k in names], pa.binary())], ["grp", "lot", "n", "extra", "r"])
 
-    def join(table: pa.Table) -> pa.Table:
-        n, extra, r = merged(table["n"].to_pylist(), table["extra"].to_pylist(), table["r"].to_pylist(), p)
-        return pa.table({"grp": table["grp"][:1], "lot": table["lot"][:1], "n": [n], "extra": pa.array([extra.tobytes()], pa.binary()), "r": pa.array([r.tobytes()], pa.binary())})
-
-    parts = rows.mapInArrow(run, SCHEMA).groupBy("grp", "lot").applyInArrow(join, SCHEMA).collect()
+    def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, own = None, []
+        for batch in batches:
+            out = []
+            for row in zip(*(batch[c].to_pylist() for c in ("grp", "lot", "n", "extra", "r"))):
+                if row[:2] != key:
+                    if own:
+                        out.append((*key, *merged(own, p)))
+                    key, own = row[:2], []
+                own.append(row[2:])
+            yield packed(out)
+        yield packed([(*key, *merged(own, p))] if own else [])
+
+    dealt = rows.mapInArrow(run, SCHEMA).repartition("grp", "lot").sortWithinPartitions("grp", "lot")
+    parts: dict[str, list] = {}
+    for r in dealt.mapInArrow(join, SCHEMA).collect():
+        parts.setdefault(r.grp, []).append((r.n, r.extra, r.r))
     out = {}
-    for name in sorted({r.grp for r in parts}):
-        own = [r for r in parts if r.grp == name]
-        n, extra, r = merged([x.n for x in own], [x.extra for x in own], [x.r for x in own], p)
+    for name in sorted(parts):
+        n, extra, r = merged(parts[name], p)
         out[name] = Factor(n, r, *map(float, extra))
     return out
 
 
-def merged(ns: list[int], extras: list[bytes], rs: list[bytes], p: int) -> tuple[int, np.ndarray, np.ndarray]:
-    r = None
-    for data in rs:
-        r = stack(r, np.frombuffer(data).reshape(p + 2, p + 2))
-    e = np.array([np.frombuffer(x) for x in extras])
-    return sum(ns), np.array([e[:, 0].sum(), e[:, 1].sum(), e[:, 2].min(), e[:, 3].max()]), r
+def packed(rows: list[tuple]) -> pa.RecordBatch:
+    kinds = (pa.string(), pa.int32(), pa.int64(), pa.binary(), pa.binary())
+    return pa.record_batch([pa.array([x.tobytes() if isinstance(x := r[i], np.ndarray) else x for r in rows], k) for i, k in enumerate(kinds)], ["grp", "lot", "n", "extra", "r"])
+
+
+def merged(parts: list[tuple[int, bytes, bytes]], p: int) -> tuple[int, np.ndarray, np.ndarray]:
+    """(n, extra, r) of several."""
+    r = np.concatenate([np.frombuffer(x[2]).reshape(p + 2, p + 2) for x in parts])
+    e = np.array([np.frombuffer(x[1]) for x in parts])
+    return sum(x[0] for x in parts), np.array([e[:, 0].sum(), e[:, 1].sum(), e[:, 2].min(), e[:, 3].max()]), stack(None, r) if len(parts) > 1 else r
 
 
 def dependent(r: np.ndarray, n: int) -> list[int]:

@@ -7,7 +7,7 @@ from dataclasses import dataclass, field
 from functools import reduce
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from riskloom.display import html_table
@@ -97,39 +97,53 @@ def performance_of(frame: DataFrame, reference: DataFrame | None = None, n_bins:
         frame.unpersist()
 
 
-def grouped(frame: DataFrame, by: str) -> DataFrame:
-    """n_obs, n_events, auc, ks, brier, log_loss, mean_p of each value of a column of a frame of y, s, w; all groups in the same jobs."""
+def sets(frame: DataFrame, by: str, total: bool, *more: str):
+    """Groups of a column, and with total also all rows as one more group; TOTAL tells that from a null value."""
+    own = [F.col(c) for c in (by, *more)]
+    return frame.groupingSets([own, own[1:]], *own) if total else frame.groupBy(*own)
+
+
+#: 1 in the row over all groups.
+TOTAL = "_total"
+
+
+def is_total(by: str, total: bool) -> Column:
+    return (F.grouping(by).cast("int") if total else F.lit(0)).alias(TOTAL)
+
+
+def grouped(frame: DataFrame, by: str, total: bool = False) -> DataFrame:
+    """_total, n_obs, n_events, auc, ks, brier, log_loss, mean_p of each value of a column of a frame of y, s, w, and with total over all of them; all groups in the same jobs."""
     w = F.col("w")
-    flat = frame.groupBy(by).agg(F.count("*").alias("n_obs"), F.sum((F.col("y") == 1).cast("bigint")).alias("n_events"), (F.sum(w * m.brier_column()) / F.sum(w)).alias("brier"), (F.sum(w * m.log_loss_column()) / F.sum(w)).alias("log_loss"), (F.sum(w * F.col("s")) / F.sum(w)).alias("mean_p"))
-    ranks = ranking.discrimination(frame, (by,)).select(F.col(by).alias("_by"), "auc", "ks")
-    return flat.join(ranks, F.col(by).eqNullSafe(F.col("_by")), "left").select(by, "n_obs", "n_events", "auc", "ks", "brier", "log_loss", "mean_p")
+    mean = lambda c: F.sum(w * c) / F.sum(w)
+    flat = sets(frame, by, total).agg(is_total(by, total), F.count("*").alias("n_obs"), F.sum((F.col("y") == 1).cast("bigint")).alias("n_events"), mean(m.brier_column()).alias("brier"), mean(m.log_loss_column()).alias("log_loss"), mean(F.col("s")).alias("mean_p"))
+    masses = sets(frame, by, total, "s").agg(is_total(by, total), *ranking.class_masses())
+    ranks = ranking.discrimination_of(ranking.curve_of(masses, (TOTAL, by)), (TOTAL, by)).select(F.col(by).alias("_by"), F.col(TOTAL).alias("_of"), "auc", "ks")
+    return flat.join(ranks, F.col(by).eqNullSafe(F.col("_by")) & (F.col(TOTAL) == F.col("_of")), "left").select(by, TOTAL, "n_obs", "n_events", "auc", "ks", "brier", "log_loss", "mean_p")
 
 
-def shift_from(reference, sol: Solution, frame: DataFrame, by: str, psi_bins: int) -> DataFrame:
-    """by and psi: the population stability index of each group's scores against the reference."""
+def shift_from(reference, sol: Solution, frame: DataFrame, by: str, psi_bins: int, total: bool = False) -> DataFrame:
+    """by, _total and psi: the population stability index of each group's scores against the reference."""
     old = reference_scores(reference, sol)
     edges = m.psi_edges(old, psi_bins)
     at = reduce(lambda c, e: c + (F.col("s") >= F.lit(float(e))).cast("int"), edges, F.lit(0)).alias("bin")
     shares = {r.bin: r.n for r in old.groupBy(at).agg(F.count("*").alias("n")).collect()}
     total = sum(shares.values())
     bins = [max(shares.get(i, 0) / total, 1e-6) for i in range(len(edges) + 1)]
-    counts = frame.withColumn("bin", at).groupBy(by).agg(F.count("*").alias("n"), *[F.sum((F.col("bin") == i).cast("int")).alias(f"b{i}") for i in range(len(bins))])
+    counts = sets(frame.withColumn("bin", at), by, total).agg(is_total(by, total), F.count("*").alias("n"), *[F.sum((F.col("bin") == i).cast("int")).alias(f"b{i}") for i in range(len(bins))])
     part = lambda i: (F.greatest(F.col(f"b{i}") / F.col("n"), F.lit(1e-6)) - F.lit(bins[i])) * F.log(F.greatest(F.col(f"b{i}") / F.col("n"), F.lit(1e-6)) / F.lit(bins[i]))
-    return counts.select(by, reduce(lambda a, b: a + b, [part(i) for i in range(len(bins))]).alias("psi"))
+    return counts.select(by, TOTAL, reduce(lambda a, b: a + b, [part(i) for i in range(len(bins))]).alias("psi"))
 
 
 def performance_by_segment(sol: Solution, df: DataFrame, by: str, *, weights: str | None = None, strict: bool = True, reference=None, psi_bins: int = 10, aggregate: bool = False) -> DataFrame:
-    """A row for each segment, with psi if there is a reference. A segment with one class raises if strict, else has null auc and ks. aggregate: a row over all segments, whose segment is null, comes with them."""
+    """A row for each segment, with psi if there is a reference. A segment with one class raises if strict, else has null auc and ks. aggregate: a row over all segments comes with them, and is_total tells it from the row of null segments."""
     frame = m.frame_of(sol, df, weights, (by,))
-    if aggregate:
-        kind = frame.schema[by].dataType
-        frame = frame.unionByName(frame.withColumn(by, F.lit(None).cast(kind)))
-    out = grouped(frame, by)
+    out = grouped(frame, by, aggregate)
     if reference is not None:
-        out = out.join(shift_from(reference, sol, frame, by, psi_bins).withColumnRenamed(by, "_by"), F.col(by).eqNullSafe(F.col("_by"))).drop("_by")
-    if strict and (bad := [str(r[0]) for r in out.filter("auc is null").select(by).limit(5).collect()]):
+        shift = shift_from(reference, sol, frame, by, psi_bins, aggregate).withColumnsRenamed({by: "_by", TOTAL: "_of"})
+        out = out.join(shift, F.col(by).eqNullSafe(F.col("_by")) & (F.col(TOTAL) == F.col("_of"))).drop("_by", "_of")
+    if strict and (bad := [str(r[0]) for r in out.filter(f"auc is null and {TOTAL} = 0").select(by).limit(5).collect()]):
         raise ValueError(f"one class only in {', '.join(bad)}")
-    return out
+    return out.withColumn("is_total", F.col(TOTAL) == 1).drop(TOTAL) if aggregate else out.drop(TOTAL)
 
 
 def report_by_segment(sol: Solution, df: DataFrame, by: str, **options) -> dict[object, Performance]:
@@ -158,10 +172,10 @@ def performance_over_time(sol: Solution, df: DataFrame, splitter: Splitter, *, r
     frame = m.frame_of(sol, rows, weights, ("window", "_t"))
     span = frame.groupBy("window").agg(F.min("_t").alias("a"), F.max("_t").alias("b"))
     middle = F.timestamp_micros(((F.unix_micros("a") + F.unix_micros("b")) / 2).cast("bigint"))
-    out = span.select("window", middle.alias("middle")).join(grouped(frame, "window"), "window")
+    out = span.select("window", middle.alias("middle")).join(grouped(frame, "window").drop(TOTAL), "window")
     if reference is None:
         return out
-    return out.join(shift_from(reference, sol, frame, "window", psi_bins), "window")
+    return out.join(shift_from(reference, sol, frame, "window", psi_bins).drop(TOTAL), "window")
 
 
 @dataclass(frozen=True)

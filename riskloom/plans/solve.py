@@ -11,6 +11,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from riskloom.display import html_table
+from riskloom.operators.shared import SEG, SENT_BYTES, joined, learn
+from riskloom.operators.terms import Product, Term
 from riskloom.plans.factor import Factor, dependent, design, factors
 from riskloom.spec import LinearSpec, SegmentedSpec
 from riskloom.values import Logistic, SquaredError, soft
@@ -267,39 +269,52 @@ def check_target(spec: LinearSpec, f: Factor) -> None:
         raise AssumptionError(f"{spec.target} must lie in [0, 1] for a logistic loss; it spans [{f.least:g}, {f.largest:g}]")
 
 
-def prepare(spec: LinearSpec, df: DataFrame, weights: str | None) -> tuple[tuple, list[tuple[str, Column]]]:
+def check_columns(spec: LinearSpec, df: DataFrame, weights: str | None) -> None:
     absent = [c for c in [spec.target, *spec.reads(), *([weights] if weights else [])] if c not in df.columns]
     if absent:
         raise KeyError(f"no column {', '.join(absent)}; there are {', '.join(df.columns)}")
-    states = tuple(t.fit(df, spec.target, weights) for t in spec.features)
+
+
+def prepare(spec: LinearSpec, df: DataFrame, weights: str | None) -> tuple[tuple, list[tuple[str, Column]]]:
+    check_columns(spec, df, weights)
+    states = learn(spec.features, df, spec.target, weights)[""]
     columns = [c for t, s in zip(spec.features, states) for c in t.columns(s)]
-    names = [n for n, _ in columns]
-    if twice := sorted({n for n in names if names.count(n) > 1}):
-        raise ValueError(f"several columns are named {', '.join(twice)}")
+    unlike([n for n, _ in columns])
     return states, columns
 
 
-def fit_groups(spec: LinearSpec, rows: DataFrame, columns: list[tuple[str, Column]], states: tuple, first: dict[str, Factor] | None = None) -> dict[str, Solution]:
-    """One fit for each group of design rows, all in the same jobs."""
+def unlike(names: list[str]) -> None:
+    if len(set(names)) < len(names):
+        raise ValueError(f"several columns are named {', '.join(sorted({n for n in names if names.count(n) > 1}))}")
+
+
+def fit_groups(spec: LinearSpec, rows: DataFrame, names: list[str], states: tuple, first: dict[str, Factor] | None = None) -> dict[str, Solution]:
+    """One fit for each group of design rows, all in the same jobs. names: of the design's columns."""
+    return fit_segments(spec, rows, len(names), lambda group: (names, states), first)
+
+
+def fit_segments(spec: LinearSpec, rows: DataFrame, p: int, of: Callable[[str], tuple[list[str], tuple]], first: dict[str, Factor] | None = None) -> dict[str, Solution]:
+    """The same where groups have columns and states of their own. of: (names, states) of a group."""
     solver = SOLVERS.get((type(spec.loss), spec.penalty.kind))
     if solver is None:
         raise LookupError(f"no solver for {type(spec.loss).__name__} with {spec.penalty.kind}; there are {sorted((a.__name__, b) for a, b in SOLVERS)}")
-    p, names = len(columns), [n for n, _ in columns]
     if first is None:
         first = factors(rows, p)
-    for f in first.values():
+    for group, f in first.items():
         if f.sw <= 0:
             raise ValueError("weights must not be negative, and one at least positive")
         bad = dependent(f.r[:, :-1] if spec.intercept else f.r[:, 1:-1], f.n)
         if bad:
-            labels = [INTERCEPT, *names] if spec.intercept else names
-            raise AssumptionError(f"the design isn't of full rank: {', '.join(labels[i] for i in bad)} depends on other columns")
+            labels = [INTERCEPT, *of(group)[0]] if spec.intercept else of(group)[0]
+            where = f" in segment {group}" if group else ""
+            raise AssumptionError(f"the design isn't of full rank{where}: {', '.join(labels[i] for i in bad)} depends on other columns")
         check_target(spec, f)
     out = {}
-    for name, (beta, se, done, info) in solver(spec, rows, p, first).items():
+    for group, (beta, se, done, info) in solver(spec, rows, p, first).items():
+        names, states = of(group)
         labels = [INTERCEPT, *names] if spec.intercept else names
         values = beta if spec.intercept else beta[1:]
-        out[name] = Solution(spec, dict(zip(labels, map(float, values))), None if se is None else dict(zip(labels, map(float, se))), states, first[name].n, first[name].sw, done, info, factor=first[name])
+        out[group] = Solution(spec, dict(zip(labels, map(float, values))), None if se is None else dict(zip(labels, map(float, se))), states, first[group].n, first[group].sw, done, info, factor=first[group])
     return out
 
 
@@ -319,7 +334,7 @@ def solve(spec: LinearSpec | SegmentedSpec, df: DataFrame, *, weights: str | Non
     if iterative:
         rows = rows.persist()
     try:
-        found = fit_groups(spec, rows, columns, states)
+        found = fit_groups(spec, rows, [n for n, _ in columns], states)
     finally:
         if iterative:
             rows.unpersist()
@@ -329,17 +344,38 @@ def solve(spec: LinearSpec | SegmentedSpec, df: DataFrame, *, weights: str | Non
     return replace(sol, assumptions=run_assumptions(sol, df, weights, on_violation, suppress, classical_inference, stability_splitter))
 
 
+def by_segment(terms: tuple) -> bool:
+    """True if what the terms learn can differ between segments of the same job: all kinds but those whose fit() a user has written."""
+    return all(by_segment(t.terms) if isinstance(t, Product) else t.packed is not None or type(t).fit is Term.fit for t in terms)
+
+
 def solve_segments(spec: SegmentedSpec, df: DataFrame, weights: str | None) -> SegmentedSolution:
-    """Terms without state share all jobs; where terms learn from rows, every segment is prepared on its own."""
+    """All segments share all jobs: what terms learn comes from grouped passes, and rows meet the states of their segment in a join. Segments whose bins give other numbers of columns are factored in jobs of their own, one for each number. Only terms with a fit() of the user's own are fitted segment by segment."""
     base, by = spec.base, F.col(spec.by)
+    check_columns(base, df, weights)
     present = df.filter(by.isNotNull())
-    if all(type(t).fit is type(t).__mro__[-2].fit for t in base.features):
+    found: dict[str, Solution] = {}
+    if by_segment(base.features) and not packs(base.features):
         states, columns = prepare(base, present, weights)
         rows = design(present, columns, base.target, weights, by).persist()
         try:
-            found = fit_groups(base, rows, columns, states)
+            found = fit_groups(base, rows, [n for n, _ in columns], states)
         finally:
             rows.unpersist()
+    elif by_segment(base.features):
+        states = learn_segments(base, present, weights, by)
+        named = {seg: [n for t, x in zip(base.features, own) for n in t.names(x)] for seg, own in states.items()}
+        by_width: dict[tuple, list[str]] = {}
+        for seg, own in states.items():
+            by_width.setdefault(tuple(len(t.names(x)) for t, x in zip(base.features, own)), []).append(seg)
+        for names in named.values():
+            unlike(names)
+        for widths, segments in sorted(by_width.items()):
+            rows = segment_design(base, present, weights, by, widths, {seg: states[seg] for seg in segments}, len(by_width) > 1).persist()
+            try:
+                found |= fit_segments(base, rows, sum(widths), lambda seg: (named[seg], states[seg]))
+            finally:
+                rows.unpersist()
     else:
         names = sorted(str(r[0]) for r in present.select(by.cast("string")).distinct().collect())
         found = {n: solve(base, present.filter(by.cast("string") == n), weights=weights, on_violation="ignore") for n in names}
@@ -348,16 +384,63 @@ def solve_segments(spec: SegmentedSpec, df: DataFrame, weights: str | None) -> S
     return SegmentedSolution(spec, found)
 
 
+def learn_segments(base: LinearSpec, present: DataFrame, weights: str | None, by: Column) -> dict[str, tuple]:
+    try:
+        return learn(base.features, present, base.target, weights, by)
+    except ValueError as e:
+        if "no rows" in str(e):
+            raise ValueError("the segment column has no segment") from e
+        raise
+
+
+def packs(terms: tuple) -> list[tuple[int, Term]]:
+    return [(i, t) for i, t in enumerate(terms) if t.packed]
+
+
+def segment_design(base: LinearSpec, present: DataFrame, weights: str | None, by: Column, widths: tuple, states: dict[str, tuple], only: bool) -> DataFrame:
+    """Design rows whose columns follow the states of their segment. only: the states are those of some segments."""
+    rows, own = present, packs(base.features)
+    if own or only:
+        table = {seg: tuple(t.pack(x[i]) for i, t in own) or (0,) for seg, x in states.items()}
+        rows = joined(present.withColumn(SEG, by.cast("string")), table, ", ".join(f"_s{i} {t.packed}" for i, t in own) or "_s int")
+    return design(rows, columns_by_segment(base.features, widths), base.target, weights, by)
+
+
+def columns_by_segment(terms: tuple, widths: tuple) -> list[tuple[str, Column]]:
+    return [(f"{i}_{j}", c) for i, (t, w) in enumerate(zip(terms, widths)) for j, c in enumerate(t.columns_of(F.col(f"_s{i}") if t.packed else None, w))]
+
+
 def predict(sol, df: DataFrame, name: str = "prediction") -> DataFrame:
-    """The rows with a prediction column; rows of unseen segments get NaN, with a warning when df is no stream."""
+    """The rows with a prediction column. Those of unseen segments get NaN, with a warning when df is no stream. Segments' coefficients are a table that is joined to the rows, so the plan doesn't grow with their number."""
     if isinstance(sol, Solution):
         return df.withColumn(name, sol.score())
-    key = F.col(sol.spec.by).cast("string")
+    base, key = sol.spec.base, F.col(sol.spec.by).cast("string")
+    if not by_segment(base.features):
+        out = F.lit(float("nan"))
+        for segment, own in sorted(sol.solutions.items()):
+            out = F.when(key == segment, own.score()).otherwise(out)
+        return df.withColumn(name, out)
+    sizes = [[len(t.names(x)) for t, x in zip(base.features, own.states)] for own in sol.solutions.values()]
+    widths = tuple(max(w) for w in zip(*sizes))
+    own = packs(base.features)
+    rows = []
+    for (seg, fit), width in zip(sol.solutions.items(), sizes):
+        values = list(fit.coefficients.values())
+        beta = [values.pop(0)] if base.intercept else [0.0]
+        for n, w in zip(width, widths):  # bins that other segments have and this one lacks
+            beta += [values.pop(0) for _ in range(n)] + [0.0] * (w - n)
+        rows.append((seg, beta, *(t.pack(fit.states[i]) for i, t in own)))
+    kind = ", ".join(["_segment string", "_beta array<double>", *(f"_s{i} {t.packed}" for i, t in own)])
+    table = df.sparkSession.createDataFrame(rows, kind)
+    if sum(64 + 16 * len(r[1]) + 64 * len(own) * (1 + sum(widths)) for r in rows) <= SENT_BYTES:
+        table = F.broadcast(table)
+    keyed = df.withColumn("_key", key).join(table, F.col("_key") == F.col("_segment"), "left")
     if not df.isStreaming:
-        unseen = df.filter(key.isNull() | ~key.isin(list(sol.solutions))).groupBy(key.alias("s")).count().limit(20).collect()
+        unseen = keyed.filter("_segment is null").groupBy("_key").count().limit(20).collect()
         if unseen:
-            warn.warn(f"{sum(r['count'] for r in unseen)} rows of unseen segments {sorted(str(r['s']) for r in unseen)} get NaN", stacklevel=2)
-    out = F.lit(float("nan"))
-    for segment, own in sorted(sol.solutions.items()):
-        out = F.when(key == segment, own.score()).otherwise(out)
-    return df.withColumn(name, out)
+            warn.warn(f"{sum(r['count'] for r in unseen)} rows of unseen segments {sorted(str(r['_key']) for r in unseen)} get NaN", stacklevel=2)
+    eta = F.col("_beta")[0]
+    for j, (_, column) in enumerate(columns_by_segment(base.features, widths)):
+        eta = eta + F.col("_beta")[j + 1] * column
+    score = F.when(F.col("_segment").isNull(), F.lit(float("nan"))).otherwise(base.loss.link(eta))
+    return keyed.select(*[keyed[c] for c in df.columns if c != name], score.alias(name))

@@ -164,7 +164,7 @@ def fitted(spec: LinearSpec, train: DataFrame, weights: str | None, held: dict,
         rows = design(train, columns, spec.target, weights)
         held[key] = states, columns, rows, factors(rows, len(columns))
     states, columns, rows, first = held[key]
-    return fit_groups(spec, rows, columns, states, first)[""]
+    return fit_groups(spec, rows, [n for n, _ in columns], states, first)[""]
 
 
 @dataclass(frozen=True)
@@ -229,7 +229,7 @@ def lambda_path(spec: LinearSpec, df: DataFrame, n: int = 100, ratio: float = 1e
     for lam in lambdas:
         if isinstance(spec.loss, Logistic):
             own = replace(spec, penalty=l1(lam * share) + l2(lam * (1 - share)) if share < 1 else l1(lam))
-            sol = fit_groups(own, rows, columns, states, first)[""]
+            sol = fit_groups(own, rows, [n for n, _ in columns], states, first)[""]
             out.append(np.array(list(sol.coefficients.values())))
         else:
             beta, _, _, start = coordinate(f, lam * share, lam * (1 - share), start)

@@ -6,7 +6,8 @@ from dataclasses import dataclass, replace
 
 from pyspark.sql import DataFrame
 
-from riskloom.operators.terms import Term, flat, with_bins
+from riskloom.operators.shared import learn
+from riskloom.operators.terms import Term, Woe, flat
 from riskloom.values import Loss, NoPenalty, Penalty, squared_error
 
 
@@ -44,5 +45,7 @@ def segmented(by: str, base: LinearSpec) -> SegmentedSpec:
 
 
 def fit_binnings(spec: LinearSpec, df: DataFrame, weights: str | None = None) -> LinearSpec:
-    """The spec with the bins of its own WoE and indicator terms fitted; operands of products stay as they are."""
-    return replace(spec, features=tuple(with_bins(t, df, spec.target, weights) for t in spec.features))
+    """The spec with the bins of its own WoE and indicator terms fitted, all in the same passes; operands of products stay as they are."""
+    open_terms = tuple(t for t in spec.features if isinstance(t, Woe) and t.fitted is None)
+    bins = iter(learn(open_terms, df, spec.target, weights)[""]) if open_terms else iter(())
+    return replace(spec, features=tuple(replace(t, fitted=next(bins)) if t in open_terms else t for t in spec.features))

@@ -247,3 +247,16 @@ def test_readers(spark, tmp_path):
     assert [tuple(r) for r in rows] == [("low", "6"), ("high", "48"), ("A13", "7")]
     days = tables.with_random_dates(spark.range(500), "day", "2020-01-01", "2020-01-10").selectExpr("min(day) AS a", "max(day) AS b", "count(*) AS n").first()
     assert (str(days.a), str(days.b), days.n) == ("2020-01-01", "2020-01-10", 500)
+
+
+def test_aggregate_row_beside_null_segments(spark):
+    rows = [(["a", "b", None][i % 3], i / 90, int(i % 7 < 3)) for i in range(90)]
+    df = spark.createDataFrame(rows, "seg string, x double, y int")
+    sol = rl.solve(rl.linear("y", "x", loss=rl.logistic()), df, on_violation="ignore")
+    out = rl.performance_by_segment(sol, df, "seg", reference=df, aggregate=True).toPandas()
+    total, none = out[out.is_total], out[~out.is_total & out.seg.isna()]
+    assert total.n_obs.tolist() == [90] and none.n_obs.tolist() == [30] and len(out) == 4
+    assert total.auc.iloc[0] == pytest.approx(rl.performance(sol, df).auc) and abs(total.psi.iloc[0]) < 1e-12
+    own = rl.performance_by_segment(sol, df, "seg", reference=df).toPandas()
+    assert "is_total" not in own and own.n_obs.tolist() == [30, 30, 30]
+    assert own[own.seg.isna()].auc.iloc[0] == pytest.approx(none.auc.iloc[0])
