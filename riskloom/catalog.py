@@ -494,10 +494,25 @@ def mean_squared(sol, df) -> float:
     return df.agg(F.avg(F.pow(F.col(sol.spec.target) - sol.score(), F.lit(2.0)))).first()[0]
 
 
-@query("cross_validation")
+#: Newton steps for both folds at once; the normal equations of three coefficients are solved by Cramer's rule.
+NEWTON_SQL = f"""WITH RECURSIVE {FRAME[5:]}, z AS (SELECT min(t) AS t0 FROM m), f AS (SELECT CAST(k AS INT) AS fold, t0 + (365 + 365 * k) * INTERVAL 1 DAY AS e FROM z, range(2) r(k)),
+tr AS (SELECT fold, q, d, y FROM m, f WHERE t <= e), va AS (SELECT fold, q, d, y FROM m, f WHERE t > e AND t <= e + INTERVAL 365 DAY),
+b(fold, step, b0, b1, b2) AS (SELECT fold, 0, ln(avg(y) / (1 - avg(y))), 0::DOUBLE, 0::DOUBLE FROM tr GROUP BY fold UNION ALL
+SELECT fold, step + 1, b0 + (g0 * (h11 * h22 - h12 * h12) - h01 * (g1 * h22 - h12 * g2) + h02 * (g1 * h12 - h11 * g2)) / det, b1 + (h00 * (g1 * h22 - h12 * g2) - g0 * (h01 * h22 - h12 * h02) + h02 * (h01 * g2 - g1 * h02)) / det, b2 + (h00 * (h11 * g2 - g1 * h12) - h01 * (h01 * g2 - g1 * h02) + g0 * (h01 * h12 - h11 * h02)) / det
+FROM (SELECT *, h00 * (h11 * h22 - h12 * h12) - h01 * (h01 * h22 - h12 * h02) + h02 * (h01 * h12 - h11 * h02) AS det FROM (
+SELECT fold, step, b0, b1, b2, sum(v) AS h00, sum(v * q) AS h01, sum(v * d) AS h02, sum(v * q * q) AS h11, sum(v * q * d) AS h12, sum(v * d * d) AS h22, sum(y - p) AS g0, sum((y - p) * q) AS g1, sum((y - p) * d) AS g2
+FROM (SELECT *, p * (1 - p) AS v FROM (SELECT b.*, q, d, y, 1 / (1 + exp(-(b0 + b1 * q + b2 * d))) AS p FROM b JOIN tr USING (fold) WHERE step < 9)) GROUP BY fold, step, b0, b1, b2))),
+s AS (SELECT fold, y, round(1 / (1 + exp(-(b0 + b1 * q + b2 * d))), 9) AS p FROM va JOIN (SELECT * FROM b WHERE step = 9) USING (fold)),
+g AS (SELECT fold, p, sum(y)::DOUBLE AS e, sum(1 - y)::DOUBLE AS o FROM s GROUP BY fold, p), c AS (SELECT *, sum(o) OVER (PARTITION BY fold ORDER BY p) AS co, sum(e) OVER (PARTITION BY fold) AS te, sum(o) OVER (PARTITION BY fold) AS tot FROM g),
+v AS (SELECT fold, 'brier' AS metric, avg((y - p) ** 2) AS value FROM s GROUP BY fold UNION ALL SELECT fold, 'auc', sum(e * (co - o / 2)) / any_value(te * tot) FROM c GROUP BY fold),
+n AS (SELECT fold, count(*) AS n_train FROM tr GROUP BY fold), k AS (SELECT fold, count(*) AS n_valid FROM va GROUP BY fold)
+SELECT fold, n_train, n_valid, metric, round(value, 5) AS value FROM v JOIN n USING (fold) JOIN k USING (fold)"""
+
+
+@query("cross_validation", NEWTON_SQL)
 def cross_validation(spark, sf_dir):
     made = rl.cross_validate(rl.linear("y", ["q", "d"], loss=rl.logistic()), model_frame(spark, sf_dir), rl.expanding_window("t", 2, "365 days"), {"brier": rl.brier_score, "auc": rl.auc})
-    return rounded(made.summary(spark))
+    return rounded(made.summary(spark), 5)
 
 
 FOLDS = f"""WITH m AS ({MODEL_FRAME}), z AS (SELECT min(t) AS t0 FROM m), f AS (SELECT CAST(k AS INT) AS fold, t0 + 365 * (1 + k) * INTERVAL 1 DAY AS e FROM z, range(2) r(k)),

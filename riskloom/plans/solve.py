@@ -410,7 +410,7 @@ def columns_by_segment(terms: tuple, widths: tuple) -> list[tuple[str, Column]]:
     return [(f"{i}_{j}", c) for i, (t, w) in enumerate(zip(terms, widths)) for j, c in enumerate(t.columns_of(F.col(f"_s{i}") if t.packed else None, w))]
 
 
-def predict(sol, df: DataFrame, name: str = "prediction") -> DataFrame:
+def predict(sol, df: DataFrame, name: str = "prediction", warn_unseen: bool = True) -> DataFrame:
     """The rows with a prediction column. Those of unseen segments get NaN, with a warning when df is no stream. Segments' coefficients are a table that is joined to the rows, so the plan doesn't grow with their number."""
     if isinstance(sol, Solution):
         return df.withColumn(name, sol.score())
@@ -435,7 +435,7 @@ def predict(sol, df: DataFrame, name: str = "prediction") -> DataFrame:
     if sum(64 + 16 * len(r[1]) + 64 * len(own) * (1 + sum(widths)) for r in rows) <= SENT_BYTES:
         table = F.broadcast(table)
     keyed = df.withColumn("_key", key).join(table, F.col("_key") == F.col("_segment"), "left")
-    if not df.isStreaming:
+    if warn_unseen and not df.isStreaming:
         unseen = keyed.filter("_segment is null").groupBy("_key").count().limit(20).collect()
         if unseen:
             warn.warn(f"{sum(r['count'] for r in unseen)} rows of unseen segments {sorted(str(r['_key']) for r in unseen)} get NaN", stacklevel=2)

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import inspect
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field, replace
 from itertools import product
@@ -15,21 +14,13 @@ from pyspark.sql import functions as F
 from riskloom.display import html_table
 from riskloom.plans.assume import fold_checks
 from riskloom.plans.factor import Factor, blocks, design, factors
+from riskloom.plans.folds import Folds, measured
 from riskloom.plans.solve import INTERCEPT, SOLVERS, AssumptionError, Solution, coordinate, fit_groups, prepare, solve, standardised
-from riskloom.plans.splits import Splitter, stamp
+from riskloom.plans.splits import Splitter
 from riskloom.spec import LinearSpec
 from riskloom.values import Logistic, l1, l2
 
 
-def measured(metric: Callable, sol: Solution, df: DataFrame, weights: str | None) -> float:
-    """Calls a metric, with weights if it takes them; its number, or its .value."""
-    if weights is not None and "weights" in inspect.signature(metric).parameters:
-        out = metric(sol, df, weights=weights)
-    else:
-        out = metric(sol, df)
-    return float(getattr(out, "value", out))
-
-
 def metric_name(metric: Callable) -> str:
     return getattr(metric, "name", None) or getattr(metric, "__name__", type(metric).__name__)
 
@@ -78,16 +69,15 @@ def cross_validate(spec: LinearSpec, df: DataFrame, splitter: Splitter, metrics,
     horizon = spec.loss.label_horizon
     if horizon is not None and splitter.gap < horizon:
         raise LeakageError(f"the gap {splitter.gap} is below the label's horizon {horizon}")
-    used = list(dict.fromkeys([spec.target, *spec.reads(), *([weights] if weights else [])]))
-    t, out = stamp(splitter.time_col), []
+    folds, out = Folds.of(splitter, df), []
     ahead = hasattr(splitter, "horizon")  # train rows end before the validation window
-    for i, (train, valid) in enumerate(splitter.split(df)):
-        n, last = train.agg(F.count("*"), F.max(t)).first()
-        m, first = valid.agg(F.count("*"), F.min(t)).first()
-        if ahead and n and m and last + splitter.gap > first:
-            raise LeakageError(f"fold {i}: train rows reach {last}, validation begins {first}")
-        sol = solve(spec, train.select(*used), weights=weights, on_violation="ignore")
-        out.append(Fold(i, n, m, last, first, sol, {k: measured(f, sol, valid, weights) for k, f in named(metrics).items()}))
+    sizes = folds.sizes()
+    for i, x in enumerate(sizes):
+        if ahead and x["n_train"] and x["n_valid"] and x["last_train"] + splitter.gap > x["first_valid"]:
+            raise LeakageError(f"fold {i}: train rows reach {x['last_train']}, validation begins {x['first_valid']}")
+    fits = folds.fit(spec, weights)
+    for i, (x, sol, values) in enumerate(zip(sizes, fits, folds.measure(named(metrics), fits, weights))):
+        out.append(Fold(i, x["n_train"], x["n_valid"], x["last_train"], x["first_valid"], sol, values))
     return CrossValidation(spec, tuple(out), fold_checks(tuple(out), splitter.gap, ahead))
 
 
@@ -135,38 +125,29 @@ def grid_points(grid) -> list[dict]:
 
 
 def tune(spec_fn: Callable, grid, df: DataFrame, splitter: Splitter, metric: Callable, *, weights: str | None = None, rule: Callable = best_mean, direction: str = "max") -> TuneResult:
-    """Every point of the grid on every fold, then a fit to all rows. Points that share features share the folds' factors, so only the first costs a pass for squared-error fits."""
+    """Every point of the grid on every fold, then a fit to all rows. All folds of a point share their jobs; points that share features share the folds' factors, so only the first costs a pass for squared-error fits."""
     if direction not in ("max", "min"):
         raise ValueError("direction is max or min")
     points = grid_points(grid)
     if not points:
         raise ValueError("the grid is empty")
-    folds, values = [(a.persist(), b.persist()) for a, b in splitter.split(df)], []
-    held: dict = {}
+    folds, values = Folds.of(splitter, df), []
+    level = folds.rows.storageLevel
+    own = not (level.useMemory or level.useDisk)  # else the caller has persisted the rows
+    if own:
+        folds.rows.persist()
     try:
         for params in points:
-            spec = spec_fn(**params)
-            values.append(tuple(measured(metric, fitted(spec, train, weights, held, i), valid, weights) for i, (train, valid) in enumerate(folds)))
+            fits = folds.fit(spec_fn(**params), weights)
+            values.append(tuple(x["metric"] for x in folds.measure({"metric": metric}, fits, weights)))
     finally:
-        for pair in folds:
-            for frame in pair:
-                frame.unpersist()
+        if own:
+            folds.rows.unpersist()
     curve = tuple(CurvePoint(p, float(np.mean(v)), float(np.std(v, ddof=1)) if len(v) > 1 else 0.0, v) for p, v in zip(points, values))
     at = rule(curve, direction)
     return TuneResult(curve, at, solve(spec_fn(**points[at]), df, weights=weights, on_violation="ignore"))
 
 
-def fitted(spec: LinearSpec, train: DataFrame, weights: str | None, held: dict, fold: int) -> Solution:
-    """A fit that reuses the design, states and factor of equal features on the same fold."""
-    key = (fold, spec.features, spec.target, weights)
-    if key not in held:
-        states, columns = prepare(spec, train, weights)
-        rows = design(train, columns, spec.target, weights)
-        held[key] = states, columns, rows, factors(rows, len(columns))
-    states, columns, rows, first = held[key]
-    return fit_groups(spec, rows, [n for n, _ in columns], states, first)[""]
-
-
 @dataclass(frozen=True)
 class NestedFold:
     fold: int
@@ -536,11 +517,10 @@ def residual_refit(rows: DataFrame, p: int, n_rep: int, seed: int, one: Callable
 
 
 def over_time(metric: Callable, sol: Solution, df: DataFrame, splitter: Splitter, *, weights: str | None = None) -> list[tuple[object, float]]:
-    """(middle of the observed span, value) of the metric in each validation window that has rows."""
-    t, out = stamp(splitter.time_col), []
-    for _, valid in splitter.split(df):
-        lo, hi = valid.agg(F.min(t), F.max(t)).first()
-        if lo is not None:
-            out.append((lo + (hi - lo) / 2, measured(metric, sol, valid, weights)))
-    return out
-
+    """(middle of the observed span, value) of the metric in each validation window that has rows; a known metric's windows share all jobs."""
+    folds = Folds.of(splitter, df)
+    sizes = folds.sizes()
+    there = [i for i, x in enumerate(sizes) if x["n_valid"]]
+    folds.pairs = [folds.pairs[i] for i in there]
+    values = folds.measure({"metric": metric}, [sol] * len(there), weights)
+    return [(sizes[i]["first_valid"] + (sizes[i]["last_valid"] - sizes[i]["first_valid"]) / 2, x["metric"]) for i, x in zip(there, values)]
