@@ -5,6 +5,7 @@ from riskloom.operators.binning import BinningResult, categorical, manual, monot
 from riskloom.operators.terms import binned, bs, cross, hinge, interact, ns, poly, smooth, step, woe
 from riskloom.plans.assume import check_assumptions
 from riskloom.plans.inspect import binning_table, coefficients, diagnostics, hat_matrix, influence
+from riskloom.plans.keyed_reports import figures_by_segment, figures_over_time
 from riskloom.plans.reports import compare, performance, performance_by_segment, performance_over_time, report_by_segment, report_over_time
 from riskloom.plans.solve import AssumptionError, SegmentedSolution, Solution, predict, register, solve
 from riskloom.plans.splits import expanding_window, purged_kfold, rolling_window, time_split

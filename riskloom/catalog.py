@@ -13,7 +13,7 @@ from riskloom.functions import ranking
 from riskloom.functions.quantiles import quantiles
 from riskloom.operators.binning import PACKED, index_of
 from riskloom.operators.shared import learn
-from riskloom.plans import assume, reports, validate
+from riskloom.plans import assume, keyed_reports, reports, validate
 from riskloom.sources.tables import MODEL_FRAME, TIES, model_frame, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -552,6 +552,29 @@ def perf_by_segment_total(spark, sf_dir):
     return rounded(reports.grouped(frame, "seg", True).withColumn("is_total", F.col(reports.TOTAL) == 1).drop("log_loss", reports.TOTAL))
 
 
+#: Figures of every supplier's rows; slopes by Newton steps of all suppliers at once.
+REPORTS_SQL = """WITH RECURSIVE m AS (SELECT l_suppkey AS key, CAST(l_returnflag = 'R' AS INT) AS y, ROUND(CAST(l_quantity AS DOUBLE) / CAST(51 AS DOUBLE), 6) AS s, l_orderkey, l_linenumber, l_partkey, l_extendedprice FROM lineitem),
+g AS (SELECT key, s, sum(y)::DOUBLE AS p, sum(1 - y)::DOUBLE AS n FROM m GROUP BY key, s),
+r AS (SELECT *, sum(p) OVER k AS cp, sum(n) OVER k AS cn, sum(p) OVER (PARTITION BY key) AS tp, sum(n) OVER (PARTITION BY key) AS tn FROM g WINDOW k AS (PARTITION BY key ORDER BY s)),
+v AS (SELECT *, (cn - n / 2) / tn AS below, (tp - cp + p / 2) / tp AS above FROM r),
+a AS (SELECT key, sum(p * below) / any_value(tp) AS auc, max(abs(cp / tp - cn / tn)) AS ks, (sum(p * below * below) - sum(p * below) ** 2 / any_value(tp)) / (any_value(tp) - 1) / any_value(tp) + (sum(n * above * above) - sum(n * above) ** 2 / any_value(tn)) / (any_value(tn) - 1) / any_value(tn) AS var FROM v GROUP BY key),
+f AS (SELECT key, count(*) AS n_obs, sum(y) AS n_events, avg((y - s) ** 2) AS brier, avg(s) AS mean, min(s) AS least, max(s) AS largest, quantile_cont(s, 0.5) AS median,
+    (avg(s) FILTER (y = 1) - avg(s) FILTER (y = 0)) / sqrt(((count(*) FILTER (y = 1) - 1) * var_samp(s) FILTER (y = 1) + (count(*) FILTER (y = 0) - 1) * var_samp(s) FILTER (y = 0)) / (count(*) - 2)) AS cohens_d FROM m GROUP BY key),
+e AS (SELECT key, sum(n * abs(o - p)) / sum(n) AS ece FROM (SELECT key, bin, avg(s) AS p, avg(y) AS o, count(*) AS n FROM (SELECT key, s, y, least(floor((row_number() OVER (PARTITION BY key ORDER BY s, l_orderkey, l_linenumber, l_partkey, l_extendedprice) - 1) * 10 / (count(*) OVER (PARTITION BY key))::DOUBLE + 1e-12), 9) AS bin FROM m) GROUP BY key, bin) GROUP BY key),
+x AS (SELECT key, ln(s / (1 - s)) AS x, p + n AS w, p AS e FROM g),
+t(key, i, a, b) AS (SELECT DISTINCT key, 0, 0::DOUBLE, 0::DOUBLE FROM m UNION ALL SELECT key, i + 1, a + (g0 * h2 - g1 * h1) / (h0 * h2 - h1 * h1), b + (g1 * h0 - g0 * h1) / (h0 * h2 - h1 * h1)
+    FROM (SELECT key, i, a, b, sum(v) AS h0, sum(v * x) AS h1, sum(v * x * x) AS h2, sum(e - w * q) AS g0, sum((e - w * q) * x) AS g1 FROM (SELECT *, w * q * (1 - q) AS v FROM (SELECT t.*, x.x, w, e, 1 / (1 + exp(-(a + b * x.x))) AS q FROM t JOIN x USING (key) WHERE i < 12)) GROUP BY key, i, a, b))
+SELECT key, figure, round(value, 5) AS value FROM (SELECT key, unnest(['n_obs', 'n_events', 'auc', 'auc_low', 'auc_high', 'gini', 'ks', 'cohens_d', 'brier', 'ece', 'slope', 'intercept', 'mean', 'median', 'least', 'largest']) AS figure,
+    unnest([n_obs, n_events, auc, greatest(auc - 1.959963984540054 * sqrt(var), 0), least(auc + 1.959963984540054 * sqrt(var), 1), 2 * auc - 1, ks, cohens_d, brier, ece, t.b, t.a, mean, median, least, largest]) AS value
+    FROM f JOIN a USING (key) JOIN e USING (key) JOIN t USING (key) WHERE t.i = 12)"""
+
+
+@query("perf_reports_many", REPORTS_SQL)
+def perf_reports_many(spark, sf_dir):
+    rows = spark.sql("SELECT l_suppkey AS key, CAST(l_returnflag = 'R' AS DOUBLE) AS y, ROUND(CAST(l_quantity AS DOUBLE) / CAST(51 AS DOUBLE), 6) AS s, CAST(1 AS DOUBLE) AS w, l_orderkey, l_linenumber, l_partkey, l_extendedprice FROM {lineitem}", lineitem=table(spark, sf_dir, "lineitem"))
+    return rounded(keyed_reports.figures_of_keys(rows, None, 10, ties=TIES).filter("figure not in ('ks_at', 'log_loss')"), 5)
+
+
 @query("perf_over_time", f"WITH a AS ({MODEL_FRAME}), z AS (SELECT min(t) AS t0 FROM a), m AS (SELECT a.*, CAST(k AS INT) AS \"window\" FROM a, z, range(5) r(k) WHERE t > t0 + (365 + 365 * k) * INTERVAL 1 DAY AND t <= t0 + (730 + 365 * k) * INTERVAL 1 DAY)" + RANK_SQL.format(by='"window",', w="1::DOUBLE", part='"window"') + GROUP_SQL.format(by='"window"'))
 def perf_over_time(spark, sf_dir):
     rows = reports.windows(model_frame(spark, sf_dir), rl.expanding_window("t", 5, "365 days"))

@@ -127,8 +127,8 @@ def shift_from(reference, sol: Solution, frame: DataFrame, by: str, psi_bins: in
     edges = m.psi_edges(old, psi_bins)
     at = reduce(lambda c, e: c + (F.col("s") >= F.lit(float(e))).cast("int"), edges, F.lit(0)).alias("bin")
     shares = {r.bin: r.n for r in old.groupBy(at).agg(F.count("*").alias("n")).collect()}
-    total = sum(shares.values())
-    bins = [max(shares.get(i, 0) / total, 1e-6) for i in range(len(edges) + 1)]
+    n_old = sum(shares.values())
+    bins = [max(shares.get(i, 0) / n_old, 1e-6) for i in range(len(edges) + 1)]
     counts = sets(frame.withColumn("bin", at), by, total).agg(is_total(by, total), F.count("*").alias("n"), *[F.sum((F.col("bin") == i).cast("int")).alias(f"b{i}") for i in range(len(bins))])
     part = lambda i: (F.greatest(F.col(f"b{i}") / F.col("n"), F.lit(1e-6)) - F.lit(bins[i])) * F.log(F.greatest(F.col(f"b{i}") / F.col("n"), F.lit(1e-6)) / F.lit(bins[i]))
     return counts.select(by, TOTAL, reduce(lambda a, b: a + b, [part(i) for i in range(len(bins))]).alias("psi"))
