@@ -204,10 +204,12 @@ def working_logistic(eta: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.nda
     return v, eta + (y - p) / v
 
 
-def iterate(rows: DataFrame, p: int, first: dict[str, Factor], update: Callable, intercept: bool, tol: float = 1e-8, most: int = 100) -> dict[str, tuple[np.ndarray, Factor, bool, int]]:
-    """Newton-type steps for all groups at once; a group that has settled leaves the next jobs."""
-    betas = {}
+def iterate(rows: DataFrame, p: int, first: dict[str, Factor], update: Callable, intercept: bool, tol: float = 1e-8, most: int = 100, starts: dict[str, np.ndarray] | None = None) -> dict[str, tuple[np.ndarray, Factor, bool, int]]:
+    """Newton-type steps for all groups at once; a group that has settled leaves the next jobs. starts: coefficients to begin with."""
+    betas = dict(starts or {})
     for name, f in first.items():
+        if name in betas:
+            continue
         mean = min(max(f.sy / f.sw, 1e-12), 1 - 1e-12)
         betas[name] = np.concatenate([[np.log(mean / (1 - mean)) if intercept else 0.0], np.zeros(p)])
     out: dict[str, tuple] = {}
@@ -253,7 +255,12 @@ def irls_ridge(spec: LinearSpec, rows: DataFrame, p: int, first: dict[str, Facto
 @register(Logistic, "l1")
 @register(Logistic, "mixed")
 def prox_newton(spec: LinearSpec, rows: DataFrame, p: int, first: dict[str, Factor]) -> dict[str, Raw]:
-    """Penalised working problems, each solved by coordinate descent in units of the working standard deviations."""
+    found = iterate(rows, p, first, prox_update(spec), True)
+    return {name: (beta, None, done, {"solver": "prox_newton", "iterations": steps, "penalty_value": spec.penalty.value(beta)}) for name, (beta, _, done, steps) in found.items()}
+
+
+def prox_update(spec: LinearSpec) -> Callable[[Factor], np.ndarray]:
+    """The next coefficients: penalised working problems, solved by coordinate descent in units of the working standard deviations."""
     if not spec.intercept:
         raise ValueError("coordinate descent centres the working response; keep the intercept")
 
@@ -261,7 +268,7 @@ def prox_newton(spec: LinearSpec, rows: DataFrame, p: int, first: dict[str, Fact
         ratio = f.n / f.r[0, 0] ** 2
         return coordinate(f, spec.penalty.strength("l1") * ratio, spec.penalty.strength("l2") * ratio, tol=1e-9, sweeps=2000)[0]
 
-    return {name: (beta, None, done, {"solver": "prox_newton", "iterations": steps, "penalty_value": spec.penalty.value(beta)}) for name, (beta, _, done, steps) in iterate(rows, p, first, update, True).items()}
+    return update
 
 
 def check_target(spec: LinearSpec, f: Factor) -> None:

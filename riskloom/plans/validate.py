@@ -15,7 +15,7 @@ from riskloom.display import html_table
 from riskloom.plans.assume import fold_checks
 from riskloom.plans.factor import Factor, blocks, design, factors
 from riskloom.plans.folds import Folds, measured
-from riskloom.plans.solve import INTERCEPT, SOLVERS, AssumptionError, Solution, coordinate, fit_groups, prepare, solve, standardised
+from riskloom.plans.solve import INTERCEPT, SOLVERS, AssumptionError, Solution, check_target, coordinate, iterate, prepare, prox_update, solve, standardised
 from riskloom.plans.splits import Splitter
 from riskloom.spec import LinearSpec
 from riskloom.values import Logistic, l1, l2
@@ -199,22 +199,30 @@ def lambda_max(spec: LinearSpec, df: DataFrame, weights: str | None = None) -> f
 
 
 def lambda_path(spec: LinearSpec, df: DataFrame, n: int = 100, ratio: float = 1e-3, *, weights: str | None = None) -> Path:
-    """Coefficients along lambdas from the largest down: one pass over the rows for squared error, warm starts between points."""
+    """Coefficients along lambdas from the largest down: one pass over the rows for squared error, a pass for each Newton step of a logistic fit; each lambda starts from the one before."""
     share = mixing(spec)
     states, columns = prepare(spec, df, weights)
-    rows = design(df, columns, spec.target, weights)
-    first = factors(rows, len(columns))
-    f = first[""]
-    top = float(np.abs(standardised(f)[1]).max() / share)
-    lambdas, out, start = log_grid(top * ratio, top, n), [], None
-    for lam in lambdas:
-        if isinstance(spec.loss, Logistic):
-            own = replace(spec, penalty=l1(lam * share) + l2(lam * (1 - share)) if share < 1 else l1(lam))
-            sol = fit_groups(own, rows, [n for n, _ in columns], states, first)[""]
-            out.append(np.array(list(sol.coefficients.values())))
-        else:
-            beta, _, _, start = coordinate(f, lam * share, lam * (1 - share), start)
+    rows, logistic = design(df, columns, spec.target, weights), isinstance(spec.loss, Logistic)
+    if logistic:
+        rows = rows.persist()
+    try:
+        first = factors(rows, len(columns))
+        f = first[""]
+        if logistic:
+            check_target(spec, f)
+        top = float(np.abs(standardised(f)[1]).max() / share)
+        lambdas, out, start = log_grid(top * ratio, top, n), [], None
+        for lam in lambdas:
+            if logistic:
+                own = replace(spec, penalty=l1(lam * share) + l2(lam * (1 - share)) if share < 1 else l1(lam))
+                beta = iterate(rows, len(columns), first, prox_update(own), True, starts=None if start is None else {"": start})[""][0]
+                start = beta
+            else:
+                beta, _, _, start = coordinate(f, lam * share, lam * (1 - share), start)
             out.append(beta)
+    finally:
+        if logistic:
+            rows.unpersist()
     return Path(lambdas, np.array(out), (INTERCEPT, *[c for c, _ in columns]))
 
 

@@ -222,3 +222,13 @@ def test_products_in_parts():
     rng = np.random.default_rng(2)
     u, z = rng.normal(size=(3, 70)), rng.normal(size=(70, 500))
     assert np.allclose(validate.products(u, z), np.stack([((z * v[:, None]).T @ z).ravel() for v in u]))
+
+
+def test_logistic_path_starts_from_the_lambda_before(spark):
+    _, df = frame(spark, 800, binary=True)
+    spec = rl.linear("y", NAMES, loss=rl.logistic(), penalty=rl.l1(1))
+    path = rl.lambda_path(spec, df, 5, 0.05)
+    assert np.abs(path.coefficients[0, 1:]).max() < 1e-9
+    for lam, got in zip(path.lambdas[1::3], path.coefficients[1::3]):
+        one = rl.solve(rl.linear("y", NAMES, loss=rl.logistic(), penalty=rl.l1(float(lam))), df, on_violation="ignore")
+        assert np.allclose(got, values(one), atol=1e-6)
