@@ -9,6 +9,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from riskloom.display import html_table
 from riskloom.functions import ranking
 from riskloom.functions.quantiles import quantiles
 from riskloom.functions.special import normal_quantile, normal_tail
@@ -30,6 +31,9 @@ class Metric:
     def to_df(self, spark) -> DataFrame:
         return spark.createDataFrame([(self.name, self.value)], "metric string, value double")
 
+    def _repr_html_(self) -> str:
+        return html_table(("metric", "value", "at"), [(self.name, self.value, "" if self.at is None else self.at)])
+
 
 def frame_of(sol: Solution, df: DataFrame, weights: str | None = None, keep: tuple[str, ...] = ()) -> DataFrame:
     return ranking.scored(df, F.col(sol.spec.target), sol.score(), F.col(weights) if weights else None, keep)
@@ -127,7 +131,7 @@ def calibration_curve(sol: Solution, df: DataFrame, *, weights: str | None = Non
 
 
 def ece_of(frame: DataFrame, n_bins: int = 10, ties: tuple[str, ...] = ()) -> Metric:
-    bins = ranking.calibration_bins(checked(frame), n_bins, ties)
+    bins = ranking.calibration_bins(checked(frame), n_bins, ties).filter("n > 0")
     return Metric("ece", bins.agg(F.sum(F.col("n") * F.abs(F.col("observed") - F.col("predicted"))) / F.sum("n")).first()[0])
 
 
@@ -255,6 +259,9 @@ class DeLong:
     z: float
     p_value: float
 
+    def _repr_html_(self) -> str:
+        return html_table(("AUC a", "AUC b", "z", "p"), [(self.auc_a, self.auc_b, self.z, self.p_value)])
+
 
 def delong_from(area: np.ndarray, cov: np.ndarray, a: int = 0, b: int = 1) -> DeLong:
     var = cov[a, a] + cov[b, b] - 2 * cov[a, b]

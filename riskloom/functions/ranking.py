@@ -80,8 +80,13 @@ def mass_bins(frame: DataFrame, n_bins: int, ties: tuple[str, ...] = (), descend
 
 
 def calibration_bins(frame: DataFrame, n_bins: int = 10, ties: tuple[str, ...] = (), by: tuple[str, ...] = ()) -> DataFrame:
+    """bin, predicted, observed, n. Without groups every bin has a row: an empty one has n = 0 and NaN figures."""
     binned = mass_bins(frame, n_bins, ties, by=by)
-    return binned.groupBy(*by, "bin").agg((F.sum(F.col("w") * F.col("s")) / F.sum("w")).alias("predicted"), (F.sum(F.col("w") * F.col("y")) / F.sum("w")).alias("observed"), F.sum("w").alias("n"))
+    rows = binned.groupBy(*by, "bin").agg((F.sum(F.col("w") * F.col("s")) / F.sum("w")).alias("predicted"), (F.sum(F.col("w") * F.col("y")) / F.sum("w")).alias("observed"), F.sum("w").alias("n"))
+    if by:
+        return rows
+    bins = frame.sparkSession.range(n_bins).select(F.col("id").cast("int").alias("bin"))
+    return bins.join(rows, "bin", "left").fillna(float("nan"), ["predicted", "observed"]).fillna(0.0, ["n"])
 
 
 def lift_bins(frame: DataFrame, n_deciles: int = 10, ties: tuple[str, ...] = ()) -> DataFrame:

@@ -195,6 +195,21 @@ def basis_at(knots: np.ndarray, degree: int, x: np.ndarray, span: int) -> np.nda
     return out
 
 
+def spline_pieces(inner, degree: int) -> list[list]:
+    """For each B-spline and knot interval the polynomial there, the lowest power first; None where it is 0."""
+    inner, d = list(inner), degree
+    knots = np.array([inner[0]] * d + inner + [inner[-1]] * d)
+    n = len(inner) - 1 + d
+    pieces = [[None] * (len(inner) - 1) for _ in range(n)]
+    for i in range(len(inner) - 1):
+        at = np.linspace(0, 1, d + 1)
+        values = basis_at(knots, d, inner[i] + at * (inner[i + 1] - inner[i]), d + i)
+        powers = np.linalg.solve(np.vander(at, increasing=True), values)
+        for j in range(d + 1):
+            pieces[i + j][i] = powers[:, j].tolist()
+    return pieces
+
+
 @dataclass(frozen=True)
 class BSpline(Term):
     """B-spline basis without its first function; outside the training range the end polynomials go on."""
@@ -210,18 +225,7 @@ class BSpline(Term):
         return spline_knots(df, self.col, self.knots, self.df - self.degree)
 
     def pieces(self, state) -> list[list]:
-        """For each spline and knot interval the polynomial there, the lowest power first; None where it is 0."""
-        inner, d = list(state), self.degree
-        knots = np.array([inner[0]] * d + inner + [inner[-1]] * d)
-        n = len(inner) - 1 + d
-        pieces = [[None] * (len(inner) - 1) for _ in range(n)]
-        for i in range(len(inner) - 1):
-            at = np.linspace(0, 1, d + 1)
-            values = basis_at(knots, d, inner[i] + at * (inner[i + 1] - inner[i]), d + i)
-            powers = np.linalg.solve(np.vander(at, increasing=True), values)
-            for j in range(d + 1):
-                pieces[i + j][i] = powers[:, j].tolist()
-        return pieces[1:]
+        return spline_pieces(state, self.degree)[1:]
 
     def columns(self, state) -> Named:
         x = F.col(self.col).cast("double")
@@ -278,7 +282,7 @@ def increasing(name: str, low: float, inner: list[float], high: float) -> tuple[
 
 @dataclass(frozen=True)
 class NaturalSpline(Term):
-    """Cubic splines that are linear outside the training range; df columns, which with a constant span all of them."""
+    """Natural cubic splines, linear outside the training range: df orthonormal combinations of B-splines, none along the constant."""
 
     col: str
     df: int
@@ -288,13 +292,32 @@ class NaturalSpline(Term):
         finite(df, self.col)
         return spline_knots(df, self.col, self.knots, self.df - 1)
 
+    def basis(self, state) -> tuple[np.ndarray, np.ndarray]:
+        """Polynomials (column, interval, power) inside the training range, and slopes (column, end) beyond its ends.
+
+        Coefficients of cubic B-splines whose second derivative vanishes at both ends, orthonormal and orthogonal to
+        those of the constant (all 1), which depends on the knots alone: no pass over the rows. Penalties on
+        coefficients rely on this very basis."""
+        knots = np.array(state)
+        pieces = np.array([[[0.0] * 4 if p is None else p for p in own] for own in spline_pieces(state, 3)])
+        first, last = knots[1] - knots[0], knots[-1] - knots[-2]
+        bends = np.stack([2 * pieces[:, 0, 2] / first**2, (2 * pieces[:, -1, 2] + 6 * pieces[:, -1, 3]) / last**2])
+        natural = np.linalg.svd(bends)[2][2:].T
+        constant = natural.sum(0)
+        off = np.linalg.qr(np.column_stack([constant / np.linalg.norm(constant), np.eye(len(constant))]))[0][:, 1:]
+        own = np.einsum("sk,sip->kip", natural @ off, pieces)
+        return own, np.stack([own[:, 0, 1] / first, own[:, -1, 1:] @ [1, 2, 3] / last], 1)
+
     def columns(self, state) -> Named:
-        low, width = state[0], state[-1] - state[0]
-        z = (F.col(self.col).cast("double") - F.lit(low)) / F.lit(width)
-        t = [(k - low) / width for k in state]
-        cube = lambda k: F.pow(F.greatest(z - F.lit(k), F.lit(0.0)), F.lit(3.0))
-        slope = lambda k: (cube(k) - cube(t[-1])) / F.lit(t[-1] - k)
-        return [(f"ns({self.col})_0", z)] + [(f"ns({self.col})_{i + 1}", slope(k) - slope(t[-2])) for i, k in enumerate(t[:-2])]
+        own, slopes = self.basis(state)
+        return [(n, self.extended(list(state), p, e)) for n, p, e in zip(self.names(state), own.tolist(), slopes.tolist())]
+
+    def extended(self, knots: list, pieces: list, slopes: list) -> Column:
+        """The cubic of the interval of x; straight lines outside all of them."""
+        x, low, high = F.col(self.col).cast("double"), number(knots[0]), number(knots[-1])
+        inside = piecewise(F.least(F.greatest(x, low), high), knots, pieces)
+        out = inside + number(slopes[0]) * F.least(x - low, F.lit(0.0)) + number(slopes[1]) * F.greatest(x - high, F.lit(0.0))
+        return F.when(x.isNotNull(), out)
 
     def names(self, state) -> list[str]:
         return [f"ns({self.col})_{k}" for k in range(self.df)]
@@ -302,10 +325,14 @@ class NaturalSpline(Term):
     packed = "array<double>"
 
     def pack(self, state) -> list[float]:
-        return list(state)
+        own, slopes = self.basis(state)
+        return [*state, *np.concatenate([own.reshape(self.df, -1), slopes], 1).ravel().tolist()]
 
     def columns_of(self, packed: Column, width: int) -> list[Column]:
-        return [c for _, c in self.columns([packed[i] for i in range(width + 1)])]
+        knots, out = [packed[i] for i in range(width + 1)], []
+        for at in range(width + 1, (width + 1) + width * (4 * width + 2), 4 * width + 2):
+            out.append(self.extended(knots, [[packed[at + 4 * i + k] for k in range(4)] for i in range(width)], [packed[at + 4 * width], packed[at + 4 * width + 1]]))
+        return out
 
 
 @dataclass(frozen=True)

@@ -13,10 +13,10 @@ from pyspark.sql import functions as F
 
 from riskloom.display import html_table
 from riskloom.functions.quantiles import quantiles
-from riskloom.functions.special import chi2_tail
+from riskloom.functions.special import chi2_tail, shapiro_wilk
 from riskloom.operators.binning import BinningResult
 from riskloom.plans.factor import dependent, design, factors
-from riskloom.plans.solve import INTERCEPT, AssumptionError, Solution
+from riskloom.plans.solve import INTERCEPT, AssumptionError, Solution, outside
 from riskloom.sources.store import discard, stored
 from riskloom.values import Logistic, SquaredError
 
@@ -31,6 +31,9 @@ class CheckResult:
     message: str
     figure: float | None = None
 
+    def _repr_html_(self) -> str:
+        return html_table(("check", "severity", "result", "message"), [(self.name, self.severity, "passed" if self.passed else "failed", self.message)])
+
 
 @dataclass(frozen=True)
 class Assumption:
@@ -54,7 +57,8 @@ def full_rank(sol: Solution, df: DataFrame, w):
 
 def proportion_target(sol: Solution, df: DataFrame, w):
     f = sol.factor
-    return 0 <= f.least and f.largest <= 1, f"the target spans [{f.least:g}, {f.largest:g}]", None
+    good, span = 0 <= f.least and f.largest <= 1, f"the target spans [{f.least:g}, {f.largest:g}]"
+    return good, span if good else f"{span}; values outside 0 to 1: {outside(df, sol.spec.target)}", None
 
 
 def no_separation(sol: Solution, df: DataFrame, w):
@@ -149,7 +153,15 @@ def anderson_darling(sol: Solution, df: DataFrame) -> float:
     return (-n - total / n) * (1 + 4 / n - 25 / n**2)
 
 
+#: Fewer residuals than these are gathered and judged by Shapiro-Wilk; more by Anderson-Darling, distributed.
+GATHERED_RESIDUALS = 5000
+
+
 def normal_residuals(sol: Solution, df: DataFrame, w):
+    e = df.select((F.col(sol.spec.target).cast("double") - sol.eta()).alias("e")).limit(GATHERED_RESIDUALS).collect()
+    if len(e) < GATHERED_RESIDUALS:
+        stat, p = shapiro_wilk([r.e for r in e])
+        return p > 0.05, f"Shapiro-Wilk {stat:.4f}, p = {p:.4g}", stat
     a = anderson_darling(sol, df)
     return a <= 0.752, f"Anderson-Darling {a:.4g} against 0.752 at 5 %", a
 

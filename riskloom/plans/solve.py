@@ -271,9 +271,15 @@ def prox_update(spec: LinearSpec) -> Callable[[Factor], np.ndarray]:
     return update
 
 
-def check_target(spec: LinearSpec, f: Factor) -> None:
+def check_target(spec: LinearSpec, f: Factor, rows: DataFrame, group: str = "") -> None:
     if isinstance(spec.loss, Logistic) and (f.least < 0 or f.largest > 1):
-        raise AssumptionError(f"{spec.target} must lie in [0, 1] for a logistic loss; it spans [{f.least:g}, {f.largest:g}]")
+        raise AssumptionError(f"{spec.target} must lie in [0, 1] for a logistic loss; it spans [{f.least:g}, {f.largest:g}]; values outside 0 to 1: {outside(rows.filter(F.col("grp").eqNullSafe(F.lit(group))), "y")}")
+
+
+def outside(df: DataFrame, target: str) -> str:
+    """The five smallest values of a target that are no proportion."""
+    y = F.col(target).cast("double")
+    return ", ".join(f"{r[0]:g}" for r in df.filter((y < 0) | (y > 1)).select(y).distinct().orderBy(y).limit(5).collect())
 
 
 def check_columns(spec: LinearSpec, df: DataFrame, weights: str | None) -> None:
@@ -315,7 +321,7 @@ def fit_segments(spec: LinearSpec, rows: DataFrame, p: int, of: Callable[[str],
             labels = [INTERCEPT, *of(group)[0]] if spec.intercept else of(group)[0]
             where = f" in segment {group}" if group else ""
             raise AssumptionError(f"the design isn't of full rank{where}: {', '.join(labels[i] for i in bad)} depends on other columns")
-        check_target(spec, f)
+        check_target(spec, f, rows, group)
     out = {}
     for group, (beta, se, done, info) in solver(spec, rows, p, first).items():
         names, states = of(group)

@@ -17,6 +17,7 @@ from riskloom.plans.factor import Factor, blocks, design, factors
 from riskloom.plans.folds import Folds, measured
 from riskloom.plans.solve import INTERCEPT, SOLVERS, AssumptionError, Solution, check_target, coordinate, iterate, prepare, prox_update, solve, standardised
 from riskloom.plans.splits import Splitter
+from riskloom.sources.store import discard, stored
 from riskloom.spec import LinearSpec
 from riskloom.values import Logistic, l1, l2
 
@@ -182,6 +183,9 @@ class Path:
         rows = [(float(lam), n, float(b)) for lam, row in zip(self.lambdas, self.coefficients) for n, b in zip(self.names, row)]
         return spark.createDataFrame(rows, "lambda double, term string, coefficient double")
 
+    def _repr_html_(self) -> str:
+        return html_table(("lambda", *self.names), [(float(lam), *map(float, row)) for lam, row in zip(self.lambdas, self.coefficients)])
+
 
 def mixing(spec: LinearSpec) -> float:
     """Share of L1 in the penalty's strength; 1 without a penalty."""
@@ -209,7 +213,7 @@ def lambda_path(spec: LinearSpec, df: DataFrame, n: int = 100, ratio: float = 1e
         first = factors(rows, len(columns))
         f = first[""]
         if logistic:
-            check_target(spec, f)
+            check_target(spec, f, rows)
         top = float(np.abs(standardised(f)[1]).max() / share)
         lambdas, out, start = log_grid(top * ratio, top, n), [], None
         for lam in lambdas:
@@ -271,10 +275,12 @@ class BootstrappedSolution:
         return df.withColumn("_ci", bounds(x)).select(*df.columns, F.col("_ci.low").alias("eta_low"), F.col("_ci.high").alias("eta_high"))
 
 
-def drawn(rng: np.random.Generator, left: np.ndarray, rows_left: int, k: int) -> np.ndarray:
-    """How often each of the next k rows is drawn, a row for each replicate; left (changed in place) draws remain for rows_left rows."""
+def drawn(rng: np.random.Generator, left: np.ndarray, rows_left: int, k: int, times: np.ndarray | None = None) -> np.ndarray:
+    """How often each of the next k rows is drawn, a row for each replicate; left (changed in place) draws remain for rows_left rows. times: how many equal rows each of fewer distinct rows stands for, k in all."""
     take = left.copy() if rows_left == k else rng.binomial(left, k / rows_left)
     left -= take
+    if times is not None:
+        return rng.multinomial(take, times / k)
     out = np.zeros((len(left), k), np.int32)
     at = rng.integers(0, k, int(take.sum()))
     np.add.at(out, (np.repeat(np.arange(len(left)), take), at), 1)
@@ -282,7 +288,7 @@ def drawn(rng: np.random.Generator, left: np.ndarray, rows_left: int, k: int) ->
 
 
 def bootstrap(sol: Solution, df: DataFrame, n_boot: int = 500, *, stratify: str | None = None, method: str = "pairs", weights: str | None = None, splitter: Splitter | None = None, random_state: int = 0, batch: int = 64) -> BootstrappedSolution:
-    """Refits to rows drawn with replacement: as many as there are, exactly, and exactly so in each stratum. All replicates share each pass over the rows: partitions get multinomial totals from the driver and draw their own rows. method="residual" keeps the rows of x and draws residuals (squared error); method="block" draws whole validation windows of a splitter."""
+    """Refits to rows drawn with replacement: as many as there are, exactly, and exactly so in each stratum. All replicates share each pass over the rows: partitions get multinomial totals from the driver and draw their own rows. The design is written once, unshuffled, so a lost partition is read again with the same rows in the same order, and draws stay as they were; equal rows of a block are drawn together. method="residual" keeps the rows of x and draws residuals (squared error); method="block" draws whole validation windows of a splitter."""
     if method == "block":
         return block_bootstrap(sol, df, n_boot, splitter, weights, random_state)
     if method not in ("pairs", "residual"):
@@ -293,9 +299,10 @@ def bootstrap(sol: Solution, df: DataFrame, n_boot: int = 500, *, stratify: str
     rows = design(df, sol.columns, sol.spec.target, weights, F.col(stratify) if stratify else None)
     if method == "residual":
         rows = rows.withColumn("e", F.col("y") - sol_eta(sol))
-    rows = rows.repartition(F.xxhash64("x", "y")).sortWithinPartitions("grp", "y", "x").persist()
+    held = stored(rows.withColumn("nth", F.monotonically_increasing_id()), "design")
+    rows = held.persist()
     try:
-        sizes = rows.groupBy(F.spark_partition_id().alias("part"), "grp").count().orderBy("grp", "part").collect()
+        sizes = rows.groupBy(F.spark_partition_id().alias("part"), "grp").agg(F.count("*").alias("count"), F.min("nth").alias("first")).orderBy("grp", "first").collect()
         rng = np.random.default_rng(random_state)
         totals: dict[tuple[int, str], np.ndarray] = {}
         for g in sorted({r.grp or "" for r in sizes}):
@@ -304,13 +311,17 @@ def bootstrap(sol: Solution, df: DataFrame, n_boot: int = 500, *, stratify: str
             draws = rng.multinomial(n, [r["count"] / n for r in own], n_boot)
             totals |= {(r.part, g): draws[:, i] for i, r in enumerate(own)}
         counts = {(r.part, r.grp or ""): r["count"] for r in sizes}
+        firsts: dict[int, int] = {}  # the same files may be read in another order, so partitions are told apart by their first row
+        for r in sizes:
+            firsts[r.part] = min(firsts.get(r.part, r.first), r.first)
         first = factors(rows.withColumn("grp", F.lit("")), p)[""]
         centre, scale = first.centred()[2], standardised(first)[2]
         found: list = []
         for at in range(0, n_boot, batch):
-            found += refit(sol, rows, p, centre, scale, {k: v[at : at + batch] for k, v in totals.items()}, counts, random_state + at, method)
+            found += refit(sol, rows, p, centre, scale, {k: v[at : at + batch] for k, v in totals.items()}, counts, random_state + at, method, firsts)
     finally:
         rows.unpersist()
+        discard(held)
     return gathered(sol, found)
 
 
@@ -361,6 +372,52 @@ def logistic_blocks(sol: Solution, rows: DataFrame, windows: dict[str, Factor],
     return gathered(sol, found)
 
 
+def distinct(x: np.ndarray, y: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray | None]:
+    """The distinct rows of a block and how many rows each stands for, where they are a quarter at most (as with binned columns); else the block and None."""
+    rows = np.ascontiguousarray(np.column_stack([x, y, w]))
+    keys = rows.view([("", f"V{rows.shape[1] * 8}")]).ravel()
+    if len(np.unique(keys[:256])) * 2 > len(keys[:256]):
+        return x, y, w, None
+    _, first, times = np.unique(keys, return_index=True, return_counts=True)
+    if 4 * len(first) > len(rows):
+        return x, y, w, None
+    return x[first], y[first], w[first], times
+
+
+#: So many matrices are added in one task.
+ADDED = 64
+
+
+def summed(parts: DataFrame, n_parts: int) -> list[np.ndarray]:
+    """The sum of g (doubles) of each replicate, by its number. parts: rep, lot (64 neighbouring partitions) and g; lots are added level by level until 64 at most are left, which the driver adds."""
+
+    def total(t: pa.Table) -> pa.Table:
+        g = sum(np.frombuffer(x) for x in t["g"].to_pylist())
+        return pa.table({"rep": t["rep"][:1], "lot": pa.array([t["lot"][0].as_py() // ADDED], pa.int32()), "g": pa.array([g.tobytes()], pa.binary())})
+
+    lots = -(-n_parts // ADDED)
+    parts = parts.groupBy("rep", "lot").applyInArrow(total, PARTIAL)
+    while lots > ADDED:
+        lots = -(-lots // ADDED)
+        parts = parts.groupBy("rep", "lot").applyInArrow(total, PARTIAL)
+    out: dict[int, np.ndarray] = {}
+    for r in parts.orderBy("rep", "lot").collect():
+        out[r.rep] = out.get(r.rep, 0) + np.frombuffer(r.g)
+    return [out[i] for i in sorted(out)]
+
+
+PARTIAL = "rep int, lot int, g binary"
+
+
+def partial(out: np.ndarray) -> pa.RecordBatch:
+    """What one task has of each replicate."""
+    from pyspark import TaskContext
+
+    lot = TaskContext.get().partitionId() // ADDED
+    n = len(out)
+    return pa.record_batch([pa.array(np.arange(n), pa.int32()), pa.array([lot] * n, pa.int32()), pa.array([r.tobytes() for r in out], pa.binary())], ["rep", "lot", "g"])
+
+
 def products(u: np.ndarray, z: np.ndarray) -> np.ndarray:
     """For each row of u, the sum of the outer products of the rows of z with its weights; in parts of bounded memory."""
     q = z.shape[1]
@@ -375,11 +432,11 @@ def sol_eta(sol: Solution):
     return F.lit(float(sol.coefficients.get(INTERCEPT, 0.0))) + sum((F.element_at("x", i + 1) * F.lit(float(v)) for i, v in enumerate(sol.slopes.values())), F.lit(0.0))
 
 
-def refit(sol: Solution, rows: DataFrame, p: int, centre: np.ndarray, scale: np.ndarray, totals: dict, counts: dict, seed: int, method: str) -> list[np.ndarray | None]:
+def refit(sol: Solution, rows: DataFrame, p: int, centre: np.ndarray, scale: np.ndarray, totals: dict, counts: dict, seed: int, method: str, firsts: dict[int, int] | None = None) -> list[np.ndarray | None]:
     """Coefficients (intercept first) of some replicates; each pass gathers one Gram matrix for each of them."""
     from riskloom.plans.solve import working_logistic
 
-    n_rep = len(next(iter(totals.values())))
+    n_rep, n_parts = len(next(iter(totals.values()))), rows.rdd.getNumPartitions()
     spec, is_logistic = sol.spec, isinstance(sol.spec.loss, Logistic)
     start = np.zeros(p + 1)
     beta0 = np.array([sol.coefficients.get(INTERCEPT, 0.0), *sol.slopes.values()])
@@ -394,7 +451,7 @@ def refit(sol: Solution, rows: DataFrame, p: int, centre: np.ndarray, scale: np.
             from pyspark import TaskContext
 
             part = TaskContext.get().partitionId()
-            rng = np.random.default_rng([seed, part])
+            rng = np.random.default_rng([seed, (firsts or {}).get(part, 0)])
             out, left, rows_left = np.zeros((n_rep, q * q + 1)), {}, {}
             for b in batches:
                 for name, x, y, w in blocks(b, p):
@@ -404,8 +461,10 @@ def refit(sol: Solution, rows: DataFrame, p: int, centre: np.ndarray, scale: np.
                     else:
                         left.setdefault(key, totals[key].copy())
                         rows_left.setdefault(key, counts[key])
-                        c = drawn(rng, left[key], rows_left[key], k)
+                        x, y, w, times = distinct(x, y, w)
+                        c = drawn(rng, left[key], rows_left[key], k, times)
                         rows_left[key] -= k
+                        k = len(x)
                     z = np.concatenate([np.ones((k, 1)), (x - centre) / scale], 1)
                     out[:, -1] += c.sum(1)
                     if betas is None:
@@ -418,13 +477,9 @@ def refit(sol: Solution, rows: DataFrame, p: int, centre: np.ndarray, scale: np.
                         gram[:, :-1, -1] = gram[:, -1, :-1] = (v * t) @ z
                         gram[:, -1, -1] = (v * t * t).sum(1)
                         out[:, :-1] += gram.reshape(n_rep, -1)
-            yield pa.record_batch([pa.array(np.arange(n_rep), pa.int32()), pa.array([r.tobytes() for r in out], pa.binary())], ["rep", "g"])
-
-        def total(t: pa.Table) -> pa.Table:
-            return pa.table({"rep": t["rep"][:1], "g": pa.array([sum(np.frombuffer(x) for x in t["g"].to_pylist()).tobytes()], pa.binary())})
+            yield partial(out)
 
-        parts = rows.mapInArrow(run, "rep int, g binary").groupBy("rep").applyInArrow(total, "rep int, g binary").collect()
-        return np.stack([np.frombuffer(r.g) for r in sorted(parts, key=lambda r: r.rep)])
+        return np.stack(summed(rows.mapInArrow(run, PARTIAL), n_parts))
 
     def factor_of(g: np.ndarray) -> Factor | None:
         gram, n = g[:-1].reshape(p + 2, p + 2), int(g[-1])
@@ -449,7 +504,7 @@ def refit(sol: Solution, rows: DataFrame, p: int, centre: np.ndarray, scale: np.
         return np.linalg.solve(f.r[:-1, :-1], f.r[:-1, -1])
 
     if method == "residual":
-        return residual_refit(rows, p, n_rep, seed, one, factor_of, centre, scale, counts)
+        return residual_refit(rows, p, n_rep, seed, one, factor_of, centre, scale, counts, firsts)
     live, out = np.ones(n_rep, bool), [None] * n_rep
     for _ in range(60 if is_logistic else 1):
         found = grams(betas if is_logistic else None)
@@ -471,18 +526,20 @@ def refit(sol: Solution, rows: DataFrame, p: int, centre: np.ndarray, scale: np.
 HELD_RESIDUALS = 1_000_000
 
 
-def residual_refit(rows: DataFrame, p: int, n_rep: int, seed: int, one: Callable, factor_of: Callable, centre: np.ndarray, scale: np.ndarray, counts: dict) -> list[np.ndarray | None]:
+def residual_refit(rows: DataFrame, p: int, n_rep: int, seed: int, one: Callable, factor_of: Callable, centre: np.ndarray, scale: np.ndarray, counts: dict, firsts: dict[int, int]) -> list[np.ndarray | None]:
     """Fixed rows of x; every row of every replicate draws one of all residuals, less their mean. Up to HELD_RESIDUALS residuals are broadcast; beyond, rows are joined to them by drawn ranks, a shuffle of rows times replicates."""
     mean, n = rows.agg(F.avg("e"), F.count("*")).first()
     q, held, source = p + 2, None, rows
     if n <= HELD_RESIDUALS:
-        held = rows.sparkSession.sparkContext.broadcast(rows.select("e").toArrow()["e"].to_numpy())
+        held = rows.sparkSession.sparkContext.broadcast(rows.select("nth", "e").toArrow().sort_by("nth")["e"].to_numpy())
     else:
-        sizes = np.zeros(max(part for part, _ in counts) + 1, np.int64)
+        sizes, before, upto = dict.fromkeys(firsts, 0), [0] * (max(firsts) + 1), 0
         for (part, _), k in counts.items():
             sizes[part] += k
-        before = F.array(*[F.lit(int(v)).cast("bigint") for v in np.cumsum(sizes) - sizes])
-        rank = F.element_at(before, F.spark_partition_id() + 1) + F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
+        for part in sorted(firsts, key=firsts.get):
+            before[part], upto = upto, upto + sizes[part]
+        offset = F.array(*[F.lit(v).cast("bigint") for v in before])
+        rank = F.element_at(offset, F.spark_partition_id() + 1) + F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
         ranked = rows.withColumn("rank", rank)
         source = ranked.withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(n_rep - 1)))).withColumn("pick", F.pmod(F.xxhash64("rank", "rep", F.lit(seed)), F.lit(n)))
         source = source.drop("rank").join(ranked.select(F.col("rank").alias("pick"), F.col("e").alias("drawn")), "pick")
@@ -498,7 +555,7 @@ def residual_refit(rows: DataFrame, p: int, n_rep: int, seed: int, one: Callable
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        rng = np.random.default_rng([seed, 1, TaskContext.get().partitionId()])
+        rng = np.random.default_rng([seed, 1, firsts.get(TaskContext.get().partitionId(), 0)])
         out = np.zeros((n_rep, q * q + 1))
         for b in batches:
             e = b["e"].to_numpy(zero_copy_only=False)
@@ -510,15 +567,12 @@ def residual_refit(rows: DataFrame, p: int, n_rep: int, seed: int, one: Callable
                 own, t = b["rep"].to_numpy(zero_copy_only=False), base + b["drawn"].to_numpy(zero_copy_only=False)
                 for r in np.unique(own):
                     add(out[r : r + 1], z[own == r], t[None, own == r], w[own == r])
-        yield pa.record_batch([pa.array(np.arange(n_rep), pa.int32()), pa.array([r.tobytes() for r in out], pa.binary())], ["rep", "g"])
-
-    def total(t: pa.Table) -> pa.Table:
-        return pa.table({"rep": t["rep"][:1], "g": pa.array([sum(np.frombuffer(x) for x in t["g"].to_pylist()).tobytes()], pa.binary())})
+        yield partial(out)
 
-    parts = source.mapInArrow(run, "rep int, g binary").groupBy("rep").applyInArrow(total, "rep int, g binary").collect()
+    n_parts = max(rows.rdd.getNumPartitions(), int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     out = []
-    for r in sorted(parts, key=lambda r: r.rep):
-        f = factor_of(np.frombuffer(r.g))
+    for g in summed(source.mapInArrow(run, PARTIAL), n_parts):
+        f = factor_of(g)
         b = None if f is None else one(f)
         out.append(None if b is None else np.concatenate([[b[0] - (b[1:] / scale) @ centre], b[1:] / scale]))
     return out

@@ -6,6 +6,7 @@ from dataclasses import dataclass, replace
 
 from pyspark.sql import DataFrame
 
+from riskloom.display import html_table
 from riskloom.operators.shared import learn
 from riskloom.operators.terms import Term, Woe, flat
 from riskloom.values import Loss, NoPenalty, Penalty, squared_error
@@ -22,12 +23,19 @@ class LinearSpec:
     def reads(self) -> list[str]:
         return list(dict.fromkeys(c for t in self.features for c in t.reads()))
 
+    def _repr_html_(self) -> str:
+        rows = [("target", self.target), ("loss", self.loss), ("penalty", self.penalty), ("intercept", self.intercept)]
+        return html_table(("part", "value"), rows + [("term", t) for t in self.features])
+
 
 @dataclass(frozen=True)
 class SegmentedSpec:
     by: str
     base: LinearSpec
 
+    def _repr_html_(self) -> str:
+        return html_table(("part", "value"), [("segments", self.by)]) + self.base._repr_html_()
+
 
 def linear(target: str, features, loss: Loss | None = None, penalty: Penalty | None = None, intercept: bool = True) -> LinearSpec:
     terms = flat(features)

@@ -84,7 +84,7 @@ def test_jobs_depend_neither_on_columns_nor_on_segments(spark):
 
 def test_segments_with_learned_terms(spark):
     data, df = frame(spark)
-    terms = ["x", rl.poly("z", 2), rl.woe("m", rl.monotonic()), rl.bs("x", 4), rl.woe("c", rl.categorical(0.05)), rl.interact("x", rl.ns("z", 2))]
+    terms = ["x", rl.poly("z", 2), rl.woe("m", rl.monotonic()), rl.bs("x", 4), rl.woe("c", rl.categorical(0.05)), rl.interact("w", rl.ns("z", 2))]  # bs(x) spans x, so the product takes w
     for chosen in (terms[1:3], terms[3:6]):
         base = rl.linear("y", chosen)
         sol = rl.solve(rl.segmented("seg", base), df)
