@@ -3,6 +3,9 @@
 Candidates are dealt once, by falling length, into bands. Every query first meets the band of the longest candidates;
 its k-th score there and its own length bound the length that a better candidate must have (Cauchy-Schwarz), so it goes
 on only to bands whose longest vector reaches that. A task holds the vectors of one band, and the queries stream past.
+Where more than `query_rows` queries go to a band, they are dealt to blocks and the band is copied to each, so no task
+has all of them; copies are `part_rows` vectors for every `query_rows` queries. Vectors of equal lengths leave nothing to
+prune between bands: every query then goes to every band, a shuffle of queries times bands.
 Within a band candidates go by descending length: a query is done when its length times the next candidate's can't reach
 its k-th score. For the rest the first rotated components give a partial sum, and the lengths of what remains bound the
 other components; only candidates whose bound reaches the k-th score get an exact integer product. The rotation comes
@@ -26,8 +29,8 @@ from pyspark.sql import functions as F
 
 from riskloom.llm.common import materialize, shuffle_partitions
 
-#: Vectors of a band, and the number of bands above which bands hold more instead.
-PART_ROWS, MOST_BANDS = 8192, 20_000
+#: Bytes of a band's vectors (long ones make bands of fewer rows), its vectors, the number of bands above which bands hold more instead, and queries that meet one copy of a band.
+PART_BYTES, PART_ROWS, MOST_BANDS, QUERY_ROWS = 1 << 26, 8192, 20_000, 16_384
 
 
 def scaled(vectors: DataFrame, id_col: str, vector_col: str, scale: int) -> DataFrame:
@@ -91,24 +94,32 @@ def search(q_ids: np.ndarray, q: np.ndarray, c_ids: np.ndarray, c: np.ndarray, r
     return best
 
 
-def meet(asked: DataFrame, bands: DataFrame, turns, k: int, exclude_own: bool) -> DataFrame:
+def blocked(asked: DataFrame, bands: DataFrame, query_rows: int) -> DataFrame:
+    """Candidates (their query is null) and queries of every (dim, band, block); a band has a copy for each of its blocks."""
+    loads = asked.groupBy("dim", "band").agg(F.ceil(F.count("*") / F.lit(query_rows)).cast("int").alias("blocks"))  # a row for each band, MOST_BANDS and the dimensions at most
+    columns = ["dim", "band", "block", "query", "id", "vec", "kth"]
+    copies = bands.join(F.broadcast(loads), ["dim", "band"]).withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    held = copies.withColumn("query", F.lit(None).cast("bigint")).withColumn("kth", F.lit(None).cast("double"))
+    dealt = asked.join(F.broadcast(loads), ["dim", "band"]).withColumn("block", F.pmod(F.xxhash64("query"), F.col("blocks")).cast("int"))
+    return held.select(*columns).unionByName(dealt.select(*columns))
+
+
+def meet(asked: DataFrame, bands: DataFrame, turns, k: int, exclude_own: bool, query_rows: int) -> DataFrame:
     """query, query_id, vec_id, score: the k best of each query in each band that it goes to. asked: query, id, vec, dim, band, kth."""
-    columns = ["dim", "band", "query", "id", "vec", "kth"]
-    held = bands.select("dim", "band", F.lit(None).cast("bigint").alias("query"), "id", "vec", F.lit(None).cast("double").alias("kth"))
-    rows = held.unionByName(asked.select(*columns)).repartition(max(1, shuffle_partitions(asked.sparkSession)), "dim", "band")
-    rows = rows.sortWithinPartitions("dim", "band", F.asc_nulls_first("query"))
+    rows = blocked(asked, bands, query_rows).repartition(max(1, shuffle_partitions(asked.sparkSession)), "dim", "band", "block")
+    rows = rows.sortWithinPartitions("dim", "band", "block", F.asc_nulls_first("query"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, ids, vectors = None, [], []
         for batch in batches:
-            place = np.stack([batch["dim"].to_numpy(), batch["band"].to_numpy(), np.asarray(batch["query"].is_null())], 1)
+            place = np.stack([batch["dim"].to_numpy(), batch["band"].to_numpy(), batch["block"].to_numpy(), np.asarray(batch["query"].is_null())], 1)
             cuts = [0, *(np.flatnonzero((place[1:] != place[:-1]).any(1)) + 1).tolist(), len(place)] if len(place) else [0]
             for a, b in zip(cuts[:-1], cuts[1:]):
-                dim, band, is_candidate = place[a].tolist()
+                dim, band, block, is_candidate = place[a].tolist()
                 part = batch.slice(a, b - a)
                 own, x = part["id"].to_numpy(), matrix(part["vec"], dim)
-                if (dim, band) != at:
-                    at, ids, vectors = (dim, band), [], []
+                if (dim, band, block) != at:
+                    at, ids, vectors = (dim, band, block), [], []
                 if is_candidate:
                     ids.append(own)
                     vectors.append(x)
@@ -121,23 +132,24 @@ def meet(asked: DataFrame, bands: DataFrame, turns, k: int, exclude_own: bool) -
     return rows.mapInArrow(run, "query bigint, query_id bigint, vec_id bigint, score bigint")
 
 
-def top_k(queries: DataFrame, candidates: DataFrame, k: int, exclude_own: bool = True, fit_rows: int = 4096, part_rows: int = PART_ROWS) -> DataFrame:
+def top_k(queries: DataFrame, candidates: DataFrame, k: int, exclude_own: bool = True, fit_rows: int = 4096, part_rows: int = PART_ROWS, query_rows: int = QUERY_ROWS) -> DataFrame:
     """query_id, rank (from 1), vec_id, score. Both inputs: id and vec, as scaled() makes them."""
     length = F.sqrt(F.aggregate("vec", F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double")))
     sized = lambda rows: rows.select("id", "vec", F.size("vec").alias("dim"), length.alias("norm"))
     plain = materialize(sized(candidates), "vectors")
-    n = max(1, min(MOST_BANDS, -(-plain.count() // part_rows)))
+    total, widest = plain.agg(F.count("*"), F.coalesce(F.max("dim"), F.lit(0))).first()
+    n = max(1, min(MOST_BANDS, -(-total // max(1, min(part_rows, PART_BYTES // (8 * max(1, widest)))))))
     bands = materialize(plain.repartitionByRange(n, "dim", F.desc("norm"), "id").withColumn("band", F.spark_partition_id()), "bands")
     turns = bands.sparkSession.sparkContext.broadcast(rotations(plain, fit_rows))
     tops = bands.groupBy("dim", "band").agg(F.max("norm").alias("top"))
     first = tops.groupBy("dim").agg(F.min("band").alias("band"))
     asked = materialize(sized(queries).distinct().withColumn("query", F.monotonically_increasing_id()), "queries")
     begun = asked.join(F.broadcast(first), "dim").withColumn("kth", F.lit(None).cast("double"))  # at most MOST_BANDS rows and one for each dimension
-    near = materialize(meet(begun, bands.join(F.broadcast(first), ["dim", "band"], "left_semi"), turns, k, exclude_own), "first-band")
+    near = materialize(meet(begun, bands.join(F.broadcast(first), ["dim", "band"], "left_semi"), turns, k, exclude_own, query_rows), "first-band")
     kth = near.groupBy("query").agg(F.when(F.count("*") >= k, F.min("score")).cast("double").alias("kth"))
     others = tops.join(first, ["dim", "band"], "left_anti")
     reach = F.col("kth").isNull() | (F.col("norm") * F.col("top") * (1 + 1e-9) + 1e-6 >= F.col("kth"))
     going = asked.join(kth, "query", "left").join(F.broadcast(others), "dim").filter(reach)
-    far = meet(going, bands.join(F.broadcast(first), ["dim", "band"], "left_anti"), turns, k, exclude_own)
+    far = meet(going, bands.join(F.broadcast(first), ["dim", "band"], "left_anti"), turns, k, exclude_own, query_rows)
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return near.unionByName(far).withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

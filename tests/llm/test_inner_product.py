@@ -1,6 +1,7 @@
 import random
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from riskloom.llm import inner_product as ip
 from riskloom.llm.queries import QUERIES, SQL
@@ -62,3 +63,34 @@ def test_repeated_rows_are_candidates_each(spark):
     frame = spark.createDataFrame([(0, [1.0, 2.0]), (1, [3.0, 1.0]), (1, [3.0, 1.0]), (3, [0.0, 1.0])], "vec_id bigint, embedding array<double>")
     v = ip.scaled(frame, "vec_id", "embedding", 1)
     assert sorted(map(tuple, ip.top_k(v.filter("id = 0"), v, 5).collect())) == [(0, 1, 1, 5), (0, 2, 1, 5), (0, 3, 3, 2)]
+
+
+def test_many_queries_of_equal_lengths_meet_copies_of_a_band(spark, monkeypatch):
+    """Nothing can be pruned here: every query meets every band, in blocks of queries."""
+    rng = np.random.default_rng(3)
+    x = rng.choice([-3, 3], size=(1200, 6))
+    frame = spark.createDataFrame([(i, [float(v) for v in r]) for i, r in enumerate(x)], "vec_id bigint, embedding array<double>")
+    v, seen = ip.scaled(frame, "vec_id", "embedding", 1), []
+    plain = ip.blocked
+    monkeypatch.setattr(ip, "blocked", lambda *a: seen.append(plain(*a)) or seen[-1])
+    got = ip.top_k(v.filter("id % 2 = 0"), v, 3, part_rows=300, query_rows=40)
+    assert sorted(map(tuple, got.collect())) == brute([(i, r.tolist()) for i, r in enumerate(x)], 3, 2)
+    copies = 0
+    for rows in seen:
+        groups = rows.groupBy("band", "block").agg(F.count("query").alias("q"), F.count_if(F.col("query").isNull()).alias("c")).collect()
+        bands = len({g.band for g in groups})
+        assert len(groups) == 15 * bands and max(g.q for g in groups) <= 80 and sum(g.q for g in groups) == 600 * bands
+        copies += sum(g.c for g in groups)
+    assert len(seen) == 2 and copies == 15 * 1200
+
+
+def test_long_vectors_make_smaller_bands(spark, monkeypatch):
+    monkeypatch.setattr(ip, "PART_BYTES", 8 * 4 * 25)  # 25 vectors of four components
+    rng = np.random.default_rng(6)
+    x = rng.integers(-9, 9, size=(200, 4))
+    frame = spark.createDataFrame([(i, [float(v) for v in r]) for i, r in enumerate(x)], "vec_id bigint, embedding array<double>")
+    v, made = ip.scaled(frame, "vec_id", "embedding", 1), []
+    plain = ip.meet
+    monkeypatch.setattr(ip, "meet", lambda a, b, *rest: made.append(b.select("band").distinct().count()) or plain(a, b, *rest))
+    got = ip.top_k(v.filter("id % 10 = 0"), v, 5)
+    assert sorted(map(tuple, got.collect())) == brute([(i, r.tolist()) for i, r in enumerate(x)], 5, 10) and sum(made) >= 6
