@@ -7,8 +7,8 @@ document's value, which a logistic curve fitted on the same labelled rows maps t
 
 Training maximises the likelihood of labelled documents all of whose lines bear the document's label. It uses a bounded
 sample of labelled rows: about `fit_rows`, drawn by hash of the id, balanced by label, and of these, in the order of the
-draw, as many as have `fit_lines` lines together. Every line of a drawn row is learned from; the driver gets line
-features only. Scores always read whole texts and all lines.
+draw, each that fits into what is left of `fit_lines` lines. So once the bound is near, long texts are passed over and
+shorter ones are still taken. Every line of a row that is taken is learned from; the driver gets line features only. Scores always read whole texts and all lines.
 
 Rows: null and empty texts are one empty line; very long texts are chains that are swept in blocks; labels that are null
 are never learned from; repeated rows get repeated results and are learned from once; rows that share an id are scored
