@@ -314,10 +314,8 @@ class NaturalSpline(Term):
 
     def extended(self, knots: list, pieces: list, slopes: list) -> Column:
         """The cubic of the interval of x; straight lines outside all of them."""
-        x, low, high = F.col(self.col).cast("double"), number(knots[0]), number(knots[-1])
-        inside = piecewise(F.least(F.greatest(x, low), high), knots, pieces)
-        out = inside + number(slopes[0]) * F.least(x - low, F.lit(0.0)) + number(slopes[1]) * F.greatest(x - high, F.lit(0.0))
-        return F.when(x.isNotNull(), out)
+        low, high = pieces[0][0] - slopes[0], pieces[-1][0] + pieces[-1][1] + pieces[-1][2] + pieces[-1][3]
+        return piecewise(F.col(self.col).cast("double"), [knots[0] - 1, *knots, knots[-1] + 1], [[low, slopes[0]], *pieces, [high, slopes[1]]])
 
     def names(self, state) -> list[str]:
         return [f"ns({self.col})_{k}" for k in range(self.df)]

@@ -288,7 +288,7 @@ def drawn(rng: np.random.Generator, left: np.ndarray, rows_left: int, k: int, ti
 
 
 def bootstrap(sol: Solution, df: DataFrame, n_boot: int = 500, *, stratify: str | None = None, method: str = "pairs", weights: str | None = None, splitter: Splitter | None = None, random_state: int = 0, batch: int = 64) -> BootstrappedSolution:
-    """Refits to rows drawn with replacement: as many as there are, exactly, and exactly so in each stratum. All replicates share each pass over the rows: partitions get multinomial totals from the driver and draw their own rows. The design is written once, unshuffled, so a lost partition is read again with the same rows in the same order, and draws stay as they were; equal rows of a block are drawn together. method="residual" keeps the rows of x and draws residuals (squared error); method="block" draws whole validation windows of a splitter."""
+    """Refits to rows drawn with replacement: as many as there are, exactly, and exactly so in each stratum. All replicates share each pass over the rows: partitions get multinomial totals from the driver and draw their own rows. The design is written once, unshuffled where it has the session's shuffle partitions at least (else dealt round robin), so a lost partition is read again with the same rows in the same order, and draws stay as they were; equal rows of a block are drawn together. method="residual" keeps the rows of x and draws residuals (squared error); method="block" draws whole validation windows of a splitter."""
     if method == "block":
         return block_bootstrap(sol, df, n_boot, splitter, weights, random_state)
     if method not in ("pairs", "residual"):
@@ -299,6 +299,9 @@ def bootstrap(sol: Solution, df: DataFrame, n_boot: int = 500, *, stratify: str
     rows = design(df, sol.columns, sol.spec.target, weights, F.col(stratify) if stratify else None)
     if method == "residual":
         rows = rows.withColumn("e", F.col("y") - sol_eta(sol))
+    least = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    if rows.rdd.getNumPartitions() < least:
+        rows = rows.repartition(least)  # round robin, whatever the rows hold
     held = stored(rows.withColumn("nth", F.monotonically_increasing_id()), "design")
     rows = held.persist()
     try:

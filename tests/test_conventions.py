@@ -137,7 +137,7 @@ def test_bootstrap_writes_the_design_once_unshuffled(spark, tmp_path):
     try:
         with pytest.MonkeyPatch.context() as patch:
             patch.setattr(validate, "stored", watched)
-            rl.bootstrap(sol, df.repartition(3).sortWithinPartitions("x").persist(), 50)
+            rl.bootstrap(sol, df.repartition(5).sortWithinPartitions("x").persist(), 50)
     finally:
         if before is None:
             spark.conf.unset("riskloom.local.dir")
