@@ -10,14 +10,14 @@ the signature in which all weights are 1: repetition alone never parts it from a
 
 Signatures are cut into bands. Documents with equal shingle sets are one from the start. In every bucket of equal bands
 all members are compared with two pivots, the smallest and the largest id; pairs with a similarity of at least
-`threshold` by their exact sets of 64-bit shingle hashes become links. Buckets that still hold members of different
-classes are then taken apart: one of at most SMALL members compares all that are in different classes; a larger one
-compares its members with its two pivots and is split by more coordinates of the signature (LEVELS of them in all) in
-TURNS ways, each by coordinates of its own, and so on. The work of a document is thus bounded whatever the size of its
-buckets. Two documents of a similarity s share a band with 1 - (1 - s^5)^24, all but 7e-5 at 0.8. Of those that share
-buckets of more than SMALL members, in which no pivot or other document connects them, a share is found that falls with
-the number of coordinates c needed to split the bucket: about 1 - (1 - s^c)^(24 TURNS). Classes are the connected
-components.
+`threshold` by their exact sets of 64-bit shingle hashes become links. In buckets that still hold members of different
+classes all members of different classes are compared, so no link between documents that share a bucket is lost: a
+bucket of at most SMALL members is compared in one partition; larger ones are joined to clusters where they share
+members, so that a pair which shares many buckets is compared once, and a cluster is dealt into blocks of about BLOCK
+documents and SHINGLES shingles. Every pair of blocks is a task's piece of work; of the links that a piece finds it hands
+out a spanning forest of the classes. A class larger than a block has blocks of its own, which are not compared with each
+other. Memory is bounded by two blocks; comparisons grow with the square of a cluster, as the exact answer does. Two
+documents of a similarity s share a band with 1 - (1 - s^5)^24, all but 7e-5 at 0.8. Classes are the connected components.
 
 Only signatures are kept of all documents; shingle sets are made again for those that share a bucket. A pivot with many
 members is copied to as many keys as it has SALTED members, so no task holds all of a large cluster.
@@ -31,7 +31,6 @@ of all its texts; an empty table gives an empty table; extra columns are ignored
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -45,8 +44,8 @@ WORDS = 5
 THRESHOLD = 0.8
 COORDINATES, ROWS = 120, 5
 PART = 1 << 20
-#: Buckets of so many members compare them all; larger ones are split by so many coordinates of the signature, in so many ways.
-SMALL, LEVELS, TURNS = 64, (7, 10, 14, 19, 26, 35), 4
+#: Buckets of so many members are compared whole; larger ones in pairs of blocks of about so many documents and shingles.
+SMALL, BLOCK, SHINGLES = 64, 1024, 1 << 20
 #: Members of a pivot that are compared under one key.
 SALTED = 2000
 #: So many ids are broadcast to select their shingle sets, of which then only those are shuffled.
@@ -110,7 +109,7 @@ class DartMinHash:
     """Signatures of weighted sets."""
 
     def __init__(self, k: int = COORDINATES, seed: int = 1):
-        self.k, self.darts, self.others = k, k * np.log(k) + 2 * k, None
+        self.k, self.darts = k, k * np.log(k) + 2 * k
         self.seed = mix(np.array([seed], np.uint64))[0]
         steps = np.exp(-1.0) / np.cumprod(np.concatenate([[1.0], np.arange(1, 20)]))
         self.poisson = np.cumsum(steps)
@@ -156,19 +155,6 @@ class DartMinHash:
             out = mix(out ^ signature[(places + i) % self.k]) * GOLDEN
         return out
 
-    def splits(self, signature: np.ndarray, rows: int = ROWS, levels: tuple[int, ...] = LEVELS, turns: int = TURNS) -> np.ndarray:
-        """Hashes of each band with coordinates of other bands, so many in all: a row for each level, turns columns for each band."""
-        if self.others is None:
-            band = np.arange(self.k) // rows
-            rng = np.random.default_rng(3)
-            self.others = np.stack([rng.permutation(np.flatnonzero(band != b))[: max(levels) - rows] for b in range(band[-1] + 1) for _ in range(turns)])
-        out, hashes = np.repeat(self.bands(signature, rows), turns), []
-        for i in range(rows, max(levels)):
-            out = mix(out ^ signature[self.others[:, i - rows]]) * GOLDEN
-            if i + 1 in levels:
-                hashes.append(out)
-        return np.stack(hashes)
-
 
 def weights_of(counts: np.ndarray) -> np.ndarray:
     return 1 + np.log2(counts) / 4
@@ -201,25 +187,6 @@ def sketch(docs: DataFrame, k: int, rows: int, n_words: int, weighted: bool) ->
     return docs.mapInArrow(run, "id bigint, same binary, n int, bands array<bigint>")
 
 
-def finer(docs: DataFrame, k: int, rows: int, n_words: int, weighted: bool) -> DataFrame:
-    """id, band, ways: for each of TURNS ways the hashes by LEVELS of coordinates; a row for each band of each signature."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingler, dart = Shingler(n_words), DartMinHash(k)
-        for batch in slices(batches, 128, 4 << 20):
-            data, offsets = utf8(batch["text"])
-            ids, bands, ways = [], [], []
-            for i, a, b in zip(batch["id"].to_pylist(), offsets[:-1].tolist(), offsets[1:].tolist()):
-                for x in signatures(dart, shingler.hashes(data[a:b]), weighted):
-                    made = dart.splits(x, rows).view(np.int64).T.reshape(-1, TURNS * len(LEVELS))
-                    ids += [i] * len(made)
-                    bands += range(len(made))
-                    ways += list(made)
-            yield pa.record_batch([pa.array(ids, pa.int64()), pa.array(bands, pa.int32()), pa.array(ways, pa.list_(pa.int64()))], ["id", "band", "ways"])
-
-    return docs.mapInArrow(run, "id bigint, band int, ways array<bigint>").distinct()
-
-
 def shingle_sets(docs: DataFrame, n_words: int) -> DataFrame:
     """id and shingles (sorted 64-bit hashes), once for each id and set."""
 
@@ -271,32 +238,31 @@ def components(links: DataFrame) -> DataFrame:
 
 
 def mixed(left: DataFrame) -> DataFrame:
-    """The members of buckets that hold different classes, with the size of their bucket and its pivots."""
-    buckets = left.groupBy("band", "value").agg(F.count("*").alias("size"), F.min("label").alias("least"), F.max("label").alias("most"), F.min_by(F.struct("id", "n", "label"), "id").alias("lo"), F.max_by(F.struct("id", "n", "label"), "id").alias("hi"))
+    """The members of buckets that hold different classes, with the size of their bucket and its smallest id."""
+    buckets = left.groupBy("band", "value").agg(F.count("*").alias("size"), F.min("label").alias("least"), F.max("label").alias("most"), F.min("id").alias("lo"))
     return materialize(left.join(buckets.filter("least < most").drop("least", "most"), ["band", "value"]), "mixed")
 
 
-def with_pivots(large: DataFrame, threshold: float) -> DataFrame:
-    """Pairs (a member, b pivot) of large buckets that are in different classes and whose sizes allow the similarity."""
-    found = [large.select("id", "n", "label", F.col(f"{p}.id").alias("b"), F.col(f"{p}.n").alias("m"), F.col(f"{p}.label").alias("other")) for p in ("lo", "hi")]
-    fit = (F.col("label") != F.col("other")) & (F.least("n", "m") >= threshold * F.greatest("n", "m"))
-    return found[0].unionByName(found[1]).filter(fit).select(F.col("id").alias("a"), "b").distinct()
-
-
-def alike(sets: list[np.ndarray], threshold: float, block: int = 8192) -> np.ndarray:
-    """A matrix of which sets are similar enough; common elements are counted a block of distinct ones at a time."""
+def alike(sets: list[np.ndarray], threshold: float, block: int = 8192, left: int | None = None) -> np.ndarray:
+    """A matrix of which sets are similar enough; common elements are counted a block of distinct ones at a time. left: the first so many sets are compared with the others only, and have the rows."""
     sizes = np.array([len(s) for s in sets], np.float64)
-    place = np.unique(np.concatenate(sets), return_inverse=True)[1]
+    place, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)[1:]
     owner = np.repeat(np.arange(len(sets)), sizes.astype(np.int64))
+    number = np.cumsum(times > 1) - 1
+    shared = times[place] > 1  # what one set alone has is common to none
+    place, owner = number[place[shared]], owner[shared]
     order = np.argsort(place, kind="stable")
     place, owner = place[order], owner[order]
-    common = np.zeros((len(sets), len(sets)))
+    one, two = (slice(None), slice(None)) if left is None else (slice(0, left), slice(left, None))
+    common = np.zeros((len(sizes[one]), len(sizes[two])))
     for at in range(0, int(place[-1]) + 1 if len(place) else 0, block):
         lo, hi = np.searchsorted(place, [at, at + block])
         has = np.zeros((len(sets), min(block, int(place[-1]) + 1 - at)), np.float32)
         has[owner[lo:hi], place[lo:hi] - at] = 1
-        common += has @ has.T
-    return common >= threshold * (sizes[:, None] + sizes[None, :] - common)
+        common += has[one] @ has[two].T
+    same = np.diag(sizes) if left is None else 0  # a set is all common with itself
+    common = np.maximum(common, same)
+    return common >= threshold * (sizes[one][:, None] + sizes[two][None, :] - common)
 
 
 def within(small: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
@@ -328,6 +294,79 @@ def within(small: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
     return full.mapInArrow(run, "a bigint, b bigint").distinct()
 
 
+def dealt(large: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(members: id, n, label, block; pairs: piece, block, side) of large buckets: the pairs of blocks that together hold all pairs of documents of a cluster that are in different classes."""
+    stars = large.filter("id != lo").select(F.col("id").alias("a"), F.col("lo").alias("b")).distinct()
+    cluster = components(stars).withColumnRenamed("label", "cluster")
+    docs = materialize(large.select("id", "n", "label").distinct().join(cluster, "id"), "clusters")
+    parts = lambda: F.ceil(F.greatest(F.count("*") / BLOCK, F.sum("n") / SHINGLES)).cast("bigint")
+    own = docs.groupBy("cluster", "label").agg(F.count("*").alias("size"), F.sum("n").alias("shingles"), parts().alias("own"))
+    pooled = own.filter("own = 1").groupBy("cluster").agg(F.ceil(F.greatest(F.sum("size") / BLOCK, F.sum("shingles") / SHINGLES)).cast("bigint").alias("pooled"))
+    placed = docs.join(own.select("cluster", "label", "own"), ["cluster", "label"]).join(pooled, "cluster", "left")
+    big = F.col("own") > 1
+    place = F.when(big, F.pmod(F.xxhash64("id"), F.col("own"))).otherwise(F.pmod(F.xxhash64("label"), F.col("pooled")))
+    placed = placed.select("id", "n", "label", "cluster", F.struct(F.when(big, F.col("label")).otherwise(0).alias("owner"), big.alias("big"), place.alias("place")).alias("block"))
+    members = materialize(placed, "blocks")
+    blocks = materialize(members.select("cluster", "block").distinct(), "blocks")
+    both = blocks.alias("a").join(blocks.alias("b"), "cluster").filter("a.block <= b.block").filter("NOT (a.block.big AND b.block.big AND a.block.owner = b.block.owner)")
+    both = materialize(both.select("cluster", F.col("a.block").alias("a"), F.col("b.block").alias("b"), F.monotonically_increasing_id().alias("piece")), "pieces")
+    sides = F.when(F.col("a") == F.col("b"), F.array(F.struct(F.col("a").alias("block"), F.lit(0).alias("side")))).otherwise(F.array(F.struct(F.col("a").alias("block"), F.lit(0).alias("side")), F.struct(F.col("b").alias("block"), F.lit(1).alias("side"))))
+    return members, both.select("cluster", "piece", F.inline(sides))
+
+
+def forest(links: np.ndarray, left: np.ndarray, right: np.ndarray) -> list[tuple[int, int]]:
+    """Of links (places in left and right, which hold labels) those that join classes which no earlier one has joined."""
+    root: dict[int, int] = {}
+
+    def top(x: int) -> int:
+        while root.setdefault(x, x) != x:
+            root[x] = x = root[root[x]]
+        return x
+
+    out = []
+    labels = np.stack([left[links[:, 0]], right[links[:, 1]]], 1)
+    for i in np.sort(np.unique(labels, axis=0, return_index=True)[1]).tolist():
+        a, b = (top(int(x)) for x in labels[i])
+        if a != b:
+            root[a] = b
+            out.append((int(links[i, 0]), int(links[i, 1])))
+    return out
+
+
+def between(large: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
+    """Links (a, b) that join all classes of large buckets that any link joins."""
+
+    def links(rows: list[tuple[int, int, int, np.ndarray]]) -> list[tuple[int, int]]:
+        rows = sorted(rows, key=lambda r: r[0])  # side, id, label, set
+        ids, labels = (np.array([r[i] for r in rows], np.int64) for i in (1, 2))
+        n = sum(r[0] == 0 for r in rows)
+        alone = n == len(rows)
+        if n == 0 or not alone and (labels[:n] == labels[0]).all() and (labels == labels[0]).all():
+            return []
+        other = slice(None) if alone else slice(n, None)
+        found = alike([r[3] for r in rows], threshold, 2048, None if alone else n) & (labels[:n, None] != labels[None, other])
+        return [(int(ids[:n][i]), int(ids[other][j])) for i, j in forest(np.argwhere(found), labels[:n], labels[other])]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, rows = None, []
+        for batch in slices(batches, 512, 4 << 20):
+            shingles, offsets = batch["shingles"], batch["shingles"].offsets.to_numpy()
+            values, out = shingles.values.to_numpy(), []
+            for i, (piece, side, name, label) in enumerate(zip(*(batch[c].to_pylist() for c in ("piece", "side", "id", "label")))):
+                if piece != key:
+                    out += links(rows) if rows else []
+                    key, rows = piece, []
+                rows.append((side, name, label, values[offsets[i] : offsets[i + 1]].view(np.uint64).copy()))
+            yield pa.record_batch([pa.array([x for x, _ in out], pa.int64()), pa.array([y for _, y in out], pa.int64())], ["a", "b"])
+        out = links(rows) if rows else []
+        yield pa.record_batch([pa.array([x for x, _ in out], pa.int64()), pa.array([y for _, y in out], pa.int64())], ["a", "b"])
+
+    members, pieces = dealt(large)
+    known = chosen(sets, materialize(members.select("id").distinct(), "ids"))
+    full = members.join(known, "id").filter(F.size("shingles") == F.col("n")).join(pieces, ["cluster", "block"]).select("piece", "side", "id", "label", "shingles")
+    return full.repartition("piece").sortWithinPartitions("piece").mapInArrow(run, "a bigint, b bigint").distinct()
+
+
 def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD, k: int = COORDINATES, rows: int = ROWS, n_words: int = WORDS, weighted: bool = True) -> DataFrame:
     """One row for each document: id column and class_id, the smallest id of its class. weighted: signatures of weights are used beside those of sets."""
     short_batches(docs.sparkSession)
@@ -347,22 +386,10 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", thr
     links = materialize(verified(pair("lo").unionByName(pair("hi")).distinct(), sets, threshold).unionByName(one.distinct()), "links")
     labels = components(links)
     named = near.select("id", "n", "band", "value").join(labels, "id", "left").select("id", "n", "band", "value", F.coalesce("label", "id").alias("label"))
-    left, few, pairs, splits = mixed(named), [], [], None
-    for level in range(len(LEVELS) + 1):
-        few.append(left.filter(F.col("size") <= SMALL).select("id", "n", "label", "band", "value"))
-        left = left.filter(F.col("size") > SMALL)
-        pairs.append(with_pivots(left, threshold))
-        left = left.select("id", "n", "band", "label", *(["splits"] if splits is not None else []))
-        if level == len(LEVELS) or left.isEmpty():
-            break
-        if splits is None:
-            splits = materialize(finer(chosen(texts, materialize(left.select("id").distinct(), "ids")), k, rows, n_words, weighted), "splits")
-            turns, start = F.sequence(F.lit(0), F.lit(TURNS - 1)), F.col("turn") * len(LEVELS)
-            left = left.distinct().join(splits, ["id", "band"]).select("id", "n", "label", "band", "ways", F.explode(turns).alias("turn"))
-            left = left.select("id", "n", "label", (F.col("band") * TURNS + F.col("turn")).alias("band"), F.slice("ways", start + 1, len(LEVELS)).alias("splits"))
-        left = mixed(left.withColumn("value", F.col("splits")[level]).distinct())
-    more = verified(reduce(DataFrame.unionByName, pairs).distinct(), sets, threshold)
-    more = materialize(more.unionByName(within(reduce(DataFrame.unionByName, few), sets, threshold)), "links")
+    left = mixed(named)
+    large = left.filter(F.col("size") > SMALL)
+    more = within(left.filter(F.col("size") <= SMALL), sets, threshold)
+    more = materialize(more if large.isEmpty() else more.unionByName(between(large, sets, threshold)), "links")
     if not more.isEmpty():
         labels = components(links.unionByName(more))
     discard(sets)

@@ -124,3 +124,45 @@ def test_links_within_small_buckets(spark):
     found = {tuple(sorted(r)) for r in m.within(small, known, 0.8).collect()}
     assert found == {(i, j) for i in range(24) for j in range(i + 1, 24) if i % 2 == j % 2 and i % 6 != j % 6 and brute[i, j]}
     assert m.within(small.limit(0), known, 0.8).count() == 0
+
+
+def template(n, seed, shared, own):
+    rng = random.Random(seed)
+    base, docs = [f"w{i}" for i in range(1200)], []
+    for i in range(n):
+        pair = dict.fromkeys(rng.sample(range(1200), shared), f"s{i}")
+        docs += [(j, " ".join((pair | dict.fromkeys(rng.sample(range(1200), own), f"o{j}")).get(at, w) for at, w in enumerate(base))) for j in (i, 1000 + i)]
+    return docs
+
+
+def test_no_link_is_lost_in_large_buckets(spark, monkeypatch):
+    """All links among documents of one template, in one block and in pairs of small ones."""
+    docs = template(300, 8, 12, 6)
+    want = brute(docs)
+    assert len({c for _, c in want}) == 102
+    frame = spark.createDataFrame(docs, "doc_id bigint, text string")
+    assert sorted(map(tuple, m.classes(frame).collect())) == want
+    monkeypatch.setattr(m, "BLOCK", 100)
+    assert sorted(map(tuple, m.classes(frame).collect())) == want
+
+
+def test_classes_larger_than_a_block(spark, monkeypatch):
+    """Classes with blocks of their own are compared with all others, pairs of documents within a class never."""
+    monkeypatch.setattr(m, "BLOCK", 8)
+    rng = np.random.default_rng(9)
+    core = rng.integers(0, 2**62, 90, dtype=np.int64)
+    sets = [np.unique(np.concatenate([core[i % 5 :], rng.integers(0, 2**62, 4 + i % 13, dtype=np.int64)])) for i in range(80)]
+    near = m.alike([s.view(np.uint64) for s in sets], 0.8)
+    labels = [0] * 30 + [30] * 20 + list(range(50, 80))
+    large = spark.createDataFrame([(i, len(sets[i]), labels[i], 0, 5, 80, 0) for i in range(80)], "id bigint, n int, label bigint, band int, value bigint, size bigint, lo bigint")
+    known = spark.createDataFrame([(i, s.tolist()) for i, s in enumerate(sets)], "id bigint, shingles array<bigint>")
+    found = [tuple(r) for r in m.between(large, known, 0.8).collect()]
+    assert found and all(near[a, b] and labels[a] != labels[b] for a, b in found)
+
+    def joined(links):
+        of = dict(enumerate(labels))
+        for a, b in links:
+            of = {k: of[a] if v == of[b] else v for k, v in of.items()}
+        return {frozenset(k for k in of if of[k] == c) for c in set(of.values())}
+
+    assert joined(found) == joined([(a, b) for a in range(80) for b in range(80) if near[a, b]])
