@@ -14,16 +14,22 @@ from pyspark.sql import functions as F
 from riskloom.sources.store import discard, stored
 
 
+#: Rows of a range where their number is known.
+RANGE_ROWS = 1_000_000
+
+
 def scored(df: DataFrame, y: Column, s: Column, w: Column | None = None, keep: tuple[str, ...] = ()) -> DataFrame:
     """y, s, w: the columns that all metrics read."""
     return df.select(y.cast("double").alias("y"), s.cast("double").alias("s"), (F.lit(1.0) if w is None else w.cast("double")).alias("w"), *keep)
 
 
-def running(df: DataFrame, order: str, sums: dict[str, Column], by: tuple[str, ...] = (), ties: tuple[str, ...] = (), descending: bool = False, whole: bool = False) -> DataFrame:
-    """Adds inclusive running sums in the order of a column (then of ties) within each group `by`; with whole, also each sum over the group, as all_<name>."""
+def running(df: DataFrame, order: str, sums: dict[str, Column], by: tuple[str, ...] = (), ties: tuple[str, ...] = (), descending: bool = False, whole: bool = False, rows: int | None = None) -> DataFrame:
+    """Adds inclusive running sums in the order of a column (then of ties) within each group `by`; with whole, also each sum over the group, as all_<name>. rows: how many there are, where known, so that no range holds many more than RANGE_ROWS."""
     first = F.col(order).desc() if descending else F.col(order).asc()
     keys = [*by, first, *ties, "_nth"]
-    dealt = df.select("*", F.monotonically_increasing_id().alias("_nth")).repartitionByRange(*keys)
+    dealt = df.select("*", F.monotonically_increasing_id().alias("_nth"))
+    least = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = dealt.repartitionByRange(n, *keys) if rows is not None and (n := -(-rows // RANGE_ROWS)) > least else dealt.repartitionByRange(*keys)
     dealt = stored(dealt.withColumn("_part", F.spark_partition_id()), "ranges")
     totals = dealt.groupBy(*by, "_part").agg(*[F.sum(c).alias(f"_{n}") for n, c in sums.items()])
     group = Window.partitionBy(*by)  # a row for each partition and group
@@ -79,10 +85,31 @@ def mass_bins(frame: DataFrame, n_bins: int, ties: tuple[str, ...] = (), descend
     return ranked.withColumn("bin", F.least(F.floor(share).cast("int"), F.lit(n_bins - 1))).drop("all_cw")
 
 
+def bin_sums(frame: DataFrame, n_bins: int, ties: tuple[str, ...] = (), descending: bool = False, by: tuple[str, ...] = ()) -> DataFrame:
+    """by, bin and the sums w, ws and wy of its rows, by the bins of mass_bins(). Without groups, a score whose rows are all in one bin counts as one mass; only rows of scores that the edge of a bin cuts (fewer than n_bins scores) are put in order."""
+    w, sums = F.col("w"), ("w", "ws", "wy")
+    parts = [w, (w * F.col("s")).alias("ws"), (w * F.col("y")).alias("wy")]
+    total = [F.sum(c).alias(c) for c in sums]
+    if by:
+        return mass_bins(frame, n_bins, ties, descending, by).select(*by, "bin", *parts).groupBy(*by, "bin").agg(*total)
+    masses = frame.select("s", *parts).groupBy("s").agg(*total, F.min("w").alias("least"), F.count("*").alias("rows"))
+    steps = running(masses, "s", {"cw": w}, (), (), descending, whole=True)
+    bin_of = lambda before: F.least(F.floor(before * F.lit(float(n_bins)) / F.col("all_cw") + F.lit(1e-12)).cast("int"), F.lit(n_bins - 1))
+    steps = steps.withColumn("before", F.col("cw") - w).withColumns({"bin": bin_of(F.col("before")), "last": bin_of(F.col("cw") - F.col("least"))})
+    cut = steps.filter("bin < last").select("s", "before", "all_cw", "rows").collect()
+    whole = steps.filter("bin >= last or bin is null").select("bin", *sums)
+    if not cut:
+        return whole.groupBy("bin").agg(*total)
+    starts = F.broadcast(frame.sparkSession.createDataFrame([tuple(r)[:3] for r in cut], "_s double, before double, all_cw double"))
+    rows = frame.select("s", "y", "w", *ties).join(starts, F.col("s").eqNullSafe(F.col("_s")))
+    inner = running(rows, "s", {"cw": w}, ("_s",), ties, descending, rows=sum(r["rows"] for r in cut))
+    inner = inner.withColumn("bin", bin_of(F.col("before") + F.col("cw") - w)).select("bin", *parts)
+    return whole.unionByName(inner).groupBy("bin").agg(*total)
+
+
 def calibration_bins(frame: DataFrame, n_bins: int = 10, ties: tuple[str, ...] = (), by: tuple[str, ...] = ()) -> DataFrame:
     """bin, predicted, observed, n. Without groups every bin has a row: an empty one has n = 0 and NaN figures."""
-    binned = mass_bins(frame, n_bins, ties, by=by)
-    rows = binned.groupBy(*by, "bin").agg((F.sum(F.col("w") * F.col("s")) / F.sum("w")).alias("predicted"), (F.sum(F.col("w") * F.col("y")) / F.sum("w")).alias("observed"), F.sum("w").alias("n"))
+    rows = bin_sums(frame, n_bins, ties, by=by).select(*by, "bin", (F.col("ws") / F.col("w")).alias("predicted"), (F.col("wy") / F.col("w")).alias("observed"), F.col("w").alias("n"))
     if by:
         return rows
     bins = frame.sparkSession.range(n_bins).select(F.col("id").cast("int").alias("bin"))
@@ -91,8 +118,7 @@ def calibration_bins(frame: DataFrame, n_bins: int = 10, ties: tuple[str, ...] =
 
 def lift_bins(frame: DataFrame, n_deciles: int = 10, ties: tuple[str, ...] = ()) -> DataFrame:
     """decile (1 holds the highest scores), mean_score, event_rate, lift, captured_response, n."""
-    binned = mass_bins(frame, n_deciles, ties, descending=True)
-    rows = binned.groupBy((F.col("bin") + 1).alias("decile")).agg(F.sum("w").alias("n"), F.sum(F.col("w") * F.col("y")).alias("e"), F.sum(F.col("w") * F.col("s")).alias("t"))
+    rows = bin_sums(frame, n_deciles, ties, descending=True).select((F.col("bin") + 1).alias("decile"), F.col("w").alias("n"), F.col("wy").alias("e"), F.col("ws").alias("t"))
     order = Window.orderBy("decile")  # a row for each decile
     every = Window.partitionBy(F.lit(1))
     events, mass = F.sum("e").over(every), F.sum("n").over(every)
