@@ -13,7 +13,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from riskloom.functions.ranking import running
+from riskloom.functions.ranking import release, running
 
 
 def span(value) -> timedelta:
@@ -32,10 +32,25 @@ def plus(at: Column, d: timedelta) -> Column:
     return F.timestamp_micros(F.unix_micros(at) + F.lit(round(d.total_seconds() * 1_000_000)))
 
 
-def ranked(df: DataFrame, time_col: str, ties: tuple[str, ...]) -> DataFrame:
-    """Adds _nth: the row's place by time and ties, from 1."""
-    timed = df.withColumn("_at", F.unix_micros(stamp(time_col)))
-    return running(timed, "_at", {"_nth": F.lit(1)}, (), ties or tuple(c for c in df.columns if c != time_col)).drop("_at")
+def ranked(df: DataFrame, time_col: str, ties: tuple[str, ...], cuts: list[int]) -> DataFrame:
+    """Adds _nth: a place that is on the same side of every cut as the row's place by time and ties, from 1. Places come from counts by time; only rows of times that a cut parts are put in order."""
+    timed = df.withColumn("_at", F.coalesce(F.unix_micros(stamp(time_col)), F.lit(-(2**63))))  # null times come first
+    steps = running(timed.groupBy("_at").agg(F.count("*").alias("c")), "_at", {"upto": F.col("c")})
+    cuts = sorted(set(cuts))
+    if not cuts:
+        return df.withColumn("_nth", F.lit(1).cast("bigint"))
+    below = steps.agg(*[F.max(F.when(F.col("upto") <= c, F.col("_at"))).alias(f"c{i}") for i, c in enumerate(cuts)]).first()
+    parted = reduce(lambda a, b: a | b, [(F.col("upto") - F.col("c") < c) & (F.col("upto") > c) for c in cuts])
+    split = {r["_at"]: (r["upto"] - r["c"], r["c"]) for r in steps.filter(parted).collect()}
+    release(steps)
+    passed = reduce(lambda a, b: a + b, [(F.lit(True) if x is None else F.col("_at") > F.lit(x)).cast("int") for x in below])
+    nth = F.element_at(F.array(*[F.lit(c + 1).cast("bigint") for c in [0, *cuts]]), passed + 1)
+    if not split:
+        return timed.withColumn("_nth", nth).drop("_at")
+    whole = timed.filter(~F.col("_at").isin(list(split))).withColumn("_nth", nth)
+    inner = running(timed.filter(F.col("_at").isin(list(split))), "_at", {"_nth": F.lit(1)}, ("_at",), ties or tuple(c for c in df.columns if c != time_col), rows=sum(n for _, n in split.values()))
+    before = reduce(lambda c, x: F.when(F.col("_at") == x[0], F.lit(x[1][0])).otherwise(c), split.items(), F.lit(0))
+    return whole.unionByName(inner.withColumn("_nth", F.col("_nth") + before)).drop("_at")
 
 
 def time_split(df: DataFrame, time_col: str, ratios: tuple[float, ...] = (0.7, 0.3), ties: tuple[str, ...] = ()) -> list[DataFrame]:
@@ -48,7 +63,7 @@ def time_split(df: DataFrame, time_col: str, ratios: tuple[float, ...] = (0.7, 0
         total += r
         cuts.append(round(total * n))
     cuts[-1] = n
-    rows = ranked(df, time_col, ties)
+    rows = ranked(df, time_col, ties, cuts[1:-1])
     return [rows.filter((F.col("_nth") > a) & (F.col("_nth") <= b)).select(*df.columns) for a, b in zip(cuts, cuts[1:])]
 
 
@@ -122,7 +137,10 @@ class PurgedKFold(Splitter):
     ties: tuple[str, ...] = ()
 
     def rows(self, df: DataFrame) -> DataFrame:
-        return ranked(df, self.time_col, self.ties)
+        return ranked(df, self.time_col, self.ties, self.cuts(df.count())[1:-1])
+
+    def cuts(self, n: int) -> list[int]:
+        return [int(n * k / self.n_folds) for k in range(self.n_folds + 1)]
 
     def split(self, df: DataFrame) -> Iterator[tuple[DataFrame, DataFrame]]:
         rows = self.rows(df)
@@ -131,7 +149,7 @@ class PurgedKFold(Splitter):
 
     def predicates(self, df: DataFrame) -> Iterator[tuple[Column, Column]]:
         rows, n = self.rows(df), df.count()
-        cuts = [int(n * k / self.n_folds) for k in range(self.n_folds + 1)]
+        cuts = self.cuts(n)
         bucket = reduce(lambda c, b: c + (F.col("_nth") > b).cast("int"), cuts[1:-1], F.lit(0))
         t = stamp(self.time_col)
         for r in rows.groupBy(bucket.alias("b")).agg(F.min(t).alias("lo"), F.max(t).alias("hi")).orderBy("b").collect():
