@@ -96,6 +96,54 @@ class Held:
             self.waiting, self.rows = [], 0
 
 
+def grouped_factors(rows: DataFrame, p: int, lots: int = 4) -> DataFrame:
+    """Factors of many groups as rows of SCHEMA, some for each group: rows meet by group and lot, so a task holds one group at a time, whatever their number."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, own = None, Held()
+        row = lambda: (*key, own.n, np.array([*own.sums, own.least, own.largest]), own.r)
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            out = []
+            x = batch["x"].flatten().to_numpy(zero_copy_only=False).reshape(-1, p)
+            y, w, lot = (batch[c].to_numpy(zero_copy_only=False) for c in ("y", "w", "lot"))
+            check_finite(x, y, w)
+            block = np.concatenate([np.ones((len(x), 1)), x, y[:, None]], 1) * np.sqrt(w)[:, None]
+            code = batch["grp"].dictionary_encode().indices.to_numpy(zero_copy_only=False)
+            starts = np.flatnonzero(np.concatenate([[True], (np.diff(code) != 0) | (np.diff(lot) != 0)]))
+            names = batch["grp"].take(pa.array(starts)).to_pylist()
+            for name, a, b in zip(names, starts.tolist(), [*starts[1:].tolist(), len(x)]):
+                if (name, int(lot[a])) != key:
+                    if key is not None:
+                        own.settle()
+                        out.append(row())
+                    key, own = (name, int(lot[a])), Held()
+                own.add(block[a:b], y[a:b], w[a:b])
+            yield packed(out)
+        if key is not None:
+            own.settle()
+            yield packed([row()])
+
+    dealt = rows.select("grp", "x", "y", "w", F.pmod(F.xxhash64("x", "y"), F.lit(lots)).cast("int").alias("lot"))
+    return dealt.repartition("grp", "lot").sortWithinPartitions("grp", "lot").mapInArrow(run, SCHEMA)
+
+
+def check_finite(x: np.ndarray, y: np.ndarray, w: np.ndarray) -> None:
+    bad = ~np.isfinite(x).all(0)
+    if bad.any() or not np.isfinite(y).all() or not np.isfinite(w).all():
+        what = ", ".join(f"#{j}" for j in np.flatnonzero(bad)) or "target or weight"
+        raise NonFinite(f"missing or infinite values in {what}")
+
+
+def compacted(rows: DataFrame) -> DataFrame:
+    """Design rows for many passes: where equal ones are frequent (a tenth are distinct at most) each is kept once, with its weights added and the number of rows in times."""
+    n, distinct = rows.agg(F.count("*"), F.approx_count_distinct(F.xxhash64("grp", "x", "y", "w"))).first()
+    if 10 * distinct > n:
+        return rows
+    return rows.groupBy("grp", "x", "y", "w").agg(F.count("*").alias("times")).select("grp", "x", "y", (F.col("w") * F.col("times")).alias("w"), "times")
+
+
 def factors(rows: DataFrame, p: int, betas: dict[str, np.ndarray] | None = None, working: Working | None = None, most: int = 64) -> dict[str, Factor]:
     """The factor of every group. betas: coefficients (intercept first) by group, for iterative fits. Factors of `most` neighbouring tasks are merged in a task; the driver merges what is left."""
 
@@ -103,10 +151,7 @@ def factors(rows: DataFrame, p: int, betas: dict[str, np.ndarray] | None = None,
         held: dict[str, Held] = {}
         for batch in batches:
             for name, x, y, w in blocks(batch, p):
-                bad = ~np.isfinite(x).all(0)
-                if bad.any() or not np.isfinite(y).all() or not np.isfinite(w).all():
-                    what = ", ".join(f"#{j}" for j in np.flatnonzero(bad)) or "target or weight"
-                    raise NonFinite(f"missing or infinite values in {what}")
+                check_finite(x, y, w)
                 z, v = y, w
                 if working is not None:
                     if name not in betas:
@@ -118,6 +163,10 @@ def factors(rows: DataFrame, p: int, betas: dict[str, np.ndarray] | None = None,
                 if name not in held:
                     held[name] = Held()
                 held[name].add(np.concatenate([np.ones((len(x), 1)), x, z[:, None]], 1) * root, y, w)
+            if "times" in batch.schema.names:
+                for name, times in zip(batch["grp"].to_pylist(), batch["times"].to_pylist()):
+                    if name in held:
+                        held[name].n += times - 1
         for own in held.values():
             own.settle()
         lot = TaskContext.get().partitionId() // most

@@ -3,17 +3,20 @@
 from __future__ import annotations
 
 import warnings as warn
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field, replace
+from functools import cached_property
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from riskloom.display import html_table
 from riskloom.operators.shared import SEG, SENT_BYTES, joined, learn
 from riskloom.operators.terms import Product, Term
-from riskloom.plans.factor import Factor, dependent, design, factors
+from riskloom.plans.factor import Factor, compacted, dependent, design, factors, grouped_factors, merged
+from riskloom.sources.store import stored
 from riskloom.spec import LinearSpec, SegmentedSpec
 from riskloom.values import Logistic, SquaredError, soft
 
@@ -80,6 +83,62 @@ class SegmentedSolution:
         return spark.createDataFrame([(s, k, float(v)) for s, sol in sorted(self.solutions.items()) for k, v in sol.coefficients.items()], "segment string, term string, estimate double")
 
 
+class StoredSegments(SegmentedSolution):
+    """Squared-error fits that tasks have solved: a stored table with a row for each segment. Solutions come to the driver only when asked for."""
+
+    def __init__(self, spec: SegmentedSpec, table: DataFrame, n: int, names: list[str], states: tuple):
+        for k, v in (("spec", spec), ("table", table), ("n", n), ("names", names), ("states", states)):
+            object.__setattr__(self, k, v)
+
+    @cached_property
+    def solutions(self) -> dict[str, Solution]:
+        first = {r.grp: factor_of(r) for r in self.table.select("grp", "n", "extra", "r").orderBy("grp").collect()}
+        return fit_segments(self.spec.base, None, len(self.names), lambda seg: (self.names, self.states), first)
+
+    def coefficients_df(self, spark) -> DataFrame:
+        base = self.spec.base
+        labels = F.array(*[F.lit(n) for n in ([INTERCEPT] if base.intercept else []) + self.names])
+        beta = F.col("beta") if base.intercept else F.slice("beta", 2, len(self.names))
+        each = F.inline(F.arrays_zip(labels.alias("term"), beta.alias("estimate")))
+        return self.table.select(F.col("grp").alias("segment"), each).toDF("segment", "term", "estimate")
+
+
+def factor_of(row) -> Factor:
+    size = round((len(row.r) // 8) ** 0.5)
+    return Factor(row.n, np.frombuffer(row.r).reshape(size, size), *map(float, np.frombuffer(row.extra)))
+
+
+def solved_in_tasks(base: LinearSpec, rows: DataFrame, p: int) -> DataFrame:
+    """grp, n, extra, r, beta (intercept first; null where the fit can't be made) of every segment, stored."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, own = None, []
+
+        def row() -> tuple:
+            n, extra, r = merged(own, p)
+            f = Factor(n, r, *map(float, extra))
+            good = f.sw > 0 and not dependent(r[:, :-1] if base.intercept else r[:, 1:-1], n)
+            beta = SOLVERS[type(base.loss), base.penalty.kind](base, None, p, {key: f})[key][0] if good else None
+            return key, n, extra.tobytes(), r.tobytes(), beta
+
+        def made(out: list[tuple]) -> pa.RecordBatch:
+            kinds = (pa.string(), pa.int64(), pa.binary(), pa.binary(), pa.list_(pa.float64()))
+            return pa.record_batch([pa.array([x[i] for x in out], k) for i, k in enumerate(kinds)], ["grp", "n", "extra", "r", "beta"])
+
+        for batch in batches:
+            out = []
+            for name, *part in zip(*(batch[c].to_pylist() for c in ("grp", "n", "extra", "r"))):
+                if name != key:
+                    out += [row()] if own else []
+                    key, own = name, []
+                own.append(tuple(part))
+            yield made(out)
+        yield made([row()] if own else [])
+
+    parts = grouped_factors(rows, p).repartition("grp").sortWithinPartitions("grp")
+    return stored(parts.mapInArrow(run, "grp string, n bigint, extra binary, r binary, beta array<double>"), "segments")
+
+
 Raw = tuple[np.ndarray, np.ndarray | None, bool, dict]
 #: (kind of loss, kind of penalty) -> solver of many groups at once
 SOLVERS: dict[tuple[type, str], Callable] = {}
@@ -345,7 +404,7 @@ def solve(spec: LinearSpec | SegmentedSpec, df: DataFrame, *, weights: str | Non
     rows = design(df, columns, spec.target, weights)
     iterative = isinstance(spec.loss, Logistic)
     if iterative:
-        rows = rows.persist()
+        rows = compacted(rows).persist()
     try:
         found = fit_groups(spec, rows, [n for n, _ in columns], states)
     finally:
@@ -370,7 +429,17 @@ def solve_segments(spec: SegmentedSpec, df: DataFrame, weights: str | None) -> S
     found: dict[str, Solution] = {}
     if by_segment(base.features) and not packs(base.features):
         states, columns = prepare(base, present, weights)
-        rows = design(present, columns, base.target, weights, by).persist()
+        rows = design(present, columns, base.target, weights, by)
+        if isinstance(base.loss, SquaredError) and (SquaredError, base.penalty.kind) in SOLVERS:
+            table, names = solved_in_tasks(base, rows, len(columns)), [n for n, _ in columns]
+            n = table.count()
+            bad = table.filter("beta is null").orderBy("grp").limit(1).collect()
+            if bad:
+                fit_segments(base, rows, len(columns), lambda seg: (names, states), {bad[0].grp: factor_of(bad[0])})  # raises
+            if not n:
+                raise ValueError(f"{spec.by} has no segment")
+            return StoredSegments(spec, table, n, names, states)
+        rows = compacted(rows).persist()
         try:
             found = fit_groups(base, rows, [n for n, _ in columns], states)
         finally:
@@ -433,6 +502,9 @@ def predict(sol, df: DataFrame, name: str = "prediction", warn_unseen: bool = Tr
         for segment, own in sorted(sol.solutions.items()):
             out = F.when(key == segment, own.score()).otherwise(out)
         return df.withColumn(name, out)
+    if isinstance(sol, StoredSegments):
+        table = sol.table.select(F.col("grp").alias("_segment"), F.col("beta").alias("_beta"))
+        return from_table(sol, df, name, warn_unseen, F.broadcast(table) if sol.n * (64 + 16 * (len(sol.names) + 1)) <= SENT_BYTES else table, tuple(len(t.names(x)) for t, x in zip(base.features, sol.states)))
     sizes = [[len(t.names(x)) for t, x in zip(base.features, own.states)] for own in sol.solutions.values()]
     widths = tuple(max(w) for w in zip(*sizes))
     own = packs(base.features)
@@ -447,9 +519,15 @@ def predict(sol, df: DataFrame, name: str = "prediction", warn_unseen: bool = Tr
     table = df.sparkSession.createDataFrame(rows, kind)
     if sum(64 + 16 * len(r[1]) + 64 * len(own) * (1 + sum(widths)) for r in rows) <= SENT_BYTES:
         table = F.broadcast(table)
+    return from_table(sol, df, name, warn_unseen, table, widths)
+
+
+def from_table(sol: SegmentedSolution, df: DataFrame, name: str, warn_unseen: bool, table: DataFrame, widths: tuple) -> DataFrame:
+    base, key = sol.spec.base, F.col(sol.spec.by).cast("string")
     keyed = df.withColumn("_key", key).join(table, F.col("_key") == F.col("_segment"), "left")
     if warn_unseen and not df.isStreaming:
-        unseen = keyed.filter("_segment is null").groupBy("_key").count().limit(20).collect()
+        keys = df.groupBy(key.alias("_key")).count()
+        unseen = keys.join(table.select("_segment"), F.col("_key") == F.col("_segment"), "left_anti").limit(20).collect()
         if unseen:
             warn.warn(f"{sum(r['count'] for r in unseen)} rows of unseen segments {sorted(str(r['_key']) for r in unseen)} get NaN", stacklevel=2)
     eta = F.col("_beta")[0]
