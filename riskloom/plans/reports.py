@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 from dataclasses import dataclass, field
-from functools import reduce
+from functools import cached_property, reduce
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
@@ -42,7 +42,13 @@ class Performance:
     largest: float
     calibration: DataFrame = field(repr=False)
     lift: DataFrame = field(repr=False)
-    gains: DataFrame = field(repr=False)
+    rows: DataFrame = field(repr=False)
+    ties: tuple[str, ...] = field(repr=False)
+
+    @cached_property
+    def gains(self) -> DataFrame:
+        """A point for each row, so rows are put in order only when it is asked for."""
+        return ranking.gains(self.rows, self.ties)
 
     def figures(self) -> dict[str, float]:
         return {k: v for k, v in vars(self).items() if isinstance(v, (int, float))}
@@ -92,7 +98,7 @@ def performance_of(frame: DataFrame, reference: DataFrame | None = None, n_bins:
         except ValueError:
             effect = math.nan
         shift = None if reference is None else m.psi_of(reference, frame.select("s"), psi_bins).value
-        return Performance(flat["n"], flat["e"], row["auc"], ci, row["gini"], row["ks"], row["ks_at"], effect, flat["brier"], flat["ll"], m.ece_of(frame, n_bins, ties).value, slope, intercept, shift, flat["mean"], quantiles(frame, "s", [0.5])[0], flat["lo"], flat["hi"], ranking.calibration_bins(frame, n_bins, ties), ranking.lift_bins(frame, n_deciles, ties), ranking.gains(frame, ties))
+        return Performance(flat["n"], flat["e"], row["auc"], ci, row["gini"], row["ks"], row["ks_at"], effect, flat["brier"], flat["ll"], m.ece_of(frame, n_bins, ties).value, slope, intercept, shift, flat["mean"], quantiles(frame, "s", [0.5])[0], flat["lo"], flat["hi"], ranking.calibration_bins(frame, n_bins, ties), ranking.lift_bins(frame, n_deciles, ties), frame, ties)
     finally:
         frame.unpersist()
 
