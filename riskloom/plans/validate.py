@@ -281,10 +281,9 @@ def drawn(rng: np.random.Generator, left: np.ndarray, rows_left: int, k: int, ti
     left -= take
     if times is not None:
         return rng.multinomial(take, times / k)
-    out = np.zeros((len(left), k), np.int32)
     at = rng.integers(0, k, int(take.sum()))
-    np.add.at(out, (np.repeat(np.arange(len(left)), take), at), 1)
-    return out
+    ends = np.cumsum(take)
+    return np.stack([np.bincount(at[b - n : b], minlength=k) for n, b in zip(take, ends)])
 
 
 def bootstrap(sol: Solution, df: DataFrame, n_boot: int = 500, *, stratify: str | None = None, method: str = "pairs", weights: str | None = None, splitter: Splitter | None = None, random_state: int = 0, batch: int = 64) -> BootstrappedSolution:
