@@ -55,3 +55,11 @@ def test_null_and_shared_ids(spark):
     assert sorted((r.doc_id or 0, r.text[:5]) for r in kept if "word" in r.text[:5]) == [(0, "aword"), (0, "bword"), (3, "eword"), (5, "cword"), (5, "dword")]
     clean = cp.clean(spark, frame, SF).collect()
     assert sorted((r.doc_id or 0, r.text) for r in clean) == sorted((d or 0, t) for d, t in rows[:-2])
+
+
+def test_near_duplicates_of_one_template(spark):
+    """One row stays of each of the 102 classes that brute force finds in large buckets."""
+    from tests.llm.test_minhash_dedup import template
+
+    docs = spark.createDataFrame([(*d, "en", "web", 1) for d in template(300, 8, 12, 6)], "doc_id bigint, text string, lang string, source string, n_chars bigint")
+    assert cp.distinct(spark, docs, "").count() == 102
